@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from newsflow.llm import quality_rules
 from newsflow.llm.byte_bpe import op9_byte_bpe
+from newsflow.llm.quality_rules import op2_quality_rules
+from newsflow.llm.secret_scans import op7_secret_scans
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB twins; what is not listed is tested against brute force in tests/llm.
+ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
+}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from newsflow.llm import quality_rules
 from newsflow.llm.byte_bpe import op9_byte_bpe
 from newsflow.llm.quality_rules import op2_quality_rules
+from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
 from newsflow.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op1_word_repeats": op1_word_repeats,
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash": op4_simhash,
     "op7_secret_scans": op7_secret_scans,

@@ -9,6 +9,7 @@ from newsflow.llm.decontamination import op8_decontamination
 from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
 from newsflow.llm.simhash import op4_simhash
+from newsflow.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 #: DuckDB twins; what is not listed is tested against brute force in tests/llm.
 ORACLE_SQL = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from newsflow.llm import quality_rules
 from newsflow.llm.byte_bpe import op9_byte_bpe
 from newsflow.llm.quality_rules import op2_quality_rules
+from newsflow.llm.chat_formatting import op6_chat_formatting
 from newsflow.llm.decontamination import op8_decontamination
 from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_word_repeats": op1_word_repeats,
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash": op4_simhash,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,

@@ -11,10 +11,12 @@ from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
 from newsflow.llm.simhash import op4_simhash
 from newsflow.llm.token_counts import op10_token_counts
+from newsflow.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scans": op7_secret_scans,

@@ -7,6 +7,7 @@ from newsflow.llm.byte_bpe import op9_byte_bpe
 from newsflow.llm.quality_rules import op2_quality_rules
 from newsflow.llm.chat_formatting import op6_chat_formatting
 from newsflow.llm.decontamination import op8_decontamination
+from newsflow.llm.repeated_bytes import op5_byte_repeats
 from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
 from newsflow.llm.simhash import op4_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_byte_repeats": op5_byte_repeats,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,

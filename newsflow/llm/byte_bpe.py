@@ -226,6 +226,21 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(partial(_round_trip, path=path, pattern=pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    bpe = codec(path, pattern)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        lists = bpe.encode_many(texts)
+        intact = [bpe.decode(ids) == text.encode() for ids, text in zip(lists, texts, strict=True)]
+        yield pa.record_batch([batch.column(0), pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(intact)], names=["doc_id", "n_tokens", "ids", "intact"])
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens, ids, intact: whether the ids decode to the text."""
+    arrow_session(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(partial(_checked, path=path, pattern=pattern), "doc_id long, n_tokens long, ids array<int>, intact boolean")
+
+
 def public_vocabulary() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the query uses."""
     import public_tokenizers

@@ -98,11 +98,11 @@ def linked(found: DataFrame, reach: int = 160) -> DataFrame:
     held = held.groupBy("_doc", "key").agg(F.collect_list("w").alias("held"))
     rest = keyed.where(~open_).withColumn("spans", F.col("strong"))
     joined = keyed.where(open_).join(held, ["_doc", "key"], "left").withColumn("spans", F.sort_array(F.concat("strong", F.coalesce("held", F.array().cast(found.schema["weak"].dataType)))))
-    return rest.select("doc_id", "strong", "spans").unionByName(joined.select("doc_id", "strong", "spans"))
+    return rest.select("doc_id", "key", "strong", "spans").unionByName(joined.select("doc_id", "key", "strong", "spans"))
 
 
 def scan(docs: DataFrame, reach: int = 160) -> DataFrame:
-    """docs -> doc_id, strong, spans: arrays of (start, rank, end, role); rank indexes KINDS."""
+    """docs -> doc_id, key (hash of the text), strong, spans: arrays of (start, rank, end, role); rank indexes KINDS."""
     shared_folder(docs.sparkSession)
     return linked(parts(docs).checkpoint(), reach)
 
@@ -113,6 +113,22 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
+def redact(docs: DataFrame, reach: int = 160) -> DataFrame:
+    """docs with every reported span replaced by its kind in square brackets."""
+    found = scan(docs, reach).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
+    keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, ["_null", "_id", "_key"], "left")
+    name = lambda s: F.concat(F.lit("["), F.get(F.array(*map(F.lit, KINDS)), s["rank"]), F.lit("]"))
+    between = lambda a, b: F.col("text").substr(a + 1, F.greatest(b - a, F.lit(0)))
+    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc["at"], s["start"]), name(s)).alias("out"))).otherwise(
+        F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+    )
+    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], between(acc["at"], F.length("text"))))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
+    return joined.withColumn("text", text).select(*docs.columns)
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("strong", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROWS_PER_ARROW_BATCH = 64
@@ -186,6 +187,17 @@ def binary_batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.binary() if isinstance(c[0], bytes) else pa.int32() if n == "bucket" or n == "kind" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), evaluated where it stands.
+
+    A filter is pushed below the projections that it depends on and takes their expressions
+    with it; arrays that a condition is made of would then be computed again for each of
+    their elements. What a generator makes cannot be pushed.
+    """
+    one = F.explode_outer(F.when(condition, F.array(F.lit(1)))).alias("_one")
+    return df.select("*", one).where("_one is not null").drop("_one")
+
+
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Which values occur in a sorted array."""
     if not len(ordered):

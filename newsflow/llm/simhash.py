@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.llm.shared import arrow_session, mix, shared_folder
 
@@ -214,6 +215,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _with_fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = next(_fingerprints(iter([batch.select(["doc_id", "text"])]), shingle)).column(1)
+        yield pa.record_batch([*batch.columns, prints], names=[*batch.schema.names, "_fp"])
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """docs without all but one row of each component: the least doc_id's (nulls last), of several the one with the least fingerprint."""
+    spark = arrow_session(docs.sparkSession)
+    shared_folder(spark)
+    prints = fingerprints(docs, shingle).distinct().checkpoint()
+    classes = prints.select("fp").distinct()
+    found = components(links(classes, radius))
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("fp").alias("_fp"))).alias("m")).select("m.*")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    keyed = docs.mapInArrow(partial(_with_fingerprint, shingle=shingle), schema).withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
+    key = ["_null", "_id", "_fp"]
+    return keyed.join(least, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

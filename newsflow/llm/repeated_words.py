@@ -10,8 +10,9 @@ holds it; a bucket answers who does not hold the first start. (C) Batches join t
 to maximal runs and cut them out.
 
 Hashes are sent once per batch and bucket, however often they occur in it, so a passage that
-a third of all documents share costs each bucket one entry per batch. Sent hashes are 48 bits
-for anchors (a filter only) and 96 bits for full windows. Texts stay in their batches.
+a third of all documents share costs each bucket one entry per batch. Sent hashes are 40 bits
+or more for anchors (a filter only: enough that few blocks look hit by chance) and 96 bits
+for full windows. Texts stay in their batches.
 
 Defined results: null text has no words; a null doc_id comes before all others; rows that
 repeat a doc_id are documents of their own, ordered as staged (identical rows give the same
@@ -21,6 +22,7 @@ rows in any order); columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -72,7 +74,7 @@ class Words:
         return at, mix(h[at])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], block: int, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows of (bucket, batch, hashes, flags): one entry per distinct run of block words; flags: is a block, occurs again."""
     for row in rows_of(batches):
         batch = Batch(row)
@@ -80,7 +82,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], block: int, buckets: int) -> Ite
         at, h = words.runs(block, _ODD)
         if not len(at):
             continue
-        h >>= np.uint64(16)
+        h >>= np.uint64(64 - 8 * width)
         order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
@@ -88,7 +90,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], block: int, buckets: int) -> Ite
         aligned = (at - words.starts[words.doc[at]]) % block == 0
         is_block = np.maximum.reduceat(aligned, heads)
         again = np.diff(np.concatenate([heads, [len(h)]])) > 1
-        yield from _dealt(batch.number, h[heads], buckets, 48, 6, lambda a, b, x=is_block, y=again: np.packbits(np.concatenate([x[a:b], y[a:b]])).tobytes())
+        yield from _dealt(batch.number, h[heads], buckets, 8 * width, width, lambda a, b, x=is_block, y=again: np.packbits(np.concatenate([x[a:b], y[a:b]])).tobytes())
 
 
 def _dealt(number: int, h: np.ndarray, buckets: int, bits: int, width: int, more) -> Iterator[pa.RecordBatch]:
@@ -98,11 +100,11 @@ def _dealt(number: int, h: np.ndarray, buckets: int, bits: int, width: int, more
         yield binary_batch(["bucket", "batch", "hashes", "flags"], rows)
 
 
-def _hit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hit_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Per bucket: the hashes that are a block somewhere and occur in two places, to each batch in which they are a block."""
     for held in _buckets(batches):
-        h = np.concatenate([unplanes(r["hashes"], 6) for r in held])
-        sizes = [len(r["hashes"]) // 6 for r in held]
+        h = np.concatenate([unplanes(r["hashes"], width) for r in held])
+        sizes = [len(r["hashes"]) // width for r in held]
         flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=2 * n).astype(bool) for r, n in zip(held, sizes, strict=True)]
         is_block = np.concatenate([f[:n] for f, n in zip(flags, sizes, strict=True)])
         again = np.concatenate([f[n:] for f, n in zip(flags, sizes, strict=True)])
@@ -117,7 +119,7 @@ def _hit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, start = [], 0
         for r, n in zip(held, sizes, strict=True):
             if told[start : start + n].any():
-                rows.append((r["batch"], 0, planes(h[start : start + n][told[start : start + n]], 6), b"", b"", b"", b""))
+                rows.append((r["batch"], 0, planes(h[start : start + n][told[start : start + n]], width), b"", b"", b"", b""))
             start += n
         if rows:
             yield binary_batch(TOLD, rows)
@@ -158,7 +160,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], dict]]:
             held = []
 
 
-def _candidates(words: Words, hit: np.ndarray, block: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(words: Words, hit: np.ndarray, block: int, window: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, hash and second hash of the windows whose first aligned block is hit."""
     at, h = words.runs(window, _ODD)
     if not len(at):
@@ -167,20 +169,20 @@ def _candidates(words: Words, hit: np.ndarray, block: int, window: int) -> tuple
     aligned = at + (begin - at) % block
     where, b = words.runs(block, _ODD)
     of = np.zeros(len(words.words) + 1, bool)
-    of[where] = is_in(b >> np.uint64(16), hit)
+    of[where] = is_in(b >> np.uint64(64 - 8 * width), hit)
     keep = of[aligned]
     _, h2 = words.runs(window, _ODD2)
     return at[keep], h[keep], h2[keep] >> np.uint64(32)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], block: int, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], block: int, window: int, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows of (bucket, batch, hashes, flags): the distinct candidate windows of each batch; flags: second hash and first doc_id."""
     for told, row in met(batches):
         if not told:
             continue
         batch = Batch(row)
         words = Words(batch)
-        at, h, h2 = _candidates(words, np.sort(np.concatenate([unplanes(r["doc_ids"], 6) for r in told])), block, window)
+        at, h, h2 = _candidates(words, np.sort(np.concatenate([unplanes(r["doc_ids"], width) for r in told])), block, window, width)
         if not len(at):
             continue
         order = np.lexsort((at, h2, h))
@@ -207,7 +209,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, n in zip(held, sizes, strict=True):
             mine = later[start : start + n]
             if mine.any():
-                rows.append((r["batch"], 0, planes(h[start : start + n][mine]), planes(h2[start : start + n][mine], 4), b"", b"", b""))
+                rows.append((r["batch"], 0, planes(h[start : start + n][mine]), b"", b"", b"", b""))
             start += n
         if rows:
             yield binary_batch(TOLD, rows)
@@ -230,8 +232,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterat
             repeat = np.empty(len(at), bool)
             repeat[order] = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
             if told:
-                key = np.concatenate([unplanes(r["doc_ids"]) * _ODD2 + unplanes(r["missing"], 4) for r in told])
-                repeat |= is_in(h * _ODD2 + h2, np.sort(key))
+                # an answer is compared with the windows of this batch only, so 64 bits do
+                repeat |= is_in(h, np.sort(np.concatenate([unplanes(r["doc_ids"]) for r in told])))
             np.add.at(gone, at[repeat], 1)
             np.add.at(gone, at[repeat] + window, -1)
         removed = np.cumsum(gone)[:-1] > 0
@@ -260,8 +262,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, digest: bool = False) -> D
     dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket")
     sent = "bucket int, batch long, hashes binary, flags binary"
     staged = stage_batches(docs, batch_bytes(spark))
-    hits = dealt(staged.mapInArrow(partial(_anchors, block=block, buckets=n), sent)).mapInArrow(_hit_blocks, TOLD_SCHEMA)
-    windows = meet(staged, hits).mapInArrow(partial(_windows, block=block, window=window, buckets=n), sent)
+    # about one entry per word; one block in 32 may look hit by chance
+    entries = staged.count() * batch_bytes(spark) / 6
+    width = min(8, max(5, math.ceil((math.log2(entries + 1) + 5) / 8)))
+    hits = dealt(staged.mapInArrow(partial(_anchors, block=block, buckets=n, width=width), sent)).mapInArrow(partial(_hit_blocks, width=width), TOLD_SCHEMA)
+    windows = meet(staged, hits).mapInArrow(partial(_windows, block=block, window=window, buckets=n, width=width), sent)
     later = dealt(windows).mapInArrow(_later, TOLD_SCHEMA)
     return meet(staged, later).mapInArrow(partial(_cut, window=window, digest=digest), OUT)
 

@@ -104,7 +104,7 @@ def stage_batches(docs: DataFrame, size: int, extra: Callable[[bytes, np.ndarray
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=9)
 
         def flush(held: list) -> pa.RecordBatch:
             nonlocal number

@@ -211,9 +211,8 @@ query("J21_final_table", "SELECT doc_id, CASE WHEN length(text) > 220 THEN conca
     lambda s, d: table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \n\t\r]+", " ")).alias("text")).join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.when(F.length("text") > 220, F.concat(F.rtrim(F.col("text").substr(1, 217)), F.lit("..."))).otherwise(F.col("text")).alias("snippet"), "quality", "toxic")
 )
 
-_LAST = Window.partitionBy("channel").orderBy(F.desc("message_date"), F.desc("message_id"))
 query("W01_latest_per_channel", "SELECT event_id, channel FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY message_date DESC, message_id DESC) AS r FROM raw_messages) WHERE r <= 50")(
-    lambda s, d: testbed.raw_messages(s, d).withColumn("r", F.row_number().over(_LAST)).where("r <= 50").select("event_id", "channel")
+    lambda s, d: testbed.raw_messages(s, d).withColumn("r", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("message_date"), F.desc("message_id")))).where("r <= 50").select("event_id", "channel")
 )
 query("W02_request_ids", "SELECT n_nationkey, concat('req_', lpad(CAST(row_number() OVER (ORDER BY n_name) AS VARCHAR), 4, '0')) AS request_id FROM nation")(lambda s, d: dml.request_ids(table(s, d, "nation"), "n_name").select("n_nationkey", "request_id"))
 query("W03_representatives", "SELECT public_cluster_id, event_id, avg_probability FROM (SELECT *, row_number() OVER (PARTITION BY public_cluster_id ORDER BY probability DESC, event_id) AS r, CAST(sum(CAST(probability AS DECIMAL(18, 4))) OVER w AS DOUBLE) / count(*) OVER w AS avg_probability FROM assignments WINDOW w AS (PARTITION BY public_cluster_id)) WHERE r = 1")(

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAYLOAD = T.StructType.fromDDL(
+PAYLOAD = (
     "message_id long, channel string, channel_id long, text string, date timestamp, views long, forwards long, reactions map<string,long>, media struct<type:string>,"
     " reply_to_message_id long, forward_from_channel string, forward_from_channel_id long, forward_from_message_id long, forward_origin_type string, permalink string, grouped_id long, status string"
 )
-ENVELOPE = T.StructType.fromDDL("event_id string, event_type string, event_timestamp string, event_version string, source_system string, trace_id string").add("payload", PAYLOAD).add("_broken", T.StringType())
+ENVELOPE = f"event_id string, event_type string, event_timestamp string, event_version string, source_system string, trace_id string, payload struct<{PAYLOAD}>, _broken string"
 #: Forms of the version and of an UUID, and the event types.
 VERSION, UUID = r"^v\d+\.\d+\.\d+$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 TYPES = ("raw_message", "persisted", "preprocessed", "sentiment_enriched", "ner_enriched", "topic_assignment", "graph_update")

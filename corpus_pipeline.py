@@ -37,9 +37,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = [F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_key")]
-    found = decontamination.leaks(docs.select(*key, "text"), items, keep=("_null", "_id", "_key")).select("_null", "_id", "_key").distinct()
-    return docs.select("*", *key).join(found, ["_null", "_id", "_key"], "left_anti").select(*docs.columns)
+    key = [F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.xxhash64("text").alias("__newsflow_key")]
+    found = decontamination.leaks(docs.select(*key, "text"), items, keep=("__newsflow_null", "__newsflow_id", "__newsflow_key")).select("__newsflow_null", "__newsflow_id", "__newsflow_key").distinct()
+    return docs.select("*", *key).join(found, ["__newsflow_null", "__newsflow_id", "__newsflow_key"], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,16 +116,16 @@ def written(spans: Column) -> Column:
 def redact(docs: DataFrame, reach: int = 160) -> DataFrame:
     """docs with every reported span replaced by its kind in square brackets."""
     found = scan(docs, reach).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
-    keyed = docs.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, ["_null", "_id", "_key"], "left")
+    found = found.select(F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.col("key").alias("__newsflow_key"), F.col("spans").alias("__newsflow_spans")).distinct()
+    keyed = docs.withColumn("__newsflow_null", F.col("doc_id").isNull()).withColumn("__newsflow_id", F.coalesce("doc_id", F.lit(0))).withColumn("__newsflow_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, ["__newsflow_null", "__newsflow_id", "__newsflow_key"], "left")
     name = lambda s: F.concat(F.lit("["), F.get(F.array(*map(F.lit, KINDS)), s["rank"]), F.lit("]"))
     between = lambda a, b: F.col("text").substr(a + 1, F.greatest(b - a, F.lit(0)))
     step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc["at"], s["start"]), name(s)).alias("out"))).otherwise(
         F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
     )
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], between(acc["at"], F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
+    clean = F.aggregate("__newsflow_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], between(acc["at"], F.length("text"))))
+    text = F.when(F.col("__newsflow_spans").isNull(), F.col("text")).otherwise(clean)
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -194,8 +194,8 @@ def only(df: DataFrame, condition: Column) -> DataFrame:
     with it; arrays that a condition is made of would then be computed again for each of
     their elements. What a generator makes cannot be pushed.
     """
-    one = F.explode_outer(F.when(condition, F.array(F.lit(1)))).alias("_one")
-    return df.select("*", one).where("_one is not null").drop("_one")
+    one = F.explode_outer(F.when(condition, F.array(F.lit(1)))).alias("__newsflow_one")
+    return df.select("*", one).where("__newsflow_one is not null").drop("__newsflow_one")
 
 
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataF
 def _with_fingerprint(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = next(_fingerprints(iter([batch.select(["doc_id", "text"])]), shingle)).column(1)
-        yield pa.record_batch([*batch.columns, prints], names=[*batch.schema.names, "_fp"])
+        yield pa.record_batch([*batch.columns, prints], names=[*batch.schema.names, "__newsflow_fp"])
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
@@ -229,10 +229,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame
     classes = prints.select("fp").distinct()
     found = components(links(classes, radius))
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("fp").alias("_fp"))).alias("m")).select("m.*")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    keyed = docs.mapInArrow(partial(_with_fingerprint, shingle=shingle), schema).withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0)))
-    key = ["_null", "_id", "_fp"]
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.col("fp").alias("__newsflow_fp"))).alias("m")).select("m.*")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__newsflow_fp", T.LongType())])
+    keyed = docs.mapInArrow(partial(_with_fingerprint, shingle=shingle), schema).withColumn("__newsflow_null", F.col("doc_id").isNull()).withColumn("__newsflow_id", F.coalesce("doc_id", F.lit(0)))
+    key = ["__newsflow_null", "__newsflow_id", "__newsflow_fp"]
     return keyed.join(least, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 """Operator 5: substring dedup on bytes by merging shard Burrows-Wheeler transforms.
 
-Every ``length``-byte string has one anchor: the leftmost place in it whose 8-byte hash is
-least. Equal strings have equal anchors at equal places, so only occurrences of an anchor
+Every ``length``-byte string has one anchor: the leftmost place in it whose 32-byte gram has
+the least hash (short grams repeat by chance, and then strangers would meet). Equal strings have equal anchors at equal places, so only occurrences of an anchor
 need to be compared, and there are about 2 / length of them per byte. (A) Batches of
 documents, the shards, send the hashes of their anchors; buckets answer which occur twice.
 (B) For these a shard sends its suffixes from the anchor on, cut off where no string can
@@ -37,61 +37,52 @@ from pyspark.sql import functions as F
 from newsflow.llm.repeated_words import TOLD, TOLD_SCHEMA, meet, met
 from newsflow.llm.shared import Batch, arrow_session, batch_bytes, binary_batch, is_in, mix, n_buckets, rows_of, stage_batches
 
-GRAM = 8
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Entries whose lists a bucket merges in one go; a group is never split.
 MERGED_AT_ONCE = 20_000
 
 
-def grams(text: bytes) -> np.ndarray:
-    """The mixed 8-byte value at every place."""
-    if len(text) < GRAM:
+def gram_of(length: int) -> int:
+    """Bytes of the gram by which strings of that length are anchored; lengths from 16 on are possible."""
+    return 32 if length >= 128 else 8
+
+
+def grams(text: bytes, gram: int) -> np.ndarray:
+    """The hash of that many bytes, a multiple of eight, at every place."""
+    if len(text) < gram:
         return np.empty(0, np.uint64)
     raw = np.frombuffer(text, np.uint8)
-    out = np.empty(len(raw) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        part = raw[k : k + GRAM * ((len(raw) - k) // GRAM)]
-        out[k::GRAM] = part.view("<u8")
+    eight = np.empty(len(raw) - 7, np.uint64)
+    for k in range(8):
+        eight[k::8] = raw[k : k + 8 * ((len(raw) - k) // 8)].view("<u8")
+    n = len(raw) - gram + 1
+    out = eight[:n].copy()
+    for k in range(8, gram, 8):
+        out *= _ODD
+        out += eight[k : k + n]
+        out ^= out >> np.uint64(29)
     return mix(out)
 
 
 def anchors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors of all strings within documents, and their hashes."""
-    h, window = grams(text), length - GRAM + 1
+    h, window = grams(text, gram_of(length)), length - gram_of(length) + 1
     if len(text) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    # least value of the windows that start at each place, by doubling
-    least, have = h, 1
+    # least value of the windows that start at each place and the leftmost place that has it, by doubling
+    least, at, have = h, np.arange(len(h), dtype=np.int32 if len(h) < 1 << 31 else np.int64), 1
     while have < window:
         step = min(have, window - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.minimum(least[:-step], least[step:])
         have += step
-    # the leftmost place with that value: where the minimum changes it is new at one end
     ok = np.ones(len(least), bool)
     for s in starts[1:-1].tolist():
         ok[max(0, s - length + 1) : s] = False
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return at, np.empty(0, np.uint64)
-    value = least[at]
-    # candidates: places whose value is the least of some window
-    order = np.flatnonzero(_is_least(h, least, window))
-    first = order[np.searchsorted(order, at)]
-    while (off := h[first] != value).any():
-        k = np.searchsorted(order, first[off]) + 1
-        first[off] = order[k]
-    place = np.unique(first)
-    return place, h[place]
-
-
-def _is_least(h: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
-    """Whether a place has the least value of one of the windows that contain it."""
-    padded = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
-    most, have = padded, 1
-    while have < window:
-        step = min(have, window - have)
-        most = np.maximum(most[: len(most) - step], most[step:])
-        have += step
-    return most == h
+    at = at[ok]
+    place = at[np.concatenate([[True], at[1:] != at[:-1]])].astype(np.int64) if len(at) else at.astype(np.int64)
+    return np.unique(place), h[np.unique(place)]
 
 
 def _with_anchors(text: bytes, starts: np.ndarray, length: int) -> list[bytes]:
@@ -145,11 +136,12 @@ class Shard:
         raw = row["more"]
         self.place = np.frombuffer(raw, np.uint32 if len(self.batch.text) < 1 << 32 else np.uint64).astype(np.int64)
         doc = np.searchsorted(self.batch.starts, self.place, "right") - 1
-        self.left = np.maximum(self.batch.starts[doc], self.place - (length - GRAM))
+        self.left = np.maximum(self.batch.starts[doc], self.place - (length - gram_of(length)))
+        self.gram = gram_of(length)
         self.right = np.minimum(self.batch.starts[doc + 1], self.place + length)
 
     def hashes(self) -> np.ndarray:
-        h = grams(self.batch.text)
+        h = grams(self.batch.text, self.gram)
         return h[self.place] if len(self.place) else np.empty(0, np.uint64)
 
 

@@ -1,7 +1,7 @@
 """A corpus pipeline: documents in, token ids out, each stage one of the operators.
 
 Quality rules drop documents and failing lines, SimHash keeps one document of each group of
-near-duplicates (five-word shingles, at most 3 of 64 bits different), decontamination drops
+near-duplicates (five-word shingles, similarity 0.8 or more), decontamination drops
 documents that hold a benchmark item, the secret scan replaces what it reports, and the last
 stage encodes the texts and decodes them again.
 
@@ -32,7 +32,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, shingle=5, radius=3)
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

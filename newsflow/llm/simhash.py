@@ -16,7 +16,9 @@ Links of 0.8 shingle similarity need wider fingerprints and a radius at which no
 a fixed pivot discards anything (those of strangers are 128 of 256 bits, give or take 8), and
 their cells by blocks of bits would hold most of a corpus. ``one_of_each`` therefore meets in
 cells of equal least shingle hashes and takes each cell's pivots from the cell itself: copies
-are near one of them and strangers are not, so the table discards again.
+are near one of them and strangers are not, so the table discards again. Fingerprints within
+``DEVIATIONS`` standard deviations only make candidates; a pair becomes a link when the exact
+similarity of its shingle sets is large enough.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and
 links like any other; a null doc_id keeps its fingerprint and its class, but never names a
@@ -36,12 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm.shared import arrow_session, mix, shared_folder
+from newsflow.llm.shared import arrow_session, mix, scratch_table, shared_folder
 
 PIVOTS = 24
 #: Words of a wide fingerprint; cells of a text, each of ROWS least hashes.
 WIDE = 4
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 16, 4
+#: Standard deviations of the bits by which candidates may differ; small sets differ in up to 48 bits on average at 0.8, not 39.
+DEVIATIONS = 5
+#: Candidate groups of up to so many shingle sets are verified as a whole, larger ones cell by cell.
+TOGETHER = 2000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -230,21 +236,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def most_different(similarity: float) -> int:
-    """Bits of a wide fingerprint by which texts of that shingle similarity differ, one standard deviation included.
+def most_different(similarity: float, deviations: float = 1) -> int:
+    """Bits of a wide fingerprint by which texts of that shingle similarity differ, some standard deviations included.
 
-    Equal sizes are assumed: the angle between two shingle sets is acos(2 s / (1 + s)), and a
-    bit differs with probability angle / pi. Five of six pairs at exactly the similarity are
-    within the result, 99 of 100 at 0.85, one of five at 0.7 and one of a hundred at 0.6.
+    Equal sizes are assumed, where the angle is widest: that between two shingle sets is
+    acos(2 s / (1 + s)), and a bit differs with probability angle / pi. Five of six pairs at
+    exactly the similarity are within one deviation.
     """
     bits = 64 * WIDE
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
-    """The wide fingerprint of the set of shingles (zero without any) and its BANDS cells."""
-    h = np.unique(shingle_hashes(text, shingle))
+def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of a set of shingle hashes (zero without any) and its BANDS cells."""
     wide = np.array([majority(mix(h ^ salt)) for salt in _salts(WIDE)], np.int64).tobytes()
     if not len(h):
         return wide, [0] * BANDS
@@ -264,9 +269,12 @@ def _salts(n: int) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(0)]
+        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)) for t in batch.column(0)]
+        found = [sketch(h) for h in sets]
+        sets = [h.tobytes() for h in sets]
+        node = np.array([xxhash.xxh64_intdigest(h, 43) for h in sets], np.uint64).view(np.int64)
         wide, cells = pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.list_(pa.int64()))
-        yield pa.record_batch([*batch.columns[1:], wide, cells], names=[*batch.schema.names[1:], "fp", "cells"])
+        yield pa.record_batch([*batch.columns[1:], pa.array(node), wide, cells, pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "node", "fp", "cells", "shingles"])
 
 
 def wide_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -295,55 +303,95 @@ def wide_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by cell -> links between nodes. A cell may go on in the next Arrow batch."""
-    held_cell, fps, nodes = None, [], []
+def similar_forest(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links (places) among different sets of shingle hashes, each of that similarity and within the radius.
+
+    Like wide_forest it compares a reached set only with those that no link has reached yet.
+    """
+    sizes = np.array([len(h) for h in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts, marked = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
+    rest, links = np.arange(len(sets)), []
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            near = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 0.5]
+            near = near[np.bitwise_count(fp[near] ^ fp[i]).sum(axis=1) <= radius]
+            if not len(near):
+                continue
+            marked[parts[i]] = True
+            same = np.array([np.count_nonzero(marked[parts[j]]) for j in near.tolist()])
+            marked[parts[i]] = False
+            near = near[same / np.maximum(sizes[near] + sizes[i] - same, 1) >= similarity]
+            if len(near):
+                links += [(i, j) for j in near.tolist()]
+                rest = rest[~np.isin(rest, near)]
+                reached += near.tolist()
+    return links
+
+
+def _group_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Partitions (group, node, fp) sorted by group -> links between nodes; with a similarity there are shingles, too, and links are verified.
+
+    A group may go on in the next Arrow batch.
+    """
+    held_group, fps, nodes, sets = None, [], [], []
 
     def emit() -> Iterator[pa.RecordBatch]:
         node, first = np.unique(np.concatenate(nodes), return_index=True)
         if len(node) > 1:
             fp = np.concatenate(fps)[first]
-            found = wide_forest(fp, radius)
+            found = wide_forest(fp, radius) if similarity is None else similar_forest(fp, [sets[k] for k in first.tolist()], radius, similarity)
             if found:
                 yield _link_batch([(int(node[i]), int(node[j])) for i, j in found])
 
     for batch in batches:
-        cell, node = (batch.column(k).to_numpy() for k in (0, 1))
+        group, node = (batch.column(k).to_numpy() for k in (0, 1))
         fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]).tolist()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
-            if cell[a] != held_cell:
+            if group[a] != held_group:
                 if nodes and (len(nodes) > 1 or len(nodes[0]) > 1):
                     yield from emit()
-                held_cell, fps, nodes = cell[a], [], []
+                held_group, fps, nodes, sets = group[a], [], [], []
             fps.append(fp[a:b])
             nodes.append(node[a:b])
+            if similarity is not None:
+                sets += [np.frombuffer(h, np.uint64) for h in batch.column(3).slice(a, b - a).to_pylist()]
     if nodes:
         yield from emit()
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one row of each group that links of that shingle similarity connect.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
+    """docs without all but one row of each group that pairs of that shingle similarity (or more) connect.
 
     The least doc_id's row stays (nulls last), of several the one with the least text hash.
-    Fingerprints have 64 * WIDE bits and link at most_different(similarity) or fewer; a pair of
-    similarity 0.8 shares one of the BANDS cells in 99.5 of 100 cases. Texts without words
-    are one group. Groups are named by 64-bit hashes of the fingerprints.
+    Candidates share one of the BANDS cells (a pair of similarity 0.8 in 9,997 of 10,000 cases)
+    and differ in few enough of 64 * WIDE bits; what they connect is verified by the shingle
+    sets themselves, up to ``together`` sets at once, beyond that in each cell. Texts without
+    words are one group. Sets and their shingles are told apart by 64-bit hashes.
     """
     spark = arrow_session(docs.sparkSession)
     shared_folder(spark)
     key = [F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.xxhash64("text").alias("__newsflow_key")]
     names = ["__newsflow_null", "__newsflow_id", "__newsflow_key"]
-    schema = "__newsflow_null boolean, __newsflow_id long, __newsflow_key long, fp binary, cells array<long>"
-    prints = docs.select("text", *key).mapInArrow(partial(_sketches, shingle=shingle), schema).withColumn("node", F.xxhash64("fp")).checkpoint()
-    cells = prints.select("node", "fp", "cells").distinct().select(F.explode("cells").alias("cell"), "node", "fp")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    schema = "__newsflow_null boolean, __newsflow_id long, __newsflow_key long, node long, fp binary, cells array<long>, shingles binary"
+    prints = scratch_table(docs.select("text", *key).mapInArrow(partial(_sketches, shingle=shingle), schema), "prints")
+    n, radius = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), most_different(similarity, DEVIATIONS)
+    dealt = lambda rows: rows.repartition(n, "group").sortWithinPartitions("group")
+    cells = prints.select("node", "fp", "cells").distinct().select(F.explode("cells").alias("group"), "node", "fp")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    dealt = cells.repartition(n, "cell").sortWithinPartitions("cell")
-    found = components(dealt.mapInArrow(partial(_wide_links, radius=most_different(similarity)), "a long, b long"))
+    near = components(dealt(cells).mapInArrow(partial(_group_links, radius=radius), "a long, b long"))
     arrow_session(spark)
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
+    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+    sets = prints.select("node", "fp", "cells", "shingles").join(near.join(sizes, "root"), "node").dropDuplicates(["node"])
+    groups = F.when(F.col("size") <= together, F.array("root")).otherwise(F.transform("cells", lambda c: F.xxhash64("root", c)))
+    sets = sets.select(F.explode(groups).alias("group"), "node", "fp", "shingles")
+    found = components(dealt(sets).mapInArrow(partial(_group_links, radius=radius, similarity=similarity), "a long, b long"))
     classes = prints.groupBy("node").agg(F.min(F.struct(*names)).alias("m"))  # copies leave one row before the join
     least = classes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.*")
     return docs.select("*", *key).join(least, names, "left_semi").dropDuplicates(names).select(*docs.columns)

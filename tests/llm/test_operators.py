@@ -211,6 +211,47 @@ def test_one_of_each(spark, docs, empty):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, v in similar_groups(texts).items() if k == v}
 
 
+def jaccard_groups(texts, similarity=0.8):
+    """Each id's least connected id, by the shingle sets of all pairs."""
+    sets, root = {}, {k: k for k in texts}
+    for k, text in texts.items():
+        w = SPLIT.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+        sets[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("together", [simhash.TOGETHER, 1])
+def test_one_of_each_brute_force(spark, together):
+    """Families around a shared passage stay, copies just above the similarity go; together=1 verifies cell by cell."""
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = words(170)
+    texts = {k: " ".join(shared + words(45)) for k in range(150)}
+    for g in range(40):
+        base = words(rng.choice([12, 60, 204]))
+        texts[1000 + 10 * g] = " ".join(base)
+        for k in range(1, 4):
+            texts[1000 + 10 * g + k] = " ".join(base + words(max(1, len(base) * k // 16)))
+    texts |= {2000: "", 2001: None, 2002: " "}
+    roots = jaccard_groups(texts)
+    assert sum(v == k for k, v in roots.items() if k < 1000) == 150 and sum(v == k for k, v in roots.items()) < 250
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.one_of_each(df, together=together).collect()}
+    assert kept == {k for k, v in roots.items() if k == v}
+
+
+def test_one_of_each_documents(spark):
+    """The given documents, as the pipeline's stage gets them."""
+    texts = {r.doc_id: r.cleaned_text for r in quality_rules.clean_lines(spark.read.parquet(f"{D}/documents.parquet")).collect() if r.kept}
+    docs, roots = spark.createDataFrame([*texts.items()], "doc_id long, text string"), jaccard_groups(texts)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, v in roots.items() if k == v}
+
+
 def test_wide_forest():
     """It connects what pairs within the radius connect, in a cell of groups and strangers."""
     rng = np.random.default_rng(9)

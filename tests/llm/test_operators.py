@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or known cases, with awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -331,6 +332,36 @@ def test_op8(spark, empty):
     assert decontamination.leaks(empty, items).collect() == [] and decontamination.leaks(docs, items.where("false")).collect() == []
 
 
+def test_op8_masks():
+    """Enumeration: whichever tokens are substituted within the tolerance, a seed of some mask is left."""
+    for width in range(1, 21):
+        changed = max(k for k in range(width) if width - k >= 0.8 * width)
+        places = [{a + k for k in m} for m in decontamination.masks_of(width, 0.8) for a in range(width - m[-1])]
+        assert all(any(p.isdisjoint(c) for p in places) for c in itertools.combinations(range(width), changed)), width
+    # beyond enumeration: runs between substitutions at equal distances
+    (run,) = decontamination.masks_of(60, 0.8)
+    assert run == tuple(range(len(run))) and (len(run) - 1) * 13 + 12 < 60
+
+
+@pytest.mark.parametrize("width", [12, 15, 20, 33])
+def test_op8_substitutions(spark, width):
+    """Verbatim and substituted copies of items of every length, and one substitution more than is tolerated."""
+    rng = random.Random(width)
+    item, n = [f"i{k}" for k in range(width)], min(width, 20)
+    most = max(k for k in range(n) if n - k >= 0.8 * n)
+    rows, expected = {}, set()
+    for k in range(40):
+        changed = rng.sample(range(n), most + (k % 4 == 3)) if k else []
+        if k == 1 and n == 20:
+            changed = [0, 8, 10, 15]
+        rows[k] = [f"a{rng.random()}"[:9] for _ in range(5)] + [f"x{i}" if i in changed else w for i, w in enumerate(item[:n])] + ["end"]
+        if len(changed) <= most:
+            expected.add(k)
+    docs = spark.createDataFrame([(k, " ".join(w.replace(".", "") for w in v)) for k, v in rows.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "")], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.leaks(docs, items).collect()} == expected
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return byte_bpe.public_vocabulary()

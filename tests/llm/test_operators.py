@@ -343,7 +343,7 @@ def test_op8_masks():
     assert run == tuple(range(len(run))) and (len(run) - 1) * 13 + 12 < 60
 
 
-@pytest.mark.parametrize("width", [12, 15, 20, 33])
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 9, 11, 12, 15, 20, 33])
 def test_op8_substitutions(spark, width):
     """Verbatim and substituted copies of items of every length, and one substitution more than is tolerated."""
     rng = random.Random(width)

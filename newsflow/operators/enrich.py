@@ -67,12 +67,17 @@ def language_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def entities(df: DataFrame, keep: tuple[str, ...] = ("event_id",), text: str = "text", least: int = 3) -> DataFrame:
-    """(M08, M09) Runs of capitalised words that don't begin a sentence, with places; numbers and short ones are left out."""
+    """(M08, M09) Runs of capitalised words that don't begin a sentence, each mention with its place; numbers and short ones are left out."""
     pattern = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*)"
-    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))
-    e = df.select(*keep, F.col(text).alias("_t"), F.explode_outer(found).alias("entity_text")).where(F.length("entity_text") >= least)
-    start = F.instr("_t", F.col("entity_text")) - 1
-    return e.select(*keep, "entity_text", F.lower(surface(F.col("entity_text"))).alias("normalized_text"), F.lit("MISC").alias("entity_type"), start.alias("start_pos"), (start + F.length("entity_text")).alias("end_pos"), F.lit(0.8).alias("confidence"))
+    matches, gaps = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
+    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    span = lambda acc, x: F.struct((acc["at"] + F.length(x["g"])).alias("start_pos"), x["m"].alias("entity_text"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span(acc, x))).alias("out"))
+    none = F.array().cast("array<struct<start_pos:int,entity_text:string>>")
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    e = df.select(*keep, F.explode_outer(spans).alias("_s")).select(*keep, "_s.start_pos", "_s.entity_text").where(F.length("entity_text") >= least)
+    end = F.col("start_pos") + F.length("entity_text")
+    return e.select(*keep, "entity_text", F.lower(surface(F.col("entity_text"))).alias("normalized_text"), F.lit("MISC").alias("entity_type"), "start_pos", end.alias("end_pos"), F.lit(0.8).alias("confidence"))
 
 
 def relations(spans: DataFrame, key: str = "event_id") -> DataFrame:

@@ -186,3 +186,12 @@ def test_dml(spark):
     assert got(dml.upsert(old, new.where("v is not null"), ["k"])) == [(1, "a", 5), (2, "c", 1)]
     assert got(dml.merge_upsert(old, new, ["k"], {"v": "newest", "t": "greatest"})) == [(1, "a", 5), (2, "c", 5), (3, None, 9)]
     assert overview.page("x", -3) == (50, 0) and overview.page(1000, 2) == (200, 2)
+
+
+def test_entities_keep_every_mention(spark):
+    """A later mention and a name that also stands inside an earlier word keep their own places."""
+    text = "We saw Bobcat near, and Bob met Bob in \U0001f600 New York."
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "event_id long, text string")
+    got = sorted((r.event_id, r.entity_text, r.start_pos, r.end_pos) for r in enrich.entities(df).collect())
+    assert [(t, a) for _, t, a, _ in got] == [("Bob", text.index("Bob met")), ("Bob", text.index("Bob in")), ("Bobcat", 7), ("York", text.index("York"))]
+    assert all(text[a:b] == t for _, t, a, b in got)

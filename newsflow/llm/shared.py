@@ -76,7 +76,7 @@ def n_buckets(spark: SparkSession) -> int:
 
 def batch_bytes(spark: SparkSession) -> int:
     """Larger batches where there are more buckets, so that their exchange stays linear."""
-    return min(16 << 20, max(1 << 20, 2048 * n_buckets(spark)))
+    return min(64 << 20, max(1 << 20, 2048 * n_buckets(spark)))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

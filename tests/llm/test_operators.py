@@ -69,15 +69,27 @@ def test_op1_repeated_rows(spark, empty):
     assert repeated_words.remove_repeats(empty).collect() == []
 
 
-@pytest.mark.parametrize("length", [24, 130])
-def test_op5_brute_force(docs, length):
-    texts = {k: (t or "").encode() for k, t in corpus()}
-    count = Counter(t[i : i + length] for t in texts.values() for i in range(len(t) - length + 1))
-    got = by_id(repeated_bytes.remove_repeats(docs, length=length))
+@pytest.mark.parametrize(("length", "hot"), [(24, repeated_bytes.HOT), (24, 2), (130, repeated_bytes.HOT), (130, 2)])
+def test_op5_brute_force(docs, length, hot):
+    """hot=2 deals nearly every repeated anchor by windows."""
+    check_op5({k: t or "" for k, t in corpus()}, repeated_bytes.remove_repeats(docs, length=length, hot=hot), length)
+
+
+@pytest.mark.parametrize("hot", [repeated_bytes.HOT, 6])
+def test_op5_documents(spark, hot):
+    """The contract's 400 bytes over all documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_op5({r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}, repeated_bytes.remove_repeats(docs, 400, hot=hot), 400)
+
+
+def check_op5(texts, found, length):
+    texts = {k: t.encode() for k, t in texts.items()}
+    count = Counter(t[i : i + length] if length < 200 else hash(t[i : i + length]) for t in texts.values() for i in range(len(t) - length + 1))
+    got = by_id(found)
     for k, t in texts.items():
         gone = np.zeros(len(t), bool)
         for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
+            if count[t[i : i + length] if length < 200 else hash(t[i : i + length])] > 1:
                 gone[i : i + length] = True
         edges = int(np.count_nonzero(np.diff(np.concatenate([[0], gone])) == 1))
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
@@ -89,6 +101,23 @@ def test_op5_repeated_rows(spark, empty):
     df = spark.createDataFrame([(1, text), (1, text), (None, "x" + text[:399])], "doc_id long, text string")
     assert sorted(r.n_removed for r in repeated_bytes.remove_repeats(df, 400).collect()) == [0, 500, 500]
     assert repeated_bytes.remove_repeats(empty).collect() == []
+    with pytest.raises(ValueError, match="65,535"):
+        repeated_bytes.remove_repeats(empty, 70_000)
+
+
+def test_op5_interleave():
+    """Merged lists of shards are in order and have the common prefixes that sorting all strings gives."""
+    rng = random.Random(5)
+    entries = sorted((g, shard, "".join(rng.choice("ab") for _ in range(rng.randint(0, 40))).encode()) for g in range(4) for shard in range(3) for _ in range(rng.randint(1, 30)))
+    groups, shards, strings = np.array([e[0] for e in entries]), np.array([e[1] for e in entries]), [e[2] for e in entries]
+    known = repeated_bytes.common_prefixes(strings, groups * 10 + shards)
+    order, prefix = repeated_bytes.interleave(strings, np.searchsorted(groups, groups), shards, known)
+    expected = sorted(entries, key=lambda e: (e[0], e[2]))
+    assert [(entries[k][0], entries[k][2]) for k in order] == [(e[0], e[2]) for e in expected]
+    for k in range(1, len(entries)):
+        if expected[k][0] == expected[k - 1][0]:
+            a, b = expected[k - 1][2], expected[k][2]
+            assert prefix[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def test_op2_awkward_rows(docs, empty):

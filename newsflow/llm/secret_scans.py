@@ -25,9 +25,24 @@ from newsflow.llm.shared import shared_folder
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 _ASSIGN = rf"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?({VALUE})"
 _ACCOUNT = rf"(?i:access_key_id|client_id|account_id|account|username|login)[\"']?\x20*[:=]\x20*[\"']?({VALUE})"
-_MIXED = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,80}(?![A-Za-z0-9+/_.=-])"
+_MIXED = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/_.=-])"
 _ENDPOINT = r"(?:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.:@/_-]+"
 KINDS = ("assign", "access", "hex", "account", "token", "value", "endpoint")
+#: Arrays are built in parts of so many elements, since appending copies them.
+PART = 64
+
+
+def gathered(items: Column, state: Column, step, kind: str) -> Column:
+    """The array that step(state, item) -> (new state, element or null) makes of items, without copying all of it for each element."""
+    none, parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def add(acc: Column, item: Column) -> Column:
+        after, element = step(acc["state"], item)
+        full = F.size(acc["part"]) >= PART
+        part = F.when(full, none).otherwise(acc["part"])
+        return F.struct(after.alias("state"), F.when(full, F.concat(acc["parts"], F.array(acc["part"]))).otherwise(acc["parts"]).alias("parts"), F.when(element.isNull(), part).otherwise(F.concat(part, F.array(element))).alias("part"))
+
+    return F.aggregate(items, F.struct(state.alias("state"), parts.alias("parts"), none.alias("part")), add, lambda acc: F.flatten(F.concat(acc["parts"], F.array(acc["part"]))))
 
 
 def _found(text: Column, kind: str, pattern: str, likely: Column, role: str, keep=lambda m: F.lit(True)) -> Column:
@@ -36,12 +51,13 @@ def _found(text: Column, kind: str, pattern: str, likely: Column, role: str, kee
     gaps = F.split(text, pattern, -1)
     rank = KINDS.index(kind)
     row = "struct<start:int,rank:int,end:int,role:string,text:string>"
-    step = lambda acc, m: F.struct(
-        (acc["at"] + F.length(m["g"]) + F.length(m["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(m["g"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(m["g"]) + F.length(m["m"])).alias("end"), F.lit(role).alias("role"), m["m"].alias("text")))).alias("out"),
-    )
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start, end = at + F.length(m["g"]), at + F.length(m["g"]) + F.length(m["m"])
+        return end, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(role).alias("role"), m["m"].alias("text"))
+
     pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{row}>").alias("out")), step, lambda acc: acc["out"])
+    spans = gathered(pairs, F.lit(0), step, row)
     return F.when(likely, F.filter(spans, lambda s: keep(s["text"]))).otherwise(F.array().cast(f"array<{row}>"))
 
 
@@ -114,19 +130,32 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, reach: int = 160) -> DataFrame:
-    """docs with every reported span replaced by its kind in square brackets."""
+    """docs with every reported span replaced by its kind in square brackets; of overlapping ones the first."""
     found = scan(docs, reach).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.col("key").alias("__newsflow_key"), F.col("spans").alias("__newsflow_spans")).distinct()
-    keyed = docs.withColumn("__newsflow_null", F.col("doc_id").isNull()).withColumn("__newsflow_id", F.coalesce("doc_id", F.lit(0))).withColumn("__newsflow_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, ["__newsflow_null", "__newsflow_id", "__newsflow_key"], "left")
+    apart = lambda at, s: (F.greatest(at, s["end"]), F.when(s["start"] >= at, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    spans = gathered(F.col("spans"), F.lit(0), apart, "struct<start:int,end:int,rank:int>")
+    names = ["__newsflow_null", "__newsflow_id", "__newsflow_key"]
+    found = found.select(F.col("doc_id").isNull().alias(names[0]), F.coalesce("doc_id", F.lit(0)).alias(names[1]), F.col("key").alias(names[2]), spans.alias("__newsflow_spans")).distinct()
+    keyed = docs.withColumns(dict(zip(names, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64(F.coalesce("text", F.lit("")))), strict=True)))
+    joined = keyed.join(found, names, "left")
+    all_ = F.col("__newsflow_spans")
+    end_of = lambda k: F.coalesce(F.get(all_, k)["end"], F.lit(0))
     name = lambda s: F.concat(F.lit("["), F.get(F.array(*map(F.lit, KINDS)), s["rank"]), F.lit("]"))
-    between = lambda a, b: F.col("text").substr(a + 1, F.greatest(b - a, F.lit(0)))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], between(acc["at"], s["start"]), name(s)).alias("out"))).otherwise(
-        F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    )
-    clean = F.aggregate("__newsflow_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], between(acc["at"], F.length("text"))))
-    text = F.when(F.col("__newsflow_spans").isNull(), F.col("text")).otherwise(clean)
-    return joined.withColumn("text", text).select(*docs.columns)
+
+    def part(k: Column) -> Column:
+        """The spans from k on with what stands before each, cut from the text of this part only: places are found by counting characters."""
+        base = F.when(k == 0, F.lit(0)).otherwise(end_of(F.greatest(k - 1, F.lit(0))))
+        upto = end_of(F.least(k + PART, F.size(all_)) - 1)
+        pieces = lambda text: F.transform(F.slice(all_, k + 1, F.lit(PART)), lambda s, i: F.concat(_between(text, F.when(i == 0, base).otherwise(end_of(F.greatest(k + i - 1, F.lit(0)))) - base, s["start"] - base), name(s)))
+        return F.get(F.transform(F.array(_between(F.col("text"), base, upto)), lambda text: F.array_join(pieces(text), "")), F.lit(0))
+
+    heads = F.sequence(F.lit(0), F.size(all_) - 1, F.lit(PART))
+    clean = F.concat(F.array_join(F.transform(heads, part), ""), _between(F.col("text"), end_of(F.size(all_) - 1), F.length("text")))
+    return joined.withColumn("text", F.when(F.size(all_) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return text.substr(start + 1, F.greatest(end - start, F.lit(0)))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 Each message is cut into passages: runs of lines with the same number of leading ``>``.
 Quoted passages are normalised (lower case, single spaces) and hashed, and the hash is joined
-to the messages of the same conversation that said it first, earlier than the quoting one.
-The shallowest passage that links gives the message replied to. Replies form trees; pointer
+to the messages of the same conversation that said it first, earlier than the quoting one. A
+passage is looked up as a whole, as two lines that follow each other and line by line; the
+whole goes before pairs, pairs before lines, then the message that holds most of them. The
+shallowest passage that links gives the message replied to. Replies form trees; pointer
 doubling finds each message's thread and depth, and (conv_id, thread, turn) is the reply
 order. The text keeps the unquoted passages, without the line that announces a quote.
 
 Originals are reduced to the first turn per conversation and hash before they are joined, so
 a passage said or quoted very often costs one row per key on that side and no pairs arise.
 
-Only built-in functions. Defined results: null text counts as empty; null conv_id is one
+Only built-in functions. Defined results: what has fewer than ``least_chars`` characters is too
+common to link, so a quote of only that is counted and not linked; null text counts as empty; null conv_id is one
 conversation, a null turn comes before all others and is never replied to; rows that repeat
 (conv_id, turn) are kept and share what links to them; other columns are not read.
 """
@@ -24,7 +27,7 @@ from newsflow.llm.shared import shared_folder
 
 QUOTE = r"^(?:[ \t]*>)+"
 #: Fixed forms of a line that announces a quote.
-ANNOUNCES = r"(?i)^\s*(?:on .{1,120} wrote|.{0,120} wrote|le .{1,120} a écrit|el .{1,120} escribió|am .{1,120} schrieb.{0,60})\s*:\s*$"
+ANNOUNCES = r"(?i)^\s*(?:.* wrote|le .+ a écrit|el .+ escribió|am .+ schrieb.*)\s*:\s*$"
 
 
 def normal(text: Column) -> Column:
@@ -50,18 +53,30 @@ def passages(messages: DataFrame) -> DataFrame:
     return m.withColumn("passages", F.transform("_starts", passage)).drop("_lines", "_marked", "_starts")
 
 
+def _units(text: Column) -> Column:
+    """What a passage is looked up by: struct<kind, text>, kind 0 the whole, 1 two lines, 2 one line."""
+    unit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    several = lambda lines: F.concat(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: unit(1, F.concat_ws(" ", F.get(lines, i), x))), F.transform(lines, lambda x: unit(2, x)))
+    # lines as a bound variable, or each use would split the text again
+    lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+    return F.flatten(F.transform(F.array(lines), lambda lines: F.concat(F.array(unit(0, F.array_join(lines, " "))), F.when(F.size(lines) > 1, several(lines)).otherwise(F.array().cast("array<struct<kind:int,text:string>>")))))
+
+
 def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
     """messages(conv_id, turn, role, text) -> conv_id, turn, role, text without quotes, n_quotes, n_linked, reply_to, thread, depth."""
     shared_folder(messages.sparkSession)
     m = passages(messages.select("conv_id", "turn", "role", "text")).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
-    m = m.withColumn("own", F.filter("passages", lambda p: p["level"] == 0)).withColumn("quoted", F.filter("passages", lambda p: (p["level"] > 0) & (F.length(normal(p["text"])) >= least_chars)))
+    m = m.withColumn("own", F.filter("passages", lambda p: p["level"] == 0)).withColumn("quoted", F.filter("passages", lambda p: p["level"] > 0))
     m = m.withColumn("own_text", F.array_join(F.filter(F.transform("own", lambda p: p["text"]), lambda x: x.rlike(r"\S")), "\n"))
-    m = m.select("conv_id", "_conv", "turn", "role", "own", "own_text", F.size(F.filter("passages", lambda p: p["level"] > 0)).alias("n_quotes"), F.transform("quoted", lambda p: F.struct(p["level"].alias("level"), F.sha2(normal(p["text"]), 256).alias("h"))).alias("quoted")).checkpoint()
-    said = F.array_distinct(F.transform(F.concat(F.array("own_text"), F.flatten(F.transform("own", lambda p: F.concat(F.array(p["text"]), F.split(p["text"], "\n"))))), normal))
-    said = m.where("turn is not null").select("_conv", "turn", F.explode_outer(said).alias("s")).where(F.length("s") >= least_chars)
-    quotes = m.select("_conv", "turn", F.explode_outer("quoted").alias("q")).where("q is not null").select("_conv", "turn", "q.level", "q.h").distinct()
+    m = m.select("conv_id", "_conv", "turn", "role", "own", "own_text", F.size("quoted").alias("n_quotes"), "quoted").checkpoint()
+    said = F.concat(F.array(normal(F.col("own_text"))), F.flatten(F.transform("own", lambda p: F.transform(_units(p["text"]), lambda u: u["text"]))))
+    said = m.where("turn is not null").select("_conv", "turn", F.explode_outer(F.array_distinct(said)).alias("s")).where(F.length("s") >= least_chars)
     first = said.groupBy("_conv", F.sha2("s", 256).alias("h")).agg(F.min("turn").alias("original"))
-    linked = quotes.join(first, ["_conv", "h"]).where("original < turn").groupBy("_conv", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("original")).alias("back"))).alias("b"))
+    quotes = m.select("_conv", "turn", F.posexplode_outer("quoted").alias("part", "q")).where("q is not null").select("_conv", "turn", "part", "q.level", F.explode_outer(_units(F.col("q.text"))).alias("u"))
+    quotes = quotes.where(F.length("u.text") >= least_chars).select("_conv", "turn", "part", "level", "u.kind", F.sha2("u.text", 256).alias("h")).distinct()
+    votes = quotes.join(first, ["_conv", "h"]).where("original < turn").groupBy("_conv", "turn", "part", "level", "kind", "original").agg(F.count("*").alias("n"))
+    best = votes.groupBy("_conv", "turn", "part", "level").agg(F.min(F.struct("kind", (-F.col("n")).alias("n"), "original")).alias("b"))
+    linked = best.groupBy("_conv", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("b.original")).alias("back"))).alias("b"))
     linked = linked.select("_conv", "turn", "n_linked", (-F.col("b.back")).alias("reply_to")).checkpoint()
     trees = threads(linked.select("_conv", "turn", "reply_to"))
     out = m.join(linked, ["_conv", "turn"], "left").join(trees, ["_conv", "turn"], "left")

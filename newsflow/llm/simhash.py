@@ -20,6 +20,11 @@ are near one of them and strangers are not, so the table discards again. Fingerp
 ``DEVIATIONS`` standard deviations only make candidates; a pair becomes a link when the exact
 similarity of its shingle sets is large enough.
 
+No group is one task's work: one with more than a stated number of members is dealt into parts,
+each of which links its own members. Nearly all of a group of copies is connected then, over
+its parts of this and other cells. Who is not in the group's largest component is sent to all
+of its parts and compared there, so every pair that is not connected already meets (``joined``).
+
 Defined results: null text counts as empty; a text without words has fingerprint zero and
 links like any other; a null doc_id keeps its fingerprint and its class, but never names a
 component unless all members are null; rows that repeat a doc_id each get a row.
@@ -38,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm.shared import arrow_session, mix, scratch_table, shared_folder
+from newsflow.llm.shared import arrow_rows, arrow_session, mix, scratch_table, shared_folder
 
 PIVOTS = 24
 #: Words of a wide fingerprint; cells of a text, each of ROWS least hashes.
@@ -46,8 +51,10 @@ WIDE = 4
 BANDS, ROWS = 16, 4
 #: Standard deviations of the bits by which candidates may differ; small sets differ in up to 48 bits on average at 0.8, not 39.
 DEVIATIONS = 5
-#: Candidate groups of up to so many shingle sets are verified as a whole, larger ones cell by cell.
-TOGETHER = 2000
+#: Fingerprints of a cell, and shingle sets of a candidate group, that one task compares; larger groups are dealt into parts.
+CELL, TOGETHER = 4096, 2000
+#: Groups that are dealt into parts are broadcast with their numbers up to so many rows of 24 bytes.
+BROADCAST_ROWS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -277,102 +284,126 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
         yield pa.record_batch([*batch.columns[1:], pa.array(node), wide, cells, pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "node", "fp", "cells", "shingles"])
 
 
-def wide_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links (places) among the distinct wide fingerprints, one a row, of a cell.
+def near_links(fp: np.ndarray, label: np.ndarray, own: np.ndarray, radius: int, verify=None) -> list[tuple[int, int]]:
+    """Links (places) that connect what pairs of wide fingerprints within the radius connect, one of each pair being an own row.
 
-    A reached fingerprint is only compared with those that no link has reached yet, so a large
-    group of copies costs about its size; what the pivot table discards is not verified.
+    Rows of one label are connected already and not compared. What the table of distances to
+    pivots among the rows discards is not looked at; verify(i, near) may discard more.
     """
-    n = len(fp)
+    n, label, links = len(fp), label.copy(), []
     table = [np.bitwise_count(fp ^ fp[p]).sum(axis=1, dtype=np.int16) for p in np.linspace(0, n - 1, min(PIVOTS, n // 8), dtype=int)]
-    rest, links = np.arange(n), []
-    while len(rest) > 1:
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            i = reached.pop()
-            near = rest
-            for row in table:
-                if len(near) < 8:
-                    break
-                near = near[np.abs(row[near] - row[i]) <= radius]
-            near = near[np.bitwise_count(fp[near] ^ fp[i]).sum(axis=1) <= radius]
-            if len(near):
-                links += [(i, j) for j in near.tolist()]
-                rest = rest[~np.isin(rest, near)]
-                reached += near.tolist()
+    for i in np.flatnonzero(own).tolist():
+        near = np.flatnonzero(label != label[i])
+        if not len(near) and own.all():
+            break
+        for row in table:
+            if len(near) < 8:
+                break
+            near = near[np.abs(row[near] - row[i]) <= radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[i]).sum(axis=1) <= radius]
+        if verify is not None and len(near):
+            near = verify(i, near)
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            links += [(i, j) for j in near[first].tolist()]
+            label[np.isin(label, others)] = label[i]
     return links
 
 
-def similar_forest(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Spanning links (places) among different sets of shingle hashes, each of that similarity and within the radius.
+class ShingleSets:
+    """Sets of shingle hashes of a group, for exact similarities."""
 
-    Like wide_forest it compares a reached set only with those that no link has reached yet.
-    """
-    sizes = np.array([len(h) for h in sets])
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    parts, marked = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
-    rest, links = np.arange(len(sets)), []
-    while len(rest) > 1:
-        reached, rest = [int(rest[0])], rest[1:]
-        while reached and len(rest):
-            i = reached.pop()
-            near = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 0.5]
-            near = near[np.bitwise_count(fp[near] ^ fp[i]).sum(axis=1) <= radius]
-            if not len(near):
-                continue
-            marked[parts[i]] = True
-            same = np.array([np.count_nonzero(marked[parts[j]]) for j in near.tolist()])
-            marked[parts[i]] = False
-            near = near[same / np.maximum(sizes[near] + sizes[i] - same, 1) >= similarity]
-            if len(near):
-                links += [(i, j) for j in near.tolist()]
-                rest = rest[~np.isin(rest, near)]
-                reached += near.tolist()
-    return links
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sizes, self.similarity = np.array([len(h) for h in sets]), similarity
+        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ends = np.cumsum(self.sizes)
+        self.marked = np.zeros(len(values), bool)
+
+    def part(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+    def verify(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of near whose set has the similarity to that of i."""
+        sizes, s = self.sizes, self.similarity
+        near = near[np.minimum(sizes[near], sizes[i]) >= s * np.maximum(sizes[near], sizes[i]) - 0.5]
+        self.marked[self.part(i)] = True
+        same = np.array([np.count_nonzero(self.marked[self.part(j)]) for j in near.tolist()], np.int64)
+        self.marked[self.part(i)] = False
+        return near[same / np.maximum(sizes[near] + sizes[i] - same, 1) >= s]
 
 
 def _group_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
-    """Partitions (group, node, fp) sorted by group -> links between nodes; with a similarity there are shingles, too, and links are verified.
+    """Partitions (group, part, own, label, node, fp) sorted by group and part -> links between nodes; with a similarity there are shingles, too, and links are verified.
 
-    A group may go on in the next Arrow batch.
+    A part may go on in the next Arrow batch.
     """
-    held_group, fps, nodes, sets = None, [], [], []
+    held_key, held = None, []
 
     def emit() -> Iterator[pa.RecordBatch]:
-        node, first = np.unique(np.concatenate(nodes), return_index=True)
-        if len(node) > 1:
-            fp = np.concatenate(fps)[first]
-            found = wide_forest(fp, radius) if similarity is None else similar_forest(fp, [sets[k] for k in first.tolist()], radius, similarity)
-            if found:
-                yield _link_batch([(int(node[i]), int(node[j])) for i, j in found])
+        own, label, node, fp = (np.concatenate([h[k] for h in held]) for k in range(4))
+        if len(node) < 2:
+            return
+        sets = [np.frombuffer(x, np.uint64) for h in held for x in h[4]]
+        found = near_links(fp, label, own, radius, ShingleSets(sets, similarity).verify if sets else None)
+        if found:
+            yield _link_batch([(int(node[i]), int(node[j])) for i, j in found])
 
     for batch in batches:
-        group, node = (batch.column(k).to_numpy() for k in (0, 1))
-        fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
+        group, part, label, node = (batch.column(k).to_numpy() for k in (0, 1, 3, 4))
+        own = batch.column(2).to_numpy(zero_copy_only=False)
+        fp = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, WIDE)
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(part) != 0)) + 1, [len(group)]]).tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
-            if group[a] != held_group:
-                if nodes and (len(nodes) > 1 or len(nodes[0]) > 1):
+            if (group[a], part[a]) != held_key:
+                if len(held) > 1 or held and len(held[0][0]) > 1:
                     yield from emit()
-                held_group, fps, nodes, sets = group[a], [], [], []
-            fps.append(fp[a:b])
-            nodes.append(node[a:b])
-            if similarity is not None:
-                sets += [np.frombuffer(h, np.uint64) for h in batch.column(3).slice(a, b - a).to_pylist()]
-    if nodes:
+                held_key, held = (group[a], part[a]), []
+            held.append((own[a:b], label[a:b], node[a:b], fp[a:b], [] if similarity is None else batch.column(6).slice(a, b - a).to_pylist()))
+    if held:
         yield from emit()
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
+def joined(rows: DataFrame, radius: int, most: int, similarity: float | None = None) -> DataFrame:
+    """rows(group, node, fp, with a similarity shingles), distinct -> node, root: components of the links within groups.
+
+    A group of more than ``most`` rows is dealt into parts. After these are linked, the rows
+    outside of its largest component go to all parts, too, so that no pair of different
+    components is left out. That costs little for copies; for texts that make candidates but no
+    links it compares all pairs, in blocks.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    more = ["shingles"] if similarity is not None else []
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("group", "part", "own", "label", "node", "fp", *more).repartition(n, "group", "part").sortWithinPartitions("group", "part")
+        return dealt.mapInArrow(partial(_group_links, radius=radius, similarity=similarity), "a long, b long")
+
+    large = rows.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most).select("group", F.ceil(F.col("size") / most).cast("int").alias("parts")).checkpoint()
+    n_large = large.count()
+    small_side = F.broadcast if n_large <= BROADCAST_ROWS else lambda df: df
+    own_part = F.pmod(F.xxhash64("group", "node"), F.col("parts")).cast("int")
+    parted = rows.join(small_side(large), "group", "left").withColumn("part", F.coalesce(own_part, F.lit(0))) if n_large else rows.withColumn("part", F.lit(0))
+    found = components(links_of(parted.withColumns({"own": F.lit(True), "label": F.col("node")})))
+    if not n_large:
+        return found
+    inside = rows.join(small_side(large), "group").join(found, "node", "left").withColumns({"label": F.coalesce("root", "node"), "part": own_part})
+    largest = inside.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    inside = inside.join(small_side(largest), "group")
+    parts = F.when(F.col("label") == F.col("largest"), F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    meet = inside.select("*", F.explode(parts).alias("_to")).withColumn("own", F.col("part") == F.col("_to")).withColumn("part", F.col("_to"))
+    return components(links_of(meet).unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell: int = CELL, together: int = TOGETHER) -> DataFrame:
     """docs without all but one row of each group that pairs of that shingle similarity (or more) connect.
 
     The least doc_id's row stays (nulls last), of several the one with the least text hash.
     Candidates share one of the BANDS cells (a pair of similarity 0.8 in 9,997 of 10,000 cases)
     and differ in few enough of 64 * WIDE bits; what they connect is verified by the shingle
-    sets themselves, up to ``together`` sets at once, beyond that in each cell. Texts without
-    words are one group. Sets and their shingles are told apart by 64-bit hashes.
+    sets themselves. Tasks compare up to ``cell`` fingerprints and ``together`` sets with each
+    other. Texts without words are one group. Sets and their shingles are told apart by 64-bit hashes.
     """
     spark = arrow_session(docs.sparkSession)
     shared_folder(spark)
@@ -380,18 +411,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, toge
     names = ["__newsflow_null", "__newsflow_id", "__newsflow_key"]
     schema = "__newsflow_null boolean, __newsflow_id long, __newsflow_key long, node long, fp binary, cells array<long>, shingles binary"
     prints = scratch_table(docs.select("text", *key).mapInArrow(partial(_sketches, shingle=shingle), schema), "prints")
-    n, radius = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), most_different(similarity, DEVIATIONS)
-    dealt = lambda rows: rows.repartition(n, "group").sortWithinPartitions("group")
-    cells = prints.select("node", "fp", "cells").distinct().select(F.explode("cells").alias("group"), "node", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    near = components(dealt(cells).mapInArrow(partial(_group_links, radius=radius), "a long, b long"))
-    arrow_session(spark)
+    radius = most_different(similarity, DEVIATIONS)
+    cells = prints.select("node", "fp", "cells").distinct().select(F.explode(F.array_distinct("cells")).alias("group"), "node", "fp")
+    with arrow_rows(spark, 10_000):
+        near = joined(cells, radius, cell)
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    sets = prints.select("node", "fp", "cells", "shingles").join(near.join(sizes, "root"), "node").dropDuplicates(["node"])
-    groups = F.when(F.col("size") <= together, F.array("root")).otherwise(F.transform("cells", lambda c: F.xxhash64("root", c)))
-    sets = sets.select(F.explode(groups).alias("group"), "node", "fp", "shingles")
-    found = components(dealt(sets).mapInArrow(partial(_group_links, radius=radius, similarity=similarity), "a long, b long"))
+    sets = prints.select("node", "fp", "shingles").dropDuplicates(["node"]).join(near, "node").select(F.col("root").alias("group"), "node", "fp", "shingles")
+    found = joined(sets, radius, together, similarity)
     classes = prints.groupBy("node").agg(F.min(F.struct(*names)).alias("m"))  # copies leave one row before the join
     least = classes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.*")
     return docs.select("*", *key).join(least, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -187,41 +187,6 @@ def groups(prints, radius=3):
     return {k: find(k) for k in ids}
 
 
-def similar_groups(texts, similarity=0.8):
-    """Each id's least connected id, by wide fingerprints and cells computed with plain integers."""
-    top, sketches = 2**64 - 1, {}
-
-    def mix(x):
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
-        return x ^ x >> 31
-
-    for k, text in texts.items():
-        w = SPLIT.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        h = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))} if w else set()
-        wide, cells = 0, []
-        for k2 in range(simhash.WIDE):
-            mixed = [mix(x ^ mix(101 + k2)) for x in h]
-            wide = wide << 64 | sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(h))
-        for band in range(simhash.BANDS):
-            cells.append(tuple(min(((mix(101 + band * simhash.ROWS + r) | 1) * x & top for x in h), default=0) for r in range(simhash.ROWS)))
-        sketches[k] = wide, cells
-    root = {k: k for k in texts}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(sketches):
-        for b in list(sketches)[:i]:
-            (fa, ca), (fb, cb) = sketches[a], sketches[b]
-            if (fa ^ fb).bit_count() <= simhash.most_different(similarity) and any(x == y for x, y in zip(ca, cb, strict=True)):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {k: find(k) for k in root}
-
-
 def test_one_of_each(spark, docs, empty):
     rng = random.Random(8)
     texts = {}
@@ -230,7 +195,7 @@ def test_one_of_each(spark, docs, empty):
         for k in range(6):
             texts[g * 10 + k] = " ".join(w if rng.random() > k * 0.004 else "changed" for w in words)
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("fp", F.lit(0)).repartition(4)
-    roots = similar_groups(texts)
+    roots = jaccard_groups(texts)
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     kept = {r.doc_id for r in got.collect()}
@@ -238,7 +203,7 @@ def test_one_of_each(spark, docs, empty):
     assert {k for k in texts if k % 10 == 0} <= kept and len(kept) < len(texts) / 2
     assert simhash.one_of_each(empty).collect() == []
     texts = dict(corpus())
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, v in similar_groups(texts).items() if k == v}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, v in jaccard_groups(texts).items() if k == v}
 
 
 def jaccard_groups(texts, similarity=0.8):
@@ -255,9 +220,9 @@ def jaccard_groups(texts, similarity=0.8):
     return root
 
 
-@pytest.mark.parametrize("together", [simhash.TOGETHER, 1])
-def test_one_of_each_brute_force(spark, together):
-    """Families around a shared passage stay, copies just above the similarity go; together=1 verifies cell by cell."""
+@pytest.mark.parametrize("most", [simhash.TOGETHER, 7, 1])
+def test_one_of_each_brute_force(spark, most):
+    """Families around a shared passage stay, copies just above the similarity go, in whatever parts groups are compared."""
     rng = random.Random(10)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
     shared = words(170)
@@ -271,7 +236,7 @@ def test_one_of_each_brute_force(spark, together):
     roots = jaccard_groups(texts)
     assert sum(v == k for k, v in roots.items() if k < 1000) == 150 and sum(v == k for k, v in roots.items()) < 250
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
-    kept = {r.doc_id for r in simhash.one_of_each(df, together=together).collect()}
+    kept = {r.doc_id for r in simhash.one_of_each(df, cell=most, together=most).collect()}
     assert kept == {k for k, v in roots.items() if k == v}
 
 
@@ -282,20 +247,21 @@ def test_one_of_each_documents(spark):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, v in roots.items() if k == v}
 
 
-def test_wide_forest():
-    """It connects what pairs within the radius connect, in a cell of groups and strangers."""
+def test_near_links():
+    """They connect what pairs within the radius connect, in a cell of groups and strangers; labels are not compared within."""
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 2**63, (9, simhash.WIDE), np.uint64)
     fp = centres[rng.integers(0, 9, 400)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, simhash.WIDE, 6), np.uint64), axis=2)
     fp = np.unique(np.concatenate([fp, rng.integers(0, 2**63, (60, simhash.WIDE), np.uint64)]), axis=0)
     prints = {k: int.from_bytes(row.tobytes(), "little") for k, row in enumerate(fp)}
-    links = simhash.wide_forest(fp, 44)
-    root = {k: k for k in prints}
-    for a, b in links:
-        assert root[a] != root[b]
-        x, y = sorted((root[a], root[b]))
-        root = {k: x if v == y else v for k, v in root.items()}
-    assert root == groups(prints, 44)
+    expected = groups(prints, 44)
+    for label in (np.arange(len(fp)), np.array([expected[k] if k % 3 else k for k in prints])):
+        root = {k: int(label[k]) for k in prints}
+        for a, b in simhash.near_links(fp, label, np.ones(len(fp), bool), 44):
+            assert root[a] != root[b]
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        assert root == expected
 
 
 def test_op4_brute_force(docs, empty):

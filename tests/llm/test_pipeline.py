@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from newsflow.llm import byte_bpe, decontamination, quality_rules, secret_scans
-from tests.llm.test_operators import similar_groups
+from tests.llm.test_operators import jaccard_groups
 
 D = "/root/testdata/sf0.001"
 
@@ -10,7 +10,7 @@ D = "/root/testdata/sf0.001"
 def test_run(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     kept = {r.doc_id: r.cleaned_text for r in quality_rules.clean_lines(docs).collect() if r.kept}
-    root = similar_groups(kept)
+    root = jaccard_groups(kept)
     kept = {k: t for k, t in kept.items() if root[k] == k}
     df = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
     leaked = {r.doc_id for r in decontamination.leaks(df, spark.read.parquet(f"{D}/benchmark.parquet")).collect()}

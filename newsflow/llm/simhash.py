@@ -52,7 +52,7 @@ BANDS, ROWS = 16, 4
 #: Standard deviations of the bits by which candidates may differ; small sets differ in up to 48 bits on average at 0.8, not 39.
 DEVIATIONS = 5
 #: Fingerprints of a cell, and shingle sets of a candidate group, that one task compares; larger groups are dealt into parts.
-CELL, TOGETHER = 4096, 2000
+CELL, TOGETHER = 1024, 256
 #: Groups that are dealt into parts are broadcast with their numbers up to so many rows of 24 bytes.
 BROADCAST_ROWS = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -274,14 +274,25 @@ def _salts(n: int) -> np.ndarray:
     return mix(np.arange(101, 101 + n, dtype=np.uint64))
 
 
+def shingle_set(text: pa.Scalar, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The text, which comes first, is replaced by node (a hash of its set of shingles), fp and cells."""
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)) for t in batch.column(0)]
+        sets = [shingle_set(t, shingle) for t in batch.column(0)]
         found = [sketch(h) for h in sets]
-        sets = [h.tobytes() for h in sets]
-        node = np.array([xxhash.xxh64_intdigest(h, 43) for h in sets], np.uint64).view(np.int64)
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 43) for h in sets], np.uint64).view(np.int64)
         wide, cells = pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.list_(pa.int64()))
-        yield pa.record_batch([*batch.columns[1:], pa.array(node), wide, cells, pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "node", "fp", "cells", "shingles"])
+        yield pa.record_batch([*batch.columns[1:], pa.array(node), wide, cells], names=[*batch.schema.names[1:], "node", "fp", "cells"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The text, which comes first, is replaced by its set of shingle hashes."""
+    for batch in batches:
+        sets = pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(0)], pa.binary())
+        yield pa.record_batch([*batch.columns[1:], sets], names=[*batch.schema.names[1:], "shingles"])
 
 
 def near_links(fp: np.ndarray, label: np.ndarray, own: np.ndarray, radius: int, verify=None) -> list[tuple[int, int]]:
@@ -365,8 +376,8 @@ def _group_links(batches: Iterator[pa.RecordBatch], radius: int, similarity: flo
         yield from emit()
 
 
-def joined(rows: DataFrame, radius: int, most: int, similarity: float | None = None) -> DataFrame:
-    """rows(group, node, fp, with a similarity shingles), distinct -> node, root: components of the links within groups.
+def joined(rows: DataFrame, radius: int, most: int, similarity: float | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """rows(group, node, fp, with a similarity shingles) -> node, root: components of the links within groups. groups has the rows' groups, if it is cheaper.
 
     A group of more than ``most`` rows is dealt into parts. After these are linked, the rows
     outside of its largest component go to all parts, too, so that no pair of different
@@ -380,8 +391,10 @@ def joined(rows: DataFrame, radius: int, most: int, similarity: float | None = N
         dealt = dealt.select("group", "part", "own", "label", "node", "fp", *more).repartition(n, "group", "part").sortWithinPartitions("group", "part")
         return dealt.mapInArrow(partial(_group_links, radius=radius, similarity=similarity), "a long, b long")
 
-    large = rows.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most).select("group", F.ceil(F.col("size") / most).cast("int").alias("parts")).checkpoint()
+    large = (rows if groups is None else groups).groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most).select("group", F.ceil(F.col("size") / most).cast("int").alias("parts")).checkpoint()
     n_large = large.count()
+    if n_large and similarity is not None:
+        rows = scratch_table(rows, "sets")  # read twice
     small_side = F.broadcast if n_large <= BROADCAST_ROWS else lambda df: df
     own_part = F.pmod(F.xxhash64("group", "node"), F.col("parts")).cast("int")
     parted = rows.join(small_side(large), "group", "left").withColumn("part", F.coalesce(own_part, F.lit(0))) if n_large else rows.withColumn("part", F.lit(0))
@@ -409,16 +422,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell
     shared_folder(spark)
     key = [F.col("doc_id").isNull().alias("__newsflow_null"), F.coalesce("doc_id", F.lit(0)).alias("__newsflow_id"), F.xxhash64("text").alias("__newsflow_key")]
     names = ["__newsflow_null", "__newsflow_id", "__newsflow_key"]
-    schema = "__newsflow_null boolean, __newsflow_id long, __newsflow_key long, node long, fp binary, cells array<long>, shingles binary"
+    schema = "__newsflow_null boolean, __newsflow_id long, __newsflow_key long, node long, fp binary, cells array<long>"
     prints = scratch_table(docs.select("text", *key).mapInArrow(partial(_sketches, shingle=shingle), schema), "prints")
     radius = most_different(similarity, DEVIATIONS)
     cells = prints.select("node", "fp", "cells").distinct().select(F.explode(F.array_distinct("cells")).alias("group"), "node", "fp")
     with arrow_rows(spark, 10_000):
         near = joined(cells, radius, cell)
     near = near.unionByName(near.select(F.col("root").alias("node"), "root")).distinct()
-    sets = prints.select("node", "fp", "shingles").dropDuplicates(["node"]).join(near, "node").select(F.col("root").alias("group"), "node", "fp", "shingles")
-    found = joined(sets, radius, together, similarity)
-    classes = prints.groupBy("node").agg(F.min(F.struct(*names)).alias("m"))  # copies leave one row before the join
+    classes = prints.groupBy("node").agg(F.min(F.struct(*names)).alias("m"), F.first("fp").alias("fp"))  # copies leave one row before the joins
+    candidates = classes.join(near, "node").select("m.*", F.col("root").alias("group"), "node", "fp").checkpoint()
+    # only candidates' shingles are made and moved; a repeated row repeats its set, which is not compared with itself
+    texts = docs.select("text", *key).join(candidates, names).select("text", "group", "node", "fp")
+    sets = texts.mapInArrow(partial(_sets, shingle=shingle), "group long, node long, fp binary, shingles binary")
+    found = joined(sets, radius, together, similarity, candidates)
     least = classes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.*")
     return docs.select("*", *key).join(least, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,23 +45,40 @@ def url_fingerprints(found: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(F.transform(found, normalized_url), lambda u: u.isNotNull())), lambda u: F.sha2(u, 256))
 
 
-@lru_cache(maxsize=200_000)
-def _bits(token: str) -> np.ndarray:
-    digest = np.frombuffer(hashlib.blake2b(token.encode(), digest_size=8).digest(), np.uint8)
-    return np.unpackbits(digest).astype(np.int64) * 2 - 1
+def _bits(tokens: list[str]) -> np.ndarray:
+    digests = b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in tokens)
+    return np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
 
 
 @F.pandas_udf(T.LongType())
-def simhash64(tokens: pd.Series) -> pd.Series:
-    """(X24) Signed 64-bit; token votes by count, BLAKE2b because readers of stored values expect it. Null without tokens."""
-
-    def one(words) -> int | None:
-        if words is None or not len(words):
-            return None
-        votes = np.sum([_bits(w) for w in words], axis=0)
-        return int(np.packbits(votes > 0).view(">i8")[0])
-
-    return tokens.map(one).astype("Int64")
+def simhash64(clean: pd.Series) -> pd.Series:
+    """(X24) Signed 64-bit fingerprint of a cleaned text; token votes by count, BLAKE2b because readers of stored values expect it. Null without tokens.
+
+    Each different token of a part of the batch is hashed once and votes are summed text by text.
+    """
+    lists = [[t for t in x.split(" ") if t] if x else [] for x in clean]
+    out = pd.Series([None] * len(lists), dtype="Int64")
+    for part in _parts(lists):
+        flat = list(chain.from_iterable(lists[k] for k in part))
+        number = {t: i for i, t in enumerate(dict.fromkeys(flat))}
+        bits, sizes = _bits(list(number)), np.array([len(lists[k]) for k in part])
+        votes = np.add.reduceat(bits[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))], np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+        out.iloc[part] = np.packbits(2 * votes > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+    return out
+
+
+def _parts(lists: list[list[str]], most: int = 100_000) -> Iterator[list[int]]:
+    """Numbers of the lists that aren't empty, in parts of about so many tokens."""
+    part, size = [], 0
+    for k, tokens in enumerate(lists):
+        if tokens:
+            part.append(k)
+            size += len(tokens)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -58,3 +58,31 @@ def title_case(column: Column) -> Column:
     """Upper case after everything that is not a letter (X16), unlike initcap."""
     parts = F.regexp_extract_all(column, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(p.substr(F.lit(2), F.length(p))))), "")
+
+
+def utc_time(value: Column) -> Column:
+    """Time in UTC from ISO text; a space before an offset stands for the plus that a query string loses. Null if it is no time."""
+    v = F.regexp_replace(F.trim(value), r"Z$", "+00:00")
+    v = F.regexp_replace(F.regexp_replace(v, r" ([+-]\d{2}:?\d{2})$", "$1"), r" (\d{2}:\d{2})$", "+$1")
+    offset = F.regexp_extract(v, r"([+-]\d{2}:?\d{2})$", 1)
+    offset = F.when(F.length(v) > 19, offset).otherwise("")
+    minutes = F.coalesce((F.concat(F.substring(offset, 1, 1), F.lit("1")).try_cast("int") * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(F.regexp_replace(offset, ":", ""), 4, 2).try_cast("int"))), F.lit(0))
+    return v.substr(F.lit(1), F.length(v) - F.length(offset)).try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes)
+
+
+def decoded_id(value: Column) -> Column:
+    """(F16) Percent signs decoded twice at most; a plus stays a plus."""
+    once = lambda c: F.coalesce(F.try_url_decode(F.regexp_replace(c, r"\+", "%2B")), c)
+    return once(once(value))
+
+
+def shown_type(kind: Column) -> Column:
+    """Entity type of the store as it is shown."""
+    up = F.upper(F.coalesce(kind, F.lit("")))
+    return F.when(up.isin("PERSON", "PER"), "PER").when(up.isin("ORG", "LOC"), up).otherwise("MISC")
+
+
+def stored_type(kind: Column) -> Column:
+    """Type to filter by; null stands for no filter."""
+    up = F.upper(F.coalesce(kind, F.lit("")))
+    return F.when(up == "PER", "PERSON").when(up.isin("ORG", "LOC"), up)

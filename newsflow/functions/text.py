@@ -64,17 +64,35 @@ def sentences(text: Column) -> Column:
 
 def language(text: Column, least: float = 0.55) -> Column:
     """(X08) struct(language, confidence) by shares of scripts and, for Latin, English words."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    counts = [F.regexp_count(text, F.lit(f"[{r}]")) for r in SCRIPTS.values()]
-    most = F.greatest(*counts)
-    script = F.coalesce(*(F.when(c == most, F.lit(name)) for name, c in zip(SCRIPTS, counts, strict=True)))
-    share = most / letters
-    words = _all(F.lower(text), "[A-Za-z]{2,}")
-    hits = F.size(F.filter(words, lambda w: w.isin(*[w for w in ENGLISH if len(w) > 1])))
-    english = F.greatest(share * F.least(F.lit(1.0), hits / 2), F.when(hits > 0, 0.5).otherwise(0.0))
+    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    far = text.rlike(r"[\x{0400}-\x{9FFF}]")  # all scripts but Latin; few texts are searched for each of them
+    counts = {name: count(f"[{r}]+") if name == "latin" else F.when(far, count(f"[{r}]+")).otherwise(0) for name, r in SCRIPTS.items()}
+    words = "|".join(w for w in ENGLISH if len(w) > 1)
+    hits = F.regexp_count(F.lower(text), F.lit(f"(?<![a-z])(?:{words})(?![a-z])"))
+    seen = F.struct(count(r"\p{L}+").alias("letters"), *(c.alias(name) for name, c in counts.items()), hits.alias("hits"), F.lower(text).rlike("[a-z]{2}").alias("words"))
+    # a bound variable: what is counted is counted once
+    return F.get(F.transform(F.array(seen), lambda s: _language_of(s, least)), F.lit(0))
+
+
+def _language_of(s: Column, least: float) -> Column:
+    most = F.greatest(*(s[name] for name in SCRIPTS))
+    script = F.coalesce(*(F.when(s[name] == most, F.lit(name)) for name in SCRIPTS))
+    share = most / s["letters"]
+    english = F.greatest(share * F.least(F.lit(1.0), s["hits"] / 2), F.when(s["hits"] > 0, 0.5).otherwise(0.0))
     out = lambda name, value: F.struct(name.alias("language"), value.cast("double").alias("confidence"))
-    latin = F.when(F.size(words) == 0, out(F.lit("und"), share)).when(english >= least, out(F.lit("en"), english)).otherwise(out(F.lit("other"), share))
-    return F.when(letters == 0, out(F.lit("und"), F.lit(0.0))).when(share < least, out(F.lit("und"), share)).when(script == "latin", latin).otherwise(out(script, share))
+    latin = F.when(~s["words"], out(F.lit("und"), share)).when(english >= least, out(F.lit("en"), english)).otherwise(out(F.lit("other"), share))
+    return F.when(s["letters"] == 0, out(F.lit("und"), F.lit(0.0))).when(share < least, out(F.lit("und"), share)).when(script == "latin", latin).otherwise(out(script, share))
+
+
+def detected_language(name: Column, confidence: Column, fallback: Column, least: float = 0.55) -> Column:
+    """(X10) A detector's answer, the fallback where it has none (null); two letters or other, und below the threshold."""
+    known = F.when(name.isNull(), fallback).when((confidence < least) & (name != "und"), "und").otherwise(name)
+    return F.when(known.isin("und", "other") | known.rlike("^[a-z]{2}$"), known).otherwise("other")
+
+
+def flags(text: Column) -> Column:
+    """(X07) struct of whether there are links, mentions and tags."""
+    return F.struct(text.rlike(URL).alias("has_urls"), text.rlike(MENTION).alias("has_mentions"), text.rlike(HASHTAG).alias("has_hashtags"))
 
 
 def analysis_mode(name: Column, full: tuple[str, ...] = ("ru", "en")) -> Column:
@@ -121,6 +139,14 @@ def start_date(asked: Column, today: Column, floor: str = "2026-01-01") -> Colum
     return F.when(asked >= F.lit(floor).cast("date"), F.least(asked, today))
 
 
+def registry_status(validation: Column, registry: Column, open_days: Column) -> Column:
+    """(X20) Of a registered channel: validation first, then open days of its backfill, then the registry."""
+    return (
+        F.when((validation == "pending") | (registry == "pending_validation"), "validating").when((validation == "failed") | (registry == "validation_failed"), "validation_failed")
+        .when((F.coalesce(open_days, F.lit(0)) > 0) | (registry == "backfilling"), "backfilling").when(registry == "live_enabled", "live_enabled").otherwise("ready")
+    )
+
+
 def channel_status(enabled: Column, total: Column, done: Column, failed: Column, running: Column, has_data: Column) -> Column:
     """(X20) From its jobs."""
     return (

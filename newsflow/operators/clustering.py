@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsflow.functions.fingerprints import cosine, jaccard, theme_score
+
 #: Least cosine of a link, bounds of the probability.
 LINK, LOW, HIGH = 0.68, 0.55, 0.99
 
@@ -17,6 +19,12 @@ def bucket_of(ts: Column, hours: int = 6) -> Column:
     return (F.date_trunc("day", ts) + F.make_dt_interval(hours=hour)).cast("timestamp_ntz")
 
 
+def composite_bucket(topic: Column, ts: Column, hours: int = 6) -> Column:
+    """(X33) Topic and begin of the time bucket; unknown without topic, NaT without time."""
+    begin = F.coalesce(F.date_format(bucket_of(ts, hours), "yyyy-MM-dd HH:mm:ss"), F.lit("NaT"))
+    return F.concat_ws("|", F.coalesce(topic, F.lit("unknown")), begin)
+
+
 def pending(messages: DataFrame, assigned: DataFrame) -> DataFrame:
     """(C01, S06)"""
     return messages.join(assigned.select("event_id"), "event_id", "left_anti")
@@ -73,10 +81,38 @@ def similarity_clusters(messages: DataFrame, least: float = LINK) -> DataFrame:
 
 
 def global_labels(local: DataFrame) -> DataFrame:
-    """(C06) Labels over all buckets, in the order in which buckets begin: the sizes of earlier buckets come before."""
+    """(C06) Labels over all buckets, in the order in which buckets begin: the sizes of earlier buckets come before. The running sum has one row for each bucket."""
     size = local.groupBy("bucket").agg(F.min("first").alias("first"), (F.max("label") + 1).alias("n"))
-    slim = size.alias("a").join(size.alias("b"), F.struct("b.first", "b.bucket") < F.struct("a.first", "a.bucket"), "left").groupBy(F.col("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return local.join(slim, "bucket").select("event_id", (F.col("label") + F.col("before")).alias("cluster_id"), "probability")
+    before = F.sum("n").over(Window.orderBy("first", "bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return local.join(size.select("bucket", F.coalesce(before, F.lit(0)).alias("before")), "bucket").select("event_id", (F.col("label") + F.col("before")).alias("cluster_id"), "probability")
+
+
+def run_strategy(buckets: DataFrame) -> DataFrame:
+    """(C07) buckets(run_id, place, strategy) -> the strategy of each run: that of its last bucket."""
+    return buckets.groupBy("run_id").agg(F.max_by("strategy", "place").alias("strategy"))
+
+
+def assignment_events(assigned: DataFrame, version: str = "v1.0.0", system: str = "newsflow") -> DataFrame:
+    """(C08) assigned(event_id, message_id, channel, trace_id, run_id, run_timestamp, bucket_id, cluster_id, probability) -> key, value: one topic_assignment event each."""
+    topic = F.concat_ws(":", "run_id", "cluster_id")
+    payload = F.struct("message_id", "channel", topic.alias("topic_id"), topic.alias("public_cluster_id"), "cluster_id", "run_id", "bucket_id", F.round("probability", 6).alias("cluster_probability"))
+    event = F.struct("event_id", F.lit("topic_assignment").alias("event_type"), F.col("run_timestamp").alias("event_timestamp"), F.lit(version).alias("event_version"), F.lit(system).alias("source_system"), "trace_id", payload.alias("payload"))
+    return assigned.select(F.col("event_id").alias("key"), F.to_json(event).alias("value"))
+
+
+def pair_examples(messages: DataFrame, sample: int = 800, most: int = 10) -> DataFrame:
+    """(C10) messages(id, entities, embedding, at) -> pairs of a sample: the most similar, the first borderline ones (cosine 0.5 to 0.6) and random ones, with their theme score.
+
+    The sample is by hash of the id, so it doesn't depend on partitions; its pairs are at most sample squared / 2.
+    """
+    few = messages.withColumn("_h", F.md5(F.col("id").cast("string"))).orderBy("_h").limit(sample)
+    a, b = few.alias("a"), few.alias("b")
+    cos = F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6)
+    hours = F.abs(F.unix_micros(F.col("a.at").cast("timestamp")) - F.unix_micros(F.col("b.at").cast("timestamp"))) / 3.6e9
+    pairs = a.join(b, F.col("a._h") < F.col("b._h")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), cos.alias("cosine"), jaccard(F.col("a.entities"), F.col("b.entities")).alias("jaccard"), hours.alias("hours"), F.md5(F.concat("a._h", "b._h")).alias("_r"))
+    first = lambda df, kind, *order: df.orderBy(*order).limit(most).withColumn("kind", F.lit(kind))
+    found = first(pairs, "top", F.desc("cosine"), "a", "b").unionByName(first(pairs.where("cosine between 0.5 and 0.6"), "borderline", "a", "b")).unionByName(first(pairs, "random", "_r"))
+    return found.select("kind", "a", "b", "cosine", "jaccard", theme_score(F.col("cosine"), F.col("jaccard"), F.col("hours")).alias("score"))
 
 
 def run_id(ids: Column, algorithm: str = "similarity") -> Column:

@@ -80,3 +80,44 @@ def backfill_dates(spark: SparkSession, start: str, today: str, lookback: int) -
     low, high = F.greatest(F.lit(start).cast("date"), F.date_sub(F.lit(today).cast("date"), lookback)), F.lit(today).cast("date")
     days = F.when(low <= high, F.sequence(high, low, F.expr("interval -1 day")))
     return spark.range(1).select(F.explode(days).alias("job_date"))
+
+
+def claim(processed: DataFrame, arrived: DataFrame) -> DataFrame:
+    """(K08) processed(event_id, status, retry_count) after arrived(event_id) asked for work: claimed tells who may process. What is completed stays, what is known gets one more try."""
+    a = arrived.select("event_id").distinct().withColumn("asked", F.lit(True))
+    j = processed.join(a, "event_id", "full")
+    claimed = F.col("asked") & (F.coalesce("status", F.lit("")) != "completed")
+    claimed = F.coalesce(claimed, F.lit(False))
+    tries = F.when(F.col("status").isNull(), 0).when(claimed, F.col("retry_count") + 1).otherwise(F.col("retry_count"))
+    return j.select("event_id", F.when(claimed, "processing").otherwise(F.col("status")).alias("status"), tries.alias("retry_count"), claimed.alias("claimed"))
+
+
+def set_visibility(state: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(K16) state(channel, visible), changes(channel, visible, admin, at) -> the new state and an audit row with the old and the new value for each channel."""
+    last = latest(changes, ["channel"], ["at", "admin"])
+    j = state.withColumnRenamed("visible", "old").join(last, "channel", "full")
+    shown = lambda c: F.when(c.isNotNull(), F.to_json(F.struct(c.alias("visible"))))
+    audit = j.where("admin is not null").select("admin", F.lit("set_visibility").alias("action"), F.col("channel").alias("target_id"), shown(F.col("old")).alias("old_value"), shown(F.col("visible")).alias("new_value"), F.col("at").alias("created_at"))
+    return j.select("channel", F.coalesce("visible", "old").alias("visible")), audit
+
+
+def rotate_sessions(sessions: DataFrame, used: DataFrame, now: str, days: int) -> DataFrame:
+    """(K17) sessions(token, user_id, expires_at): expired ones go, a used token is replaced by a new one of the same user."""
+    now_ = F.lit(now).cast("timestamp_ntz")
+    live = sessions.where(F.col("expires_at") > now_)
+    fresh = live.join(used.select("token").distinct(), "token", "left_semi").select(F.sha2(F.concat_ws("|", "token", F.lit(now)), 256).alias("token"), "user_id", (now_ + F.make_dt_interval(days=F.lit(days))).alias("expires_at"))
+    return live.join(used.select("token"), "token", "left_anti").unionByName(fresh)
+
+
+def audit_page(log: DataFrame, action: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """(O09) A page of 1 to 500 rows of the audit log, newest first."""
+    found = log if action is None else log.where(F.col("action") == action)
+    return found.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(min(500, max(1, limit)))
+
+
+def applied_commands(graph: DataFrame, commands: DataFrame, applied: DataFrame) -> DataFrame:
+    """(N17) graph(id, count, first_seen, last_seen) after commands(idempotency_key, id, increment, at): each key counts once, also if it was applied before."""
+    new = first_per_key(commands, ["idempotency_key"], ["at", "id"]).join(applied.select("idempotency_key"), "idempotency_key", "left_anti")
+    folded = new.groupBy("id").agg(F.sum("increment").alias("more"), F.min("at").alias("low"), F.max("at").alias("high"))
+    j = graph.join(folded, "id", "full")
+    return j.select("id", (F.coalesce("count", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("count"), F.least("first_seen", "low").alias("first_seen"), F.greatest("last_seen", "high").alias("last_seen"))

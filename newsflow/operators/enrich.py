@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.fingerprints import label_of, softmax
-from newsflow.functions.text import WORD, surface
+from newsflow.functions.text import WORD, squeeze, surface
 
 #: Labels in the order of the logits.
 LABELS = ("negative", "neutral", "positive")
@@ -31,7 +31,7 @@ def lexicon_logits(text: Column) -> Column:
 def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
     """(M01, M02, X30) label and score; blank texts are neutral with 1."""
     p = softmax(lexicon_logits(F.col(text)))
-    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    blank = squeeze(F.coalesce(F.col(text), F.lit(""))) == ""
     out = df.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(p))
     return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")})
 
@@ -116,3 +116,41 @@ def cluster_terms(docs: DataFrame, most: int = 10, stop: tuple[str, ...] = ()) -
     scored = terms.join(whole, "term").join(mean).select("cluster", "term", (F.col("tf") * F.log(1 + F.col("mean") / F.col("all"))).alias("score"))
     w = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def mean_probabilities(*backends: Column) -> Column:
+    """(M04) The mean of several backends' probabilities, label by label."""
+    total = backends[0]
+    for p in backends[1:]:
+        total = F.zip_with(total, p, lambda x, y: x + y)
+    return F.transform(total, lambda x: x / len(backends))
+
+
+def emotions(labels: Column, scores: Column, names: dict[str, str]) -> Column:
+    """(M05) map of emotion to score: labels renamed, unknown ones left out, the greatest score of those that meet, four digits."""
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    pairs = F.filter(F.zip_with(labels, scores, lambda n, x: F.struct(F.try_element_at(known, F.lower(n)).alias("n"), x.alias("x"))), lambda p: p["n"].isNotNull())
+    best = lambda n: F.array_max(F.transform(F.filter(pairs, lambda p: p["n"] == n), lambda p: p["x"]))
+    return F.transform_values(F.map_from_arrays(F.array(*(F.lit(n) for n in sorted(set(names.values())))), F.array(*(best(n) for n in sorted(set(names.values()))))), lambda _, x: F.round(x, 4))
+
+
+def classification_report(df: DataFrame) -> DataFrame:
+    """(M14) df(actual, predicted) -> accuracy and macro F1, one row."""
+    n = df.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
+    ends = n.select(F.col("actual").alias("label"), "n", F.lit(0).alias("p"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")).unionByName(n.select(F.col("predicted").alias("label"), F.lit(0).alias("n"), F.col("n").alias("p"), F.lit(0).alias("hit")))
+    per = ends.groupBy("label").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("hit").alias("hit"))
+    f1 = F.when(F.col("hit") == 0, 0.0).otherwise(2 * F.col("hit") / (F.col("n") + F.col("p")))
+    return per.agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
+def train_topics(docs: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14, held: int = 10):
+    """(M14) docs(id, text, label) -> a fitted text classifier and its predictions (actual, predicted) on the tenth of ids that a hash holds out."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, IndexToString, RegexTokenizer, StringIndexer
+
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(docs)
+    stages = [RegexTokenizer(inputCol=text, outputCol="_w", pattern=f"[^{WORD}]+"), HashingTF(inputCol="_w", outputCol="_x", numFeatures=features), index, LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=20, regParam=0.01), IndexToString(inputCol="_p", outputCol="predicted", labels=index.labels)]
+    out = F.pmod(F.xxhash64("id"), F.lit(held)) == 0
+    model = Pipeline(stages=stages).fit(docs.where(~out))
+    return model, model.transform(docs.where(out)).select(F.col(label).alias("actual"), "predicted")

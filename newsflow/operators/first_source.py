@@ -26,10 +26,12 @@ def exact_sources(m: DataFrame, everything: DataFrame) -> DataFrame:
     j = j.join(rep, (F.col("m.channel") == F.col("r.channel")) & (F.col("m.reply_to_message_id") == F.col("r.message_id")) & (F.col("r.message_date") <= F.col("m.message_date")), "left")
     j = j.select("m.*", F.when(F.col("f.event_id").isNotNull(), found("f")).alias("forward"), F.when(F.col("r.event_id").isNotNull(), found("r")).alias("reply"))
     # the earliest publication of a link and, for itself, the second: two per link, not all pairs
-    firsts = everything.where("primary_url is not null").groupBy("primary_url").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.col("message_date").alias("date"), "event_id"))), 1, 2).alias("firsts"))
-    j = j.join(firsts, "primary_url", "left")
-    url = F.get(F.filter("firsts", lambda x: (x["event_id"] != F.col("event_id")) & (x["date"] <= F.col("message_date"))), F.lit(0))
-    url = F.when(url.isNotNull(), F.struct(url["event_id"].alias("event_id"), url["date"].alias("date")))
+    said = everything.where("primary_url is not null").select("primary_url", F.struct(F.col("message_date").alias("date"), "event_id").alias("s"))
+    one = said.groupBy("primary_url").agg(F.min("s").alias("one"))
+    two = said.join(one, "primary_url").where("s <> one").groupBy("primary_url").agg(F.min("s").alias("two"))
+    j = j.join(one.join(two, "primary_url", "left"), "primary_url", "left")
+    other = F.when(F.col("one.event_id") != F.col("event_id"), F.col("one")).otherwise(F.col("two"))
+    url = F.when(other["date"] <= F.col("message_date"), F.struct(other["event_id"].alias("event_id"), other["date"].alias("date")))
     kind = F.when(F.col("forward").isNotNull(), "exact_forward").when(F.col("reply").isNotNull(), "exact_reply").when(url.isNotNull(), "exact_url").otherwise("unknown")
     sure = F.when(F.col("forward").isNotNull(), FORWARD).when(F.col("reply").isNotNull(), REPLY).when(url.isNotNull(), URL).otherwise(0.0)
     best = F.coalesce("forward", "reply", url)

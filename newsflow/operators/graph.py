@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bonuses and threshold of the bridge score, damping and rounds of the ranks.
@@ -185,3 +185,25 @@ def two_hops(edges: DataFrame, seeds: DataFrame, least: float = 3) -> DataFrame:
     one = e.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
     two = e.join(one.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
     return one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2))).groupBy("id").agg(F.min("hops").alias("hops")).join(seeds.select("id"), "id", "left_anti")
+
+
+def bridge_score(between: Column, communities_around: Column, cut: Column) -> Column:
+    """(N08) Betweenness with bonuses for neighbours in two communities and for articulation points; shown up to 1."""
+    return F.least(F.lit(1.0), between + F.when(communities_around >= 2, TWO_COMMUNITIES).otherwise(0.0) + F.when(cut, ARTICULATION).otherwise(0.0))
+
+
+def ranked(measured: DataFrame, *keys: str) -> DataFrame:
+    """(W08) measured(cluster, pagerank, degree_centrality, label) with the place of each node in its topic (and in keys)."""
+    w = Window.partitionBy("cluster", *keys).orderBy(F.desc("pagerank"), F.desc("degree_centrality"), "label", "id")
+    return measured.withColumn("rank", F.row_number().over(w))
+
+
+def top_nodes(measured: DataFrame, most: int = 10) -> DataFrame:
+    """(N11) The first entities and channels of each topic."""
+    return ranked(measured, "kind").where(F.col("rank") <= most)
+
+
+def top_bridges(measured: DataFrame, most: int = 10) -> DataFrame:
+    """(N11) The first bridges of each topic."""
+    w = Window.partitionBy("cluster").orderBy(F.desc("bridge_score"), F.desc("betweenness"), "label", "id")
+    return measured.where("is_bridge").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

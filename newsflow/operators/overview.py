@@ -31,6 +31,12 @@ def of_latest_run(r: Relations) -> DataFrame:
     return r.assignments.where("cluster_id >= 0").join(F.broadcast(latest_run(r.runs)), "run_id", "left_semi")
 
 
+def of_all_runs(r: Relations) -> DataFrame:
+    """(T10) The topic of each message in the latest run that covered it; the current view then holds more than the last batch."""
+    last = r.assignments.where("cluster_id >= 0").join(r.runs, "run_id")
+    return last.groupBy("event_id").agg(F.max_by("public_cluster_id", F.struct("run_timestamp", "run_id")).alias("public_cluster_id"))
+
+
 def clustered(r: Relations, start, end) -> DataFrame:
     """Messages of the window with their topic."""
     return of_latest_run(r).join(r.raw.where(within("message_date", start, end)), "event_id")

@@ -68,7 +68,7 @@ query("X21_normalized_urls", "SELECT page_id, concat(regexp_extract(lower(url),
 )
 query("X22_text_hash", "SELECT doc_id, CASE WHEN trim(text) <> '' THEN sha256(trim(text)) END AS h FROM documents")(lambda s, d: docs(s, d).select("doc_id", fp.text_hash(F.col("text")).alias("h")))
 query("X23_url_fingerprints")(lambda s, d: table(s, d, "pages").select("page_id", F.array_join(fp.url_fingerprints(F.array("url", F.concat("url", F.lit("#again")))), ",").alias("prints")))
-query("X24_simhash64")(lambda s, d: docs(s, d).select("doc_id", fp.simhash64(tx.tokens(tx.cleaned(F.col("text")))).alias("simhash")))
+query("X24_simhash64")(lambda s, d: docs(s, d).select("doc_id", fp.simhash64(tx.cleaned(F.col("text"))).alias("simhash")))
 query("X25_hamming", "SELECT l_orderkey, l_linenumber, bit_count(xor(l_partkey, l_suppkey)) AS d FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", fp.hamming(F.col("l_partkey"), F.col("l_suppkey")).alias("d")))
 query("X26_jaccard", """WITH e AS (SELECT event_id, list_sort(list(DISTINCT lower(coalesce(normalized_text, entity_text)))) AS s FROM ner_results GROUP BY 1)
     SELECT a.event_id, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM e a JOIN e b ON CAST(a.event_id AS INT) = CAST(b.event_id AS INT) + 1""")(
@@ -100,7 +100,7 @@ def source_messages(s, d) -> DataFrame:
     m = m.withColumn("c", tx.cleaned(F.col("text")))
     return m.select(
         F.concat_ws(":", F.lit("run_b"), F.floor(F.col("doc_id") / 100)).alias("public_cluster_id"), F.concat_ws(":", "source", "doc_id").alias("event_id"), F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), "message_date", "text",
-        tx.tokens(F.col("c")).alias("tokens"), F.array("lang").alias("entities"), F.array(F.sha2(F.substring("c", 1, 40), 256)).alias("url_fingerprints"), fp.text_hash(F.col("c")).alias("text_hash"), fp.simhash64(tx.tokens(F.col("c"))).alias("simhash"),
+        tx.tokens(F.col("c")).alias("tokens"), F.array("lang").alias("entities"), F.array(F.sha2(F.substring("c", 1, 40), 256)).alias("url_fingerprints"), fp.text_hash(F.col("c")).alias("text_hash"), fp.simhash64(F.col("c")).alias("simhash"),
         F.when(F.col("doc_id") % 5 == 0, F.sha2(F.substring("c", 1, 40), 256)).alias("primary_url"), F.crc32("source").alias("channel_id"),
         F.when(F.col("doc_id") % 7 == 3, F.col("doc_id") - 20).alias("reply_to_message_id"), F.when(F.col("doc_id") % 11 == 5, F.crc32("source")).alias("forward_from_channel_id"), F.when(F.col("doc_id") % 11 == 5, F.col("doc_id") - 40).alias("forward_from_message_id"),
     )

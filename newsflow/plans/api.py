@@ -48,9 +48,13 @@ def overview_graph(r: Relations, start, end, topics: int = 30, depth: int = 1) -
     return edge("channels", "published_in").unionByName(edge("entities", "mentions"))
 
 
-def propagation_graph(links: DataFrame, topic: str, most: int = 30) -> DataFrame:
-    """(N13) Links of a topic with weight in percent."""
-    return links.where(F.col("public_cluster_id") == topic).orderBy("child").limit(most).select(F.col("parent").alias("source"), F.col("child").alias("target"), F.round(F.col("confidence") * 100).cast("int").alias("weight"))
+def propagation_graph(messages: DataFrame, links: DataFrame, topic: str, most: int = 30, most_links: int = 12) -> DataFrame:
+    """(N13, O06) Edges of a topic: it contains its newest messages; the first links of its chain, weight in percent."""
+    shown = messages.where(F.col("public_cluster_id") == topic).orderBy(F.desc("message_date"), F.desc("event_id")).limit(most)
+    contains = shown.select(F.concat(F.lit("topic-"), "public_cluster_id").alias("source"), F.concat(F.lit("msg-"), "event_id").alias("target"), F.lit(1).alias("weight"), F.lit("contains").alias("kind"))
+    chain = links.where(F.col("public_cluster_id") == topic).orderBy("child").limit(most_links)
+    exact = F.when(F.col("link_type").startswith("exact"), "propagates_exact").otherwise("propagates_inferred")
+    return contains.unionByName(chain.select(F.concat(F.lit("msg-"), "parent").alias("source"), F.concat(F.lit("msg-"), "child").alias("target"), F.greatest(F.lit(1), F.round(F.col("confidence") * 100).cast("int")).alias("weight"), exact.alias("kind")))
 
 
 def _of(f):
@@ -68,12 +72,18 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return first_source.propagation_links(exact, inferred)
 
 
+def first_source_graph(spark: SparkSession, d: str, topic: str) -> DataFrame:
+    from newsflow.plans import analytics
+
+    return propagation_graph(analytics.source_messages(spark, d), _links(spark, d), topic)
+
+
 ROUTES = {
     "overview": _of(lambda r: overview.kpis(r, S, E, relational.BEFORE, relational.MIDDLE)),
     "overview_clusters": _of(lambda r: clusters(r, S, E)),
     "cluster": _of(lambda r: cluster(r, C, S, E)),
     "cluster_documents": _of(lambda r: documents(r, C, S, E)),
-    "cluster_first_source": lambda spark, d: propagation_graph(_links(spark, d), "run_b:1", 12),
+    "cluster_first_source": lambda spark, d: first_source_graph(spark, d, "run_b:1"),
     "cluster_related": _of(lambda r: overview.related_clusters(r, C)),
     "cluster_graph_metrics": _of(lambda r: graph.measures(*topic_graph(r, C, S, E))),
     "entities_top": _of(lambda r: overview.top_entities(r, S, E)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsflow.plans import analytics, relational
+from newsflow.plans import analytics, coverage, relational
 
-QUERIES = {**relational.QUERIES, **analytics.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **analytics.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **analytics.QUERIES, **coverage.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **analytics.ORACLE_SQL, **coverage.ORACLE_SQL}

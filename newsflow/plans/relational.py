@@ -164,7 +164,7 @@ query("F10_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM
 query("F10b_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")(
     lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 )
-query("F11_case_insensitive_key", "SELECT n_name, r_name FROM nation JOIN region ON lower(n_name[1]) = lower(r_name[1])")(lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.lower(F.substring("n_name", 1, 1)) == F.lower(F.substring("r_name", 1, 1))).select("n_name", "r_name"))
+query("F11_case_insensitive_key", "SELECT n_name, c_name FROM nation JOIN customer ON lower(concat('N', n_nationkey)) = lower(concat('n', c_nationkey))")(lambda s, d: table(s, d, "nation").withColumn("k", F.concat(F.lit("N"), "n_nationkey")).join(table(s, d, "customer").withColumn("j", F.concat(F.lit("n"), "c_nationkey")), F.lower("k") == F.lower("j")).select("n_name", "c_name"))
 query("F12_regex", "SELECT c_name FROM customer WHERE regexp_matches(c_name, '^[A-Za-z0-9_#]+$')")(lambda s, d: table(s, d, "customer").where(F.col("c_name").rlike("^[A-Za-z0-9_#]+$")).select("c_name"))
 query("F13_either", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 7")(lambda s, d: table(s, d, "customer").where("c_mktsegment = 'BUILDING' OR c_nationkey = 7").select("c_custkey"))
 query("F18_sampling_filter", "SELECT doc_id FROM documents WHERE lang IN ('en', 'ru') AND length(text) >= 80 AND NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")(

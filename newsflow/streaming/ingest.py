@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from newsflow.sources import events
 
@@ -79,3 +79,46 @@ def progress(states: DataFrame) -> DataFrame:
 def replay(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file source as a stream, for tests and backfills (T11: run it with availableNow)."""
     return spark.readStream.schema(schema).json(path)
+
+
+def processing_id(consumer: str, event: Column) -> Column:
+    """(T02) Consumers that share a table of processed events don't meet in it."""
+    return F.concat_ws(":", F.lit(consumer), event)
+
+
+def backoff(attempt: Column, most: int = 30) -> Column:
+    """(T04) Seconds before the next attempt: doubled each time."""
+    return F.least(F.lit(most), F.pow(F.lit(2), attempt)).cast("int")
+
+
+def due(pending: DataFrame, now: str, least: int = 50, seconds: int = 30) -> DataFrame:
+    """(T09) pending(key, at) -> whether a run is due: enough rows or an old one. As a stream: trigger(processingTime), one batch at a time."""
+    age = F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp")) - F.unix_micros(F.min("at").cast("timestamp"))
+    return pending.groupBy("key").agg(F.count("*").alias("n"), ((F.count("*") >= least) | (age >= seconds * 1_000_000)).alias("due"))
+
+
+def latencies(events_: DataFrame, begun: str, done: str, *keys: str) -> DataFrame:
+    """(T12) Number, mean and greatest seconds between two times."""
+    micros = F.unix_micros(F.col(done).cast("timestamp")) - F.unix_micros(F.col(begun).cast("timestamp"))
+    return events_.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(micros) / F.count("*") / 1e6).alias("mean_seconds"), (F.max(micros) / 1e6).alias("max_seconds"))
+
+
+class Metrics(StreamingQueryListener):
+    """(T12) Rows, rates and event-time lag of every micro-batch, kept by query id for whoever exports them."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.last[str(event.id)] = {"batches": 0, "rows": 0}
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        own = self.last.setdefault(str(p.id), {"batches": 0, "rows": 0})
+        own |= {"batches": own["batches"] + 1, "rows": own["rows"] + p.numInputRows, "rate": p.processedRowsPerSecond, "watermark": dict(p.eventTime).get("watermark")}
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.last.setdefault(str(event.id), {"batches": 0, "rows": 0})["error"] = event.exception

@@ -57,7 +57,7 @@ def test_simhash(spark):
         for k in range(64):
             votes[k] += n if h >> k & 1 else -n
     value = sum(1 << k for k in range(64) if votes[k] > 0)
-    df = spark.createDataFrame([(words,), ([],), (None,)], "t array<string>").select(fp.simhash64("t").alias("x")).collect()
+    df = spark.createDataFrame([(" ".join(words),), ("",), (None,)], "t string").select(fp.simhash64("t").alias("x")).collect()
     assert [r.x for r in df] == [value - (1 << 64) if value >> 63 else value, None, None]
 
 

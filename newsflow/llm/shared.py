@@ -62,14 +62,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: this cuts the lineage."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted with the scratch tables."""
     path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
     if not _scratch:
         atexit.register(drop_scratch)
     _scratch.append((spark, path))
+    return path
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: this cuts the lineage."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

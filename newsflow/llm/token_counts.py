@@ -1,124 +1,128 @@
 """Operator 10: token counts by separator scan.
 
 Input are flat token files without an index: ids one after another, each document followed by
-an end-of-document id. A file is read as numbered blocks of fixed size, wherever documents
-begin. In each block a vectorised search finds the separators; a block tells how many it has
-and how many ids stand before the first and behind the last. A prefix scan over those
-summaries, in two levels so that no task sees all blocks of a file, gives every block the
-number of documents before it and the length that is carried into it, from which every
-document's count follows.
-
-``pack`` writes such files from texts: a table of (file, block, ids) and, apart from it, the
-list of doc_ids in order. ``flat_file`` reads a real flat file of 16- or 32-bit ids.
+an end-of-document id. A file is read as numbered blocks of fixed size (byte ranges of it, the
+last one shorter), wherever documents begin. In each block a vectorised search finds the
+separators; a block tells how many it has and how many ids stand before the first and behind
+the last. A prefix scan over those summaries, in two levels so that no task sees all blocks of
+a file, gives every block the number of documents before it and the length that is carried
+into it, from which every document's count follows.
+
+``pack`` writes such files from texts into the shared folder, and a list of their doc_ids in
+order; ``flat_files`` takes those that are there. Ids have 16 or 32 bits, little-endian. Files
+are opened through Arrow's file systems (local or mounted paths, hdfs, s3, gs), which read
+ranges; a task that runs again writes a file of its own and only what it reports is used.
 
 Defined results: a null text has no tokens and still counts as a document of length 0; null
 and repeated doc_ids give one row each; an unfinished document at the end of a file counts as
-one if it has ids; blocks may come in any order and the scan does not depend on it.
+one if it has ids; an empty file has no documents; a file that ends within an id raises.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsflow.llm.byte_bpe import codec, public_vocabulary
-from newsflow.llm.shared import arrow_session, scratch_table
+from newsflow.llm.shared import arrow_session, n_buckets, scratch_folder, scratch_table
 
 END = 50256
 BLOCK = 1 << 16
-#: Ids after which pack starts a new file, and blocks in a group of the two-level scan.
-FILE_IDS = 1 << 24
+#: Bytes after which pack starts a new file, and blocks in a group of the two-level scan.
+FILE_BYTES = 1 << 28
 GROUP = 256
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end: int, block: int) -> Iterator[pa.RecordBatch]:
-    bpe = codec(path, pattern)
-    task = TaskContext.get().partitionId()
-    width = np.uint16 if len(bpe.vocabulary) <= 1 << 16 and end < 1 << 16 else np.uint32
-    file, number, held, size = task << 32, 0, [], 0
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a URI as Spark writes it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
-    def blocks(last: bool) -> list[tuple]:
-        nonlocal number, held, size
-        flat = np.concatenate(held) if held else np.empty(0, width)
-        until = len(flat) if last else len(flat) - len(flat) % block
-        out = []
-        for k in range(0, until, block):
-            out.append((file, number, flat[k : min(k + block, until)].tobytes(), None))
-            number += 1
-        held, size = [flat[until:]], len(flat) - until
-        return out
 
+def _pack(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Rows of (file, first, docs), and of (file, bytes) for a finished file."""
+    bpe = codec(path, pattern)
+    width = np.uint16 if len(bpe.vocabulary) <= 1 << 16 and end < 1 << 16 else np.uint32
+    store, root = _opened(folder)
+    store.create_dir(root, recursive=True)
+    name, out, first, size = "", None, 0, 0
     for batch in batches:
-        rows, ids = [], []
-        for doc_id, tokens in zip(batch.column(0).to_pylist(), bpe.encode_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-            held.append(np.array([*tokens, end], width))
-            size += len(tokens) + 1
-            ids.append(doc_id)
-            if size >= block:
-                rows += blocks(False)
-            if number * block >= FILE_IDS:
-                rows += blocks(True)
-                yield _packed(rows, file, ids, width)
-                file, number, held, size, rows, ids = file + 1, 0, [], 0, [], []
-        yield _packed(rows, file, ids, width)
-    yield _packed(blocks(True), file, [], width)
-
-
-def _packed(rows: list[tuple], file: int, ids: list, width: type) -> pa.RecordBatch:
-    """Blocks, and behind them one row with the doc_ids that were added (block is null)."""
-    files, numbers, data = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-    lists: list = [None] * len(rows)
-    if ids:
-        files, numbers, data, lists = [*files, file], [*numbers, None], [*data, None], [*lists, ids]
-    return pa.record_batch([pa.array(files, pa.int64()), pa.array(numbers, pa.int64()), pa.array(data, pa.binary()), pa.array([np.dtype(width).itemsize] * len(files), pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["file", "block", "ids", "width", "docs"])
-
-
-def pack(docs: DataFrame, path: str, pattern: str, end: int = END, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> blocks (file, block, ids, width) and names (file, nth, doc_id)."""
-    arrow_session(docs.sparkSession)
-    schema = "file long, block long, ids binary, width int, docs array<bigint>"
-    both = scratch_table(docs.select("doc_id", "text").mapInArrow(partial(_pack, path=path, pattern=pattern, end=end, block=block), schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    # the lists of a file come in the order of its documents
-    lists = both.where("block is null").select("file", "row", "docs", F.size("docs").cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    names = lists.withColumn("before", before).select("file", "before", F.posexplode("docs").alias("k", "doc_id"))
-    return both.where("block is not null").select("file", "block", "ids", "width"), names.select("file", (F.col("before") + F.col("k")).alias("nth"), "doc_id")
-
-
-def flat_file(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """One flat file of little-endian ids whose size is a multiple of a block, as blocks."""
-    records = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(width * block)},
-    )
-    return spark.createDataFrame(records.map(lambda r: (0, r[0], r[1], width)), "file long, block long, ids binary, width int")
-
-
-def _scan(batches: Iterator[pa.RecordBatch], end: int, lengths: bool) -> Iterator[pa.RecordBatch]:
-    """The separators of each block: its summary, or the documents' lengths within it."""
+        if out is None:
+            name, first, size = f"{uuid.uuid4().hex}.tokens", 0, 0
+            out = store.open_output_stream(f"{root}/{name}")
+        for tokens in bpe.encode_many([t or "" for t in batch.column(1).to_pylist()]):
+            size += out.write(np.array([*tokens, end], width).tobytes())
+        yield _packed(f"{folder}/{name}", first, batch.column(0).to_pylist(), None, width)
+        first += batch.num_rows
+        if size >= FILE_BYTES:
+            out.close()
+            yield _packed(f"{folder}/{name}", None, None, size, width)
+            out = None
+    if out is not None:
+        out.close()
+        yield _packed(f"{folder}/{name}", None, None, size, width)
+
+
+def _packed(file: str, first: int | None, docs: list | None, size: int | None, width: type) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([file]), pa.array([first], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([np.dtype(width).itemsize], pa.int32())], names=["file", "first", "docs", "bytes", "width"])
+
+
+def pack(docs: DataFrame, path: str, pattern: str, end: int = END) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> files (file, bytes, width) and names (file, nth, doc_id)."""
+    spark = arrow_session(docs.sparkSession)
+    folder = scratch_folder(spark, "token-files")
+    packed = docs.select("doc_id", "text").mapInArrow(partial(_pack, path=path, pattern=pattern, end=end, folder=folder), "file string, first long, docs array<bigint>, bytes long, width int")
+    both = scratch_table(packed, "tokens")
+    names = both.where("docs is not null").select("file", "first", F.posexplode("docs").alias("k", "doc_id"))
+    return both.where("bytes is not null").select("file", "bytes", "width"), names.select("file", (F.col("first") + F.col("k")).alias("nth"), "doc_id")
+
+
+def flat_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """Flat token files of any size under a path or pattern: file, bytes, width. Only their names and sizes are read here."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.lit(width).alias("width"))
+
+
+def token_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """files(file, bytes, width) -> file, block, start, bytes, width: ranges of block ids, dealt evenly."""
+    step = F.lit(block) * F.col("width")
+    ranges = files.where("bytes > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / step))))
+    start = F.col("block") * step
+    return ranges.select("file", "block", start.alias("start"), F.least(F.col("bytes") - start, step).alias("bytes"), "width").repartition(n_buckets(files.sparkSession))
+
+
+def _ids(file: str, start: int, size: int, width: int) -> np.ndarray:
+    if size % width:
+        raise ValueError(f"{file} ends within an id of {width} bytes")
+    store, path = _opened(file)
+    with store.open_input_file(path) as source:
+        return np.frombuffer(source.read_at(size, start), np.uint16 if width == 2 else np.uint32)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
+    """The separators of each block: its summary and the documents' lengths within it."""
     for batch in batches:
-        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
         out = []
-        for i in range(batch.num_rows):
-            ids = np.frombuffer(column["ids"][i].as_buffer(), np.uint16 if column["width"][i].as_py() == 2 else np.uint32)
+        for r in batch.to_pylist():
+            ids = _ids(r["file"], r["start"], r["bytes"], r["width"])
             at = np.flatnonzero(ids == end)
             head, tail = (int(at[0]), len(ids) - int(at[-1]) - 1) if len(at) else (len(ids), len(ids))
-            out.append((column["file"][i].as_py(), column["block"][i].as_py(), len(at), head, tail, np.diff(at).tolist() if lengths else None))
+            out.append((r["file"], r["block"], len(at), head, tail, (np.diff(at) - 1).tolist()))
         files, blocks, n, heads, tails, inner = zip(*out, strict=True) if out else ((),) * 6
-        arrays = [pa.array(x, pa.int64()) for x in (files, blocks, n, heads, tails)] + [pa.array([None if x is None else [v - 1 for v in x] for x in inner], pa.list_(pa.int64()))]
+        arrays = [pa.array(files, pa.string()), *(pa.array(x, pa.int64()) for x in (blocks, n, heads, tails)), pa.array(inner, pa.list_(pa.int64()))]
         yield pa.record_batch(arrays, names=["file", "block", "n", "head", "tail", "inner"])
 
 
 def counts(blocks: DataFrame, end: int = END, group: int = GROUP) -> DataFrame:
-    """blocks(file, block, ids, width) -> file, nth, n_tokens: the ids before each separator."""
+    """token_blocks() -> file, nth, n_tokens: the ids before each separator."""
     arrow_session(blocks.sparkSession)
-    seen = blocks.mapInArrow(partial(_scan, end=end, lengths=True), "file long, block long, n long, head long, tail long, inner array<bigint>")
+    seen = scratch_table(blocks.mapInArrow(partial(_scan, end=end), "file string, block long, n long, head long, tail long, inner array<bigint>"), "seen")
     # carried(x, y): what a run of blocks passes on; a block without separators adds to it
     keyed = seen.withColumn("g", F.floor(F.col("block") / group))
     inside = Window.partitionBy("file", "g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,5 +156,5 @@ def counts(blocks: DataFrame, end: int = END, group: int = GROUP) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as flat token files, and from these the count of each document."""
-    blocks, names = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_vocabulary())
-    return names.join(counts(blocks), ["file", "nth"]).select("doc_id", "n_tokens")
+    files, names = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_vocabulary())
+    return names.join(counts(token_blocks(files)), ["file", "nth"]).select("doc_id", "n_tokens")

@@ -7,10 +7,11 @@ somebody. Each matched insult or threat leaves the machine with its marks and it
 weight; the sums by mark are the features of a document and a logistic model turns them into
 a score. Isolated words count through their clause only.
 
-The lexicon of insults is learned from labelled rows: word stems (the first four to eight
-letters) whose document frequency among toxic rows is significantly higher. At most ``SAMPLE`` labelled rows are used, those with the
-least hash of doc_id, so that the sample doesn't depend on order or partitions; at most
-``LEXICON`` words and all model weights fit in the closure of the scoring function.
+The lexicon of insults is learned from labelled rows: word stems (the first three to eight
+letters) whose document frequency among toxic rows is significantly higher, all that pass the
+test; of stems that begin with one another the most significant. At most ``SAMPLE`` labelled
+rows are used, those with the least hash of doc_id, so that the sample doesn't depend on order
+or partitions; it bounds the lexicon, too, since a stem has to occur in several of its toxic rows.
 
 Defined results: null and empty texts score like texts without matches; a null doc_id is
 never labelled and counts as held out; a doc_id with several labels is toxic if one says so;
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from newsflow.llm.shared import arrow_session, shared_folder
 
 SAMPLE = 12_000
-LEXICON = 200
 #: Fixed seed words of the classes, in the four languages of the corpus.
 THREATS = "kill hurt destroy beat attack burn shoot töten verletzen zerstören schlagen tuer blesser détruire frapper matar herir destruir golpear".split()
 TARGETS = "you your yours yourself they them he she him her this these du dich dir ihr euch sie tu toi vous il elle ils usted ustedes tú él ella ellos".split()
@@ -43,7 +43,7 @@ QUOTES = '"“”«»„'
 CLAUSE_END = re.compile(r"[.!?;\n]")
 TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
 WINDOW = 4
-STEM = range(8, 3, -1)
+STEM = range(8, 2, -1)
 
 
 class Transducer:
@@ -172,7 +172,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float
         yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> tuple[dict[str, float], list[float] | None]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float] | None]:
     """The lexicon and the model weights, from at most ``sample`` labelled rows that are not held out."""
     arrow_session(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -190,9 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
     gain = F.log((F.col("a") + 0.5) / (F.col("c") - F.col("a") + 0.5)) - math.log((t + 0.5) / (n - t + 0.5))
     best = freq.where("w is not null").where(F.col("a") >= max(5, t / 150)).withColumn("z", z).withColumn("gain", gain).where("z >= 6 and gain >= 2")
     found: dict[str, float] = {}
-    for r in best.orderBy(F.desc("z"), F.desc(F.length("w")), "w").limit(20 * lexicon).collect():
+    for r in best.orderBy(F.desc("z"), F.desc(F.length("w")), "w").collect():
         kin = any(r["w"].startswith(x) or x.startswith(r["w"]) for x in found)
-        if len(found) < lexicon and not kin and r["w"] not in {*TARGETS, *NEGATIONS, *REPORTS}:
+        if not kin and r["w"] not in {*TARGETS, *NEGATIONS, *REPORTS}:
             found[r["w"]] = float(r["gain"])
     data = rows.mapInArrow(partial(_sample_features, lexicon=found), "toxic int, x array<double>").collect()
     return found, fit_logistic(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float))

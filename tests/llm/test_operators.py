@@ -312,6 +312,98 @@ def test_op7(spark, empty):
     assert secret_scans.redact(df).count() == 9 and secret_scans.scan(empty).collect() == []
 
 
+def plain_secrets(text):
+    """(base parts, all reported spans) by Python's expressions and by comparing all parts of a text."""
+    text, base, weak = text or "", [], []
+    rank, role = secret_scans.KINDS.index, {"access": "id", "account": "id", "endpoint": "endpoint"}
+    for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 12:
+            base.append((m.start(), rank("assign"), m.end()))
+        elif len(m[2]) >= 6:
+            weak.append((m.start(), rank("value"), m.end()))
+    base += [(m.start(), rank("access"), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), rank("hex"), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    for kind, pattern in (("account", secret_scans._ACCOUNT), ("token", secret_scans._MIXED), ("endpoint", secret_scans._ENDPOINT)):
+        weak += [(m.start(), rank(kind), m.end()) for m in re.finditer(pattern, text)]
+    of = lambda p: role.get(secret_scans.KINDS[p[1]], "secret")
+    kept = {w for w in weak for p in base + weak if of(w) != of(p) and max(w[0] - p[2], p[0] - w[2]) <= 160}
+    say = lambda parts: ",".join(f"{secret_scans.KINDS[k]}:{a}:{b}" for a, k, b in sorted(parts))
+    return say(base), say([*base, *kept]), sorted([*base, *kept])
+
+
+def test_op7_brute_force(spark):
+    rng, key = random.Random(7), lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    alpha = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    makers = [
+        lambda: f"{rng.choice(['password', 'API_KEY', 'Token', 'apikey'])}{rng.choice(['=', ': ', '\\": \\"', ' :'])}{key(rng.randint(3, 20), alpha)}", lambda: "AKIA" + key(rng.randint(8, 20), alpha.upper()), lambda: key(rng.randint(10, 30), "0123456789abcdef"), lambda: f"login: {key(6, alpha)}",
+        lambda: key(rng.choice([19, 20, 43, 81, 200]), alpha) + rng.choice(["", "=", "=="]), lambda: f"https://{key(5, alpha)}.example:80/x", lambda: "é" * rng.randint(1, 200), lambda: "plain words, " * rng.randint(1, 12), lambda: "\n",
+    ]
+    texts = {k: " ".join(rng.choice(makers)() for _ in range(rng.randint(0, 12))) for k in range(400)}
+    texts[400] = " ".join(key(16, "0123456789abcdef") + (" login: abcdef" if k % 50 == 0 else "") for k in range(12_000))
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.base, r.all) for r in secret_scans.scan(df).select("doc_id", secret_scans.written(F.col("strong")).alias("base"), secret_scans.written(F.col("spans")).alias("all")).collect()}
+    clean = {r.doc_id: r.text for r in secret_scans.redact(df).collect()}
+    assert sum(b != a for a, b in got.values()) > 50
+    for k, text in texts.items():
+        base, spans, parts = plain_secrets(text)
+        assert got[k] == (base, spans)
+        out, at = [], 0
+        for a, kind, b in parts:
+            if a >= at:
+                out += [text[at:a], f"[{secret_scans.KINDS[kind]}]"]
+            at = max(at, b)
+        assert clean[k] == "".join(out) + text[at:]
+
+
+def test_op7_documents(spark):
+    """The query's base columns over all documents of sf0.01."""
+    d = "/root/testdata/sf0.01"
+    got = by_id(secret_scans.op7_secret_scans(spark, d))
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        base, spans, _ = plain_secrets(r.text)
+        x = got[r.doc_id]
+        assert (x.base_sha256, x.spans, x.n_assign, x.n_access, x.n_hex) == (hashlib.sha256(base.encode()).hexdigest(), spans, *(len(re.findall(rf"\b{k}:", base)) for k in ("assign", "access", "hex")))
+
+
+def test_op6_brute_force(spark):
+    """Generated threads with whole, trimmed and nested quotes; links by looking at all earlier messages."""
+    rng, rows = random.Random(6), []
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    for conv in range(30):
+        said = []
+        for turn in range(25):
+            own = [" ".join(rng.choice(PROSE) + str(rng.randint(0, 9)) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 4))]
+            lines = []
+            for _ in range(rng.randint(0, 2) if said else 0):
+                quoted, level = rng.choice(said), rng.randint(1, 3)
+                a = rng.randrange(len(quoted))
+                lines += [">" * level + " " + x.upper() for x in quoted[a : a + rng.randint(1, 4)]] + ["ok"]
+            rows.append((conv, turn, "\n".join(lines + own)))
+            said.append(own)
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in chat_formatting.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("r"))).collect()}
+    first, expected = {}, {}
+
+    def units(text):
+        lines = [x for x in map(norm, text.split("\n")) if x]
+        more = [(1, " ".join(p)) for p in itertools.pairwise(lines)] + [(2, x) for x in lines] if len(lines) > 1 else []
+        return [(0, " ".join(lines)), *more]
+
+    for conv, turn, text in rows:
+        runs = [(level, "\n".join(re.sub(r"^>+ ?", "", x) for x in part)) for level, part in itertools.groupby(text.split("\n"), lambda x: len(re.match(">*", x)[0]))]
+        linked = []
+        for level, passage in runs:
+            votes = Counter((kind, first[conv, u]) for kind, u in set(units(passage)) if level and len(u) >= 8 and (conv, u) in first)
+            if votes:
+                kind, _, original = min((kind, -n, o) for (kind, o), n in votes.items())
+                linked.append((level, -original))
+        expected[conv, turn] = (sum(level > 0 for level, _ in runs), len(linked), -min(linked)[1] if linked else None)
+        own = [passage for level, passage in runs if not level]
+        for u in [norm("\n".join(own)), *(u for p in own for _, u in units(p))]:
+            if len(u) >= 8:
+                first.setdefault((conv, u), turn)
+    assert got == expected and sum(n for _, n, _ in expected.values()) > 200
+
+
 def test_op8(spark, empty):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
@@ -374,20 +466,32 @@ def test_op9_round_trip(docs, empty, vocabulary):
 
 
 def test_op10(spark, docs, empty, vocabulary):
-    blocks, names = token_counts.pack(docs, *vocabulary, block=64)
-    got = {r.doc_id: r.n_tokens for r in names.join(token_counts.counts(blocks, group=3), ["file", "nth"]).collect()}
+    files, names = token_counts.pack(docs, *vocabulary)
+    got = {r.doc_id: r.n_tokens for r in names.join(token_counts.counts(token_counts.token_blocks(files, 64), group=3), ["file", "nth"]).collect()}
     assert got == {r.doc_id: r.n_tokens for r in byte_bpe.digests(docs, *vocabulary).collect()}
-    blocks, names = token_counts.pack(empty, *vocabulary)
-    assert names.count() == 0 and token_counts.counts(blocks).count() == 0
-
-
-def test_op10_flat_file(spark, tmp_path):
-    lens = [3, 0, 700, 64, 1]
-    flat = np.array([x for n in lens for x in [7] * n + [token_counts.END]], np.uint16)
-    flat = np.concatenate([flat, np.full(-len(flat) % 64, 9, np.uint16)])
-    (tmp_path / "tokens.bin").write_bytes(flat.tobytes())
-    got = [r.n_tokens for r in token_counts.counts(token_counts.flat_file(spark, str(tmp_path / "tokens.bin"), block=64), group=2).orderBy("nth").collect()]
-    assert got[:5] == lens and len(got) <= 6
+    files, names = token_counts.pack(empty, *vocabulary)
+    assert names.count() == 0 and token_counts.counts(token_counts.token_blocks(files)).count() == 0
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_op10_flat_files(spark, tmp_path, kind):
+    """Files of any size: not a multiple of a block, empty, ending without a separator or with one."""
+    end, rng, expected = token_counts.END, random.Random(10), {}
+    for name, n in {"a": 5, "b": 0, "c": 40, "d": 1}.items():
+        lens = [rng.choice([0, 1, 3, 64, 700]) for _ in range(n)]
+        rest = 5 if name == "c" else 0
+        flat = np.array([x for k in lens for x in [7] * k + [end]] + [9] * rest, kind)
+        (tmp_path / f"{name}.bin").write_bytes(flat.tobytes())
+        expected[f"{name}.bin"] = lens + [5] * (rest > 0)
+    width = np.dtype(kind).itemsize
+    blocks = token_counts.token_blocks(token_counts.flat_files(spark, str(tmp_path), width), 64)
+    got = defaultdict(list)
+    for r in token_counts.counts(blocks, group=2).orderBy("nth").collect():
+        got[r.file.rpartition("/")[2]].append(r.n_tokens)
+    assert dict(got) == {k: v for k, v in expected.items() if v}
+    (tmp_path / "e.bin").write_bytes(b"\0" * (width + 1))
+    with pytest.raises(Exception, match="ends within an id"):
+        token_counts.counts(token_counts.token_blocks(token_counts.flat_files(spark, str(tmp_path / "e.bin"), width), 64)).collect()
 
 
 def test_queries_are_registered():

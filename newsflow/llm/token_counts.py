@@ -157,4 +157,5 @@ def counts(blocks: DataFrame, end: int = END, group: int = GROUP) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as flat token files, and from these the count of each document."""
     files, names = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_vocabulary())
-    return names.join(counts(token_blocks(files)), ["file", "nth"]).select("doc_id", "n_tokens")
+    # packed lists look small to the optimizer, which would broadcast all names
+    return names.hint("merge").join(counts(token_blocks(files)), ["file", "nth"]).select("doc_id", "n_tokens")

@@ -7,6 +7,8 @@ forward_from_channel_id, forward_from_message_id, primary_url, any of which may
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,30 +60,70 @@ def pair_confidence(t, c) -> Column:
     return F.least(F.lit(0.99), total)
 
 
+def _near_keys(threshold: float) -> Column:
+    """Hashes of which two messages share one if they can reach the threshold without the same text or a common link.
+
+    Entities, tokens and fingerprints give up to 0.2 each, the time 0.05: what is left for one
+    of them bounds the bits that may differ and the entities that are common. Of radius + 2
+    blocks of bits two are equal, and sorted entities share one of their first.
+    """
+    rest = threshold - 0.45 - 1e-9
+    if rest > 0.2:
+        return F.array().cast("array<long>")
+    radius = 16 if rest <= 0.05 else 8 if rest <= 0.12 else 3
+    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
+    block = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    bits = F.array(*(F.xxhash64(F.lit(f"{i} {j}"), block[i], block[j]) for i, j in combinations(range(radius + 2), 2)))
+    n = F.size("entities")
+    first = F.slice(F.array_sort("entities"), 1, (n - F.ceil(n * (rest / 0.2)) + 1).cast("int"))
+    keys = F.flatten(F.transform(first, lambda e: F.transform(bits, lambda b: F.xxhash64(e, b))))
+    return F.when(F.col("simhash").isNotNull() & (n > 0) & (F.size("tokens") > 0), keys).otherwise(F.array().cast("array<long>"))
+
+
+def _candidates(slim: DataFrame, threshold: float) -> DataFrame:
+    """slim -> public_cluster_id, event_id, source: the pairs that can reach the threshold (all if it is 0.45 or less).
+
+    Of messages that differ in time and id only, the earliest scores best: it alone is a
+    candidate, so copies cost one candidate for each later message instead of all pairs.
+    """
+    same = F.sha2(F.to_json(F.struct("text_hash", "simhash", "tokens", "entities", "url_fingerprints"), {"ignoreNullFields": "false"}), 256)
+    one = slim.groupBy("public_cluster_id", F.col("message_date").isNull(), same).agg(F.min(F.struct("message_date", "event_id")).alias("m")).select("public_cluster_id", "m.*")
+    earlier = F.struct("c.message_date", "c.event_id") < F.struct("t.message_date", "t.event_id")
+    pair = [F.col("t.public_cluster_id").alias("public_cluster_id"), F.col("t.event_id").alias("event_id"), F.col("c.event_id").alias("source")]
+    if threshold <= 0.45:
+        return slim.alias("t").join(one.alias("c"), (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier).select(*pair).distinct()
+    text = F.when(F.col("text_hash").isNotNull(), F.array(F.xxhash64(F.lit("text"), "text_hash"))).otherwise(F.array().cast("array<long>"))
+    links = F.transform(F.coalesce("url_fingerprints", F.array().cast("array<string>")), lambda u: F.xxhash64(F.lit("link"), u))
+    keyed = slim.select("public_cluster_id", "event_id", "message_date", F.explode(F.array_distinct(F.concat(text, links, _near_keys(threshold)))).alias("key"))
+    known = keyed.join(one.select("public_cluster_id", "event_id"), ["public_cluster_id", "event_id"], "left_semi")
+    meet = (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & (F.col("t.key") == F.col("c.key")) & earlier
+    return keyed.alias("t").join(known.alias("c"), meet).select(*pair).distinct()
+
+
 def inferred_sources(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(R02-R04, J16) For every message the best earlier one of its topic; below the threshold the earliest.
 
-    All earlier messages of a topic are scored, which is what the semantics ask for: the work
-    is quadratic in a topic's messages and is spread over keys by (topic, target).
+    Only pairs that can reach the threshold are scored (``_candidates``), by exact bounds of the
+    parts of the score, so the result is that of scoring all earlier messages. Different texts
+    that share one link are still compared with each other.
     """
     # what a pair needs is prepared once per message: sets without blanks, quotes, plain text
     members = lambda c: F.array_distinct(F.filter(c, lambda v: v != "")).alias(c)
     slim = m.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", members("tokens"), members("entities"), members("url_fingerprints"), quotes(F.col("text")).alias("quotes"), plain_text(F.col("text")).alias("plain"))
-    t, c = slim.alias("t"), slim.alias("c")
-    earlier = F.struct("c.message_date", "c.event_id") < F.struct("t.message_date", "t.event_id")
-    pairs = t.join(c, (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier)
+    later = slim.select(*(F.col(c).alias(c) for c in slim.columns if c != "plain"))
+    former = slim.drop("quotes").withColumnRenamed("event_id", "source")
+    pairs = _candidates(slim, threshold).join(later.alias("t"), ["public_cluster_id", "event_id"]).join(former.alias("c"), ["public_cluster_id", "source"])
     of = lambda prefix: lambda name: F.col(f"{prefix}.{name}")
-    scored = pairs.select(F.col("t.public_cluster_id").alias("public_cluster_id"), F.col("t.event_id").alias("event_id"), F.col("c.event_id").alias("source"), F.col("c.message_date").alias("date"), pair_confidence(of("t"), of("c")).alias("confidence"), F.exists("t.quotes", lambda q: F.col("c.plain").contains(q)).alias("quoted"))
-    best = scored.groupBy("public_cluster_id", "event_id").agg(
-        F.min(F.struct((-F.col("confidence")).alias("minus"), "date", "source", "quoted")).alias("best"), F.min(F.struct("date", "source")).alias("first")
-    )
-    out = m.select("public_cluster_id", "event_id").join(best, ["public_cluster_id", "event_id"], "left")
-    good = -F.col("best.minus") >= threshold
-    kind = F.when(F.col("best").isNull(), "unknown").when(~good, "earliest_in_cluster").when(F.col("best.quoted"), "quoted").otherwise("inferred_semantic")
-    return out.select(
-        "public_cluster_id", "event_id", kind.alias("source_type"), F.when(F.col("best").isNull(), 0.0).when(good, -F.col("best.minus")).otherwise(EARLIEST).alias("confidence"),
-        F.when(good, F.col("best.source")).otherwise(F.col("first.source")).alias("source_event_id"), F.when(good, F.col("best.date")).otherwise(F.col("first.date")).alias("source_date"),
-    )
+    scored = pairs.select("public_cluster_id", "event_id", "source", F.col("c.message_date").alias("date"), pair_confidence(of("t"), of("c")).alias("confidence"), F.exists("t.quotes", lambda q: F.col("c.plain").contains(q)).alias("quoted"))
+    best = scored.groupBy("public_cluster_id", "event_id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "date", "source", "quoted")).alias("best"))
+    first = m.groupBy("public_cluster_id").agg(F.min(F.struct(F.col("message_date").alias("date"), F.col("event_id").alias("source"))).alias("first"))
+    out = m.select("public_cluster_id", "event_id", "message_date").join(best, ["public_cluster_id", "event_id"], "left").join(first, "public_cluster_id", "left")
+    has = F.coalesce(F.col("first") < F.struct("message_date", "event_id"), F.lit(False))
+    good = F.coalesce(-F.col("best.minus") >= threshold, F.lit(False))
+    kind = F.when(~has, "unknown").when(~good, "earliest_in_cluster").when(F.col("best.quoted"), "quoted").otherwise("inferred_semantic")
+    known = lambda name: F.when(good, F.col(f"best.{name}")).when(has, F.col(f"first.{name}"))
+    sure = F.when(~has, 0.0).when(good, -F.col("best.minus")).otherwise(EARLIEST)
+    return out.select("public_cluster_id", "event_id", kind.alias("source_type"), sure.alias("confidence"), known("source").alias("source_event_id"), known("date").alias("source_date"))
 
 
 def cluster_exact(exact: DataFrame) -> DataFrame:

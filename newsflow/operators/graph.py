@@ -1,12 +1,16 @@
 """Topic graphs (N01-N16): channels and entities, their centralities, communities and bridges.
 
-Building and counting are joins and aggregations. Measures that need the order of a whole
-graph run per topic in one Arrow group: a topic's graph has as many nodes as it has channels
-and entities, not messages.
+Building and counting are joins and aggregations. Measures of a whole graph run per topic in
+one Arrow group, over lists of neighbours and in time and memory about linear in its edges: a
+topic's graph has as many nodes as it has channels and entities, not messages. Betweenness,
+which takes a walk from every node, is dealt over tasks by its sources.
 """
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,106 +42,196 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("cluster", "id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("weighted_degree", F.lit(0.0)).alias("weighted_degree"), (F.coalesce("degree", F.lit(0)) / F.greatest(F.col("n") - 1, F.lit(1))).alias("degree_centrality"))
 
 
-def page_rank(w: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Links:
+    """A graph as lists of neighbours: those of node k are to[start[k] : start[k + 1]], with their weights."""
+
+    start: np.ndarray
+    to: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, graph: "Links | np.ndarray") -> "Links":
+        """From a matrix of weights, for small graphs."""
+        if isinstance(graph, Links):
+            return graph
+        a, b = np.nonzero(graph)
+        return cls.joining(len(graph), a, b, graph[a, b].astype(float))
+
+    @classmethod
+    def joining(cls, n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> "Links":
+        """Weights of repeated links are added."""
+        pair, at = np.unique(a.astype(np.int64) * n + b, return_inverse=True)
+        return cls(np.searchsorted(pair, np.arange(n + 1) * n), pair % n if n else pair, np.bincount(at, weight, len(pair)))
+
+    @property
+    def n(self) -> int:
+        return len(self.start) - 1
+
+    @property
+    def degree(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    @property
+    def of_node(self) -> np.ndarray:
+        """The node that each place of ``to`` belongs to."""
+        return np.repeat(np.arange(self.n), self.degree)
+
+    def around(self, k: int) -> np.ndarray:
+        return self.to[self.start[k] : self.start[k + 1]]
+
+    def steps(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All links (from, to) that leave the nodes."""
+        size = self.degree[nodes]
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(nodes, size), self.to[np.repeat(self.start[nodes], size) + offset]
+
+
+def page_rank(w: Links | np.ndarray) -> np.ndarray:
     """(N04) ROUNDS steps of the weighted walk; mass of nodes without edges is spread."""
-    n, out = len(w), w.sum(axis=1)
-    step = np.divide(w, out[:, None], out=np.full_like(w, 1 / n), where=out[:, None] > 0)
-    rank = np.full(n, 1 / n)
+    g = Links.of(w)
+    n, at = g.n, g.of_node
+    out = np.bincount(at, g.weight, n)
+    share = g.weight / out[at]
+    rank = np.full(n, 1 / max(n, 1))
     for _ in range(ROUNDS):
-        rank = (1 - DAMPING) / n + DAMPING * rank @ step
+        rank = (1 - DAMPING) / n + DAMPING * (np.bincount(g.to, rank[at] * share, n) + rank[out == 0].sum() / n)
     return rank
 
 
-def betweenness(linked: np.ndarray) -> np.ndarray:
-    """(N03) Shortest paths of all sources at once, layer by layer: a level is one product with the adjacency."""
-    n = len(linked)
-    if n < 3:
-        return np.zeros(n)
-    a = linked.astype(float)
-    paths, seen = np.eye(n), np.eye(n, dtype=bool)
-    layers, front = [], np.eye(n)
-    while True:
-        front = (front @ a) * ~seen
-        if not front.any():
-            break
-        layers.append(front > 0)
-        paths += front
-        seen |= front > 0
-    share = np.zeros((n, n))
-    for k in range(len(layers) - 1, 0, -1):
-        flow = np.where(layers[k], (1 + share) / np.where(layers[k], paths, 1), 0)
-        share += np.where(layers[k - 1], (flow @ a) * paths, 0)
-    return share.sum(axis=0) / ((n - 1) * (n - 2))
-
-
-def communities(w: np.ndarray) -> np.ndarray:
+def passed(g: Links, sources: np.ndarray) -> np.ndarray:
+    """Shares of shortest paths from the sources that run through each node, layer by layer; one source after the other."""
+    total = np.zeros(g.n)
+    for s in sources.tolist():
+        paths, layer = np.zeros(g.n), np.full(g.n, -1)
+        paths[s], layer[s] = 1, 0
+        steps, front = [], np.array([s])
+        while len(front):
+            a, b = g.steps(front)
+            layer[b[layer[b] < 0]] = len(steps) + 1
+            on = layer[b] == len(steps) + 1
+            a, b = a[on], b[on]
+            np.add.at(paths, b, paths[a])
+            steps.append((a, b))
+            front = np.unique(b)
+        share = np.zeros(g.n)
+        for a, b in reversed(steps):
+            np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
+        share[s] = 0
+        total += share
+    return total
+
+
+def betweenness(linked: Links | np.ndarray) -> np.ndarray:
+    """(N03)"""
+    g = Links.of(linked)
+    return passed(g, np.arange(g.n)) / max((g.n - 1) * (g.n - 2), 1)
+
+
+def communities(w: Links | np.ndarray) -> np.ndarray:
     """(N05) Label propagation in the order of the nodes; ties go to the lowest label."""
-    label = np.arange(len(w))
+    g = Links.of(w)
+    label = np.arange(g.n)
     for _ in range(SWEEPS):
         before = label.copy()
-        for k in np.flatnonzero(w.any(axis=1)):
-            label[k] = np.bincount(label, w[k]).argmax()
+        for k in np.flatnonzero(g.degree).tolist():
+            near, at = np.unique(label[g.around(k)], return_inverse=True)
+            label[k] = near[np.bincount(at, g.weight[g.start[k] : g.start[k + 1]]).argmax()]
         if (label == before).all():
             break
     return np.unique(label, return_inverse=True)[1]
 
 
-def component_labels(linked: np.ndarray) -> np.ndarray:
-    """(N06)"""
-    n = len(linked)
-    reach = linked | np.eye(n, dtype=bool)
+def component_labels(linked: Links | np.ndarray) -> np.ndarray:
+    """(N06) Every node takes the least label around it, then that node's label."""
+    g = Links.of(linked)
+    label, at = np.arange(g.n), g.of_node
     while True:
-        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-        if (wider == reach).all():
-            return np.unique(reach.argmax(axis=1), return_inverse=True)[1]
-        reach = wider
-
-
-def articulation(linked: np.ndarray) -> np.ndarray:
-    """(N07) Nodes whose neighbours fall apart without them: each is taken out and the search from one neighbour misses another."""
-    n = len(linked)
-    out = np.zeros(n, bool)
-    for k in range(n):
-        around = np.flatnonzero(linked[k])
-        if len(around) < 2:
+        less = label.copy()
+        np.minimum.at(less, g.to, label[at])
+        less = less[less]
+        if (less == label).all():
+            return np.unique(label, return_inverse=True)[1]
+        label = less
+
+
+def articulation(linked: Links | np.ndarray) -> np.ndarray:
+    """(N07) Nodes whose neighbours fall apart without them, by one depth-first walk: nothing below a child reaches above the node."""
+    g = Links.of(linked)
+    seen, low, out = np.full(g.n, -1), np.zeros(g.n, np.int64), np.zeros(g.n, bool)
+    clock = 0
+    for root in range(g.n):
+        if seen[root] >= 0:
             continue
-        seen = np.zeros(n, bool)
-        seen[[k, around[0]]] = True
-        front = np.array([around[0]])
-        while len(front) and not seen[around].all():
-            new = linked[front].any(axis=0) & ~seen
-            seen |= new
-            front = np.flatnonzero(new)
-        out[k] = not seen[around].all()
+        seen[root] = low[root] = clock
+        clock += 1
+        walk, children = [(root, -1, iter(g.around(root).tolist()))], 0
+        while walk:
+            k, parent, others = walk[-1]
+            down = next((b for b in others if b != parent), None)
+            if down is None:
+                walk.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[k])
+                    if parent == root:
+                        children += 1
+                    elif low[k] >= seen[parent]:
+                        out[parent] = True
+            elif seen[down] >= 0:
+                low[k] = min(low[k], seen[down])
+            else:
+                seen[down] = low[down] = clock
+                clock += 1
+                walk.append((down, k, iter(g.around(down).tolist())))
+        out[root] = children > 1
     return out
 
 
-MEASURES = "cluster string, id string, degree_centrality double, betweenness double, pagerank double, community int, component int, articulation boolean, bridge_score double, is_bridge boolean"
+def _numbered(links: pd.DataFrame, names: list[str]) -> Links:
+    place = {name: k for k, name in enumerate(names)}
+    a, b = links["a"].map(place).to_numpy(int), links["b"].map(place).to_numpy(int)
+    w = links["weight"].to_numpy(float)
+    return Links.joining(len(names), np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]))
+
+
+def _topic_betweenness(nodes: DataFrame, edges: DataFrame, together: int) -> DataFrame:
+    """nodes(cluster, id), edges(cluster, a, b, weight) -> cluster, id, betweenness of nodes with edges. The sources of a topic are dealt into parts of about so many; each part gets the topic's edges."""
+    size = nodes.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / together).cast("int"))
+    dealt = edges.join(size.select("cluster", "parts"), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def one(key, links: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(links["a"]) | set(links["b"]))
+        parts = int(links["parts"].iloc[0])
+        own = np.array([k for k, name in enumerate(names) if zlib.crc32(name.encode()) % parts == key[1]], int)
+        return pd.DataFrame({"cluster": key[0], "id": names, "passed": passed(_numbered(links, names), own)})
 
+    found = dealt.groupBy("cluster", "part").applyInPandas(one, "cluster string, id string, passed double").groupBy("cluster", "id").agg(F.sum("passed").alias("passed"))
+    return found.join(size, "cluster").select("cluster", "id", (F.col("passed") / F.greatest((F.col("n") - 1) * (F.col("n") - 2), F.lit(1))).alias("betweenness"))
 
-def measures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(N02-N08) All measures of all topics."""
+
+MEASURES = ("cluster", "id", "degree_centrality", "betweenness", "pagerank", "community", "component", "articulation", "bridge_score", "is_bridge")
+
+
+def measures(nodes: DataFrame, edges: DataFrame, together: int = 256) -> DataFrame:
+    """(N02-N08) All measures of all topics. What takes a walk from every node is dealt (``_topic_betweenness``)."""
 
     def one(key, ids: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         names = sorted(ids["id"])
-        place = {name: k for k, name in enumerate(names)}
-        n = len(names)
-        w = np.zeros((n, n))
-        a, b = links["a"].map(place).to_numpy(int), links["b"].map(place).to_numpy(int)
-        np.add.at(w, (a, b), links["weight"].to_numpy(float))
-        w = w + w.T
-        linked = w > 0
-        between, group, cut = betweenness(linked), communities(w), articulation(linked)
-        around = np.array([len(set(group[row])) for row in linked]) if n else np.zeros(0)
-        score = between + TWO_COMMUNITIES * (around >= 2) + ARTICULATION * cut
+        g = _numbered(links, names)
+        group = communities(g)
+        around = np.array([len(np.unique(group[g.around(k)])) for k in range(g.n)], int)
         return pd.DataFrame({
-            "cluster": key[0], "id": names, "degree_centrality": linked.sum(axis=1) / max(n - 1, 1), "betweenness": between, "pagerank": page_rank(w), "community": group,
-            "component": component_labels(linked), "articulation": cut, "bridge_score": np.minimum(score, 1), "is_bridge": score >= BRIDGE,
+            "cluster": key[0], "id": names, "degree_centrality": g.degree / max(g.n - 1, 1), "pagerank": page_rank(g), "community": group,
+            "component": component_labels(g), "articulation": articulation(g), "around": around,
         })
 
     # both come from the same mentions: fresh names for their columns
     own = lambda df, *names: df.select(*(F.col(c).alias(c) for c in names))
-    return own(nodes, "cluster", "id").groupBy("cluster").cogroup(own(edges, "cluster", "a", "b", "weight").groupBy("cluster")).applyInPandas(one, MEASURES)
+    nodes, edges = own(nodes, "cluster", "id"), own(edges, "cluster", "a", "b", "weight")
+    linear = nodes.groupBy("cluster").cogroup(edges.groupBy("cluster")).applyInPandas(one, "cluster string, id string, degree_centrality double, pagerank double, community int, component int, articulation boolean, around int")
+    out = linear.join(_topic_betweenness(nodes, edges, together), ["cluster", "id"], "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+    raw = bridge_total(F.col("betweenness"), F.col("around"), F.col("articulation"))
+    return out.withColumns({"bridge_score": F.least(F.lit(1.0), raw), "is_bridge": raw >= BRIDGE}).select(*MEASURES)
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -187,9 +281,14 @@ def two_hops(edges: DataFrame, seeds: DataFrame, least: float = 3) -> DataFrame:
     return one.withColumn("hops", F.lit(1)).unionByName(two.withColumn("hops", F.lit(2))).groupBy("id").agg(F.min("hops").alias("hops")).join(seeds.select("id"), "id", "left_anti")
 
 
+def bridge_total(between: Column, communities_around: Column, cut: Column) -> Column:
+    """(N08) Betweenness with bonuses for neighbours in two communities and for articulation points."""
+    return between + F.when(communities_around >= 2, TWO_COMMUNITIES).otherwise(0.0) + F.when(cut, ARTICULATION).otherwise(0.0)
+
+
 def bridge_score(between: Column, communities_around: Column, cut: Column) -> Column:
-    """(N08) Betweenness with bonuses for neighbours in two communities and for articulation points; shown up to 1."""
-    return F.least(F.lit(1.0), between + F.when(communities_around >= 2, TWO_COMMUNITIES).otherwise(0.0) + F.when(cut, ARTICULATION).otherwise(0.0))
+    """(N08) The total as shown, up to 1."""
+    return F.least(F.lit(1.0), bridge_total(between, communities_around, cut))
 
 
 def ranked(measured: DataFrame, *keys: str) -> DataFrame:

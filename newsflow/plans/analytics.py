@@ -95,13 +95,13 @@ query("M15_cluster_terms")(lambda s, d: enrich.cluster_terms(docs(s, d).select(F
 
 
 def source_messages(s, d) -> DataFrame:
-    """documents as messages of topics: two days each, channels by source."""
+    """documents as messages, one a minute: topics of 100 messages, channels by source, the whole text stands for a link."""
     m = docs(s, d).withColumn("message_date", F.timestamp_add("MINUTE", F.col("doc_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
     m = m.withColumn("c", tx.cleaned(F.col("text")))
     return m.select(
         F.concat_ws(":", F.lit("run_b"), F.floor(F.col("doc_id") / 100)).alias("public_cluster_id"), F.concat_ws(":", "source", "doc_id").alias("event_id"), F.col("source").alias("channel"), F.col("doc_id").alias("message_id"), "message_date", "text",
-        tx.tokens(F.col("c")).alias("tokens"), F.array("lang").alias("entities"), F.array(F.sha2(F.substring("c", 1, 40), 256)).alias("url_fingerprints"), fp.text_hash(F.col("c")).alias("text_hash"), fp.simhash64(F.col("c")).alias("simhash"),
-        F.when(F.col("doc_id") % 5 == 0, F.sha2(F.substring("c", 1, 40), 256)).alias("primary_url"), F.crc32("source").alias("channel_id"),
+        tx.tokens(F.col("c")).alias("tokens"), F.array("lang").alias("entities"), F.array(F.sha2("c", 256)).alias("url_fingerprints"), fp.text_hash(F.col("c")).alias("text_hash"), fp.simhash64(F.col("c")).alias("simhash"),
+        F.when(F.col("doc_id") % 5 == 0, F.sha2("c", 256)).alias("primary_url"), F.crc32("source").alias("channel_id"),
         F.when(F.col("doc_id") % 7 == 3, F.col("doc_id") - 20).alias("reply_to_message_id"), F.when(F.col("doc_id") % 11 == 5, F.crc32("source")).alias("forward_from_channel_id"), F.when(F.col("doc_id") % 11 == 5, F.col("doc_id") - 40).alias("forward_from_message_id"),
     )
 
@@ -116,7 +116,8 @@ query("R01_exact_sources", """WITH m AS (SELECT concat_ws(':', source, doc_id) A
     FROM m LEFT JOIN m a ON a.source = m.source AND a.doc_id = m.f LEFT JOIN m b ON b.source = m.source AND b.doc_id = m.r""")(
     lambda s, d: (lambda m: first_source.exact_sources(m, m).select("event_id", "source_type", "confidence", "source_event_id"))(source_messages(s, d).withColumn("primary_url", F.lit(None).cast("string")))
 )
-query("R02_inferred_sources")(lambda s, d: source_sides(s, d)[2])
+# topics of one source each grow with the table
+query("R02_inferred_sources")(lambda s, d: first_source.inferred_sources(source_messages(s, d).withColumn("public_cluster_id", F.concat_ws(":", F.lit("run_b"), "channel"))))
 query("R05_cluster_exact")(lambda s, d: first_source.cluster_exact(source_sides(s, d)[1]))
 query("R06_cluster_inferred", "SELECT concat('run_b:', CAST(floor(doc_id / 100) AS BIGINT)) AS public_cluster_id, arg_min(concat_ws(':', source, doc_id), doc_id) AS source_event_id, 0.35 AS confidence FROM documents GROUP BY 1")(lambda s, d: first_source.cluster_inferred(source_messages(s, d)))
 query("R07_propagation_links")(lambda s, d: (lambda m, e, i: first_source.propagation_links(e, i))(*source_sides(s, d)))

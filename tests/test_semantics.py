@@ -83,6 +83,32 @@ def test_first_source(spark):
     assert (low["demo:2"].source_type, low["demo:2"].confidence) == ("earliest_in_cluster", 0.35)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.55, 0.62, 0.7])
+def test_inferred_sources_against_all_pairs(spark, threshold):
+    """Copies, ties in time, unknown times, few and many bits apart: what is left out can't reach the threshold."""
+    rng = np.random.default_rng(11)
+    some = lambda names, most: [names[k] for k in sorted(rng.choice(len(names), int(rng.integers(0, most + 1)), replace=False))]
+    rows, base = [], [int(x) for x in rng.integers(-(2**62), 2**62, 4)]
+    for k in range(90):
+        flips = sum(1 << int(b) for b in rng.choice(62, int(rng.choice([0, 2, 6, 12, 30])), replace=False))
+        more = dict(public_cluster_id=str(rng.choice(["r:1", "r:2"])), tokens=some(list("abcd"), 4), entities=some(list("xyz"), 3), url_fingerprints=some(["u1", "u2"], int(rng.integers(0, 3))), text_hash=str(rng.choice(["h1", "h2", f"own{k}"])), simhash=base[int(rng.integers(4))] ^ flips)
+        row = message(f"demo:{k}", int(rng.integers(0, 50)), **more)
+        rows.append(row if k % 3 or not rows else {**rows[-1], "event_id": f"demo:{k}", "message_date": row["message_date"] if k % 9 else None})
+    m = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows], SCHEMA)
+    of = lambda prefix: lambda name: F.col(f"{prefix}.{name}")
+    earlier = F.struct("c.message_date", "c.event_id") < F.struct("t.message_date", "t.event_id")
+    pairs = m.alias("t").join(m.alias("c"), (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier)
+    scored = pairs.select(F.col("t.event_id").alias("t"), F.col("c.event_id").alias("c"), F.col("c.message_date").alias("date"), first_source.pair_confidence(of("t"), of("c")).alias("sure")).collect()
+    when = lambda r: (r.date is not None, r.date or datetime.min, r.c)
+    expected = {r["event_id"]: ("unknown", 0.0, None) for r in rows}
+    for t in {r.t for r in scored}:
+        best, first = min((r for r in scored if r.t == t), key=lambda r: (-r.sure, when(r))), min((r for r in scored if r.t == t), key=when)
+        expected[t] = ("inferred_semantic", best.sure, best.c) if best.sure >= threshold else ("earliest_in_cluster", 0.35, first.c)
+    got = {r.event_id: (r.source_type, r.confidence, r.source_event_id) for r in first_source.inferred_sources(m, threshold).collect()}
+    assert got == expected
+    assert {"inferred_semantic", "earliest_in_cluster", "unknown"} == {v[0] for v in got.values()}
+
+
 def test_exact_sources(spark):
     rows = [message("demo:1", 0, primary_url="u"), message("demo:2", 1, forward_from_channel_id=1, forward_from_message_id=1), message("demo:3", 2, reply_to_message_id=2), message("demo:4", 3, primary_url="u"), message("demo:5", 4, reply_to_message_id=6), message("demo:6", 5)]
     m = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows], SCHEMA)
@@ -104,6 +130,26 @@ def test_graph(spark):
     assert graph.summary(nodes, edges).first().density == pytest.approx(0.6)
 
 
+def test_graph_parts(spark):
+    """Sources dealt into parts give the same betweenness; a node without links has its row."""
+    rng = np.random.default_rng(7)
+    names = [f"n{k:02d}" for k in range(30)]
+    links = [("t", names[a], names[b], float(w)) for a, b, w in zip(*np.triu_indices(29, 1), rng.integers(0, 25, 406), strict=True) if w > 21]
+    nodes = spark.createDataFrame([("t", n) for n in names] + [("u", "alone")], "cluster string, id string")
+    edges = spark.createDataFrame(links, "cluster string, a string, b string, weight double")
+    got = {(r.cluster, r.id): r for r in graph.measures(nodes, edges, together=4).collect()}
+    w = np.zeros((30, 30))
+    for _, a, b, x in links:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = x
+    assert [got["t", n].betweenness for n in names] == pytest.approx(graph.betweenness(w > 0))
+    out = w.sum(axis=1)
+    step, rank = np.divide(w, out[:, None], out=np.full_like(w, 1 / 30), where=out[:, None] > 0), np.full(30, 1 / 30)
+    for _ in range(graph.ROUNDS):
+        rank = (1 - graph.DAMPING) / 30 + graph.DAMPING * rank @ step
+    assert [got["t", n].pagerank for n in names] == pytest.approx(rank)
+    assert (got["u", "alone"].betweenness, got["u", "alone"].is_bridge, got["u", "alone"].pagerank) == (0, False, pytest.approx(1))
+
+
 def test_graph_measures_against_plain_code():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -105,7 +105,8 @@ def inferred_sources(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Only pairs that can reach the threshold are scored (``_candidates``), by exact bounds of the
     parts of the score, so the result is that of scoring all earlier messages. Different texts
-    that share one link are still compared with each other.
+    that share one link are still compared with each other. m is read several times: persist it
+    if it is dear.
     """
     # what a pair needs is prepared once per message: sets without blanks, quotes, plain text
     members = lambda c: F.array_distinct(F.filter(c, lambda v: v != "")).alias(c)

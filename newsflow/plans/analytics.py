@@ -107,7 +107,7 @@ def source_messages(s, d) -> DataFrame:
 
 
 def source_sides(s, d):
-    m = source_messages(s, d)
+    m = source_messages(s, d).persist()  # read several times
     return m, first_source.exact_sources(m, m), first_source.inferred_sources(m)
 
 
@@ -117,7 +117,7 @@ query("R01_exact_sources", """WITH m AS (SELECT concat_ws(':', source, doc_id) A
     lambda s, d: (lambda m: first_source.exact_sources(m, m).select("event_id", "source_type", "confidence", "source_event_id"))(source_messages(s, d).withColumn("primary_url", F.lit(None).cast("string")))
 )
 # topics of one source each grow with the table
-query("R02_inferred_sources")(lambda s, d: first_source.inferred_sources(source_messages(s, d).withColumn("public_cluster_id", F.concat_ws(":", F.lit("run_b"), "channel"))))
+query("R02_inferred_sources")(lambda s, d: first_source.inferred_sources(source_messages(s, d).withColumn("public_cluster_id", F.concat_ws(":", F.lit("run_b"), "channel")).persist()))
 query("R05_cluster_exact")(lambda s, d: first_source.cluster_exact(source_sides(s, d)[1]))
 query("R06_cluster_inferred", "SELECT concat('run_b:', CAST(floor(doc_id / 100) AS BIGINT)) AS public_cluster_id, arg_min(concat_ws(':', source, doc_id), doc_id) AS source_event_id, 0.35 AS confidence FROM documents GROUP BY 1")(lambda s, d: first_source.cluster_inferred(source_messages(s, d)))
 query("R07_propagation_links")(lambda s, d: (lambda m, e, i: first_source.propagation_links(e, i))(*source_sides(s, d)))

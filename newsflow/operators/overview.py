@@ -101,10 +101,12 @@ def cluster_channels(r: Relations, cluster: str, start, end) -> DataFrame:
 def top_entities(r: Relations, start, end, most: int = 50, entity_type: str | None = None, cluster: str | None = None) -> DataFrame:
     """(G06, J03) Mentions over topics and channels; messages without topic count as one more."""
     d = r.raw.where(within("message_date", start, end)).join(optional(r.ner, "entity_type", entity_type), "event_id").join(of_latest_run(r).select("event_id", "public_cluster_id"), "event_id", "left")
-    d = optional(d, "public_cluster_id", cluster).withColumn("entity_key", entity_key())
-    counts = d.groupBy("entity_key", "entity_type").agg(
-        entity_text().alias("entity_text"), F.count("*").alias("mention_count"), F.countDistinct(F.coalesce("public_cluster_id", F.lit("unclustered"))).alias("topic_count"), F.countDistinct("channel").alias("channel_count"),
-    )
+    d = optional(d, "public_cluster_id", cluster).withColumn("topic", F.coalesce("public_cluster_id", F.lit("unclustered")))
+    # counted by spelling, topic and channel first, by hash and before the shuffle; both distinct counts and the extremes of texts then work on few rows
+    per = d.groupBy("normalized_text", "entity_text", "entity_type", "topic", "channel").agg(F.count("*").alias("n")).withColumn("entity_key", entity_key())
+    counts = per.groupBy("entity_key", "entity_type").agg(
+        entity_text().alias("entity_text"), F.sum("n").alias("mention_count"), F.countDistinct("topic").alias("topic_count"), F.countDistinct("channel").alias("channel_count")
+    )
     return counts.orderBy(F.desc("mention_count"), "entity_text", "entity_type").limit(most)
 
 

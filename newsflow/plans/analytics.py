@@ -29,8 +29,10 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def docs(s, d) -> DataFrame:
-    return table(s, d, "documents")
+def docs(s, d, *columns: str) -> DataFrame:
+    """documents, or some columns of it over all cores, for work on whole texts."""
+    found = table(s, d, "documents")
+    return testbed.spread(found.select(*columns)) if columns else found
 
 
 SQ = "trim(regexp_replace({0}, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
@@ -40,15 +42,15 @@ query("X01_urls", "SELECT page_id, array_to_string(regexp_extract_all(html, '(?i
 query("X02_mentions_tags", "SELECT doc_id, array_to_string(regexp_extract_all(text, '@[A-Za-z0-9_]{1,64}'), ' ') AS mentions, array_to_string(regexp_extract_all(text, '#[A-Za-z0-9_]{1,64}'), ' ') AS tags FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", F.array_join(tx.mentions(F.col("text")), " ").alias("mentions"), F.array_join(tx.hashtags(F.col("text")), " ").alias("tags"))
 )
-query("X03_cleaned", f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")(lambda s, d: docs(s, d).select("doc_id", tx.cleaned(F.col("text")).alias("cleaned")))
-query("X05_tokens", f"SELECT doc_id, len(list_filter(string_split({CLEAN}, ' '), lambda x: x <> '')) AS n_words FROM documents")(lambda s, d: docs(s, d).select("doc_id", tx.cleaned(F.col("text")).alias("c")).select("doc_id", F.size(tx.tokens(F.col("c"))).alias("n_words")))
+query("X03_cleaned", f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")(lambda s, d: docs(s, d, "doc_id", "text").select("doc_id", tx.cleaned(F.col("text")).alias("cleaned")))
+query("X05_tokens", f"SELECT doc_id, len(list_filter(string_split({CLEAN}, ' '), lambda x: x <> '')) AS n_words FROM documents")(lambda s, d: docs(s, d, "doc_id", "text").select("doc_id", tx.cleaned(F.col("text")).alias("c")).select("doc_id", F.size(tx.tokens(F.col("c"))).alias("n_words")))
 query("X06_sentences", "SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) = '' THEN 0 ELSE greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g')) <> ''))) END AS n FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", tx.sentences(F.col("text")).alias("n"))
 )
 query("X08_language", """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS letters, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, regexp_extract_all(lower(text), '[A-Za-z]{2,}') AS words FROM documents),
     s AS (SELECT *, latin / letters AS share, len(list_filter(words, lambda w: w IN (""" + ", ".join(f"'{w}'" for w in tx.ENGLISH) + """))) AS hits FROM c)
     SELECT doc_id, CASE WHEN letters = 0 OR share < 0.55 OR len(words) = 0 THEN 'und' WHEN greatest(share * least(1.0, hits / 2), CASE WHEN hits > 0 THEN 0.5 ELSE 0 END) >= 0.55 THEN 'en' ELSE 'other' END AS language FROM s""")(
-    lambda s, d: docs(s, d).select("doc_id", tx.language(F.col("text"))["language"].alias("language"))
+    lambda s, d: docs(s, d, "doc_id", "text").select("doc_id", tx.language(F.col("text"))["language"].alias("language"))
 )
 query("X09_routing", "SELECT doc_id, CASE WHEN lang IN ('ru', 'en') THEN 'full' ELSE 'partial' END AS mode FROM documents")(lambda s, d: docs(s, d).select("doc_id", tx.analysis_mode(F.col("lang")).alias("mode")))
 query("X12_snippets", f"SELECT doc_id, CASE WHEN length(c) > 220 THEN concat(rtrim(c[1:217]), '...') ELSE c END AS snippet FROM (SELECT doc_id, {SQ.format('text')} AS c FROM documents)")(lambda s, d: docs(s, d).select("doc_id", tx.snippet(F.col("text")).alias("snippet")))
@@ -68,7 +70,7 @@ query("X21_normalized_urls", "SELECT page_id, concat(regexp_extract(lower(url),
 )
 query("X22_text_hash", "SELECT doc_id, CASE WHEN trim(text) <> '' THEN sha256(trim(text)) END AS h FROM documents")(lambda s, d: docs(s, d).select("doc_id", fp.text_hash(F.col("text")).alias("h")))
 query("X23_url_fingerprints")(lambda s, d: table(s, d, "pages").select("page_id", F.array_join(fp.url_fingerprints(F.array("url", F.concat("url", F.lit("#again")))), ",").alias("prints")))
-query("X24_simhash64")(lambda s, d: docs(s, d).select("doc_id", fp.simhash64(tx.cleaned(F.col("text"))).alias("simhash")))
+query("X24_simhash64")(lambda s, d: docs(s, d, "doc_id", "text").select("doc_id", fp.simhash64(tx.cleaned(F.col("text"))).alias("simhash")))
 query("X25_hamming", "SELECT l_orderkey, l_linenumber, bit_count(xor(l_partkey, l_suppkey)) AS d FROM lineitem")(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", fp.hamming(F.col("l_partkey"), F.col("l_suppkey")).alias("d")))
 query("X26_jaccard", """WITH e AS (SELECT event_id, list_sort(list(DISTINCT lower(coalesce(normalized_text, entity_text)))) AS s FROM ner_results GROUP BY 1)
     SELECT a.event_id, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM e a JOIN e b ON CAST(a.event_id AS INT) = CAST(b.event_id AS INT) + 1""")(

@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Schemas by session and path, as a catalogue would have them: each footer is read once, not once for each use of a table.
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores. Files with fewer row groups than there are cores (one of 15 MB, say) are dealt once, larger inputs stay as they are; for work that costs more than moving the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def event_id(column: str):
@@ -41,7 +55,7 @@ def sentiment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("run_a", "2024-01-01 00:00:00"), ("run_b", "2024-01-02 00:00:00")], "run_id string, run_timestamp string")
+    return spark.sql("SELECT * FROM VALUES ('run_a', '2024-01-01 00:00:00'), ('run_b', '2024-01-02 00:00:00') AS v(run_id, run_timestamp)")
 
 
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.fingerprints import cosine, jaccard, theme_score
+from newsflow.operators.components import components
+from newsflow.session import shared_folder
 
 #: Least cosine of a link, bounds of the probability.
 LINK, LOW, HIGH = 0.68, 0.55, 0.99
+#: Vectors that one task compares; buckets of more are dealt into parts.
+TOGETHER = 4096
 
 
 def bucket_of(ts: Column, hours: int = 6) -> Column:
@@ -30,11 +34,19 @@ def pending(messages: DataFrame, assigned: DataFrame) -> DataFrame:
     return messages.join(assigned.select("event_id"), "event_id", "left_anti")
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; zero stays zero."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+def _vectors(part: pd.DataFrame) -> np.ndarray:
+    return np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1)
+
+
 def _labels(vectors: np.ndarray, least: float) -> np.ndarray:
     """Components of {cosine >= least}, numbered by first appearance; rows are compared in blocks."""
-    n = len(vectors)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    n, unit = len(vectors), _unit(vectors)
     label, frontier_of, count = np.full(n, -1), [], 0
     for seed in range(n):
         if label[seed] >= 0:
@@ -50,9 +62,7 @@ def _labels(vectors: np.ndarray, least: float) -> np.ndarray:
 
 def _probabilities(vectors: np.ndarray, label: np.ndarray) -> np.ndarray:
     """(C05) Cosine to the centroid within bounds; 1 alone, 0.75 for a centroid of zero."""
-    out = np.ones(len(vectors))
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    out, unit = np.ones(len(vectors)), _unit(vectors)
     for k in np.unique(label):
         rows = np.flatnonzero(label == k)
         if len(rows) > 1:
@@ -62,22 +72,88 @@ def _probabilities(vectors: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity_clusters(messages: DataFrame, least: float = LINK) -> DataFrame:
-    """(C04, C05) messages(bucket, event_id, event_timestamp, embedding) -> bucket, event_id, label within the bucket, probability.
+def similarity_clusters(messages: DataFrame, least: float = LINK, together: int = TOGETHER) -> DataFrame:
+    """(C04, C05) messages(bucket, event_id, event_timestamp, embedding) -> bucket, event_id, label within the bucket, probability, first.
 
-    A bucket is bounded by its time span; its rows are ordered by time, then id.
+    Rows of a bucket are ordered by time, then id. A bucket of up to ``together`` rows is one
+    group. A larger one is dealt into parts of about that many, which find their own components;
+    pairs of parts then link components that are not connected yet, so no task holds more than
+    two parts and every pair of rows is still covered. Counting the buckets is a job of its own.
     """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["event_timestamp", "event_id"], kind="stable")
-        vectors = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1)
+        vectors = _vectors(part)
         label = _labels(vectors, least)
         return pd.DataFrame({"bucket": part["bucket"], "event_id": part["event_id"], "label": label, "probability": _probabilities(vectors, label), "first": part["event_timestamp"].min()})
 
-    schema = messages.schema
-    kinds = {c: schema[c].dataType.simpleString() for c in ("bucket", "event_id", "event_timestamp")}
+    kinds = {c: messages.schema[c].dataType.simpleString() for c in ("bucket", "event_id", "event_timestamp")}
     out = f"bucket {kinds['bucket']}, event_id {kinds['event_id']}, label int, probability double, first {kinds['event_timestamp']}"
-    return messages.select("bucket", "event_id", "event_timestamp", "embedding").groupBy("bucket").applyInPandas(one, out)
+    messages = messages.select("bucket", "event_id", "event_timestamp", "embedding")
+    sizes = messages.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("*").alias("_n")).where(F.col("_n") > together)
+    if sizes.isEmpty():
+        return messages.groupBy("bucket").applyInPandas(one, out)
+    shared_folder(messages.sparkSession)
+    sizes = sizes.select("_bucket", F.ceil(F.col("_n") / together).cast("int").alias("parts")).checkpoint()
+    dealt = messages.join(sizes, F.col("bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
+    small = dealt.where("parts is null").drop("parts").groupBy("bucket").applyInPandas(one, out)
+    large = _dealt_clusters(dealt.where("parts is not null"), least, kinds)
+    return small.unionByName(large.select("bucket", "event_id", "label", "probability", "first"))
+
+
+def _dealt_clusters(rows: DataFrame, least: float, kinds: dict[str, str]) -> DataFrame:
+    """similarity_clusters for rows(bucket, event_id, event_timestamp, embedding, parts) of large buckets.
+
+    A component is named by its first row. Each row moves once for each part of its bucket.
+    """
+    order = ["event_timestamp", "event_id"]
+    row = f"struct<at: {kinds['event_timestamp']}, id: {kinds['event_id']}>"
+
+    def named(part: pd.DataFrame, label: np.ndarray) -> pd.DataFrame:
+        first = part[order].iloc[np.unique(label, return_index=True)[1][label]]
+        return part.assign(root_at=first["event_timestamp"].to_numpy(), root_id=first["event_id"].to_numpy())
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        return named(part, _labels(_vectors(part), least))
+
+    def across(pair: pd.DataFrame) -> pd.DataFrame:
+        own = (pair["part"] == pair["low"]).to_numpy()
+        a, b = pair[own].reset_index(drop=True), pair[~own].reset_index(drop=True)
+        found = pd.DataFrame(columns=["a_at", "a_id", "b_at", "b_id"])
+        if not len(a) or not len(b):
+            return found.assign(bucket=None)
+        # numbers of the components on both sides
+        ka, kb = (x.groupby(["root_at", "root_id"], sort=False, dropna=False).ngroup().to_numpy() for x in (a, b))
+        ua, ub, seen = _unit(_vectors(a)), _unit(_vectors(b)), np.zeros((ka.max() + 1, kb.max() + 1), bool)
+        for k in range(0, len(a), 512):
+            i, j = np.nonzero(ua[k : k + 512] @ ub.T >= least)
+            seen[ka[k + i], kb[j]] = True
+        i, j = np.nonzero(seen)
+        left, right = (x.iloc[np.unique(kx, return_index=True)[1][at]] for x, kx, at in ((a, ka, i), (b, kb, j)))
+        found = pd.DataFrame({"a_at": left["root_at"].to_numpy(), "a_id": left["root_id"].to_numpy(), "b_at": right["root_at"].to_numpy(), "b_id": right["root_id"].to_numpy()})
+        return found.assign(bucket=pair["bucket"].iloc[0])
+
+    at, ident = kinds["event_timestamp"], kinds["event_id"]
+    whole = f"bucket {kinds['bucket']}, event_id {ident}, event_timestamp {at}, embedding array<double>, parts int, part int, root_at {at}, root_id {ident}"
+    rows = rows.withColumns({"embedding": F.col("embedding").cast("array<double>"), "part": F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")})
+    rows = rows.groupBy("bucket", "part").applyInPandas(inside, whole).checkpoint()
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
+    links = pairs.groupBy("bucket", "low", "high").applyInPandas(across, f"a_at {at}, a_id {ident}, b_at {at}, b_id {ident}, bucket {kinds['bucket']}")
+    node = lambda when, who: F.struct("bucket", F.struct(F.col(when).alias("at"), F.col(who).alias("id")).cast(row).alias("row"))
+    found = components(links.select(node("a_at", "a_id").alias("a"), node("b_at", "b_id").alias("b")))
+    rows = rows.withColumn("node", node("root_at", "root_id")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # (C05) sums of unit vectors, coordinate by coordinate
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(size > 0, F.transform("embedding", lambda x: x / size)).otherwise(F.transform("embedding", lambda x: F.lit(0.0)))
+    sums = rows.select("root", F.posexplode(unit).alias("k", "x")).groupBy("root", "k").agg(F.sum("x").alias("x"))
+    centres = sums.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
+    counts = rows.groupBy("root").agg(F.count("*").alias("n")).withColumn("label", (F.row_number().over(Window.partitionBy("root.bucket").orderBy("root.row")) - 1).cast("int"))
+    begins = rows.groupBy("bucket").agg(F.min("event_timestamp").alias("first")).withColumnRenamed("bucket", "_bucket")
+    zero = F.forall("centre", lambda x: x == 0)
+    probability = F.when(F.col("n") == 1, 1.0).when(zero, 0.75).otherwise(F.least(F.greatest(cosine(F.col("embedding"), F.col("centre")), F.lit(LOW)), F.lit(HIGH)))
+    full = rows.join(counts, "root").join(centres, "root").join(begins, F.col("bucket").eqNullSafe(F.col("_bucket")))
+    return full.withColumn("probability", probability)
 
 
 def global_labels(local: DataFrame) -> DataFrame:

@@ -190,6 +190,18 @@ def test_clusters(spark):
     assert ids.agg(clustering.run_id(F.col("i"))).first() == ids.orderBy(F.desc("i")).agg(clustering.run_id(F.col("i"))).first()
 
 
+def test_clusters_of_a_dealt_bucket(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 12))
+    vectors = [(centres[k % 9] + rng.normal(size=12) * 0.5 if k % 5 else rng.normal(size=12) * (k > 0)).tolist() for k in range(140)]
+    m = spark.createDataFrame([("b" if k < 120 else "c", f"demo:{k}", 1000 - k // 2, v) for k, v in enumerate(vectors)], "bucket string, event_id string, event_timestamp long, embedding array<double>")
+    rows = lambda df: sorted((r.bucket, r.event_id, r.label, round(r.probability, 9), r.first) for r in df.collect())
+    whole = rows(clustering.similarity_clusters(m))
+    assert len({r[2] for r in whole if r[0] == "b"}) > 5
+    for together in (25, 50):
+        assert rows(clustering.similarity_clusters(m, together=together)) == whole
+
+
 def test_relations_and_names(spark):
     spans = spark.createDataFrame([(1, "ЦБ", "Центральный Банк", 0), (1, "Банк России", "Центральный Банк", 4), (1, "Москва", "Москва", 18)], "event_id int, entity_text string, normalized_text string, start_pos int")
     assert [(r.subject, r.object) for r in enrich.relations(spans).collect()] == [("центральный банк", "москва")]

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from newsflow.llm.shared import arrow_session
+from newsflow.sources.testbed import spread
 
 NO_RANK = np.int32(2**31 - 1)
 #: A piece with more bytes than this merges through a heap instead of a matrix row, whose rounds would cost the square of its length.
@@ -250,4 +251,5 @@ def public_vocabulary() -> tuple[str, str]:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, encoded and decoded again."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_vocabulary())
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return digests(docs, *public_vocabulary())

@@ -24,15 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from newsflow.llm.merges import NO_RANK, PairMerges
 from newsflow.llm.shared import arrow_session
 from newsflow.sources.testbed import spread
 
-NO_RANK = np.int32(2**31 - 1)
 #: A piece with more bytes than this merges through a heap instead of a matrix row, whose rounds would cost the square of its length.
 LONGEST_ROW = 256
 #: Distinct pieces that a worker remembers; it forgets all of them when there are more.
 REMEMBERED = 400_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ByteBPE:
@@ -47,91 +46,32 @@ class ByteBPE:
             self.vocabulary[rank] = token
         self.decimal = [str(k) for k in range(len(self.vocabulary))]
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self._hash_pairs()
+        self.merges = self._pairs()
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _hash_pairs(self) -> None:
+    def _pairs(self) -> PairMerges:
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        keys = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.slot_key = np.full(1 << self.bits, np.uint64(2**64 - 1))
-        self.slot_rank = np.full(1 << self.bits, NO_RANK)
-        values, at = np.array(merged, np.int32), self._home(keys)
-        while len(keys):
-            free = self.slot_key[at] == np.uint64(2**64 - 1)
-            first = np.zeros(len(keys), bool)
-            first[np.unique(at, return_index=True)[1]] = True
-            put = free & first
-            self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], values[put]
-            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair's merge, NO_RANK where there is none; -1 pads."""
-        shape = left.shape
-        left, right = left.ravel(), right.ravel()
-        out = np.full(len(left), NO_RANK)
-        open_ = np.flatnonzero((left >= 0) & (right >= 0))
-        keys = (left[open_].astype(np.uint64) << np.uint64(32)) | right[open_].astype(np.uint64)
-        at = self._home(keys)
-        while len(open_):
-            seen = self.slot_key[at]
-            hit = seen == keys
-            out[open_[hit]] = self.slot_rank[at[hit]]
-            on = ~hit & (seen != np.uint64(2**64 - 1))
-            open_, keys, at = open_[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return out.reshape(shape)
-
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """All pieces have at most width bytes."""
-        lens = np.array([len(p) for p in pieces])
-        ids = np.full((len(pieces), width), -1, np.int32)
-        flat = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        row = np.repeat(np.arange(len(pieces)), lens)
-        ids[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
-        ranks = self.pair_ranks(ids[:, :-1], ids[:, 1:])
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        alive = np.arange(len(pieces))
-        while True:
-            at = ranks.argmin(axis=1)  # the first of equal minima
-            best = ranks[np.arange(len(alive)), at]
-            done = best == NO_RANK
-            if done.any():
-                for k, r in zip(alive[done].tolist(), ids[done].tolist(), strict=True):
-                    out[k] = tuple(r[: r.index(-1)] if r[-1] < 0 else r)
-                alive, ids, ranks, at, best = alive[~done], ids[~done], ranks[~done], at[~done], best[~done]
-            if not len(alive):
-                return out
-            n, w = ids.shape
-            rows, columns = np.arange(n), np.arange(w - 1)[None, :]
-            ids[rows, at] = best
-            # close the gap at at + 1 and bring back the width
-            shifted = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
-            moved = np.take_along_axis(ranks, np.minimum(columns[:, :-1] + (columns[:, :-1] > at[:, None]), w - 2), 1) if w > 2 else ranks[:, :0]
-            if w == 2:
-                for k, r in zip(alive.tolist(), shifted[:, 0].tolist(), strict=True):
-                    out[k] = (r,)
-                return out
-            ids, ranks = shifted, moved
-            last = ids.shape[1] - 2
-            right = at <= last
-            ranks[rows[right], at[right]] = self.pair_ranks(ids[rows[right], at[right]], ids[rows[right], at[right] + 1])
-            left = at > 0
-            ranks[rows[left], at[left] - 1] = self.pair_ranks(ids[rows[left], at[left] - 1], ids[rows[left], at[left]])
+        return PairMerges(left, right, merged)
+
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(index, ids) of each piece; all have at most width bytes."""
+        flat, lens = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces])
+        for words, sizes, ids in self.merges.merge(flat, lens, width):
+            held, ends = ids.tolist(), np.cumsum(sizes)
+            for k, start, end in zip(words.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                yield k, tuple(held[start:end])
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merges for one long piece: a heap of (rank, place) over a linked list."""
         n = len(piece)
         ids: list[int] = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        first = self.pair_ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
+        first = self.merges.ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
         heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NO_RANK]
         heapq.heapify(heap)
         vocabulary, ranks = self.vocabulary, self.ranks
@@ -154,7 +94,7 @@ class ByteBPE:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in pieces - self.known.keys():
+        for piece in (p for p in pieces if p not in self.known):
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.known[piece] = (rank,)
@@ -165,8 +105,8 @@ class ByteBPE:
         for width, members in by_width.items():
             for k in range(0, len(members), step := max(1, (1 << 20) // width)):
                 part = members[k : k + step]
-                for (piece, _), ids in zip(part, self._merge_matrix([raw for _, raw in part], width), strict=True):
-                    self.known[piece] = ids
+                for index, ids in self._merge_matrix([raw for _, raw in part], width):
+                    self.known[part[index][0]] = ids
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """The matrices take the distinct pieces of all these texts at once."""

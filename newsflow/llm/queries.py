@@ -10,6 +10,7 @@ from newsflow.llm.decontamination import op8_decontamination
 from newsflow.llm.repeated_bytes import op5_byte_repeats
 from newsflow.llm.repeated_words import op1_word_repeats
 from newsflow.llm.secret_scans import op7_secret_scans
+from newsflow.llm.sentence_pieces import op12_sentence_pieces
 from newsflow.llm.simhash import op4_simhash
 from newsflow.llm.token_counts import op10_token_counts
 from newsflow.llm.toxicity import op3_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 #: DuckDB twins; what is not listed is tested against brute force in tests/llm.
 ORACLE_SQL = {

@@ -44,13 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm.repeated_words import TOLD, TOLD_SCHEMA, meet, met
-from newsflow.llm.shared import Batch, arrow_session, batch_bytes, binary_batch, is_in, mix, n_buckets, rows_of, stage_batches
+from newsflow.llm.shared import Batch, arrow_session, batch_bytes, binary_batch, is_in, mix, n_buckets, planes, rows_of, stage_batches, unplanes
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Entries that a bucket merges in one go (whole groups).
 MERGED_AT_ONCE = 20_000
 #: Occurrences beyond which an anchor is dealt by windows.
 HOT = 4096
+#: Bytes of a count.
+COUNT = 4
 #: Anchors are a fifteenth of the text, so fewer buckets do for their hashes.
 FEWER = 8
 
@@ -118,7 +120,7 @@ def _with_anchors(text: bytes, starts: np.ndarray, length: int) -> list[bytes]:
 
 
 def _send_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (bucket, batch, hashes, counts up to 255)."""
+    """Rows of (bucket, batch, hashes, counts); a batch has fewer than 2**32 anchors."""
     for row in rows_of(batches):
         h = np.frombuffer(row["hashes"], np.uint64)
         if not len(h):
@@ -126,9 +128,9 @@ def _send_hashes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         value, count = np.unique(h, return_counts=True)
         to = (value % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        value, count, to = value[order], np.minimum(count[order], 255).astype(np.uint8), to[order]
+        value, count, to = value[order], count[order], to[order]
         cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1)).tolist()
-        yield binary_batch(["bucket", "batch", "hashes", "counts"], [(int(to[a]), row["batch"], value[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
+        yield binary_batch(["bucket", "batch", "hashes", "counts"], [(int(to[a]), row["batch"], value[a:b].tobytes(), planes(count[a:b], COUNT)) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def _partition_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -146,12 +148,12 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[p
     """To each batch its anchors that occur twice, and which of them occur more than hot times."""
     for held in _partition_rows(batches, "bucket"):
         value = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held])
-        count = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in held])
+        count = np.concatenate([unplanes(r["counts"], COUNT) for r in held])
         _, inverse = np.unique(value, return_inverse=True)
         total = np.bincount(inverse, count)[inverse]
         rows, start = [], 0
         for r in held:
-            v, c = (x[start : start + len(r["counts"])] for x in (value, total))
+            v, c = (x[start : start + len(r["counts"]) // COUNT] for x in (value, total))
             start += len(v)
             if (c > 1).any():
                 rows.append((r["batch"], 0, v[c > 1].tobytes(), v[c > hot].tobytes(), b"", b"", b""))

@@ -8,7 +8,7 @@ survivors are verified bit by bit.
 
 Classes meet in cells: the bits are cut into ``radius + 2`` blocks, at least two of which are
 equal for any pair that links, so a class joins one cell for each pair of blocks and no link
-is lost. A cell walks its table in the order of the first coordinate, emits only a spanning
+is lost. A cell with many classes is cut again by pairs of blocks of its other bits. A cell walks its table in the order of the first coordinate, emits only a spanning
 forest of the links it finds and never all pairs; connected components then grow over the
 shared cells by star contraction, with all links and labels in distributed tables.
 
@@ -47,6 +47,8 @@ from newsflow.llm.shared import arrow_rows, arrow_session, mix, scratch_table, s
 from newsflow.operators.components import components
 
 PIVOTS = 24
+#: Fingerprints of a cell of equal blocks that one task compares; larger cells are cut again, up to LEVELS times.
+BIT_CELL, LEVELS = 4096, 3
 #: Words of a wide fingerprint; cells of a text, each of ROWS least hashes.
 WIDE = 4
 BANDS, ROWS = 16, 4
@@ -105,24 +107,36 @@ def pivots() -> np.ndarray:
     return mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """radius + 2 runs of bits as (shift, width)."""
-    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def blocks(bits: list[int], radius: int) -> list[list[int]]:
+    """Places of bits, cut into radius + 2 runs."""
+    edges = [round(len(bits) * k / (radius + 2)) for k in range(radius + 3)]
+    return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _to_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Each class once for each pair of blocks; the pair's number is part of the key."""
-    choose = list(combinations(blocks(radius), 2))
+def free_bits(path: int, level: int, radius: int) -> list[int]:
+    """The bits that are not fixed in a cell of that level; path names the pair of blocks of each level above."""
+    bits, pairs = list(range(64)), list(combinations(range(radius + 2), 2))
+    for k in range(level):
+        cut = blocks(bits, radius)
+        fixed = {bit for block in pairs[path // len(pairs) ** k % len(pairs)] for bit in cut[block]}
+        bits = [bit for bit in bits if bit not in fixed]
+    return bits
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch], radius: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, path, fp) go to one finer cell for each pair of blocks of the bits that are still free."""
+    pairs = list(combinations(range(radius + 2), 2))
     for batch in batches:
-        fp = batch.column(0).to_numpy().view(np.uint64)
-        keys = []
-        for k, ((s1, w1), (s2, w2)) in enumerate(choose):
-            a = (fp >> np.uint64(s1)) & np.uint64((1 << w1) - 1)
-            b = (fp >> np.uint64(s2)) & np.uint64((1 << w2) - 1)
-            keys.append(((a << np.uint64(w2)) | b) * np.uint64(len(choose)) + np.uint64(k))
-        cell = np.concatenate(keys).view(np.int64)
-        yield pa.record_batch([pa.array(cell), pa.array(np.tile(fp, len(choose)).view(np.int64))], names=["cell", "fp"])
+        cell, path, fp = (batch.column(k).to_numpy() for k in range(3))
+        fp = fp.view(np.uint64)
+        for way in np.unique(path).tolist():
+            mine = np.flatnonzero(path == way)
+            cut = blocks(free_bits(way, level, radius), radius)
+            for k, pair in enumerate(pairs):
+                mask = np.uint64(sum(1 << bit for block in pair for bit in cut[block]))
+                # cells that share a key by chance only compare more
+                key = mix(mix((fp[mine] & mask) ^ np.uint64(k + 1)) ^ cell[mine].view(np.uint64))
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(len(mine), way + k * len(pairs) ** level)), pa.array(fp[mine].view(np.int64))], names=["cell", "path", "fp"])
 
 
 def cell_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -197,12 +211,29 @@ def _link_batch(links: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """classes(fp), distinct -> a, b: links within the radius that connect what is connected."""
+def links(classes: DataFrame, radius: int = 3, most: int = BIT_CELL) -> DataFrame:
+    """classes(fp), distinct -> a, b: links within the radius that connect what is connected.
+
+    A cell of more than ``most`` fingerprints is cut again by pairs of blocks of its free bits,
+    two of which are equal for each of its links as well: for a radius of 3 about 38 bits stay
+    free, then 23, then 14 (16 at most), so that a cell of the last level has at most 65,536
+    distinct fingerprints, and if it has many, most of them link.
+    """
     spark = classes.sparkSession
-    cells = classes.select("fp").mapInArrow(partial(_to_cells, radius=radius), "cell long, fp long")
+    finer = lambda df, level: df.select("cell", "path", "fp").mapInArrow(partial(_to_cells, radius=radius, level=level), "cell long, path long, fp long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = cells.repartition(n, "cell").sortWithinPartitions("cell")
+    cells, small = finer(classes.selectExpr("0L as cell", "0L as path", "fp"), 0), []
+    for level in range(1, LEVELS):
+        large = cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > most).select("cell", F.lit(True).alias("large")).checkpoint()
+        n_large = large.count()
+        if not n_large:
+            break
+        sized = cells.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "cell", "left")
+        small.append(sized.where("large is null").select("cell", "path", "fp"))
+        cells = scratch_table(finer(sized.where("large"), level), f"cells{level}")
+    for part in small:
+        cells = cells.unionByName(part)
+    dealt = cells.select("cell", "fp").repartition(n, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(partial(_cell_links, radius=radius), "a long, b long")
 
 

@@ -122,14 +122,16 @@ class Scorer:
     def features(self, text: str) -> np.ndarray:
         """Sums of lexical weight by output, then the number of matches and of distinct ones, all on a log scale."""
         low = text.lower()
-        sums, words, n, until = np.zeros(len(OUTPUTS) + 2), set(), 0, -1
+        sums, words, n, until, start = np.zeros(len(OUTPUTS) + 2), set(), 0, -1, 0
+        ends = CLAUSE_END.finditer(low)
         for end, size in self.finder.iter(low):
             begin = end - size + 1
             if begin < until or (begin and low[begin - 1].isalnum()):
                 continue
-            start = max(map(low.rfind, ".!?;\n", (0,) * 5, (begin,) * 5)) + 1
-            stop = CLAUSE_END.search(low, end + 1)
-            until = stop.start() if stop else len(low)
+            while until <= end:  # clauses are walked once, along the matches
+                start = until + 1
+                stop = next(ends, None)
+                until = stop.start() if stop else len(low)
             machine, state = grammar(), grammar().start
             for token in TOKEN.findall(low[start:until]):
                 word = token if token in self.symbol else next((token[:k] for k in STEM if token[:k] in self.weight), token)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+from newsflow.llm.shared import binary_batch
 from newsflow.llm import byte_bpe, chat_formatting, decontamination, quality_rules, queries, repeated_bytes, repeated_words, secret_scans, simhash, token_counts, toxicity
 
 D = "/root/testdata/sf0.001"
@@ -105,6 +107,19 @@ def test_op5_repeated_rows(spark, empty):
         repeated_bytes.remove_repeats(empty, 70_000)
 
 
+def test_op5_hot_anchors_are_counted():
+    """An anchor that no batch has often, but all together have, is hot."""
+    own = np.repeat(np.array([7, 8, 9], np.uint64), [1000, 300, 1])
+    given = [binary_batch(["batch", "hashes"], [(k, own.tobytes())]) for k in range(20)]
+    sent = [repeated_bytes.rows_of([b]) for b in repeated_bytes._send_hashes(iter(given), 1)]
+    rows = [r for rs in sent for r in rs]
+    told = repeated_bytes._repeated_anchors(iter([binary_batch(["bucket", "batch", "hashes", "counts"], [tuple(r.values()) for r in rows])]), 6000)
+    for batch in told:
+        for r in repeated_bytes.rows_of([batch]):
+            known, hot = (np.frombuffer(r[c], np.uint64).tolist() for c in repeated_bytes.TOLD[2:4])
+            assert known == [7, 8, 9] and hot == [7]
+
+
 def test_op5_interleave():
     """Merged lists of shards are in order and have the common prefixes that sorting all strings gives."""
     rng = random.Random(5)
@@ -154,6 +169,15 @@ def test_op3_grammar():
     assert hit("they will kill you") == {"threat+aimed"}
 
 
+def test_op3_very_long_texts():
+    """Clauses are walked once: five million characters with one kind of delimiter, and as many without any."""
+    s, begun = toxicity.Scorer({"idiot": 2.0}, None), time.time()
+    some = s.features("you are an idiot. the cat sat on the mat. " * 120_000)
+    assert s.features("you idiot " * 500_000).sum() > some.sum() * 0 and time.time() - begun < 60
+    few = s.features("you are an idiot. the cat sat on the mat. " * 12)
+    assert np.allclose(np.expm1(some)[:-1], np.expm1(few)[:-1] * 10_000)
+
+
 def test_op3_learns(spark, empty):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice(PROSE) for _ in range(30)) + (" you zorgling fool " if k % 5 == 0 else " ") + str(k)) for k in range(400)]
@@ -287,6 +311,35 @@ def test_op4_chains(spark):
     assert len({*mine.values()}) == len({*expected.values()}) == len({(mine[k], expected[k]) for k in mine})
 
 
+def test_op4_dense_cells(spark):
+    """Fingerprints of one template that share two blocks: cells are cut again, twice, and no link is lost."""
+    rng = random.Random(16)
+    fixed, prints = rng.getrandbits(64), set()
+    for family in range(3):
+        free = [*range(26, 64)] if family < 2 else [*range(50, 64)]
+        for _ in range(250):
+            prints.add(fixed ^ sum(1 << b for b in rng.sample(free, rng.randrange(1, 9))) ^ (family << 3))
+    signed = {k: v - 2**64 if v >> 63 else v for k, v in enumerate(sorted(prints))}
+    classes = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    expected = groups(dict(enumerate(sorted(prints))))
+    for most in (simhash.BIT_CELL, 20):
+        root = {r.node: r.root for r in simhash.components(simhash.links(classes, most=most)).collect()}
+        mine = {k: root.get(v, v) for k, v in signed.items()}
+        assert len({*mine.values()}) == len({*expected.values()}) == len({(mine[k], expected[k]) for k in mine})
+
+
+def test_op4_cells_are_bounded():
+    """What is cut three times leaves 14 free bits, whichever pairs of blocks are equal."""
+    assert [len(simhash.free_bits(0, level, 3)) for level in range(4)] == [64, 38, 23, 14]
+    assert max(len(simhash.free_bits(a + 10 * b + 100 * c, 3, 3)) for a in range(10) for b in range(10) for c in range(10)) <= 16
+
+
+def test_op4_null_and_repeated_ids(spark):
+    rows = [(None, "one two three four"), (None, "one two three four"), (5, "one two three four"), (5, "entirely other words stand here"), (9, None), (None, "alone in the world today")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(None, 5), (None, 5), (5, 5), (5, 5), (9, 9), (None, None)])
+
+
 def test_op6(spark):
     rows = [(1, 0, "a", "Hello there world\nsecond line is here"), (1, 1, "b", "> Hello there   World\nI agree with that"), (1, 2, "a", "On Monday b wrote:\n>> hello there world\n> i AGREE with that\nno"), (1, 3, "c", "> i agree with that\n>> Hello there world\nYes indeed, fine"),
             (1, 4, "d", "> Yes indeed, fine\nok"), (1, None, "e", None), (None, 2, "f", "> nothing at all here"), (1, 4, "d", "> Yes indeed, fine\nok"), (2, 0, "x", "> Hello there world\nother place")]

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.fingerprints import cosine, jaccard, theme_score
 from newsflow.operators.components import components
+from newsflow.operators.ordering import placed
 from newsflow.session import shared_folder
 
 #: Least cosine of a link, bounds of the probability.
 LINK, LOW, HIGH = 0.68, 0.55, 0.99
-#: Vectors that one task compares; buckets of more are dealt into parts.
+#: Vectors that one task compares; buckets of more go through an index.
 TOGETHER = 4096
+#: Width of a ring of angles around a pivot, and how many there are up to a half turn.
+RING, N_RINGS = np.pi / 36, 37
+#: Rounds in which pivots are chosen.
+ROUNDS = 4
+RINGS = "array<struct<ring: int, low: double, high: double>>"
 
 
 def bucket_of(ts: Column, hours: int = 6) -> Column:
@@ -76,9 +82,9 @@ def similarity_clusters(messages: DataFrame, least: float = LINK, together: int
     """(C04, C05) messages(bucket, event_id, event_timestamp, embedding) -> bucket, event_id, label within the bucket, probability, first.
 
     Rows of a bucket are ordered by time, then id. A bucket of up to ``together`` rows is one
-    group. A larger one is dealt into parts of about that many, which find their own components;
-    pairs of parts then link components that are not connected yet, so no task holds more than
-    two parts and every pair of rows is still covered. Counting the buckets is a job of its own.
+    group. A larger one goes through an index of cells around pivots (``visits``), so that no
+    task holds a bucket and rows meet only where the triangle inequality lets them link; the
+    components are those of all pairs. Counting the buckets is a job of its own.
     """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -94,66 +100,161 @@ def similarity_clusters(messages: DataFrame, least: float = LINK, together: int
     if sizes.isEmpty():
         return messages.groupBy("bucket").applyInPandas(one, out)
     shared_folder(messages.sparkSession)
-    sizes = sizes.select("_bucket", F.ceil(F.col("_n") / together).cast("int").alias("parts")).checkpoint()
-    dealt = messages.join(sizes, F.col("bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
-    small = dealt.where("parts is null").drop("parts").groupBy("bucket").applyInPandas(one, out)
-    large = _dealt_clusters(dealt.where("parts is not null"), least, kinds)
+    sizes = sizes.withColumn("_large", F.lit(True)).checkpoint()
+    dealt = messages.join(sizes.drop("_n"), F.col("bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
+    small = dealt.where("_large is null").drop("_large").groupBy("bucket").applyInPandas(one, out)
+    large = _indexed_clusters(dealt.where("_large").drop("_large"), least, together)
     return small.unionByName(large.select("bucket", "event_id", "label", "probability", "first"))
 
 
-def _dealt_clusters(rows: DataFrame, least: float, kinds: dict[str, str]) -> DataFrame:
-    """similarity_clusters for rows(bucket, event_id, event_timestamp, embedding, parts) of large buckets.
+def numbered_rows(messages: DataFrame, together: int) -> DataFrame:
+    """messages(bucket, event_id, event_timestamp, embedding) with b (the bucket as text), place in the bucket by time and id, part (of so many rows) and parts."""
+    rows = messages.select("bucket", "event_id", "event_timestamp", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.col("bucket").cast("string"), F.lit("\0")).alias("b"))
+    rows = placed(rows, "b", F.col("event_timestamp").asc_nulls_last(), F.col("event_id").asc_nulls_last()).withColumn("part", F.floor(F.col("place") / together).cast("int"))
+    return rows.join(rows.groupBy("b").agg((F.max("part") + 1).alias("parts")), "b").checkpoint()
 
-    A component is named by its first row. Each row moves once for each part of its bucket.
+
+def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(rows @ pivots.T, -1, 1))
+
+
+def _meet(rows: DataFrame, pivots: DataFrame, schema: str, decide) -> DataFrame:
+    """rows(b, part, place, embedding), pivots(b, place, embedding, rings) -> decide(rows, pivots, angles) of each part and all pivots of its bucket."""
+    given = rows.select("b", "part", "place", "embedding", F.lit(False).alias("pivot"), F.lit(None).cast(RINGS).alias("rings"))
+    given = given.unionByName(pivots.join(rows.select("b", "part").distinct(), "b").select("b", "part", "place", "embedding", F.lit(True).alias("pivot"), F.col("rings").cast(RINGS).alias("rings")))
+
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = group[~group["pivot"]], group[group["pivot"]].sort_values("place")
+        return decide(mine, theirs, _angles(_unit(_vectors(mine)), _unit(_vectors(theirs))))
+
+    return given.groupBy("b", "part").applyInPandas(task, schema)
+
+
+def _pivots(rows: DataFrame, least: float, together: int) -> DataFrame:
+    """rows(b, part, place, embedding, n) -> pivots(b, place, embedding): of each bucket one row in a quarter of ``together``, chosen by hash; then, in further rounds, some of the rows that are farther than half a link from all pivots, a larger share each time."""
+    loose_at = float(np.arccos(max(min(least, 1.0), -1.0))) / 2
+    every, chosen, loose = max(1, together // 4), None, rows
+    for k in range(ROUNDS):
+        hashed = F.pmod(F.xxhash64("b", "place", F.lit(k)), F.lit(max(1, every >> k))) == 0
+        first = loose.groupBy("b").agg(F.min_by("place", F.xxhash64("b", "place")).alias("_one"))
+        new = loose.join(first, "b").where(hashed | (F.col("place") == F.col("_one"))).select("b", "place", "embedding").checkpoint()
+        chosen = new if chosen is None else chosen.unionByName(new)
+        if k < ROUNDS - 1:
+            still = lambda mine, _, angles: mine[angles.min(axis=1) > loose_at][["b", "place"]]
+            left = _meet(loose, new.withColumn("rings", F.lit(None)), "b string, place long", still)
+            loose = loose.join(left, ["b", "place"]).checkpoint()
+    return chosen
+
+
+def visits(rows: DataFrame, least: float, together: int) -> DataFrame:
+    """rows(b, place, embedding) of different vectors -> b, place, embedding, cell, member: who is compared in which cell.
+
+    A row is a member of the cell of its nearest pivot, in the ring of its angle to it. Angles
+    are a metric: a row can link into a ring only if its angle to that pivot is at most a link's
+    angle away from those of the ring, and exceeds that to its own pivot by at most two such
+    angles. Of two rings the one that comes first visits. Every part of ``together`` rows meets
+    all pivots of its bucket, a set far smaller than the bucket. Zero vectors have no angle; they
+    link to nothing and stay away (where a cosine of zero or less is enough for a link,
+    everything visits every ring).
     """
-    order = ["event_timestamp", "event_id"]
-    row = f"struct<at: {kinds['event_timestamp']}, id: {kinds['event_id']}>"
-
-    def named(part: pd.DataFrame, label: np.ndarray) -> pd.DataFrame:
-        first = part[order].iloc[np.unique(label, return_index=True)[1][label]]
-        return part.assign(root_at=first["event_timestamp"].to_numpy(), root_id=first["event_id"].to_numpy())
-
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        return named(part, _labels(_vectors(part), least))
-
-    def across(pair: pd.DataFrame) -> pd.DataFrame:
-        own = (pair["part"] == pair["low"]).to_numpy()
-        a, b = pair[own].reset_index(drop=True), pair[~own].reset_index(drop=True)
-        found = pd.DataFrame(columns=["a_at", "a_id", "b_at", "b_id"])
-        if not len(a) or not len(b):
-            return found.assign(bucket=None)
-        # numbers of the components on both sides
-        ka, kb = (x.groupby(["root_at", "root_id"], sort=False, dropna=False).ngroup().to_numpy() for x in (a, b))
-        ua, ub, seen = _unit(_vectors(a)), _unit(_vectors(b)), np.zeros((ka.max() + 1, kb.max() + 1), bool)
-        for k in range(0, len(a), 512):
-            i, j = np.nonzero(ua[k : k + 512] @ ub.T >= least)
-            seen[ka[k + i], kb[j]] = True
-        i, j = np.nonzero(seen)
-        left, right = (x.iloc[np.unique(kx, return_index=True)[1][at]] for x, kx, at in ((a, ka, i), (b, kb, j)))
-        found = pd.DataFrame({"a_at": left["root_at"].to_numpy(), "a_id": left["root_id"].to_numpy(), "b_at": right["root_at"].to_numpy(), "b_id": right["root_id"].to_numpy()})
-        return found.assign(bucket=pair["bucket"].iloc[0])
-
-    at, ident = kinds["event_timestamp"], kinds["event_id"]
-    whole = f"bucket {kinds['bucket']}, event_id {ident}, event_timestamp {at}, embedding array<double>, parts int, part int, root_at {at}, root_id {ident}"
-    rows = rows.withColumns({"embedding": F.col("embedding").cast("array<double>"), "part": F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int")})
-    rows = rows.groupBy("bucket", "part").applyInPandas(inside, whole).checkpoint()
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part").withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
-    links = pairs.groupBy("bucket", "low", "high").applyInPandas(across, f"a_at {at}, a_id {ident}, b_at {at}, b_id {ident}, bucket {kinds['bucket']}")
-    node = lambda when, who: F.struct("bucket", F.struct(F.col(when).alias("at"), F.col(who).alias("id")).cast(row).alias("row"))
-    found = components(links.select(node("a_at", "a_id").alias("a"), node("b_at", "b_id").alias("b")))
-    rows = rows.withColumn("node", node("root_at", "root_id")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prune, angle = least > 0, float(np.arccos(max(min(least, 1.0), -1.0)))
+    rows = rows.where(F.exists("embedding", lambda x: x != 0)) if prune else rows
+    n_parts = F.ceil(F.col("n") / together)
+    dealt = rows.join(rows.groupBy("b").agg(F.count("*").alias("n")), "b").select("b", "place", "embedding", F.pmod(F.xxhash64("place", "b"), n_parts).cast("int").alias("part")).checkpoint()
+    pivots = _pivots(dealt, least, together)
+
+    def placed_in(theirs: pd.DataFrame, angles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the nearest pivot, the angle and the ring."""
+        at = angles.argmin(axis=1)
+        own = angles[np.arange(len(at)), at]
+        return at, own, (own / RING).astype(int)
+
+    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame, angles: np.ndarray) -> pd.DataFrame:
+        at, own, ring = placed_in(theirs, angles)
+        held = pd.DataFrame({"b": mine["b"].to_numpy(), "place": theirs["place"].to_numpy()[at], "ring": ring, "low": own, "high": own})
+        return held.groupby(["b", "place", "ring"], as_index=False).agg({"low": "min", "high": "max"})
+
+    found = _meet(dealt, pivots.withColumn("rings", F.lit(None)), "b string, place long, ring int, low double, high double", nearest)
+    rings = found.groupBy("b", "place", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy("b", "place").agg(F.collect_list(F.struct("ring", "low", "high")).alias("rings")).checkpoint()
+
+    def allowed(mine: pd.DataFrame, theirs: pd.DataFrame, angles: np.ndarray) -> pd.DataFrame:
+        at, own, ring = placed_in(theirs, angles)
+        rank, slack, out = np.arange(len(theirs)), angle + 1e-6, []
+        low, high = np.full((len(theirs), N_RINGS), np.inf), np.full((len(theirs), N_RINGS), -np.inf)
+        for k, held in enumerate(theirs["rings"]):
+            for r in held:
+                low[k, r["ring"]], high[k, r["ring"]] = r["low"], r["high"]
+        for r in range(N_RINGS):
+            there = np.isfinite(low[:, r])[None, :]
+            if not there.any():
+                continue
+            near = np.broadcast_to(there, angles.shape)
+            if prune:
+                near = there & (angles <= high[None, :, r] + slack) & (angles >= low[None, :, r] - slack) & (angles - own[:, None] <= 2 * slack)
+            near = near & ((rank[None, :] > at[:, None]) | ((rank[None, :] == at[:, None]) & (r >= ring[:, None])))
+            i, j = np.nonzero(near | ((rank[None, :] == at[:, None]) & (r == ring[:, None])))
+            out.append(pd.DataFrame({"b": mine["b"].to_numpy()[i], "place": mine["place"].to_numpy()[i], "cell": theirs["place"].to_numpy()[j] * N_RINGS + r, "member": (at[i] == j) & (ring[i] == r)}))
+        return pd.concat(out)
+
+    met = _meet(dealt, pivots.join(rings, ["b", "place"]), "b string, place long, cell long, member boolean", allowed)
+    return met.join(rows.select("b", "place", "embedding"), ["b", "place"])
+
+
+def _cell_links(met: DataFrame, least: float, together: int) -> DataFrame:
+    """visits -> b, x, y: links that connect what pairs of a member and any row of its cell connect. Cells of more than ``together`` rows are dealt into blocks of members and rows."""
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place", kind="stable")
+        unit, place = _unit(_vectors(group)), group["place"].to_numpy()
+        left, right = group["as_member"].to_numpy(), group["as_row"].to_numpy()
+        root, n = np.full(len(place), -1), len(place)
+        for seed in range(n):
+            if root[seed] >= 0:
+                continue
+            root[seed], front = seed, [seed]
+            while front:
+                some, front = np.array(front[:512]), front[512:]
+                near = unit[some] @ unit.T >= least
+                near &= (left[some][:, None] & right[None, :]) | (right[some][:, None] & left[None, :])
+                new = np.flatnonzero(near.any(axis=0) & (root < 0))
+                root[new] = seed
+                front += new.tolist()
+        linked = np.flatnonzero(root != np.arange(n))
+        return pd.DataFrame({"b": group["b"].to_numpy()[linked], "x": place[root[linked]], "y": place[linked]})
+
+    met = met.checkpoint()
+    sizes = met.groupBy("b", "cell").agg(F.ceil(F.count_if("member") / together).cast("int").alias("ms"), F.ceil(F.count("*") / together).cast("int").alias("rs"))
+    own = lambda salt, n: F.pmod(F.xxhash64("place", F.lit(salt)), F.col(n)).cast("int")
+    dealt = met.join(sizes, ["b", "cell"]).withColumns({"_m": own(1, "ms"), "_r": own(2, "rs")})
+    blocks = F.array_union(
+        F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda m: F.struct(m.alias("m"), F.col("_r").alias("r"))),
+        F.when(F.col("member"), F.transform(F.sequence(F.lit(0), F.col("rs") - 1), lambda r: F.struct(F.col("_m").alias("m"), r.alias("r")))).otherwise(F.array().cast("array<struct<m: int, r: int>>")),
+    )
+    each = dealt.select("*", F.explode(blocks).alias("_b")).select("b", "cell", "place", "embedding", "_b.m", "_b.r", (F.col("member") & (F.col("_b.m") == F.col("_m"))).alias("as_member"), (F.col("_b.r") == F.col("_r")).alias("as_row"))
+    return each.groupBy("b", "cell", "m", "r").applyInPandas(link, "b string, x long, y long")
+
+
+def _indexed_clusters(messages: DataFrame, least: float, together: int) -> DataFrame:
+    """similarity_clusters for large buckets. A component is named by its first row; rows of equal vectors are one row of the index."""
+    rows = numbered_rows(messages, together)
+    copies = rows.groupBy("b", "embedding").agg(F.min("place").alias("place"), F.count("*").alias("_n")).checkpoint()
+    links = _cell_links(visits(copies.select("b", "place", "embedding"), least, together), least, together)
+    node = lambda c: F.struct("b", F.col(c).alias("place"))
+    found = components(links.select(node("x").alias("a"), node("y").alias("b"))).select("node.*", F.col("root.place").alias("root"))
+    rooted = copies.join(found, ["b", "place"], "left").withColumn("root", F.coalesce("root", "place"))
+    # equal zero vectors don't link, unless every pair does
+    zero = F.forall("embedding", lambda x: x == 0) & F.lit(least > 0)
+    rows = rows.withColumnRenamed("place", "own").join(rooted.select("b", "embedding", "root"), ["b", "embedding"]).withColumn("root", F.when(zero, F.col("own")).otherwise(F.col("root"))).checkpoint()
     # (C05) sums of unit vectors, coordinate by coordinate
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.when(size > 0, F.transform("embedding", lambda x: x / size)).otherwise(F.transform("embedding", lambda x: F.lit(0.0)))
-    sums = rows.select("root", F.posexplode(unit).alias("k", "x")).groupBy("root", "k").agg(F.sum("x").alias("x"))
-    centres = sums.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
-    counts = rows.groupBy("root").agg(F.count("*").alias("n")).withColumn("label", (F.row_number().over(Window.partitionBy("root.bucket").orderBy("root.row")) - 1).cast("int"))
-    begins = rows.groupBy("bucket").agg(F.min("event_timestamp").alias("first")).withColumnRenamed("bucket", "_bucket")
-    zero = F.forall("centre", lambda x: x == 0)
-    probability = F.when(F.col("n") == 1, 1.0).when(zero, 0.75).otherwise(F.least(F.greatest(cosine(F.col("embedding"), F.col("centre")), F.lit(LOW)), F.lit(HIGH)))
-    full = rows.join(counts, "root").join(centres, "root").join(begins, F.col("bucket").eqNullSafe(F.col("_bucket")))
-    return full.withColumn("probability", probability)
+    sums = rows.select("b", "root", F.posexplode(unit).alias("k", "x")).groupBy("b", "root", "k").agg(F.sum("x").alias("x"))
+    centres = sums.groupBy("b", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
+    counts = rows.groupBy("b", "root").agg(F.count("*").alias("n")).withColumn("label", (F.row_number().over(Window.partitionBy("b").orderBy("root")) - 1).cast("int"))
+    begins = rows.groupBy("b").agg(F.min("event_timestamp").alias("first"))
+    none = F.forall("centre", lambda x: x == 0)
+    probability = F.when(F.col("n") == 1, 1.0).when(none, 0.75).otherwise(F.least(F.greatest(cosine(F.col("embedding"), F.col("centre")), F.lit(LOW)), F.lit(HIGH)))
+    return rows.join(counts, ["b", "root"]).join(centres, ["b", "root"]).join(begins, "b").withColumn("probability", probability)
 
 
 def global_labels(local: DataFrame) -> DataFrame:

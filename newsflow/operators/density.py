@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.operators.clustering import _unit, _vectors, config_score, similarity_clusters
+from newsflow.operators.clustering import _unit, _vectors, config_score, numbered_rows, similarity_clusters
 from newsflow.operators.components import components
 from newsflow.operators.ordering import placed
 from newsflow.session import shared_folder
@@ -75,13 +75,6 @@ def _sides(pair: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     return pair, distance, pair["place"].to_numpy()
 
 
-def numbered_rows(messages: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """messages(bucket, event_id, event_timestamp, embedding) with b (the bucket as text), place in the bucket by time and id, part and parts."""
-    rows = messages.select("bucket", "event_id", "event_timestamp", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(F.col("bucket").cast("string"), F.lit("\0")).alias("b"))
-    rows = placed(rows, "b", "event_timestamp", "event_id").withColumn("part", F.floor(F.col("place") / together).cast("int"))
-    return rows.join(rows.groupBy("b").agg((F.max("part") + 1).alias("parts")), "b").checkpoint()
-
-
 def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
     """Each row once for each pair of parts that its own belongs to."""
     both = rows.select("b", "place", "embedding", "part", *columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsflow.functions import fingerprints as fp
 from newsflow.functions import text as tx
 from newsflow.functions.semantics import entity_key, title_case, truncated
-from newsflow.operators import clustering, enrich, first_source, graph, overview
+from newsflow.operators import clustering, density, enrich, first_source, graph, overview
 from newsflow.plans import api
 from newsflow.plans import relational as rel
 from newsflow.sources import events, testbed
@@ -133,6 +133,19 @@ def vectors(s, d) -> DataFrame:
 
 
 query("C04_similarity_clusters")(lambda s, d: clustering.global_labels(clustering.similarity_clusters(vectors(s, d))))
+query("C04_components", """WITH RECURSIVE v AS (SELECT label AS bucket, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.bucket IS NOT DISTINCT FROM b.bucket AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.68),
+    r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+    SELECT bucket, CAST(vec_id AS VARCHAR) AS event_id, CAST(dense_rank() OVER (PARTITION BY bucket ORDER BY root) - 1 AS INT) AS label FROM v JOIN m ON m.id = v.vec_id""")(lambda s, d: clustering.similarity_clusters(vectors(s, d)).select("bucket", "event_id", "label"))
+query("C03_density_topics")(lambda s, d: density.density_topics(vectors(s, d)).select("bucket", "event_id", "label", F.round("probability", 9).alias("probability"), "strategy"))
+query("C03_core_distances", """WITH v AS (SELECT label AS bucket, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    d AS (SELECT a.bucket, a.vec_id, 2 - 2 * list_cosine_similarity(a.x, b.x) AS d FROM v a JOIN v b ON a.bucket = b.bucket AND a.vec_id <> b.vec_id)
+    SELECT bucket, CAST(vec_id AS VARCHAR) AS event_id, round(d, 6) AS core FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS k FROM d) WHERE k = 3""")(
+    lambda s, d: density.core_distances(clustering.numbered_rows(vectors(s, d), density.TOGETHER), [3]).select("bucket", "event_id", F.round(F.col("cores")[0], 6).alias("core"))
+)
+#: Settings that are tried, as (rows of a cluster, samples of a core distance).
+SETTINGS = ((15, 5), (25, 5), (25, 10), (50, 10), (50, 15), (5, 3))
+query("C09_sweep")(lambda s, d: density.sweep(vectors(s, d), SETTINGS))
 query("C01_pending", "SELECT event_id FROM raw_messages WHERE event_id NOT IN (SELECT event_id FROM assignments WHERE run_id = 'run_a')")(lambda s, d: clustering.pending(testbed.raw_messages(s, d), testbed.assignments(s, d).where("run_id = 'run_a'")).select("event_id"))
 query("C09_config_scores", "SELECT n_nationkey, (CASE WHEN n_nationkey / 25.0 <= 0.35 THEN 1.0 ELSE 0.0 END + CASE WHEN n_regionkey / 5.0 > 0.05 AND n_regionkey / 5.0 < 0.9 THEN 1.0 ELSE 0.0 END + CASE WHEN n_nationkey > 2 THEN 0.5 ELSE 0.0 END + least(n_nationkey / 20.0, 1.0) - n_nationkey / 25.0) AS score FROM nation")(
     lambda s, d: table(s, d, "nation").select("n_nationkey", clustering.config_score(F.col("n_nationkey") / 25, F.col("n_regionkey") / 5, F.col("n_nationkey")).alias("score"))

@@ -41,6 +41,61 @@ def with_upstream(stream: DataFrame, table: DataFrame) -> DataFrame:
     return stream.join(known, ["channel", "message_id"], "left").withColumn("missing_upstream", F.col("known").isNull()).drop("known")
 
 
+def with_late_upstream(stream: DataFrame, upstream: DataFrame, wait: str = "10 minutes") -> DataFrame:
+    """(T07) stream(channel, message_id, at, ...) with its upstream row(channel, message_id, at), which may come up to ``wait`` before or after it.
+
+    Both sides may be streams: a row waits in the join's state until its partner comes, and is
+    given up, with missing_upstream set, when the watermark has passed its time and the wait.
+    Several partners give one row each on streams; a stream of them should be deduplicated.
+    """
+    other = upstream.select(F.col("channel").alias("_channel"), F.col("message_id").alias("_message_id"), F.col("at").alias("upstream_at"))
+    if stream.isStreaming:
+        stream, other = stream.withWatermark("at", wait), other.withWatermark("upstream_at", wait)
+    else:
+        other = other.dropDuplicates(["_channel", "_message_id"])
+    near = F.expr(f"upstream_at >= at - interval {wait} and upstream_at <= at + interval {wait}")
+    joined = stream.join(other, (F.col("channel") == F.col("_channel")) & (F.col("message_id") == F.col("_message_id")) & near, "left")
+    return joined.withColumn("missing_upstream", F.col("upstream_at").isNull()).drop("_channel", "_message_id")
+
+
+def start_clustering(
+    stream: DataFrame, folder: str, checkpoint: str, cluster: Callable[[DataFrame], DataFrame], least: int = 50, seconds: int = 30, most: int = 100_000, trigger: dict | None = None
+) -> StreamingQuery:
+    """(T09, C01) A stream of messages(event_id, ...) into folder/pending, and from there in runs into folder/assigned.
+
+    After each micro-batch a run is due when ``least`` rows are pending or the oldest waits for
+    ``seconds``; runs of up to ``most`` rows, oldest first, follow until nothing is pending.
+    Micro-batches come one at a time, so there is one run at a time. cluster(messages) gives
+    rows with event_id. A batch that is done again replaces its own rows; what a run has assigned
+    isn't pending any more, and run_id is a hash of its ids, so a run that is done again
+    replaces itself.
+    """
+
+    def step(part: DataFrame, batch_id: int) -> None:
+        spark = part.sparkSession
+        dynamic = lambda df, name, by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{folder}/{name}")
+        dynamic(part.withColumns({"arrived": F.current_timestamp(), "batch_id": F.lit(batch_id)}), "pending", "batch_id")
+        running = False
+        while True:
+            waiting = spark.read.parquet(f"{folder}/pending").dropDuplicates(["event_id"])
+            if _exists(spark, f"{folder}/assigned"):
+                waiting = waiting.join(spark.read.parquet(f"{folder}/assigned").select("event_id"), "event_id", "left_anti")
+            n, age = waiting.agg(F.count("*"), F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.min("arrived"))).first()
+            if not n or not running and n < least and age < seconds:
+                return
+            running = True
+            chosen = waiting.orderBy("arrived", "event_id").limit(most).checkpoint()
+            run = chosen.agg(F.concat(F.lit("run_"), F.substring(F.sha1(F.concat_ws("|", F.sum(F.xxhash64("event_id").cast("decimal(38,0)")), F.count("*"), F.min("event_id"), F.max("event_id"))), 1, 12))).first()[0]
+            dynamic(cluster(chosen.drop("arrived", "batch_id")).withColumn("run_id", F.lit(run)), "assigned", "run_id")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def windowed(stream: DataFrame, ts: str = "ts", every: str = "6 hours", late: str = "1 day", *keys: str) -> DataFrame:
     """Event-time counts with a watermark: an extension, since readers only know calendar buckets."""
     grouped = stream.withWatermark(ts, late) if stream.isStreaming else stream

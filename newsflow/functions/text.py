@@ -101,10 +101,16 @@ def analysis_mode(name: Column, full: tuple[str, ...] = ("ru", "en")) -> Column:
 
 
 def shortened(text: Column, most: int) -> Column:
-    """(X12, X13) With three dots if it is longer."""
+    """(X12) With three dots if it is longer."""
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))).otherwise(text)
 
 
+def graph_label(text: Column, most: int = 48) -> Column:
+    """(X13) A message's label in a graph: blanks squeezed, three dots behind the first characters if there are more."""
+    plain = squeeze(F.coalesce(text, F.lit("")))
+    return F.when(F.length(plain) > most, F.concat(F.rtrim(F.substring(plain, 1, most)), F.lit("..."))).otherwise(plain)
+
+
 def snippet(text: Column, most: int = 220) -> Column:
     return shortened(squeeze(F.coalesce(text, F.lit(""))), most)
 

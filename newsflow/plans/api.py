@@ -5,58 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.operators import graph, overview
+from newsflow.operators import graph, overview, topics
 from newsflow.operators.overview import Relations
 from newsflow.plans import relational
 
 
-def clusters(r: Relations, start, end, channel: str | None = None) -> DataFrame:
-    """Topics with counts, entities, channels and a sparkline."""
-    base = overview.cluster_overview(r, start, end)
-    e = overview.distinct_entities(overview.entities_per_cluster(r, start, end), 3)
-    names = e.groupBy("public_cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "entity_text"))).alias("e")).select("public_cluster_id", F.transform("e", lambda x: x["entity_text"]).alias("entities"))
-    c = overview.channels_per_cluster(r, start, end).groupBy("public_cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("message_count")).alias("n"), "channel"))).alias("c"))
-    out = base.join(names, "public_cluster_id", "left").join(c.select("public_cluster_id", F.slice(F.transform("c", lambda x: x["channel"]), 1, 10).alias("channels")), "public_cluster_id", "left").join(overview.sparkline(r, start, end), "public_cluster_id", "left")
-    out = out.withColumn("label", F.coalesce(F.nullif(F.array_join(F.slice("entities", 1, 2), " / "), F.lit("")), "public_cluster_id"))
-    return out if channel is None else out.where(F.array_contains("channels", channel))
-
-
-def cluster(r: Relations, topic: str, start, end) -> DataFrame:
-    """One topic: its numbers with channels, entities, moods and volume as arrays of structs. All sides have one row."""
-    pack = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*sorted(df.columns)))).alias(name))
-    out = overview.cluster_stats(r, topic, start, end)
-    for name, part in (("channels", overview.cluster_channels(r, topic, start, end)), ("entities", overview.cluster_entities(r, topic, start, end)), ("moods", overview.sentiment_breakdown(r, topic, start, end)), ("volume", overview.volume(r, topic, start, end)), ("related", overview.related_clusters(r, topic))):
-        out = out.join(pack(part, name))
-    return out
-
-
-def documents(r: Relations, topic: str, start, end, limit: int = 50, offset: int = 0) -> DataFrame:
-    d = overview.of_cluster(r, topic, start, end).join(r.sentiment, "event_id", "left")
-    return d.orderBy(F.desc("message_date"), F.desc("event_id")).offset(offset).limit(limit)
-
-
 def topic_graph(r: Relations, topic: str, start, end) -> tuple[DataFrame, DataFrame]:
     m = overview.of_cluster(r, topic, start, end).join(r.ner, "event_id")
     return graph.build(overview.mention_counts(m, "public_cluster_id", "event_id", "channel").withColumnRenamed("public_cluster_id", "cluster"))
 
 
-def overview_graph(r: Relations, start, end, topics: int = 30, depth: int = 1) -> DataFrame:
-    """(N12) Edges topic - channel and topic - entity of the largest topics."""
-    top = clusters(r, start, end).orderBy(F.desc("message_count"), F.desc("last_seen"), "public_cluster_id").limit(topics)
-    most = max(2, depth + 1)
-    edge = lambda c, kind: top.select(F.col("public_cluster_id").alias("source"), F.explode_outer(F.slice(c, 1, most)).alias("target"), F.lit(kind).alias("kind")).where("target is not null")
-    return edge("channels", "published_in").unionByName(edge("entities", "mentions"))
-
-
-def propagation_graph(messages: DataFrame, links: DataFrame, topic: str, most: int = 30, most_links: int = 12) -> DataFrame:
-    """(N13, O06) Edges of a topic: it contains its newest messages; the first links of its chain, weight in percent."""
-    shown = messages.where(F.col("public_cluster_id") == topic).orderBy(F.desc("message_date"), F.desc("event_id")).limit(most)
-    contains = shown.select(F.concat(F.lit("topic-"), "public_cluster_id").alias("source"), F.concat(F.lit("msg-"), "event_id").alias("target"), F.lit(1).alias("weight"), F.lit("contains").alias("kind"))
-    chain = links.where(F.col("public_cluster_id") == topic).orderBy("child").limit(most_links)
-    exact = F.when(F.col("link_type").startswith("exact"), "propagates_exact").otherwise("propagates_inferred")
-    return contains.unionByName(chain.select(F.concat(F.lit("msg-"), "parent").alias("source"), F.concat(F.lit("msg-"), "child").alias("target"), F.greatest(F.lit(1), F.round(F.col("confidence") * 100).cast("int")).alias("weight"), exact.alias("kind")))
-
-
 def _of(f):
     return lambda spark, d: f(relational.relations(spark, d))
 
@@ -64,30 +22,26 @@ def _of(f):
 S, E, C = relational.START, relational.END, relational.CLUSTER
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
+def source_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """First sources of all topics of the testbed's messages, both kinds computed from them."""
     from newsflow.operators import first_source
     from newsflow.plans import analytics
 
-    _, exact, inferred = analytics.source_sides(spark, d)
-    return first_source.propagation_links(exact, inferred)
-
-
-def first_source_graph(spark: SparkSession, d: str, topic: str) -> DataFrame:
-    from newsflow.plans import analytics
-
-    return propagation_graph(analytics.source_messages(spark, d), _links(spark, d), topic)
+    m, exact, inferred = analytics.source_sides(spark, d)
+    strict, likely = first_source.cluster_exact(exact), first_source.cluster_inferred(m).withColumn("source_type", F.lit("earliest_in_cluster"))
+    return topics.first_sources(m, strict.where("source_type <> 'unknown'"), likely, first_source.propagation_links(exact, inferred))
 
 
 ROUTES = {
     "overview": _of(lambda r: overview.kpis(r, S, E, relational.BEFORE, relational.MIDDLE)),
-    "overview_clusters": _of(lambda r: clusters(r, S, E)),
-    "cluster": _of(lambda r: cluster(r, C, S, E)),
-    "cluster_documents": _of(lambda r: documents(r, C, S, E)),
-    "cluster_first_source": lambda spark, d: first_source_graph(spark, d, "run_b:1"),
+    "overview_clusters": _of(lambda r: topics.topic_list(r, S, E)),
+    "cluster": _of(lambda r: topics.topic_detail(r, C, S, E)),
+    "cluster_documents": _of(lambda r: topics.documents(r, C, S, E)),
+    "cluster_first_source": lambda spark, d: source_payloads(spark, d).where("public_cluster_id = 'run_b:1'"),
     "cluster_related": _of(lambda r: overview.related_clusters(r, C)),
     "cluster_graph_metrics": _of(lambda r: graph.measures(*topic_graph(r, C, S, E))),
     "entities_top": _of(lambda r: overview.top_entities(r, S, E)),
     "sentiment_dynamics": _of(lambda r: overview.sentiment_dynamics(r, S, E)),
     "messages": _of(lambda r: overview.messages(r, S, E)),
-    "graph": _of(lambda r: overview_graph(r, S, E)),
+    "graph": _of(lambda r: topics.overview_graph(topics.topic_list(r, S, E))[1]),
 }

@@ -8,8 +8,8 @@ from newsflow.functions import entities as en
 from newsflow.functions import fingerprints as fp
 from newsflow.functions import semantics as sem
 from newsflow.functions import text as tx
-from newsflow.operators import clustering, dml, enrich, first_source, graph, overview
-from newsflow.plans import analytics, api
+from newsflow.operators import clustering, dml, enrich, first_source, graph, overview, topics
+from newsflow.plans import analytics
 from newsflow.plans import relational as rel
 from newsflow.sources import events, testbed
 from newsflow.sources.testbed import table, with_ctes
@@ -154,7 +154,7 @@ query("X10_detected", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'other' WHEN
     of("documents", "doc_id", lambda: tx.detected_language(F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "zh-cn").otherwise(F.col("lang")), (F.col("doc_id") % 10) / 10, F.lit("other")).alias("language"))
 )
 query("X11_squeezed", f"SELECT doc_id, {analytics.SQ.format('text')} AS plain FROM documents")(of("documents", "doc_id", lambda: tx.squeeze(F.col("text")).alias("plain")))
-query("X13_labels", f"SELECT doc_id, CASE WHEN length(c) > 48 THEN concat(rtrim(c[1:45]), '...') ELSE c END AS label FROM (SELECT doc_id, {analytics.SQ.format('text')} AS c FROM documents)")(of("documents", "doc_id", lambda: tx.shortened(tx.squeeze(F.col("text")), 48).alias("label")))
+query("X13_labels", f"SELECT doc_id, CASE WHEN length(c) > 48 THEN concat(rtrim(c[1:48]), '...') ELSE c END AS label FROM (SELECT doc_id, {analytics.SQ.format('text')} AS c FROM documents)")(of("documents", "doc_id", lambda: tx.graph_label(F.col("text")).alias("label")))
 query("X14_topic_labels", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'given' WHEN 1 THEN 'strict' WHEN 2 THEN concat(p_brand, ' / ', p_type) ELSE p_type[1:80] END AS label FROM part")(
     of("part", "p_partkey", lambda: tx.topic_label(F.when(F.col("p_partkey") % 4 == 0, "given"), F.when(F.col("p_partkey") % 4 == 1, "strict").otherwise(""), F.when(F.col("p_partkey") % 4 == 2, F.array("p_brand", "p_type", "p_brand")).otherwise(F.array().cast("array<string>")), F.col("p_type"), F.lit("id")).alias("label"))
 )
@@ -261,10 +261,52 @@ def _inferred(m):
 
 _LINKS = f"{_EXACT}, l AS (SELECT c, min(doc_id) AS d, arg_min(event_id, doc_id) AS e FROM m GROUP BY 1), k AS (SELECT c AS public_cluster_id, event_id AS child, coalesce(sid, CASE WHEN e <> event_id THEN e END) AS parent, CASE WHEN sid IS NOT NULL THEN kind ELSE 'earliest_in_cluster' END AS link_type, CASE WHEN sid IS NOT NULL THEN CAST(sure AS DOUBLE) ELSE 0.35 END AS confidence FROM x JOIN l USING (c))"
 query("R07b_links", f"WITH {_LINKS} SELECT * FROM k WHERE parent IS NOT NULL")(lambda s, d: (lambda m, e: first_source.propagation_links(e, _inferred(m)))(*_exact(s, d)))
-query("N13_propagation_graph", f"""WITH {_LINKS}, t AS (SELECT * FROM m WHERE c = 'run_b:1' ORDER BY doc_id DESC LIMIT 30), h AS (SELECT * FROM k WHERE parent IS NOT NULL AND public_cluster_id = 'run_b:1' ORDER BY child LIMIT 12)
-    SELECT 'topic-run_b:1' AS source, concat('msg-', event_id) AS target, 1 AS weight, 'contains' AS kind FROM t UNION ALL SELECT concat('msg-', parent), concat('msg-', child), CAST(round(confidence * 100) AS INT), CASE WHEN starts_with(link_type, 'exact') THEN 'propagates_exact' ELSE 'propagates_inferred' END FROM h""")(
-    lambda s, d: (lambda m, e: api.propagation_graph(m, first_source.propagation_links(e, _inferred(m)), "run_b:1"))(*_exact(s, d))
+#: The first links of each topic's chain: by the child's time, then its id.
+_CHAIN = f"{_LINKS}, h AS (SELECT k.*, a.source AS child_channel, a.doc_id AS child_id, b.source AS parent_channel, b.doc_id AS parent_id, row_number() OVER (PARTITION BY k.public_cluster_id ORDER BY a.doc_id, k.child) AS place FROM k JOIN m a ON a.event_id = k.child LEFT JOIN m b ON b.event_id = k.parent WHERE parent IS NOT NULL QUALIFY place <= 12)"
+
+
+def _linked(s, d):
+    m, e = _exact(s, d)
+    return m, first_source.propagation_links(e, _inferred(m))
+
+
+query("O06_chains", f"WITH {_CHAIN} SELECT public_cluster_id, place, child, parent, child_channel, child_id AS child_message_id, parent_channel, parent_id AS parent_message_id, link_type, confidence AS link_confidence, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'inferred' END AS resolution_kind FROM h")(
+    lambda s, d: topics.chains(*_linked(s, d)).drop("child_message_date", "parent_message_date", "evidence")
+)
+query("N13_propagation_graph", f"""WITH {_CHAIN}, t AS (SELECT * FROM m WHERE c = 'run_b:1' ORDER BY doc_id DESC LIMIT 30)
+    SELECT 'topic-run_b:1' AS source, concat('msg-', event_id) AS target, 1 AS weight, 'contains' AS kind FROM t UNION ALL SELECT concat('msg-', parent), concat('msg-', child), CAST(round(confidence * 100) AS INT), CASE WHEN starts_with(link_type, 'exact') THEN 'propagates_exact' ELSE 'propagates_inferred' END FROM h WHERE public_cluster_id = 'run_b:1'""")(
+    lambda s, d: topics.propagation_graph(*_linked(s, d), "run_b:1")[1]
 )
+query("N13b_propagation_nodes", f"""WITH {_CHAIN}, t AS (SELECT m.*, {analytics.SQ.format('text')} AS x FROM m JOIN documents USING (doc_id, source) WHERE c = 'run_b:1' ORDER BY doc_id DESC LIMIT 30), g AS (SELECT * FROM h WHERE public_cluster_id = 'run_b:1'),
+    a AS (SELECT concat('msg-', event_id) AS id, coalesce(nullif(CASE WHEN length(x) > 48 THEN concat(rtrim(x[1:48]), '...') ELSE x END, ''), concat(source, ' #', doc_id)) AS label, 1 AS weight, NULL AS source_status, 0 AS r FROM t
+    UNION ALL SELECT concat('msg-', parent), concat(parent_channel, ' #', parent_id), 2, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'probable' END, 2 * place FROM g UNION ALL SELECT concat('msg-', child), concat(child_channel, ' #', child_id), 1, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'probable' END, 2 * place + 1 FROM g)
+    SELECT id, label, 'message' AS type, weight, source_status FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1 UNION ALL SELECT concat('topic-', c), c, 'topic', count(*), NULL FROM m WHERE c = 'run_b:1' GROUP BY c""")(lambda s, d: topics.propagation_graph(*_linked(s, d), "run_b:1")[0])
+
+
+def _payload(s, d):
+    m, e = _exact(s, d)
+    strict = first_source.cluster_exact(e).where("source_type <> 'unknown'")
+    likely = first_source.cluster_inferred(m).withColumn("source_type", F.lit("earliest_in_cluster"))
+    found = topics.first_sources(m, strict, likely, first_source.propagation_links(e, _inferred(m)))
+    return found.select("public_cluster_id", "source_status", F.col("exact.source_event_id").alias("exact_event"), F.col("exact.source_confidence").alias("exact_confidence"), F.col("inferred.source_event_id").alias("inferred_event"), F.col("shown.source_channel").alias("shown_channel"), F.col("shown.source_message_id").alias("shown_message_id"), F.col("shown.source_type").alias("shown_type"), F.coalesce(F.size("chain"), F.lit(0)).alias("links"), F.col("chain")[0]["child"].alias("first_child"))
+
+
+query("R08_first_source_payload", f"""WITH {_CHAIN}, b AS (SELECT c, kind, sure, sid, s FROM x WHERE kind <> 'unknown' QUALIFY row_number() OVER (PARTITION BY c ORDER BY s, sure DESC, sid, kind) = 1), l2 AS (SELECT public_cluster_id AS c, count(*) AS links, arg_min(child, place) AS first_child FROM h GROUP BY 1)
+    SELECT l.c AS public_cluster_id, CASE WHEN b.c IS NULL THEN 'probable' ELSE 'exact' END AS source_status, b.sid AS exact_event, CAST(b.sure AS DOUBLE) AS exact_confidence, l.e AS inferred_event, n.source AS shown_channel, n.doc_id AS shown_message_id, coalesce(b.kind, 'earliest_in_cluster') AS shown_type, coalesce(links, 0) AS links, first_child
+    FROM l LEFT JOIN b ON b.c = l.c JOIN m n ON n.event_id = coalesce(b.sid, l.e) LEFT JOIN l2 ON l2.c = l.c""")(_payload)
+
+_TOPICS = f"""t AS (SELECT public_cluster_id AS c, count(*) AS n, max(message_date) AS l, concat('topic-', public_cluster_id) AS id FROM ({rel.CLUSTERED}) GROUP BY 1 ORDER BY n DESC, l DESC, c LIMIT 30),
+    o AS (SELECT *, row_number() OVER (ORDER BY n DESC, l DESC, c) AS place FROM t),
+    ch AS (SELECT c, channel, k, row_number() OVER (PARTITION BY c ORDER BY k DESC, channel) AS pos FROM (SELECT public_cluster_id AS c, channel, count(*) AS k FROM ({rel.CLUSTERED}) GROUP BY 1, 2)),
+    e0 AS (SELECT public_cluster_id AS c, {rel.KEY} AS key, entity_type AS ty, {rel.TEXT} AS label, count(*) AS k FROM ({rel.CLUSTERED}) JOIN ner_results USING (event_id) GROUP BY 1, 2, 3),
+    e1 AS (SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY c, key ORDER BY k DESC, label, ty) = 1),
+    e AS (SELECT *, CASE WHEN upper(ty) IN ('PERSON', 'PER') THEN 'PER' WHEN upper(ty) IN ('ORG', 'LOC') THEN upper(ty) ELSE 'MISC' END AS kind, row_number() OVER (PARTITION BY c ORDER BY k DESC, label, ty) AS pos FROM e1),
+    g AS (SELECT place, pos, o.id AS source, concat('ch-', channel) AS target, channel AS label, 'channel' AS type, k AS weight, 'publishes' AS edge FROM o JOIN ch USING (c) WHERE pos <= 2
+    UNION ALL SELECT place, 100 + pos, o.id, concat('ent-', kind, ':', key), label, concat('entity_', lower(kind)), k, 'mentions' FROM o JOIN e USING (c) WHERE pos <= 2)"""
+query("N12_overview_edges", f"WITH {_TOPICS} SELECT source, target, weight, edge AS type FROM g")(rel.over(lambda r: topics.overview_graph(topics.topic_list(r, rel.START, rel.END))[1]))
+query("N12b_overview_nodes", f"""WITH {_TOPICS}, lb AS (SELECT c, string_agg(label, ' / ' ORDER BY pos) AS label FROM e WHERE pos <= 2 GROUP BY 1)
+    SELECT id, lb.label, 'topic' AS type, n AS weight, 'probable' AS source_status FROM o LEFT JOIN lb USING (c) UNION ALL SELECT target, label, type, weight, NULL FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY place, pos) = 1""")(rel.over(lambda r: topics.overview_graph(topics.topic_list(r, rel.START, rel.END))[0]))
+query("N12c_focus", f"WITH {_TOPICS} SELECT source, target, weight, edge AS type FROM g WHERE source = 'topic-{rel.CLUSTER}'")(rel.over(lambda r: topics.overview_graph(topics.topic_list(r, rel.START, rel.END), f"topic-{rel.CLUSTER}")[1]))
 
 # graphs
 

@@ -6,9 +6,11 @@ deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,45 @@ def score_with(df: DataFrame, scorer: Callable[[list[str]], list[list[float]]],
     return df.mapInPandas(run, schema)
 
 
+def hashed_embeddings(df: DataFrame, text: str = "text", most_words: int = 2) -> DataFrame:
+    """(M13) The default embedder: df with embedding, 64 numbers of length one; blank texts have zeros.
+
+    Runs of one to ``most_words`` words are hashed to 64 bits by built-in functions; each bit
+    adds one to its coordinate or takes one off. That is a fixed random projection of the counts
+    of runs, so texts that share most of their words have a high cosine. A column named
+    embedding is replaced.
+    """
+    df = df.drop("embedding")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[^{WORD}]+"), lambda w: w != "")
+    split = df.withColumn("_words", words)
+    runs = [F.transform("_words", lambda w: F.xxhash64(w))]
+    for n in range(2, most_words + 1):
+        runs.append(_run_hashes(n))
+    hashed = split.withColumn("_hashes", F.concat(*runs)).drop("_words")
+    kept = df.columns
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, embedding array<double>"
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for hashes in batch.column(len(kept)):
+                h = hashes.values.to_numpy() if hashes.is_valid else np.empty(0, np.int64)
+                total = np.zeros(64)
+                for k in range(0, len(h), 4096):
+                    total += 2.0 * np.unpackbits(h[k : k + 4096].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) - len(h[k : k + 4096])
+                size = np.linalg.norm(total)
+                rows.append((total / size if size else total).tolist())
+            yield pa.record_batch([*batch.columns[: len(kept)], pa.array(rows, pa.list_(pa.float64()))], names=[*kept, "embedding"])
+
+    return hashed.select(*kept, "_hashes").mapInArrow(project, schema)
+
+
+def _run_hashes(n: int) -> Column:
+    """Hashes of the runs of n words of the column _words."""
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size("_words"))
+    return F.transform(begins, lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " ")))
+
+
 def chunks(ids: Column, size: int = 384, overlap: int = 64) -> Column:
     """(M06) Windows over token ids; the last one ends at the end."""
     n, step = F.size(ids), size - overlap
@@ -54,6 +95,80 @@ def chunks(ids: Column, size: int = 384, overlap: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(ids, k * step + 1, F.lit(size)))
 
 
+def windows(n_tokens: int, size: int = 384, overlap: int = 64, specials: int = 2) -> list[tuple[int, int]]:
+    """Begin and end of the chunks of so many tokens; ``specials`` of the size are for the model's own tokens."""
+    size = max(1, size - specials)
+    step = max(1, size - min(overlap, size - 1))
+    last = max(0, -(-(n_tokens - size) // step))
+    return [(k * step, min(n_tokens, k * step + size)) for k in range(last + 1)] if n_tokens else []
+
+
+def word_logits(words: Column, good: Sequence[str] = tuple(GOOD.split()), bad: Sequence[str] = tuple(BAD.split())) -> Column:
+    """lexicon_logits of words."""
+    n = lambda known: F.size(F.filter(words, lambda w: w.isin(*known))).cast("double") * 2
+    return F.array(n(bad), F.lit(1.0), n(good))
+
+
+def _judged(df: DataFrame, text: str, n_tokens: Column, logits: Column) -> DataFrame:
+    """probabilities, label and score from mean logits; no tokens have logits of zero, blank texts are neutral with 1."""
+    blank = squeeze(F.coalesce(F.col(text), F.lit(""))) == ""
+    known = F.when(n_tokens > 0, logits).otherwise(F.array(*[F.lit(0.0)] * len(LABELS)))
+    out = df.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(softmax(known)))
+    return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")})
+
+
+def chunked_sentiment(df: DataFrame, text: str = "text", size: int = 384, overlap: int = 64, specials: int = 2, logits: Callable[[Column], Column] = word_logits) -> DataFrame:
+    """(M01) df with chunks (their number), probabilities, label and score: a text's words go in overlapping chunks, each is scored by itself and the mean of the logits decides.
+
+    logits(words of a chunk) is a column of three numbers; everything stays in its row, without
+    a shuffle. score_chunks does the same with a plugged-in tokenizer and model.
+    """
+    size = max(1, size - specials)
+    split = df.withColumn("_words", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[^{WORD}]+"), lambda w: w != ""))
+    each = split.withColumn("_logits", F.transform(chunks(F.col("_words"), size, min(overlap, size - 1)), lambda w: logits(w)))
+    total = F.aggregate("_logits", F.array(*[F.lit(0.0)] * len(LABELS)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    mean = F.transform(total, lambda x: x / F.size("_logits"))
+    out = _judged(each.withColumn("chunks", F.when(F.size("_words") > 0, F.size("_logits")).otherwise(0)), text, F.size("_words"), mean)
+    return out.drop("_words", "_logits")
+
+
+def score_chunks(df: DataFrame, tokenize: Callable[[list[str]], list[list[int]]], scorer: Callable[[list[list[int]]], list[list[float]]], text: str = "text", size: int = 384, overlap: int = 64, specials: int = 2, batch: int = 64) -> DataFrame:
+    """(M01) chunked_sentiment with a model: tokenize gives token ids of texts, scorer logits of chunks of ids, up to ``batch`` chunks at once."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, chunks int, _logits array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            ids = tokenize(part[text].fillna("").tolist())
+            own = [[x[a:b] for a, b in windows(len(x), size, overlap, specials)] for x in ids]
+            flat = [c for cs in own for c in cs]
+            scores = [row for k in range(0, len(flat), batch) for row in scorer(flat[k : k + batch])]
+            ends = np.cumsum([len(cs) for cs in own]).tolist()
+            means = [np.mean(scores[b - len(cs) : b], axis=0).tolist() if cs else None for cs, b in zip(own, ends, strict=True)]
+            yield part.assign(chunks=[len(cs) for cs in own], _logits=means)
+
+    out = df.mapInPandas(run, schema)
+    return _judged(out, text, F.col("chunks"), F.col("_logits")).drop("_logits")
+
+
+def tfidf_terms(docs: DataFrame, most: int = 10, stop: Sequence[str] = (), features: int = 5000) -> DataFrame:
+    """(M15) docs(cluster, text) -> cluster, term, score, place: one or two words, counts times the smoothed inverse cluster frequency, unit length by cluster.
+
+    The ``features`` most frequent terms of all clusters count, of equal ones the first by
+    alphabet; words of the stop list are gone before pairs are made; pairs lie within a text.
+    """
+    words = F.filter(F.split(F.lower("text"), f"[^{WORD}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*(stop or ("",))))
+    split = docs.where("cluster is not null").select("cluster", words.alias("_w"))  # a column of its own, see cluster_terms
+    two = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    counts = split.select("cluster", F.explode(F.concat("_w", two)).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    kept = counts.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(features)
+    n = split.select("cluster").distinct().agg(F.count("*").alias("n"))  # one row
+    weighed = counts.join(F.broadcast(kept), "term").join(n).withColumn("weight", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norms = weighed.groupBy("cluster").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    scored = weighed.join(norms, "cluster").select("cluster", "term", F.round(F.col("weight") / F.col("norm"), 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))
+    return scored.withColumn("place", place).where(F.col("place") <= most)
+
+
 def normalized_label(label: Column) -> Column:
     """(M03)"""
     low = F.lower(label)

@@ -199,7 +199,7 @@ def _topic_betweenness(nodes: DataFrame, edges: DataFrame, together: int) -> Dat
     size = nodes.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / together).cast("int"))
     dealt = edges.join(size.select("cluster", "parts"), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    def one(key, links: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(links["a"]) | set(links["b"]))
         parts = int(links["parts"].iloc[0])
         own = np.array([k for k, name in enumerate(names) if zlib.crc32(name.encode()) % parts == key[1]], int)
@@ -215,7 +215,7 @@ MEASURES = ("cluster", "id", "degree_centrality", "betweenness", "pagerank", "co
 def measures(nodes: DataFrame, edges: DataFrame, together: int = 256) -> DataFrame:
     """(N02-N08) All measures of all topics. What takes a walk from every node is dealt (``_topic_betweenness``)."""
 
-    def one(key, ids: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, ids: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         names = sorted(ids["id"])
         g = _numbered(links, names)
         group = communities(g)

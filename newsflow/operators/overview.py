@@ -191,3 +191,31 @@ def page(limit, offset, most: int = 200, default: int = 50) -> tuple[int, int]:
             return otherwise
 
     return min(most, max(1, number(limit, default))), max(0, number(offset, 0))
+
+
+def _since(now, days: int) -> Column:
+    return F.col("message_date") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days))
+
+
+def mentioned_lately(r: Relations, now, days: int = 7, most: int = 20) -> DataFrame:
+    """(G30) The entities that most messages of the last days mention, with the mean sentiment of these messages."""
+    pairs = r.ner.select("event_id", F.col("entity_type").alias("type"), entity_key().alias("name")).distinct()
+    d = pairs.join(r.raw.where(_since(now, days)).select("event_id"), "event_id").join(r.sentiment, "event_id", "left")
+    counts = d.groupBy("type", "name").agg(F.count("*").alias("mention_count"), mean(signed_sentiment()).alias("avg_sentiment"))
+    return counts.orderBy(F.desc("mention_count"), "type", "name").limit(most)
+
+
+def daily_sentiment(r: Relations, now, channel: str, days: int = 30) -> DataFrame:
+    """(G30) Mean sentiment and messages of a channel by day."""
+    d = r.raw.where(_since(now, days) & (F.col("channel") == channel)).join(r.sentiment, "event_id", "left")
+    return d.groupBy(F.col("message_date").cast("date").alias("day")).agg(mean(signed_sentiment()).alias("avg_sentiment"), F.count("*").alias("message_count"))
+
+
+def found_together(r: Relations, now, types: tuple[str, ...] = ("ORG", "PERSON", "GPE"), days: int = 7, least: int = 5, most: int = 100) -> DataFrame:
+    """(G30) Pairs of entities of these types that several messages of the last days have both; pairs are made inside of a message."""
+    e = r.ner.where(F.col("entity_type").isin(*types)).select("event_id", entity_key().alias("name"), F.col("entity_type").alias("type")).distinct()
+    e = e.join(r.raw.where(_since(now, days)).select("event_id"), "event_id", "left_semi")
+    a, b = e.alias("a"), e.alias("b")
+    pairs = a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & (F.struct("a.name", "a.type") < F.struct("b.name", "b.type")))
+    n = pairs.groupBy(F.col("a.name").alias("entity1"), F.col("b.name").alias("entity2"), F.col("a.type").alias("type1"), F.col("b.type").alias("type2")).agg(F.count("*").alias("together"))
+    return n.where(F.col("together") >= least).orderBy(F.desc("together"), "entity1", "entity2", "type1", "type2").limit(most)

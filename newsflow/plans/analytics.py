@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsflow.functions import fingerprints as fp
 from newsflow.functions import text as tx
 from newsflow.functions.semantics import entity_key, title_case, truncated
-from newsflow.operators import clustering, density, enrich, first_source, graph, overview
+from newsflow.operators import clustering, density, enrich, first_source, graph, graph_tables, overview
 from newsflow.plans import api
 from newsflow.plans import relational as rel
 from newsflow.sources import events, testbed
@@ -86,6 +86,8 @@ query("X39_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k')
 query("X43_slugs", "SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '[^\\p{L}\\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", tx.slug(F.col("p_type")).alias("slug")))
 
 query("M01_sentiment")(lambda s, d: enrich.sentiment(docs(s, d)).select("doc_id", "label", "score"))
+query("M13_embeddings")(lambda s, d: enrich.hashed_embeddings(docs(s, d, "doc_id", "text")).select("doc_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding")))
+query("M13_clusters")(lambda s, d: clustering.similarity_clusters(enrich.hashed_embeddings(docs(s, d)).select(F.col("lang").alias("bucket"), F.col("doc_id").cast("string").alias("event_id"), F.col("doc_id").alias("event_timestamp"), "embedding"), 0.8).select("bucket", "event_id", "label"))
 query("M06_chunks", "SELECT o_orderkey, 1 + CAST(greatest(ceil((o_orderkey % 1000 + 1 - 384) / 320.0), 0) AS INT) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.size(enrich.chunks(F.sequence(F.lit(0), (F.col("o_orderkey") % 1000).cast("int")))).alias("n")))
 query("M08_entities")(lambda s, d: enrich.entities(docs(s, d), ("doc_id",)))
 query("M10_relations", """WITH f AS (SELECT event_id, lower(coalesce(normalized_text, entity_text)) AS k, min(start_pos) AS at FROM ner_results GROUP BY 1, 2)
@@ -168,6 +170,9 @@ query("N01_graph_edges", f"{GRAPH} SELECT * FROM edges")(lambda s, d: graph.buil
 query("N02_degrees", f"""{GRAPH}, e AS (SELECT cluster, a AS id, b AS o, weight FROM edges UNION ALL SELECT cluster, b, a, weight FROM edges), c AS (SELECT cluster, count(*) AS n FROM nodes GROUP BY 1)
     SELECT cluster, id, count(DISTINCT o) AS degree, coalesce(sum(e.weight), 0.0) AS weighted_degree, count(DISTINCT o) / greatest(any_value(n) - 1, 1) AS degree_centrality FROM nodes LEFT JOIN e USING (cluster, id) JOIN c USING (cluster) GROUP BY 1, 2""")(lambda s, d: graph.degrees(*graph.build(topic_mentions(s, d))))
 query("N03_graph_measures")(lambda s, d: graph.measures(*graph.build(topic_mentions(s, d))))
+query("N04_page_ranks")(lambda s, d: graph_tables.page_ranks(*graph.build(topic_mentions(s, d))).select("cluster", "id", F.round("pagerank", 9).alias("pagerank")))
+query("N06_components", f"""{GRAPH.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT cluster, a, b FROM edges UNION SELECT cluster, b, a FROM edges), r AS (SELECT cluster, id, id AS root FROM nodes UNION SELECT e.cluster, e.b, r.root FROM r JOIN e ON e.cluster = r.cluster AND e.a = r.id),
+    q AS (SELECT cluster, id, min(root) AS root FROM r GROUP BY 1, 2) SELECT cluster, id, dense_rank() OVER (PARTITION BY cluster ORDER BY root) - 1 AS component FROM q""")(lambda s, d: graph_tables.component_numbers(*graph.build(topic_mentions(s, d))))
 query("N09_graph_summary", f"{GRAPH} SELECT cluster, n AS node_count, coalesce(m, 0) AS edge_count, CASE WHEN n < 2 THEN 0.0 ELSE 2 * coalesce(m, 0) / (n * (n - 1)) END AS density, 2 * coalesce(m, 0) / n AS average_degree, n < 3 OR coalesce(m, 0) < 2 AS is_small FROM (SELECT cluster, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN (SELECT cluster, count(*) AS m FROM edges GROUP BY 1) USING (cluster)")(
     lambda s, d: graph.summary(*graph.build(topic_mentions(s, d)))
 )

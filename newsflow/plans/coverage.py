@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsflow.functions import entities as en
 from newsflow.functions import fingerprints as fp
 from newsflow.functions import semantics as sem
 from newsflow.functions import text as tx
-from newsflow.operators import clustering, dml, enrich, first_source, graph, overview, topics
+from newsflow.operators import cache, clustering, dml, enrich, first_source, graph, overview, topics
 from newsflow.plans import analytics
 from newsflow.plans import relational as rel
 from newsflow.sources import events, testbed
@@ -238,6 +239,59 @@ query("C10_pair_examples", f"{_PAIRS} SELECT kind, a, b, cosine, round(0.6 * cos
     lambda s, d: clustering.pair_examples(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.array().cast("array<string>").alias("entities"), "embedding", F.timestamp_add("HOUR", F.col("vec_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("at")), sample=100).select("kind", "a", "b", "cosine", F.round("score", 6).alias("score"))
 )
 
+_AND, _OF = ("and", "et", "und", "y"), ("the", "de", "der", "la")
+query("M01_chunked_sentiment", f"""WITH w AS (SELECT doc_id, trim(text) = '' AS blank, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS words FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, blank, words, unnest(range(0, 1 + CAST(greatest(ceil((len(words) - 382) / 318.0), 0) AS INT))) AS k FROM w), l AS (SELECT *, words[k * 318 + 1 : k * 318 + 382] AS p FROM c),
+    s AS (SELECT doc_id, any_value(blank) AS blank, CASE WHEN any_value(len(words)) = 0 THEN 0 ELSE count(*) END AS chunks, avg(2.0 * len(list_filter(p, lambda x: x IN {_OF}))) AS bad, avg(2.0 * len(list_filter(p, lambda x: x IN {_AND}))) AS good FROM l GROUP BY 1),
+    g AS (SELECT *, CASE WHEN chunks = 0 THEN 0 ELSE 1 END AS mid, greatest(bad, good, 1) AS m FROM s), e AS (SELECT *, exp(bad - m) AS b, exp(mid - m) AS n, exp(good - m) AS a FROM g), z AS (SELECT *, greatest(b, n, a) / (b + n + a) AS top FROM e)
+    SELECT doc_id, chunks, CASE WHEN blank OR top < 0.55 THEN 'neutral' WHEN b >= n AND b >= a THEN 'negative' WHEN n >= a THEN 'neutral' ELSE 'positive' END AS label, round(CASE WHEN blank THEN 1.0 ELSE top END, 9) AS score FROM z""")(
+    lambda s, d: enrich.chunked_sentiment(table(s, d, "documents").where("text is not null"), logits=lambda w: enrich.word_logits(w, _AND, _OF)).select("doc_id", "chunks", "label", F.round("score", 9).alias("score"))
+)
+query("M15_tfidf_terms", """WITH w AS (SELECT source AS cluster, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: length(x) >= 2 AND x NOT IN ('the', 'and', 'de')) AS w FROM documents WHERE source IS NOT NULL),
+    t AS (SELECT cluster, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM w), c AS (SELECT cluster, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    f AS (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 5000), x AS (SELECT cluster, term, tf * (ln((1 + (SELECT count(DISTINCT cluster) FROM w)) / (1 + df)) + 1) AS weight FROM c JOIN f USING (term)),
+    s AS (SELECT cluster, term, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY cluster)), 9) AS score FROM x) SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS place FROM s QUALIFY place <= 10""")(
+    lambda s, d: enrich.tfidf_terms(table(s, d, "documents").select(F.col("source").alias("cluster"), "text"), stop=("the", "and", "de"))
+)
+
+# results that are kept for a time
+
+_KEPT = """k AS (SELECT public_cluster_id AS c, sha256(concat_ws('|', 'v1', public_cluster_id, 'a', 'b')) AS cache_key, min(cluster_id) % 3 AS r FROM assignments WHERE cluster_id >= 0 GROUP BY 1),
+    n AS (SELECT public_cluster_id AS c, count(*) AS n FROM assignments GROUP BY 1), a AS (SELECT cache_key, c, CASE WHEN r = 0 THEN -1 ELSE n END AS payload, r = 0 AS hit FROM k JOIN n USING (c))"""
+
+
+def _kept(s, d):
+    """A third of the topics is kept with a payload of -1, a third has been kept too long, a third is missing."""
+    rows = testbed.assignments(s, d).where("cluster_id >= 0")
+    keys = rows.groupBy("public_cluster_id").agg((F.min("cluster_id") % 3).alias("r")).withColumn("cache_key", dml.cache_key(F.lit("v1"), F.col("public_cluster_id"), F.lit("a"), F.lit("b")))
+    until = F.when(F.col("r") == 0, F.lit("2024-01-02 00:00:01")).otherwise(F.lit("2024-01-02 00:00:00")).cast("timestamp_ntz")
+    old = keys.where("r < 2").select("cache_key", F.lit(-1).cast("long").alias("payload"), until.alias("expires_at"))
+    sizes = testbed.assignments(s, d).groupBy("public_cluster_id").agg(F.count("*").alias("payload"))
+    return keys, old, cache.read_through(old, keys, lambda missing: missing.join(sizes, "public_cluster_id"), "2024-01-02 00:00:00", 30)
+
+
+query("K13_read_through", f"WITH {_KEPT} SELECT cache_key, payload, hit FROM a")(lambda s, d: _kept(s, d)[2][0])
+query("K13_cache_afterwards", f"WITH {_KEPT} SELECT cache_key, payload, CASE WHEN hit THEN TIMESTAMP '2024-01-02 00:00:01' ELSE TIMESTAMP '2024-01-02 00:01:00' END AS expires_at FROM a")(lambda s, d: _kept(s, d)[2][1])
+
+
+@query("K13_top_nodes", f"""WITH {_KEPT}, e AS (SELECT public_cluster_id AS c, {rel.KEY} AS node, count(*) AS m FROM assignments JOIN ner_results USING (event_id) GROUP BY 1, 2), f AS (SELECT c, node, row_number() OVER (PARTITION BY c ORDER BY m DESC, node) AS place FROM e)
+    SELECT cache_key, node, place FROM a JOIN f USING (c) WHERE NOT hit AND place <= 3 UNION ALL SELECT cache_key, 'old', 1 FROM a WHERE hit""")
+def _top_nodes(s, d):
+    keys, old, (answers, _) = _kept(s, d)
+    n = testbed.assignments(s, d).join(testbed.ner_results(s, d), "event_id").groupBy("public_cluster_id", sem.entity_key().alias("node")).agg(F.count("*").alias("m"))
+    new = n.withColumn("place", F.row_number().over(Window.partitionBy("public_cluster_id").orderBy(F.desc("m"), "node"))).where("place <= 3").join(keys, "public_cluster_id").select("cache_key", "node", "place")
+    return cache.replace_parts(old.select("cache_key", F.lit("old").alias("node"), F.lit(1).alias("place")), answers, new)
+
+
+# reads of the graph store
+
+_NOW = "1998-01-01 00:00:00"
+query("G30_top_entities", f"""SELECT entity_type AS type, {rel.KEY} AS name, count(DISTINCT event_id) AS mention_count, CAST(sum(CAST({testbed.SIGNED} AS DECIMAL(18, 4))) AS DOUBLE) / count({testbed.SIGNED}) AS avg_sentiment FROM (SELECT DISTINCT event_id, entity_type, {rel.KEY} AS entity_text, NULL AS normalized_text FROM ner_results) JOIN raw_messages USING (event_id) LEFT JOIN sentiment_results USING (event_id)
+    WHERE message_date >= TIMESTAMP '{_NOW}' - INTERVAL 7 DAY GROUP BY 1, 2 ORDER BY mention_count DESC, type, name LIMIT 20""")(rel.over(overview.mentioned_lately, _NOW))
+query("G30_daily_sentiment", f"SELECT CAST(message_date AS DATE) AS day, CAST(sum(CAST({testbed.SIGNED} AS DECIMAL(18, 4))) AS DOUBLE) / count({testbed.SIGNED}) AS avg_sentiment, count(*) AS message_count FROM raw_messages LEFT JOIN sentiment_results USING (event_id) WHERE channel = 'BUILDING' AND message_date >= TIMESTAMP '{_NOW}' - INTERVAL 30 DAY GROUP BY 1")(rel.over(overview.daily_sentiment, _NOW, "BUILDING"))
+query("G30_co_occurrence", f"""WITH e AS (SELECT DISTINCT event_id, {rel.KEY} AS name, entity_type AS type FROM ner_results JOIN raw_messages USING (event_id) WHERE entity_type IN ('STANDARD', 'PROMO', 'ECONOMY') AND message_date >= TIMESTAMP '{_NOW}' - INTERVAL 2000 DAY)
+    SELECT a.name AS entity1, b.name AS entity2, count(*) AS together, a.type AS type1, b.type AS type2 FROM e a JOIN e b ON a.event_id = b.event_id AND (a.name, a.type) < (b.name, b.type) GROUP BY ALL HAVING count(*) >= 5 ORDER BY together DESC, entity1, entity2, type1, type2 LIMIT 100""")(rel.over(overview.found_together, _NOW, ("STANDARD", "PROMO", "ECONOMY"), 2000))
+
 # first sources
 
 _EXACT = """m AS (SELECT concat('run_b:', CAST(floor(doc_id / 100) AS BIGINT)) AS c, concat_ws(':', source, doc_id) AS event_id, source, doc_id, CASE WHEN doc_id % 11 = 5 THEN doc_id - 40 END AS f, CASE WHEN doc_id % 7 = 3 THEN doc_id - 20 END AS r FROM documents),

@@ -87,4 +87,6 @@ SIGNED = """CASE WHEN positive_prob IS NOT NULL OR negative_prob IS NOT NULL THE
 def with_ctes(sql: str) -> str:
     """The query behind the CTEs that it names."""
     used = [name for name in CTES if name in sql]
-    return "WITH " + ", ".join(f"{name} AS ({CTES[name]})" for name in used) + ("\n, " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else "\n" + sql) if used else sql
+    own = sql.replace("WITH RECURSIVE ", "WITH ", 1)
+    head = "WITH RECURSIVE " if own != sql else "WITH "
+    return head + ", ".join(f"{name} AS ({CTES[name]})" for name in used) + ("\n, " + own.removeprefix("WITH ") if own.startswith("WITH ") else "\n" + own) if used else sql

@@ -6,8 +6,11 @@ to the messages of the same conversation that said it first, earlier than the qu
 passage is looked up as a whole, as two lines that follow each other and line by line; the
 whole goes before pairs, pairs before lines, then the message that holds most of them. The
 shallowest passage that links gives the message replied to. Replies form trees; pointer
-doubling finds each message's thread and depth, and (conv_id, thread, turn) is the reply
-order. The text keeps the unquoted passages, without the line that announces a quote.
+doubling finds each message's thread and depth, and its place: the number of messages before
+it when every message is followed by its replies, each with all that replies to it, before its
+next sibling comes. (conv_id, thread, place) is the reply order; ``conversations`` builds one
+row for each conversation in it. The text keeps the unquoted passages, without the line that
+announces a quote.
 
 Originals are reduced to the first turn per conversation and hash before they are joined, so
 a passage said or quoted very often costs one row per key on that side and no pairs arise.
@@ -15,7 +18,8 @@ a passage said or quoted very often costs one row per key on that side and no pa
 Only built-in functions. Defined results: what has fewer than ``least_chars`` characters is too
 common to link, so a quote of only that is counted and not linked; null text counts as empty; null conv_id is one
 conversation, a null turn comes before all others and is never replied to; rows that repeat
-(conv_id, turn) are kept and share what links to them; other columns are not read.
+(conv_id, turn) are kept and share what links to them; an empty table gives no row; other
+columns are not read. A very long message is cut into lines once and looked up by hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm.shared import shared_folder
+from newsflow.operators.ordering import placed
 
 QUOTE = r"^(?:[ \t]*>)+"
 #: Fixed forms of a line that announces a quote.
@@ -63,7 +68,7 @@ def _units(text: Column) -> Column:
 
 
 def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
-    """messages(conv_id, turn, role, text) -> conv_id, turn, role, text without quotes, n_quotes, n_linked, reply_to, thread, depth."""
+    """messages(conv_id, turn, role, text) -> conv_id, turn, role, text without quotes, n_quotes, n_linked, reply_to, thread, depth, place."""
     shared_folder(messages.sparkSession)
     m = passages(messages.select("conv_id", "turn", "role", "text")).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
     m = m.withColumn("own", F.filter("passages", lambda p: p["level"] == 0)).withColumn("quoted", F.filter("passages", lambda p: p["level"] > 0))
@@ -79,10 +84,11 @@ def link(messages: DataFrame, least_chars: int = 8) -> DataFrame:
     linked = best.groupBy("_conv", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("b.original")).alias("back"))).alias("b"))
     linked = linked.select("_conv", "turn", "n_linked", (-F.col("b.back")).alias("reply_to")).checkpoint()
     trees = threads(linked.select("_conv", "turn", "reply_to"))
+    trees = trees.join(places(linked.select("_conv", "turn", "reply_to")), ["_conv", "turn"])
     out = m.join(linked, ["_conv", "turn"], "left").join(trees, ["_conv", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("own_text").alias("text"), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to",
-        F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("place", F.lit(0)).alias("place"),
     )
 
 
@@ -98,5 +104,41 @@ def threads(replies: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("replies are not a forest")
 
 
+def places(replies: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """replies(_conv, turn, reply_to), one a turn -> _conv, turn, place of each reply among its thread's messages.
+
+    A walk through a thread enters each message, then its replies by turn, and leaves it. The
+    steps are a list; by pointer doubling each step learns how many messages are still to be
+    entered. Siblings are numbered by a range sort, so no message's replies are one task's work.
+    """
+    family = replies.withColumn("_family", F.concat_ws(":", "_conv", "reply_to"))
+    numbered = placed(family, "_family", "turn")
+    after = numbered.select("_family", (F.col("place") - 1).alias("place"), F.col("turn").alias("sibling"))
+    nodes = numbered.join(after, ["_family", "place"], "left").select("_conv", "turn", "reply_to", "sibling")
+    roots = replies.select("_conv", F.col("reply_to").alias("turn")).join(replies.select("_conv", "turn"), ["_conv", "turn"], "left_anti").distinct()
+    nodes = nodes.unionByName(roots.withColumns({"reply_to": F.lit(None).cast("long"), "sibling": F.lit(None).cast("long")}))
+    children = replies.groupBy("_conv", F.col("reply_to").alias("turn")).agg(F.min("turn").alias("child"))
+    step = lambda turn, leave: F.struct(turn.cast("long").alias("turn"), F.lit(leave).alias("leave"))
+    enter = F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(F.col("turn"), True))
+    leave = F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), False)).when(F.col("reply_to").isNotNull(), step(F.col("reply_to"), True))
+    both = F.array(F.struct(step(F.col("turn"), False).alias("at"), enter.alias("next"), F.lit(1).alias("left")), F.struct(step(F.col("turn"), True).alias("at"), leave.alias("next"), F.lit(0).alias("left")))
+    walk = nodes.join(children, ["_conv", "turn"], "left").select("_conv", F.explode(both).alias("s")).select("_conv", "s.*").checkpoint()
+    for _ in range(most_rounds):
+        if walk.where("next is not null").isEmpty():
+            break
+        ahead = walk.select("_conv", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        walk = walk.join(ahead, ["_conv", "next"], "left").select("_conv", "at", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")).checkpoint()
+    entered = walk.where("not at.leave").select("_conv", F.col("at.turn").alias("turn"), "left")
+    whole = threads(replies).select("_conv", "turn", "thread").join(entered.select("_conv", F.col("turn").alias("thread"), F.col("left").alias("all")), ["_conv", "thread"])
+    return whole.join(entered, ["_conv", "turn"]).select("_conv", "turn", (F.col("all") - F.col("left")).alias("place"))
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """link's rows -> conv_id, n_messages, messages: one row for each conversation, its messages in reply order as structs of turn, role, text, reply_to and depth. A conversation has to fit into a row; where it doesn't, sort link's rows by (conv_id, thread, place) instead."""
+    one = F.struct("thread", "place", F.struct("turn", "role", "text", "reply_to", "depth").alias("m"))
+    packed = linked.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return packed.select("conv_id", F.size("all").cast("long").alias("n_messages"), F.transform("all", lambda x: x["m"]).alias("messages"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

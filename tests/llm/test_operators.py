@@ -350,6 +350,38 @@ def test_op6(spark):
     assert chat_formatting.link(df.where("false")).collect() == []
 
 
+def test_op6_places(spark):
+    """Every message is followed by its replies before the next sibling comes; deep chains, many siblings, several threads."""
+    rng, rows, replies = random.Random(8), [], {}
+    for conv in range(6):
+        for turn in range(60):
+            to = None if turn == 0 or rng.random() < 0.1 else turn - 1 if conv == 0 else 0 if conv == 1 else rng.randrange(turn)
+            text = f"message number {turn} of {conv} stands here" if to is None else f"> message number {to} of {conv} stands here\nmessage number {turn} of {conv} stands here"
+            rows.append((conv, turn, "r", text))
+            replies[conv, turn] = to
+    rows += [(9, None, "r", "no turn"), (9, 1, "r", "x" * 300_000 + "\n> short"), (9, 1, "r", "again")]
+    linked = chat_formatting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash")).repartition(5)).checkpoint()
+    got = {(r.conv_id, r.turn): r for r in linked.where("conv_id < 9").collect()}
+    assert {k: r.reply_to for k, r in got.items()} == replies
+    order = {}
+    for conv in range(6):
+        order[conv] = []
+
+        def walk(turn, place, conv=conv):
+            begun = place
+            order[conv].append(turn)
+            assert got[conv, turn].place == place
+            for child in sorted(t for (c, t), to in replies.items() if c == conv and to == turn):
+                place = walk(child, place + 1)
+            return place if place >= begun else begun
+
+        for root in sorted(t for (c, t), to in replies.items() if c == conv and to is None):
+            walk(root, 0)
+    whole = {r.conv_id: r for r in chat_formatting.conversations(linked).collect()}
+    assert all([m.turn for m in whole[c].messages] == turns and whole[c].n_messages == 60 for c, turns in order.items())
+    assert [m.turn for m in whole[9].messages] == [None, 1, 1]
+
+
 def test_op7(spark, empty):
     key = "AKIA" + "Q" * 16
     texts = {1: f"use {key} with password='Abcdefgh1234567' at https://db.example.com:5432/x", 2: "password=short1 alone", 3: "login: someone_here\npassword=short1", 4: "token=secret: abcdefghijklmno", 5: None, 6: "é " * 50 + "deadbeefdeadbeef0 x", 7: "see https://example.com only", 8: "pass" * 20000}

@@ -1,11 +1,14 @@
 """Operator 3: toxicity by a weighted finite-state pattern grammar.
 
-Three small transducers read the word classes of a clause - insult, threat, target, negation,
-reported speech - and are composed into one: negation marks what it precedes, reported speech
-what stands behind a verb of saying or within quotation marks, and a target what is aimed at
-somebody. Each matched insult or threat leaves the machine with its marks and its lexical
-weight; the sums by mark are the features of a document and a logistic model turns them into
-a score. Isolated words count through their clause only.
+Transducers over the word classes of a clause are composed into two machines. The first reads
+a clause forwards: the threat transducer turns patterns (violence against a target, somebody's
+fate behind a modal or in the speaker's intent) into threats, the insult transducer drops
+insults that are only mentioned, negation marks what stands in its scope, which ends at a comma
+or a conjunction, reported speech what follows a verb of saying or a quotation mark, a target
+what follows it. The second reads that output backwards, since speech is also reported, and
+targets named, behind a match. Each matched insult or threat leaves the machines with its marks
+and its lexical weight; the sums by mark are the features of a document and a logistic model
+turns them into a score. Isolated words count through their clause only.
 
 The lexicon of insults is learned from labelled rows: word stems (the first three to eight
 letters) whose document frequency among toxic rows is significantly higher, all that pass the
@@ -15,7 +18,8 @@ or partitions; it bounds the lexicon, too, since a stem has to occur in several
 
 Defined results: null and empty texts score like texts without matches; a null doc_id is
 never labelled and counts as held out; a doc_id with several labels is toxic if one says so;
-without any labels the weights are the built-in ones; other columns are not read.
+without any labels the weights are the built-in ones; empty tables give no rows; other columns are
+not read. Clauses of very long texts are walked once, from left to right.
 """
 
 from __future__ import annotations
@@ -35,15 +39,26 @@ from newsflow.llm.shared import arrow_session, shared_folder
 
 SAMPLE = 12_000
 #: Fixed seed words of the classes, in the four languages of the corpus.
-THREATS = "kill hurt destroy beat attack burn shoot töten verletzen zerstören schlagen tuer blesser détruire frapper matar herir destruir golpear".split()
-TARGETS = "you your yours yourself they them he she him her this these du dich dir ihr euch sie tu toi vous il elle ils usted ustedes tú él ella ellos".split()
+VIOLENCE = "kill hurt destroy beat attack burn shoot töten verletzen zerstören schlagen tuer blesser détruire frapper matar herir destruir golpear".split()
+FATES = "regret suffer perish bereuen sterben leiden regretter mourir souffrir lamentar morir sufrir".split()
+#: Also an article in one of the languages, so it counts at the end of a clause only.
+LAST_FATE = "die"
+FIRST = "i we ich wir je nous yo nosotros".split()
+MODALS = "will would shall should must gonna going werde werden wird sollst sollte musst vais allons vas devrais dois voy vamos deberías debes".split()
+CONDITIONS = "if unless wenn falls si".split()
+THINGS = "a an the my our its ein eine einen einem der das den dem le la les l un une des el los las una unos".split()
+MENTIONS = "word term wort begriff mot terme palabra término".split()
+TARGETS = "you your yours yourself them they he she him her this these du dich dir ihr euch sie tu toi te vous il elle ils usted ustedes tú él ella ellos".split()
 NEGATIONS = "not no never don't doesn't isn't aren't won't nicht kein keine nie pas jamais aucun nunca ni sin".split()
-REPORTS = 'said says say called calls quoted wrote writes reported claims sagte sagt schrieb nannte dit écrit appelle dijo dice llamó escribió "'.split()
+SCOPE_ENDS = ", ; but because although however aber sondern weil mais car pero sino porque".split()
+REPORTS = 'said says say saying called calls calling quoted wrote writes reported claims sagte sagt schrieb nannte dit écrit appelle dijo dice llamó escribió "'.split()
 QUOTES = '"“”«»„'
 CLAUSE_END = re.compile(r"[.!?;\n]")
-TOKEN = re.compile(rf"[\w'’]+|[{QUOTES}]")
-WINDOW = 4
+TOKEN = re.compile(rf"[\w'’]+|[,{QUOTES}]")
+AT_END = re.compile(r"[^\w.!?;\n]*(?:[.!?;\n]|\Z)")
+WILL = re.compile(r"['’]ll\b")
 STEM = range(8, 2, -1)
+MARKS = ("negated", "reported", "aimed")
 
 
 class Transducer:
@@ -57,26 +72,55 @@ class Transducer:
 
 
 def marked(name: str, mark: str) -> str:
-    return f"{name}+{mark}"
+    """The name with one more mark, marks in their order."""
+    base, *marks = name.split("+")
+    return "+".join([base, *(m for m in MARKS if m == mark or m in marks)])
 
 
-def counting(trigger: str, mark: str, base: tuple[str, ...]) -> Transducer:
-    """For WINDOW symbols behind a trigger, matches carry the mark."""
-    arcs, other = {}, {k: max(0, k - 1) for k in range(WINDOW + 1)}
-    for k in range(WINDOW + 1):
-        arcs[(k, trigger)] = (WINDOW, trigger)
-        for b in base if k else ():
-            arcs[(k, b)] = (k - 1, marked(b, mark))
-    return Transducer(0, arcs, other)
-
-
-def switching(trigger: str, mark: str, base: tuple[str, ...]) -> Transducer:
-    """Behind a trigger, all matches of the clause carry the mark."""
+def switching(trigger: str, mark: str, base: tuple[str, ...], end: str | None = None) -> Transducer:
+    """Behind a trigger matches carry the mark, up to an end symbol or, without one, to the end of the clause."""
     arcs = {(k, trigger): (1, trigger) for k in (0, 1)}
     arcs |= {(1, b): (1, marked(b, mark)) for b in base}
+    if end is not None:
+        arcs[(1, end)] = (0, end)
     return Transducer(0, arcs, {0: 0, 1: 1})
 
 
+def insults() -> Transducer:
+    """An insult that is only mentioned (the word ...) is none."""
+    arcs = {(k, "mention"): (1, "mention") for k in (0, 1)} | {(1, "insult"): (0, "other")}
+    return Transducer(0, arcs, {0: 0, 1: 0})
+
+
+def threats() -> Transducer:
+    """Clauses that threaten leave the machine as a threat where they are complete.
+
+    Patterns: violence against a target (up to two words between, but no article: what is done
+    to a thing is no threat); somebody's fate after a modal or in what the speaker intends; a
+    fate under a condition. Violence of a target itself is an accusation, not a threat, unless
+    a modal announces it.
+    """
+    arcs = {}
+
+    def put(state: str, **to: str) -> None:
+        for symbol, target in to.items():
+            arcs[(state, symbol)] = (target.removesuffix("!"), "threat") if target.endswith("!") else (target, symbol)
+
+    start = {"first": "speaker", "violence": "act", "target": "target", "condition": "condition", "end": "idle"}
+    put("idle", **start)
+    put("condition", **start | {"end": "condition", "fate": "idle"})
+    put("speaker", **start | {"modal": "intent"})
+    put("intent", **start | {"first": "intent", "target": "meant", "thing": "intent"})
+    put("meant", **start | {"modal": "doomed", "fate": "idle!", "violence": "idle!", "target": "meant"})
+    put("target", **start | {"modal": "doomed", "fate": "idle!", "violence": "idle"})
+    put("doomed", **start | {"fate": "idle!", "target": "doomed", "violence": "act", "first": "doomed", "end": "doomed"})
+    for state in ("act", "act1", "act2"):
+        put(state, **start | {"thing": "idle"})
+        arcs[(state, "target")] = ("idle", "threat+aimed")
+    other = {s: s for s in ("idle", "condition", "speaker", "intent", "meant", "target", "doomed")} | {"act": "act1", "act1": "act2", "act2": "idle"}
+    return Transducer("idle", arcs, other)
+
+
 def compose(first: Transducer, second: Transducer, symbols: tuple[str, ...]) -> Transducer:
     """One transducer that does first, then second, over the given input symbols."""
     start = (first.start, second.start)
@@ -93,25 +137,43 @@ def compose(first: Transducer, second: Transducer, symbols: tuple[str, ...]) ->
     return Transducer(start, arcs, {s: s for s in seen})
 
 
-SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
+SYMBOLS = ("other", "insult", "violence", "fate", "first", "modal", "condition", "thing", "mention", "target", "negation", "report", "end")
 _BASE = ("insult", "threat")
-_NEGATED = tuple(x for b in _BASE for x in (b, marked(b, "negated")))
-_REPORTED = tuple(x for b in _NEGATED for x in (b, marked(b, "reported")))
-OUTPUTS = tuple(x for b in _REPORTED for x in (b, marked(b, "aimed")))
+#: Every match with every set of marks.
+OUTPUTS = tuple("+".join([b, *(m for k, m in enumerate(MARKS) if bits >> k & 1)]) for b in _BASE for bits in range(1 << len(MARKS)))
 
 
 @cache
-def grammar() -> Transducer:
-    negated = compose(counting("negation", "negated", _BASE), switching("report", "reported", _NEGATED), SYMBOLS)
-    return compose(negated, counting("target", "aimed", _REPORTED), SYMBOLS)
+def grammar() -> tuple[Transducer, Transducer]:
+    """Two machines: one reads a clause forwards, the other one its output backwards. What reports or is aimed at may stand before a match or behind it."""
+    forwards = [threats(), insults(), switching("negation", "negated", OUTPUTS, "end"), switching("report", "reported", OUTPUTS), switching("target", "aimed", OUTPUTS)]
+    first = forwards[0]
+    for machine in forwards[1:]:
+        first = compose(first, machine, SYMBOLS)
+    second = compose(switching("report", "reported", OUTPUTS), switching("target", "aimed", OUTPUTS), (*SYMBOLS, *OUTPUTS))
+    return first, second
+
+
+def read(symbols: list[str]) -> list[str]:
+    """What the machines make of a clause's symbols, place by place. A threat is complete at its target, which aims it."""
+    first, second = grammar()
+    for machine in (first, second):
+        state, out = machine.start, []
+        for symbol in symbols:
+            state, made = machine.step(state, symbol)
+            out.append(made)
+        symbols = out[::-1]
+    return symbols
 
 
 class Scorer:
     """Features and scores of texts under a lexicon {word: weight} and model weights."""
 
     def __init__(self, lexicon: dict[str, float], model: list[float] | None):
-        self.weight = {**{w: 1.0 for w in THREATS}, **lexicon}
-        self.symbol = {**{w: "threat" for w in THREATS}, **{w: "insult" for w in lexicon}, **{w: "target" for w in TARGETS}, **{w: "negation" for w in NEGATIONS}, **{w: "report" for w in [*REPORTS, *QUOTES]}}
+        self.weight = {**dict.fromkeys([*VIOLENCE, *FATES, LAST_FATE], 1.0), **lexicon}
+        classes = {"violence": VIOLENCE, "fate": [*FATES, LAST_FATE], "insult": lexicon, "first": FIRST, "modal": MODALS, "condition": CONDITIONS, "thing": THINGS, "mention": MENTIONS, "target": TARGETS, "negation": NEGATIONS, "end": SCOPE_ENDS, "report": [*REPORTS, *QUOTES]}
+        self.symbol = {w: name for name, words in classes.items() for w in words}
+        self.learned = set(lexicon)
         self.model = None if model is None else np.array(model)
         self.finder = ahocorasick.Automaton()
         for word in self.weight:
@@ -126,19 +188,20 @@ class Scorer:
         ends = CLAUSE_END.finditer(low)
         for end, size in self.finder.iter(low):
             begin = end - size + 1
-            if begin < until or (begin and low[begin - 1].isalnum()):
+            if begin < until or (begin and low[begin - 1].isalnum()) or (size == len(LAST_FATE) and low[begin : end + 1] == LAST_FATE and LAST_FATE not in self.learned and AT_END.match(low, end + 1) is None):
                 continue
             while until <= end:  # clauses are walked once, along the matches
                 start = until + 1
                 stop = next(ends, None)
                 until = stop.start() if stop else len(low)
-            machine, state = grammar(), grammar().start
-            for token in TOKEN.findall(low[start:until]):
-                word = token if token in self.symbol else next((token[:k] for k in STEM if token[:k] in self.weight), token)
-                state, out = machine.step(state, self.symbol.get(word, "other"))
+            tokens = TOKEN.findall(WILL.sub(" will", low[start:until]))
+            found = [token if token in self.symbol else next((token[:k] for k in STEM if token[:k] in self.weight and token[:k] != LAST_FATE), token) for token in tokens]
+            symbols = [self.symbol.get(w, "other") if w != LAST_FATE or k == len(found) - 1 else "other" for k, w in enumerate(found)]
+            for word, out in zip(found, read(symbols), strict=True):
                 if out in self.place:
-                    sums[self.place[out]] += self.weight[word]
-                    words.add(word)
+                    threat = out.startswith("threat")
+                    sums[self.place[out]] += 1.0 if threat else self.weight[word]
+                    words.add("threat" if threat else word)
                     n += 1
         sums[-2], sums[-1] = n, len(words)
         return np.log1p(sums)
@@ -194,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     found: dict[str, float] = {}
     for r in best.orderBy(F.desc("z"), F.desc(F.length("w")), "w").collect():
         kin = any(r["w"].startswith(x) or x.startswith(r["w"]) for x in found)
-        if not kin and r["w"] not in {*TARGETS, *NEGATIONS, *REPORTS}:
+        if not kin and r["w"] not in {*TARGETS, *NEGATIONS, *REPORTS, *THINGS, *SCOPE_ENDS}:
             found[r["w"]] = float(r["gain"])
     data = rows.mapInArrow(partial(_sample_features, lexicon=found), "toxic int, x array<double>").collect()
     return found, fit_logistic(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float))

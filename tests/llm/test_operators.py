@@ -169,6 +169,38 @@ def test_op3_grammar():
     assert hit("they will kill you") == {"threat+aimed"}
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("I will make sure you regret this", {"threat+aimed"}), ("you should die", {"threat+aimed"}), ("you'll regret it", {"threat+aimed"}), ("if you tell anyone, I will hurt you", {"threat+aimed"}), ("we are going to burn all of them", {"threat+aimed"}),
+    ("I will not kill you", {"threat+negated+aimed"}), ("I will kill you, he said", {"threat+reported+aimed"}), ("how to kill a process", set()), ("beat the eggs", set()), ("you kill", set()), ("die Stadt ist gross", set()), ("ihr sollt die Tür öffnen", set()),
+    ("I am not saying you are an idiot", {"insult+negated+reported+aimed"}), ("idiot, he said", {"insult+reported+aimed"}), ("idiot, it was said", {"insult+reported"}), ("You will never be anything but an idiot", {"insult+aimed"}), ("no, an idiot", {"insult"}), ("the word idiot", set()),
+    ("such an idiot, like you", {"insult+aimed"}),
+])
+def test_op3_patterns(text, found):
+    s = toxicity.Scorer({"idiot": 2.0}, None)
+    assert {n for n, k in s.place.items() if s.features(text)[k] > 0} == found
+
+
+def test_op3_composition():
+    """The composed machines give what their parts give one after the other, on every short clause."""
+    parts = [toxicity.threats(), toxicity.insults(), toxicity.switching("negation", "negated", toxicity.OUTPUTS, "end"), toxicity.switching("report", "reported", toxicity.OUTPUTS), toxicity.switching("target", "aimed", toxicity.OUTPUTS)]
+    rng = random.Random(3)
+    for _ in range(4000):
+        clause = rng.choices(toxicity.SYMBOLS, k=rng.randrange(8))
+        out = clause
+        for machine in parts:
+            state, made = machine.start, []
+            for symbol in out:
+                state, x = machine.step(state, symbol)
+                made.append(x)
+            out = made
+        matches = [x for x in out if x.split("+")[0] in ("insult", "threat")]
+        report, target = ({k for k, x in enumerate(out) if x == name} for name in ("report", "target"))
+        for k, (x, y) in enumerate(zip(out, toxicity.read(clause), strict=True)):
+            marks = set(x.split("+")[1:]) | {m for m, at in (("reported", report), ("aimed", target)) if any(j > k for j in at)} if x.split("+")[0] in ("insult", "threat") else set()
+            assert y == ("+".join([x.split("+")[0], *(m for m in toxicity.MARKS if m in marks)]) if marks else x)
+        assert len(matches) == sum(y.split("+")[0] in ("insult", "threat") for y in toxicity.read(clause))
+
+
 def test_op3_very_long_texts():
     """Clauses are walked once: five million characters with one kind of delimiter, and as many without any."""
     s, begun = toxicity.Scorer({"idiot": 2.0}, None), time.time()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from newsflow.functions import entities as en
 from newsflow.functions import fingerprints as fp
 from newsflow.functions import semantics as sem
 from newsflow.functions import text as tx
-from newsflow.operators import cache, clustering, dml, enrich, first_source, graph, overview, topics
+from newsflow.operators import cache, clustering, dml, enrich, first_source, graph, names, overview, topics
 from newsflow.plans import analytics
 from newsflow.plans import relational as rel
-from newsflow.sources import events, testbed
+from newsflow.session import shared_folder
+from newsflow.sources import events, sinks, staging, testbed
 from newsflow.sources.testbed import table, with_ctes
 from newsflow.streaming import ingest
 
@@ -292,6 +295,64 @@ query("G30_daily_sentiment", f"SELECT CAST(message_date AS DATE) AS day, CAST(su
 query("G30_co_occurrence", f"""WITH e AS (SELECT DISTINCT event_id, {rel.KEY} AS name, entity_type AS type FROM ner_results JOIN raw_messages USING (event_id) WHERE entity_type IN ('STANDARD', 'PROMO', 'ECONOMY') AND message_date >= TIMESTAMP '{_NOW}' - INTERVAL 2000 DAY)
     SELECT a.name AS entity1, b.name AS entity2, count(*) AS together, a.type AS type1, b.type AS type2 FROM e a JOIN e b ON a.event_id = b.event_id AND (a.name, a.type) < (b.name, b.type) GROUP BY ALL HAVING count(*) >= 5 ORDER BY together DESC, entity1, entity2, type1, type2 LIMIT 100""")(rel.over(overview.found_together, _NOW, ("STANDARD", "PROMO", "ECONOMY"), 2000))
 
+# written and read back
+
+def _folder(s) -> str:
+    return f"{shared_folder(s)}/written-{uuid.uuid4().hex}"
+
+
+@query("K02_json_lines", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_type = 'click'")
+def _json_lines(s, d):
+    path, e = _folder(s), table(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    sinks.to_json_lines(e, path)
+    sinks.to_json_lines(e.where("event_type = 'click'"), path)  # replaces
+    return events.files(s, path, "json", e.schema)
+
+
+@query("K03_csv", "SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c_mktsegment, 2 AS n FROM customer) GROUP BY 1")
+def _csv(s, d):
+    path, c = _folder(s), table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    sinks.to_csv(c, path)
+    sinks.to_csv(c, path)  # adds
+    return events.files(s, path, "csv").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("K05_parquet_partitions", "SELECT event_type, count(*) FILTER (event_type <> 'error' OR event_id % 2 = 0) AS n FROM events GROUP BY 1")
+def _partitions(s, d):
+    path, e = _folder(s), table(s, d, "events").select("event_id", "event_type")
+    sinks.to_parquet(e, path, "event_type")
+    sinks.to_parquet(e.where("event_type = 'error' AND event_id % 2 = 0"), path, "event_type")  # replaces one partition
+    return s.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def _assigned(s, d):
+    a, m = testbed.assignments(s, d).where("run_id = 'run_b'"), testbed.raw_messages(s, d)
+    return a.join(m.select("event_id", "channel", "message_id"), "event_id").withColumn("cluster_probability", F.round("probability", 6)), m
+
+
+@query("S10_staged_lines", "SELECT event_id, channel, message_id, run_id, cluster_id, public_cluster_id, round(probability, 6) AS cluster_probability, '[]' AS topic_keywords FROM assignments JOIN raw_messages USING (event_id) WHERE run_id = 'run_b'")
+def _staged(s, d):
+    path, (a, m) = _folder(s), _assigned(s, d)
+    sinks.to_json_lines(a.drop("probability"), path)
+    staged = staging.staged_lines(s, path).where("is_json")
+    return staging.checked(staged, m).select("event_id", "channel", "message_id", "run_id", "cluster_id", "public_cluster_id", "cluster_probability", "topic_keywords")
+
+
+query("F21_violations", """WITH a AS (SELECT event_id, channel, message_id, CASE WHEN message_id % 50 = 0 THEN 'other' ELSE run_id END AS run_id, cluster_id, public_cluster_id, probability FROM assignments JOIN raw_messages USING (event_id) WHERE run_id = 'run_b')
+    SELECT count(DISTINCT run_id) AS runs, count(*) FILTER (run_id = 'other') AS invalid, count(*) FILTER (message_id % 7 = 0) AS orphans, 0 AS duplicates FROM a""")(
+    lambda s, d: (lambda a, m: staging.violations(a.withColumn("run_id", F.when(F.col("message_id") % 50 == 0, "other").otherwise(F.col("run_id"))), m.where("message_id % 7 <> 0")))(*_assigned(s, d))
+)
+
+
+@query("S11_staged_csv", "SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders")
+def _staged_csv(s, d):
+    path = _folder(s)
+    sinks.to_csv(table(s, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day")), path)
+    return staging.staged_csv(s, path, "o_orderkey long, o_totalprice double, day date").where("_broken is null").drop("_broken")
+
+
+query("M09_canonical_names")(lambda s, d: names.canonical_names(enrich.entities(table(s, d, "documents"), ("doc_id",))).select("doc_id", "start_pos", "entity_text", "canonical"))
+
 # first sources
 
 _EXACT = """m AS (SELECT concat('run_b:', CAST(floor(doc_id / 100) AS BIGINT)) AS c, concat_ws(':', source, doc_id) AS event_id, source, doc_id, CASE WHEN doc_id % 11 = 5 THEN doc_id - 40 END AS f, CASE WHEN doc_id % 7 = 3 THEN doc_id - 20 END AS r FROM documents),
@@ -384,8 +445,8 @@ query("N11b_bridges")(lambda s, d: (lambda n, e: graph.top_bridges(graph.measure
 
 query("API_sentiment_dynamics_of_one_channel", "SELECT date_trunc('day', message_date) AS bucket, " + ", ".join(f"count(*) FILTER ({rel._LABELS} = '{x}') AS {x}" for x in ("positive", "neutral", "negative")) + f" FROM raw_messages LEFT JOIN sentiment_results USING (event_id) WHERE {rel.WINDOW} AND channel = 'BUILDING' GROUP BY 1")(rel.over(overview.sentiment_dynamics, rel.START, rel.END, "day", "BUILDING"))
 #: Routes that give what a query with SQL gives.
-ROUTES = {"API_overview": "G22_kpis", "API_cluster_related": "G11_related_clusters", "API_entities_top": "G06_top_entities", "API_sentiment_dynamics": "G10_sentiment_dynamics"}
-ORACLE_SQL |= {route: rel.ORACLE_SQL[name] for route, name in ROUTES.items()}
+ROUTES = {"API_overview": "G22_kpis", "API_cluster_related": "G11_related_clusters", "API_entities_top": "G06_top_entities", "API_sentiment_dynamics": "G10_sentiment_dynamics", "API_graph": "N12_overview_edges"}
+ORACLE_SQL |= {route: (rel.ORACLE_SQL | ORACLE_SQL)[name] for route, name in ROUTES.items()}
 ORACLE_SQL["API_messages"] = with_ctes(
     f"SELECT event_id, channel, message_id, text, message_date, coalesce(views, 0) AS views, coalesce(forwards, 0) AS forwards, public_cluster_id, {rel._LABELS} AS sentiment_label, coalesce(sentiment_score, 0) AS sentiment_confidence, CAST({testbed.SIGNED} AS DOUBLE) AS ui_sentiment_score"
     f" FROM raw_messages LEFT JOIN ({rel.LATEST_ONLY}) USING (event_id) LEFT JOIN sentiment_results USING (event_id) WHERE {rel.WINDOW} ORDER BY message_date DESC, event_id DESC LIMIT 50"

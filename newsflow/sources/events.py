@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAYLOAD = (
     "message_id long, channel string, channel_id long, text string, date timestamp, views long, forwards long, reactions map<string,long>, media struct<type:string>,"
@@ -22,7 +23,7 @@ def kafka(spark: SparkSession, servers: str, topics: str, per_trigger: int = 10_
     return reader.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topics, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(per_trigger)}).load().select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
-def files(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
+def files(spark: SparkSession, path: str, kind: str = "parquet", schema: str | T.StructType | None = None, columns: list[str] | None = None, most: int | None = None) -> DataFrame:
     """(S05, S07, S10, S11) Parquet, CSV or JSON lines with projection and an optional cap."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.option("header", "true").csv(path) if kind == "csv" else reader.format(kind).load(path)

@@ -12,14 +12,18 @@ def to_kafka(df: DataFrame, servers: str, topic: str, key: str = "event_id") ->
     out.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}).save()
 
 
+#: Times in texts keep their microseconds.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def to_json_lines(df: DataFrame, path: str) -> None:
     """(K02) Replaces what is there."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**TIMES).json(path)
 
 
 def to_csv(df: DataFrame, path: str) -> None:
     """(K03) Adds to what is there."""
-    df.write.mode("append").option("header", "true").csv(path)
+    df.write.mode("append").options(header="true", **TIMES).csv(path)
 
 
 def to_parquet(df: DataFrame, path: str, *partitions: str, mode: str = "overwrite") -> None:

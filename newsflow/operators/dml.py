@@ -82,6 +82,14 @@ def backfill_dates(spark: SparkSession, start: str, today: str, lookback: int) -
     return spark.range(1).select(F.explode(days).alias("job_date"))
 
 
+def backfill_jobs(channels: DataFrame, today: str, lookback: int) -> DataFrame:
+    """(O07) channels(channel, start date) -> channel, job_date, place: the days to fetch of each channel, newest first from 0; none where the start lies ahead."""
+    high = F.lit(today).cast("date")
+    low = F.greatest("start", F.date_sub(high, lookback))
+    days = F.when(low <= high, F.sequence(high, low, F.expr("interval -1 day")))
+    return channels.where("start is not null").select("channel", F.posexplode(days).alias("place", "job_date"))
+
+
 def claim(processed: DataFrame, arrived: DataFrame) -> DataFrame:
     """(K08) processed(event_id, status, retry_count) after arrived(event_id) asked for work: claimed tells who may process. What is completed stays, what is known gets one more try."""
     a = arrived.select("event_id").distinct().withColumn("asked", F.lit(True))

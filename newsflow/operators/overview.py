@@ -181,6 +181,12 @@ def messages(r: Relations, start, end, channel: str | None = None, cluster: str
     )
 
 
+def page_of(limit: Column, offset: Column, most: int = 200, default: int = 50) -> Column:
+    """page for columns of text: struct of limit and offset."""
+    number = lambda c, otherwise: F.coalesce(F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("int")), F.lit(otherwise))
+    return F.struct(F.least(F.lit(most), F.greatest(F.lit(1), number(limit, default))).alias("limit"), F.greatest(F.lit(0), number(offset, 0)).alias("offset"))
+
+
 def page(limit, offset, most: int = 200, default: int = 50) -> tuple[int, int]:
     """Limit and offset from user input."""
 

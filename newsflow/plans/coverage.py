@@ -295,6 +295,25 @@ query("G30_daily_sentiment", f"SELECT CAST(message_date AS DATE) AS day, CAST(su
 query("G30_co_occurrence", f"""WITH e AS (SELECT DISTINCT event_id, {rel.KEY} AS name, entity_type AS type FROM ner_results JOIN raw_messages USING (event_id) WHERE entity_type IN ('STANDARD', 'PROMO', 'ECONOMY') AND message_date >= TIMESTAMP '{_NOW}' - INTERVAL 2000 DAY)
     SELECT a.name AS entity1, b.name AS entity2, count(*) AS together, a.type AS type1, b.type AS type2 FROM e a JOIN e b ON a.event_id = b.event_id AND (a.name, a.type) < (b.name, b.type) GROUP BY ALL HAVING count(*) >= 5 ORDER BY together DESC, entity1, entity2, type1, type2 LIMIT 100""")(rel.over(overview.found_together, _NOW, ("STANDARD", "PROMO", "ECONOMY"), 2000))
 
+# the same over whole tables
+
+query("F09b_latest_run_of_events", "SELECT arg_max(event_id, ts) AS run_id FROM events")(lambda s, d: overview.latest_run(table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("run_timestamp"))))
+query("F14b_asked_pages", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 50 ELSE least(200, greatest(1, user_id * 7 - 50)) END AS page_limit, greatest(0, event_id - 100) AS page_offset FROM events""")(
+    lambda s, d: table(s, d, "events").select("event_id", overview.page_of(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise((F.col("user_id") * 7 - 50).cast("string")), (F.col("event_id") - 100).cast("string")).alias("p")).select("event_id", F.col("p.limit").alias("page_limit"), F.col("p.offset").alias("page_offset"))
+)
+query("O07b_backfill_jobs", """WITH c AS (SELECT user_id AS channel, CAST(min(ts) AS DATE) AS start FROM events GROUP BY 1)
+    SELECT channel, CAST(DATE '2024-01-10' - CAST(place AS INT) AS DATE) AS job_date, CAST(place AS INT) AS place FROM (SELECT channel, unnest(range(0, DATE '2024-01-10' - greatest(start, DATE '2024-01-03') + 1)) AS place FROM c WHERE start <= DATE '2024-01-10')""")(
+    lambda s, d: dml.backfill_jobs(table(s, d, "events").groupBy(F.col("user_id").alias("channel")).agg(F.min("ts").cast("date").alias("start")), "2024-01-10", 7)
+)
+query("O08b_sample_by_hash", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")(lambda s, d: table(s, d, "documents").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(100).select("doc_id"))
+_GOOD, _BAD = tuple(enrich.GOOD.split()), tuple(enrich.BAD.split())
+query("M02b_all_documents", f"""WITH w AS (SELECT doc_id, trim(coalesce(text, '')) = '' AS blank, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+    l AS (SELECT doc_id, blank, 2.0 * len(list_filter(w, lambda x: x IN {_BAD})) AS bad, 2.0 * len(list_filter(w, lambda x: x IN {_GOOD})) AS good FROM w), m AS (SELECT *, greatest(bad, good, 1) AS m FROM l),
+    z AS (SELECT doc_id, blank, bad, good, exp(greatest(bad, good, 1) - m) / (exp(bad - m) + exp(1 - m) + exp(good - m)) AS top FROM m)
+    SELECT doc_id, CASE WHEN blank OR top < 0.55 THEN 'neutral' WHEN bad >= 1 AND bad >= good THEN 'negative' WHEN good <= 1 THEN 'neutral' ELSE 'positive' END AS label, round(CASE WHEN blank THEN 1.0 ELSE top END, 9) AS score FROM z""")(
+    lambda s, d: enrich.sentiment(table(s, d, "documents")).select("doc_id", "label", F.round("score", 9).alias("score"))
+)
+
 # written and read back
 
 def _folder(s) -> str:

@@ -67,10 +67,16 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Delete the scratch tables of this process."""
-    while _scratch:
-        spark, path = _scratch.pop()
+def scratch_mark() -> int:
+    """How many scratch tables this process has; see drop_scratch."""
+    return len(_scratch)
+
+
+def drop_scratch(since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables of this process that were made since a mark, but for the last ``keep`` ones."""
+    dropped = _scratch[since : len(_scratch) - keep]
+    del _scratch[since : len(_scratch) - keep]
+    for spark, path in reversed(dropped):
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])

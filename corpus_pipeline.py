@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm import byte_bpe, decontamination, quality_rules, secret_scans, simhash
-from newsflow.llm.shared import only, scratch_table
+from newsflow.llm.shared import drop_scratch, only, scratch_mark, scratch_table
 
 
 def _replaced(docs: DataFrame, row: str, text: str) -> list:
@@ -62,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir), name)
+        drop_scratch(mark, keep=1)  # what the stage has read and used on its way
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from newsflow.functions.semantics import entity_key, title_case, truncated
 from newsflow.operators import clustering, density, enrich, first_source, graph, graph_tables, overview
 from newsflow.plans import api
 from newsflow.plans import relational as rel
+from newsflow.session import shared_folder
 from newsflow.sources import events, testbed
 from newsflow.sources.testbed import table, with_ctes
 from newsflow.streaming import ingest
@@ -110,8 +111,14 @@ def source_messages(s, d) -> DataFrame:
     )
 
 
+def written(df: DataFrame) -> DataFrame:
+    """What is read several times, as a table in the shared folder: nothing stays in the executors' memory."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def source_sides(s, d):
-    m = source_messages(s, d).persist()  # read several times
+    m = written(source_messages(s, d))
     return m, first_source.exact_sources(m, m), first_source.inferred_sources(m)
 
 
@@ -121,7 +128,7 @@ query("R01_exact_sources", """WITH m AS (SELECT concat_ws(':', source, doc_id) A
     lambda s, d: (lambda m: first_source.exact_sources(m, m).select("event_id", "source_type", "confidence", "source_event_id"))(source_messages(s, d).withColumn("primary_url", F.lit(None).cast("string")))
 )
 # topics of one source each grow with the table
-query("R02_inferred_sources")(lambda s, d: first_source.inferred_sources(source_messages(s, d).withColumn("public_cluster_id", F.concat_ws(":", F.lit("run_b"), "channel")).persist()))
+query("R02_inferred_sources")(lambda s, d: first_source.inferred_sources(written(source_messages(s, d).withColumn("public_cluster_id", F.concat_ws(":", F.lit("run_b"), "channel")))))
 query("R05_cluster_exact")(lambda s, d: first_source.cluster_exact(source_sides(s, d)[1]))
 query("R06_cluster_inferred", "SELECT concat('run_b:', CAST(floor(doc_id / 100) AS BIGINT)) AS public_cluster_id, arg_min(concat_ws(':', source, doc_id), doc_id) AS source_event_id, 0.35 AS confidence FROM documents GROUP BY 1")(lambda s, d: first_source.cluster_inferred(source_messages(s, d)))
 query("R07_propagation_links")(lambda s, d: (lambda m, e, i: first_source.propagation_links(e, i))(*source_sides(s, d)))

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "newsflow", **settings: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling, Arrow transfer; settings override by key with dots as double underscores."""
+    """UTC, adaptive execution with skew handling, Arrow transfer, checkpoints deleted once nothing refers to them; settings override by key with dots as double underscores."""
     builder = SparkSession.builder.appName(name)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
@@ -16,6 +16,7 @@ def session(name: str = "newsflow", **settings: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (defaults | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from newsflow.operators import first_source
 from newsflow.sources import events
 
 
@@ -91,6 +92,41 @@ def start_clustering(
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_resolution(
+    assigned: DataFrame, messages: Callable[[], DataFrame], folder: str, checkpoint: str, most: int = 20, trigger: dict | None = None
+) -> StreamingQuery:
+    """(T11, R09) A stream of assigned(event_id, public_cluster_id, cluster_id) into folder/resolutions and folder/links.
+
+    After each micro-batch (every 300 seconds, say, as the trigger has it) the topics without an
+    exact or an inferred resolution are resolved, ``most`` at once, until none is left.
+    messages() reads all messages as ``first_source.exact_sources`` takes them. Each topic is a
+    partition of both tables and is written as a whole, so a batch that is done again leaves the
+    same tables.
+    """
+
+    def step(part: DataFrame, batch_id: int) -> None:
+        spark = part.sparkSession
+        write = lambda df, name, by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{folder}/{name}")
+        write(part.select("event_id", "public_cluster_id", "cluster_id").dropDuplicates(["event_id"]).withColumn("batch_id", F.lit(batch_id)), "assigned", "batch_id")
+        known = spark.read.parquet(f"{folder}/assigned").dropDuplicates(["event_id"])
+        while True:
+            done = spark.read.parquet(f"{folder}/resolutions") if _exists(spark, f"{folder}/resolutions") else spark.createDataFrame([], "public_cluster_id string, resolution_kind string")
+            topics = first_source.pending(known, done, most).checkpoint()
+            if topics.isEmpty():
+                return
+            everything = messages().drop("public_cluster_id")
+            m = everything.join(known.join(topics, "public_cluster_id", "left_semi").select("event_id", "public_cluster_id"), "event_id").checkpoint()
+            exact, inferred = first_source.exact_sources(m, everything).checkpoint(), first_source.inferred_sources(m)
+            strict = first_source.cluster_exact(exact).withColumn("resolution_kind", F.lit("exact"))
+            likely = first_source.cluster_inferred(m).withColumns({"source_type": F.lit("earliest_in_cluster"), "resolution_kind": F.lit("inferred")})
+            write(first_source.propagation_links(exact, inferred), "links", "public_cluster_id")
+            # topics whose messages are unknown are resolved, too: to nothing
+            kinds = topics.withColumn("resolution_kind", F.explode(F.array(F.lit("exact"), F.lit("inferred"))))
+            write(kinds.join(strict.unionByName(likely), ["public_cluster_id", "resolution_kind"], "left"), "resolutions", "public_cluster_id")
+
+    return assigned.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -110,3 +110,29 @@ def test_clustering_in_runs(spark, tmp_path, least, most, runs):
     go()
     assert spark.read.parquet(str(tmp_path / "out/assigned")).count() == 13
     assert got.where(F.col("cluster_id") < 0).count() == 0
+
+
+def test_resolution_of_pending_topics(spark, tmp_path):
+    from newsflow.operators import first_source
+    from newsflow.plans import analytics
+
+    d = "/root/testdata/sf0.001"
+    messages = lambda: analytics.source_messages(spark, d).withColumn("primary_url", F.lit(None).cast("string"))
+    rows = [{"event_id": r.event_id, "public_cluster_id": f"run_b:{r.message_id // 40}", "cluster_id": r.message_id // 40} for r in messages().select("event_id", "message_id").collect()]
+    rows.append({"event_id": "nobody:1", "public_cluster_id": "run_b:99", "cluster_id": 99})
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(2):
+        (source / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows if (r["cluster_id"] > 2) == k))
+    stream = spark.readStream.schema("event_id string, public_cluster_id string, cluster_id long").option("maxFilesPerTrigger", 1).json(str(source))
+    ingest.start_resolution(stream, messages, str(tmp_path / "out"), str(tmp_path / "cp"), most=2).awaitTermination()
+    own = spark.createDataFrame([tuple(r.values()) for r in rows], "event_id string, public_cluster_id string, cluster_id long")
+    m = messages().drop("public_cluster_id").join(own, "event_id").checkpoint()
+    exact = first_source.exact_sources(m, messages())
+    want = {("exact", r.public_cluster_id): (r.source_event_id, r.source_type) for r in first_source.cluster_exact(exact).collect()}
+    want |= {("inferred", r.public_cluster_id): (r.source_event_id, "earliest_in_cluster") for r in first_source.cluster_inferred(m).collect()}
+    want |= {(kind, "run_b:99"): (None, None) for kind in ("exact", "inferred")}
+    got = spark.read.parquet(str(tmp_path / "out/resolutions")).collect()
+    assert {(r.resolution_kind, r.public_cluster_id): (r.source_event_id, r.source_type) for r in got} == want and len(got) == len(want)
+    links = first_source.propagation_links(exact, first_source.inferred_sources(m))
+    assert sorted((r.child, r.parent) for r in spark.read.parquet(str(tmp_path / "out/links")).collect()) == sorted((r.child, r.parent) for r in links.collect())

@@ -612,7 +612,7 @@ def test_op10_flat_files(spark, tmp_path, kind):
 
 
 def test_queries_are_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_clean_documents_stay(spark):

@@ -1,6 +1,7 @@
 """Stateful streams against their batch twins."""
 
 import json
+import os
 import random
 from datetime import UTC, datetime, timedelta
 
@@ -26,8 +27,6 @@ def run(spark, tmp_path, batches, schema, build, name="out"):
     source.mkdir()
     for k, rows in enumerate(batches):
         (source / f"{k:03d}.json").write_text("\n".join(map(json.dumps, rows)))
-        import os
-
         os.utime(source / f"{k:03d}.json", (1_700_000_000 + k, 1_700_000_000 + k))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     query = build(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp-{name}")).option("path", str(tmp_path / name)).trigger(availableNow=True).start()
@@ -92,6 +91,7 @@ def test_clustering_in_runs(spark, tmp_path, least, most, runs):
     source.mkdir()
     for k, part in enumerate((rows[:3], rows[3:7], rows[7:9], [rows[0], *rows[9:13]])):
         (source / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        os.utime(source / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # micro-batches follow the files' times
     schema = "event_id string, bucket string, event_timestamp long, embedding array<double>"
 
     def go():

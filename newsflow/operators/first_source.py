@@ -7,16 +7,20 @@ forward_from_channel_id, forward_from_message_id, primary_url, any of which may
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.functions.fingerprints import hamming, jaccard, plain_text, quotes, quotes_match
 from newsflow.functions.text import snippet
+from newsflow.session import written
 
 #: Confidences and the threshold for inferred sources.
 FORWARD, REPLY, URL, EARLIEST, THRESHOLD = 1.0, 0.97, 0.92, 0.35, 0.55
+#: Messages of a topic that a task compares with as many others; bits of a set's sketch.
+PART, SKETCH = 8192, 1024
 
 
 def exact_sources(m: DataFrame, everything: DataFrame) -> DataFrame:
@@ -60,24 +64,75 @@ def pair_confidence(t, c) -> Column:
     return F.least(F.lit(0.99), total)
 
 
-def _near_keys(threshold: float) -> Column:
-    """Hashes of which two messages share one if they can reach the threshold without the same text or a common link.
+@F.pandas_udf(T.BinaryType())
+def _sketch(places: pd.Series) -> pd.Series:
+    """SKETCH bits, of which those at the places are set."""
+    out = []
+    for k in range(0, len(places), 1024):
+        some = places.iloc[k : k + 1024]
+        bits = np.zeros((len(some), SKETCH), np.uint8)
+        bits[np.repeat(np.arange(len(some)), some.map(len)), np.concatenate(some.to_list())] = 1
+        out += [row.tobytes() for row in np.packbits(bits, axis=1)]
+    return pd.Series(out, dtype=object)
+
+
+def _sketched(members: str) -> Column:
+    return _sketch(F.transform(members, lambda v: F.pmod(F.xxhash64(v), F.lit(SKETCH)).cast("int")))
+
+
+def _most_overlap(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """No less than the Jaccard similarity of sets of n members: a bit that only one side has stands for a member that only it has."""
+    only = lambda a, b: np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
+    both = np.minimum(n[i] - only(i, j), n[j] - only(j, i))
+    return both / (n[i] + n[j] - both)
+
+
+def _near_pairs(slim: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+    """public_cluster_id, event_id, source: pairs that can reach the threshold without the same text or a common link.
 
-    Entities, tokens and fingerprints give up to 0.2 each, the time 0.05: what is left for one
-    of them bounds the bits that may differ and the entities that are common. Of radius + 2
-    blocks of bits two are equal, and sorted entities share one of their first.
+    Entities, tokens and fingerprints give up to 0.2 each, the time 0.05. Parts of a topic meet
+    in pairs, so a task holds fingerprints and sketches of two parts; a pair remains if its
+    score can reach the threshold by bits that differ, sizes and sketches. A copy of an earlier
+    text has that text as its source and needs no other.
     """
     rest = threshold - 0.45 - 1e-9
-    if rest > 0.2:
-        return F.array().cast("array<long>")
+    able = F.col("simhash").isNotNull() & (F.size("entities") > 0) & (F.size("tokens") > 0)
     radius = 16 if rest <= 0.05 else 8 if rest <= 0.12 else 3
-    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
-    block = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
-    bits = F.array(*(F.xxhash64(F.lit(f"{i} {j}"), block[i], block[j]) for i, j in combinations(range(radius + 2), 2)))
-    n = F.size("entities")
-    first = F.slice(F.array_sort("entities"), 1, (n - F.ceil(n * (rest / 0.2)) + 1).cast("int"))
-    keys = F.flatten(F.transform(first, lambda e: F.transform(bits, lambda b: F.xxhash64(e, b))))
-    return F.when(F.col("simhash").isNotNull() & (n > 0) & (F.size("tokens") > 0), keys).otherwise(F.array().cast("array<long>"))
+    at = F.unix_micros("message_date") if slim.schema["message_date"].dataType.typeName() == "timestamp" else F.col("message_date")
+    first = one.select("public_cluster_id", "event_id", F.lit(True).alias("first"))
+    light = slim.where(able).select("public_cluster_id", "event_id", "text_hash", at.alias("at"), "simhash", F.size("tokens").alias("n"), _sketched("tokens").alias("bits"), F.size("entities").alias("en"), _sketched("entities").alias("ebits"))
+    light = light.join(first, ["public_cluster_id", "event_id"], "left").where("first or text_hash is null").drop("text_hash").withColumn("first", F.coalesce("first", F.lit(False)))
+    parts = slim.where(able).groupBy("public_cluster_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = light.join(parts, "public_cluster_id").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("lo"), F.greatest("part", k).alias("hi")))
+    dealt = dealt.select("*", F.explode(meet).alias("b")).drop("parts").withColumns({"lo": F.col("b.lo"), "hi": F.col("b.hi")}).drop("b")
+    points = np.where(np.arange(65) <= 3, 0.2, np.where(np.arange(65) <= 8, 0.12, np.where(np.arange(65) <= 16, 0.05, 0.0)))
+
+    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["at", "event_id"], na_position="first", kind="stable")
+        words = lambda c: np.frombuffer(b"".join(group[c]), np.uint64).reshape(len(group), -1)
+        prints, bits, ebits = group["simhash"].to_numpy(np.int64).view(np.uint64), words("bits"), words("ebits")
+        n, en, part, source = (group[c].to_numpy() for c in ("n", "en", "part", "first"))
+        later, former = [], []
+        for k in range(0, len(group), 256):
+            differ = np.bitwise_count(prints[k : k + 256, None] ^ prints[None, : k + 256])
+            i, j = np.nonzero(differ <= radius)
+            i = i + k
+            fit = (j < i) & source[j] & ((part[i] != part[j]) | (key[1] == key[2]))
+            i, j = i[fit], j[fit]
+            need = threshold - 0.05 - points[differ[i - k, j]] - 1e-9  # of entities and tokens
+            fit = 0.2 * np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= need - 0.2
+            i, j, need = i[fit], j[fit], need[fit]
+            need = need - 0.2 * _most_overlap(en, ebits, i, j)
+            i, j, need = i[need <= 0.2], j[need <= 0.2], need[need <= 0.2]
+            fit = 0.2 * _most_overlap(n, bits, i, j) >= need
+            later.append(i[fit])
+            former.append(j[fit])
+        ids = group["event_id"].to_numpy()
+        return pd.DataFrame({"public_cluster_id": key[0], "event_id": ids[np.concatenate(later)], "source": ids[np.concatenate(former)]})
+
+    kinds = {c: slim.schema[c].dataType.simpleString() for c in ("public_cluster_id", "event_id")}
+    return dealt.groupBy("public_cluster_id", "lo", "hi").applyInPandas(task, f"public_cluster_id {kinds['public_cluster_id']}, event_id {kinds['event_id']}, source {kinds['event_id']}")
 
 
 def _candidates(slim: DataFrame, threshold: float) -> DataFrame:
@@ -94,10 +149,13 @@ def _candidates(slim: DataFrame, threshold: float) -> DataFrame:
         return slim.alias("t").join(one.alias("c"), (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier).select(*pair).distinct()
     text = F.when(F.col("text_hash").isNotNull(), F.array(F.xxhash64(F.lit("text"), "text_hash"))).otherwise(F.array().cast("array<long>"))
     links = F.transform(F.coalesce("url_fingerprints", F.array().cast("array<string>")), lambda u: F.xxhash64(F.lit("link"), u))
-    keyed = slim.select("public_cluster_id", "event_id", "message_date", F.explode(F.array_distinct(F.concat(text, links, _near_keys(threshold)))).alias("key"))
+    keyed = slim.select("public_cluster_id", "event_id", "message_date", F.explode(F.array_distinct(F.concat(text, links))).alias("key"))
     known = keyed.join(one.select("public_cluster_id", "event_id"), ["public_cluster_id", "event_id"], "left_semi")
     meet = (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & (F.col("t.key") == F.col("c.key")) & earlier
-    return keyed.alias("t").join(known.alias("c"), meet).select(*pair).distinct()
+    found = keyed.alias("t").join(known.alias("c"), meet).select(*pair)
+    if threshold - 0.45 - 1e-9 <= 0.2:  # else nothing reaches it without the same text or a common link
+        found = found.unionByName(_near_pairs(slim, one, threshold))
+    return found.distinct()
 
 
 def inferred_sources(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,20 +166,27 @@ def inferred_sources(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     that share one link are still compared with each other. m is read several times: persist it
     if it is dear.
     """
-    # what a pair needs is prepared once per message: sets without blanks, quotes, plain text
+    # what a pair needs is prepared once per message: sets without blanks
     members = lambda c: F.array_distinct(F.filter(c, lambda v: v != "")).alias(c)
-    slim = m.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", members("tokens"), members("entities"), members("url_fingerprints"), quotes(F.col("text")).alias("quotes"), plain_text(F.col("text")).alias("plain"))
-    later = slim.select(*(F.col(c).alias(c) for c in slim.columns if c != "plain"))
-    former = slim.drop("quotes").withColumnRenamed("event_id", "source")
-    pairs = _candidates(slim, threshold).join(later.alias("t"), ["public_cluster_id", "event_id"]).join(former.alias("c"), ["public_cluster_id", "source"])
+    slim = m.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", members("tokens"), members("entities"), members("url_fingerprints"))
+    found = written(_candidates(slim, threshold))
+    later = slim.join(found.select("public_cluster_id", "event_id").distinct(), ["public_cluster_id", "event_id"], "left_semi")
+    former = slim.withColumnRenamed("event_id", "source").join(found.select("public_cluster_id", "source").distinct(), ["public_cluster_id", "source"], "left_semi")
+    pairs = found.join(later.alias("t"), ["public_cluster_id", "event_id"]).join(former.alias("c"), ["public_cluster_id", "source"])
     of = lambda prefix: lambda name: F.col(f"{prefix}.{name}")
-    scored = pairs.select("public_cluster_id", "event_id", "source", F.col("c.message_date").alias("date"), pair_confidence(of("t"), of("c")).alias("confidence"), F.exists("t.quotes", lambda q: F.col("c.plain").contains(q)).alias("quoted"))
-    best = scored.groupBy("public_cluster_id", "event_id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "date", "source", "quoted")).alias("best"))
+    scored = pairs.select("public_cluster_id", "event_id", "source", F.col("c.message_date").alias("date"), pair_confidence(of("t"), of("c")).alias("confidence"))
+    best = scored.groupBy("public_cluster_id", "event_id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "date", "source")).alias("best")).where(-F.col("best.minus") >= threshold)
+    # texts are compared for the best pair only, where the later one has quotes
+    said = m.select("public_cluster_id", "event_id", quotes(F.col("text")).alias("quotes")).where(F.size("quotes") > 0)
+    plain = m.select("public_cluster_id", F.col("event_id").alias("source"), plain_text(F.col("text")).alias("plain"))
+    held = best.select("public_cluster_id", "event_id", F.col("best.source").alias("source")).join(said, ["public_cluster_id", "event_id"]).join(plain, ["public_cluster_id", "source"])
+    held = held.groupBy("public_cluster_id", "event_id").agg(F.bool_and(F.exists("quotes", lambda q: F.col("plain").contains(q))).alias("quoted"))
+    best = best.join(held, ["public_cluster_id", "event_id"], "left")
     first = m.groupBy("public_cluster_id").agg(F.min(F.struct(F.col("message_date").alias("date"), F.col("event_id").alias("source"))).alias("first"))
     out = m.select("public_cluster_id", "event_id", "message_date").join(best, ["public_cluster_id", "event_id"], "left").join(first, "public_cluster_id", "left")
     has = F.coalesce(F.col("first") < F.struct("message_date", "event_id"), F.lit(False))
     good = F.coalesce(-F.col("best.minus") >= threshold, F.lit(False))
-    kind = F.when(~has, "unknown").when(~good, "earliest_in_cluster").when(F.col("best.quoted"), "quoted").otherwise("inferred_semantic")
+    kind = F.when(~has, "unknown").when(~good, "earliest_in_cluster").when(F.col("quoted"), "quoted").otherwise("inferred_semantic")
     known = lambda name: F.when(good, F.col(f"best.{name}")).when(has, F.col(f"first.{name}"))
     sure = F.when(~has, 0.0).when(good, -F.col("best.minus")).otherwise(EARLIEST)
     return out.select("public_cluster_id", "event_id", kind.alias("source_type"), sure.alias("confidence"), known("source").alias("source_event_id"), known("date").alias("source_date"))

@@ -11,7 +11,7 @@ from newsflow.functions.semantics import entity_key, title_case, truncated
 from newsflow.operators import clustering, density, enrich, first_source, graph, graph_tables, overview
 from newsflow.plans import api
 from newsflow.plans import relational as rel
-from newsflow.session import shared_folder
+from newsflow.session import written
 from newsflow.sources import events, testbed
 from newsflow.sources.testbed import table, with_ctes
 from newsflow.streaming import ingest
@@ -111,15 +111,12 @@ def source_messages(s, d) -> DataFrame:
     )
 
 
-def written(df: DataFrame) -> DataFrame:
-    """What is read several times, as a table in the shared folder: nothing stays in the executors' memory."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def source_sides(s, d):
-    m = written(source_messages(s, d))
-    return m, first_source.exact_sources(m, m), first_source.inferred_sources(m)
+def source_sides(s, d, topic: str | None = None):
+    """Messages and their exact and inferred sources, of one topic or of all; exact sources may come from any topic."""
+    every = source_messages(s, d)
+    m = written(every if topic is None else every.where(F.col("public_cluster_id") == topic))
+    everything = m if topic is None else written(every.select("event_id", "channel", "message_id", "message_date", "channel_id", "primary_url"))
+    return m, first_source.exact_sources(m, everything), first_source.inferred_sources(m)
 
 
 query("R01_exact_sources", """WITH m AS (SELECT concat_ws(':', source, doc_id) AS event_id, source, doc_id, CASE WHEN doc_id % 11 = 5 THEN doc_id - 40 END AS f, CASE WHEN doc_id % 7 = 3 THEN doc_id - 20 END AS r FROM documents)

@@ -21,12 +21,12 @@ LINKS, TOPICS, MESSAGES, ENTITIES, CHANNELS, SAMPLES, NEW = 12, 30, 30, 3, 10, 5
 
 def resolutions(messages: DataFrame, exact: DataFrame | None, inferred: DataFrame | None) -> DataFrame:
     """exact and inferred(public_cluster_id, source_type, confidence, source_event_id) -> public_cluster_id, exact, inferred, source_status, shown: the source of each kind with its message, and that which is shown."""
-    known = messages.select(F.col("event_id").alias("source_event_id"), F.col("channel").alias("source_channel"), F.col("message_id").alias("source_message_id"), F.col("message_date").alias("source_message_date"), snippet(F.col("text")).alias("source_snippet")).dropDuplicates(["source_event_id"])
+    known = messages.select(F.col("event_id").alias("source_event_id"), F.col("channel").alias("source_channel"), F.col("message_id").alias("source_message_id"), F.col("message_date").alias("source_message_date"), snippet(F.col("text")).alias("source_snippet"))
 
     def of(rows: DataFrame | None, kind: str) -> DataFrame:
         if rows is None:
             return messages.select("public_cluster_id", "event_id").limit(0).select("public_cluster_id", F.lit(None).cast(RESOLUTION).alias(kind))
-        full = rows.join(known, "source_event_id", "left")
+        full = rows.join(known.join(rows.select("source_event_id").distinct(), "source_event_id", "left_semi").dropDuplicates(["source_event_id"]), "source_event_id", "left")
         one = F.struct(F.lit(kind).alias("resolution_kind"), "source_type", F.coalesce("confidence", F.lit(0.0)).cast("double").alias("source_confidence"), "source_event_id", "source_channel", F.col("source_message_id").cast("long").alias("source_message_id"), F.col("source_message_date").cast("timestamp_ntz").alias("source_message_date"), "source_snippet")
         return full.select("public_cluster_id", one.cast(RESOLUTION).alias(kind))
 
@@ -40,10 +40,12 @@ RESOLUTION = "struct<resolution_kind: string, source_type: string, source_confid
 
 def chains(messages: DataFrame, links: DataFrame, most: int = LINKS) -> DataFrame:
     """(O06, R08) The first links of each topic's chain, by the time of the child (unknown ones last), then its id, with both messages and the evidence between them."""
-    own = lambda p: messages.select(F.col("event_id").alias(p), F.struct(*messages.columns).alias(f"{p}_row")).dropDuplicates([p])
-    full = links.join(own("child"), "child", "left")
-    first = Window.partitionBy("public_cluster_id").orderBy(F.col("child_row.message_date").asc_nulls_last(), "child")
-    full = full.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).join(own("parent"), "parent", "left")
+    dates = messages.select(F.col("event_id").alias("child"), "message_date").groupBy("child").agg(F.first("message_date").alias("_date"))
+    first = Window.partitionBy("public_cluster_id").orderBy(F.col("_date").asc_nulls_last(), "child")
+    few = links.join(dates, "child", "left").withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).drop("_date")
+    # whole messages are looked up for the links that stay
+    own = lambda p: messages.join(few.select(F.col(p).alias("event_id")).distinct(), "event_id", "left_semi").select(F.col("event_id").alias(p), F.struct(*messages.columns).alias(f"{p}_row")).dropDuplicates([p])
+    full = few.join(own("child"), "child", "left").join(own("parent"), "parent", "left")
     kind = F.when(F.col("link_type").startswith("exact"), "exact").otherwise("inferred")
     ends = [F.col(f"{p}_row.{c}").alias(f"{p}_{c}") for p in ("child", "parent") for c in ("channel", "message_id", "message_date")]
     able = {"text_hash", "url_fingerprints", "entities", "tokens", "simhash", "text"} <= set(messages.columns)

@@ -14,7 +14,7 @@ from newsflow.session import shared_folder
 
 #: Least cosine of a link, bounds of the probability.
 LINK, LOW, HIGH = 0.68, 0.55, 0.99
-#: Vectors that one task compares; buckets of more go through an index.
+#: Vectors that one task compares; buckets of more are compared in blocks.
 TOGETHER = 4096
 #: Width of a ring of angles around a pivot, and how many there are up to a half turn.
 RING, N_RINGS = np.pi / 36, 37
@@ -82,8 +82,7 @@ def similarity_clusters(messages: DataFrame, least: float = LINK, together: int
     """(C04, C05) messages(bucket, event_id, event_timestamp, embedding) -> bucket, event_id, label within the bucket, probability, first.
 
     Rows of a bucket are ordered by time, then id. A bucket of up to ``together`` rows is one
-    group. A larger one goes through an index of cells around pivots (``visits``), so that no
-    task holds a bucket and rows meet only where the triangle inequality lets them link; the
+    group. A larger one is compared in blocks (``connected``), so that no task holds a bucket; the
     components are those of all pairs. Counting the buckets is a job of its own.
     """
 
@@ -103,7 +102,7 @@ def similarity_clusters(messages: DataFrame, least: float = LINK, together: int
     sizes = sizes.withColumn("_large", F.lit(True)).checkpoint()
     dealt = messages.join(sizes.drop("_n"), F.col("bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
     small = dealt.where("_large is null").drop("_large").groupBy("bucket").applyInPandas(one, out)
-    large = _indexed_clusters(dealt.where("_large").drop("_large"), least, together)
+    large = _large_clusters(dealt.where("_large").drop("_large"), least, together)
     return small.unionByName(large.select("bucket", "event_id", "label", "probability", "first"))
 
 
@@ -200,48 +199,86 @@ def visits(rows: DataFrame, least: float, together: int) -> DataFrame:
     return met.join(rows.select("b", "place", "embedding"), ["b", "place"])
 
 
-def _cell_links(met: DataFrame, least: float, together: int) -> DataFrame:
-    """visits -> b, x, y: links that connect what pairs of a member and any row of its cell connect. Cells of more than ``together`` rows are dealt into blocks of members and rows."""
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable")
+def _joined(left: np.ndarray, right: np.ndarray, mine: np.ndarray, theirs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and the roots they have -> links (root, smaller root): a forest of what pairs of left and right connect."""
+    roots, code = np.unique(np.concatenate([mine, theirs]), return_inverse=True)
+    i_code, j_code, low = code[: len(mine)], code[len(mine) :], np.arange(len(roots))
+    for k in range(0, len(left), 512):
+        i, j = np.nonzero(left[k : k + 512] @ right.T >= least)
+        i, j = i_code[k + i], j_code[j]
+        while True:
+            x, y = low[i], low[j]
+            apart = x != y
+            if not apart.any():
+                break
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low != low[low]).any():
+                low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(roots)))
+    return roots[moved], roots[low[moved]]
+
+
+def _block_links(left: DataFrame, right: DataFrame, least: float, most: int) -> DataFrame:
+    """left, right(b, root, embedding) -> b, x, y: links between roots that connect what pairs of a left and a right row connect. Parts of about ``most`` rows meet in pairs, so a task holds two parts."""
+    dealt = lambda n: F.pmod(F.xxhash64("root", "embedding"), F.col(n)).cast("int")
+    n = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    parts = n(left, "ls").join(n(right, "rs"), "b").checkpoint()
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own, other = left.join(parts, "b").withColumn("_l", dealt("ls")), right.join(parts, "b").withColumn("_r", dealt("rs"))
+    own = own.select("b", "root", "embedding", "_l", every("rs").alias("_r"), F.lit(True).alias("_mine"))
+    other = other.select("b", "root", "embedding", every("ls").alias("_l"), "_r", F.lit(False).alias("_mine"))
+
+    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = group[group["_mine"]], group[~group["_mine"]]
+        x, y = _joined(_unit(_vectors(mine)), _unit(_vectors(theirs)), mine["root"].to_numpy(), theirs["root"].to_numpy(), least) if len(mine) and len(theirs) else ([], [])
+        return pd.DataFrame({"b": key[0], "x": np.array(x, np.int64), "y": np.array(y, np.int64)})
+
+    return own.unionByName(other).groupBy("b", "_l", "_r").applyInPandas(task, "b string, x long, y long")
+
+
+def _part_links(rows: DataFrame, least: float, together: int) -> DataFrame:
+    """rows(b, place, embedding) -> b, x, y: links within parts of ``together`` rows and a sample of the bucket of up to a quarter of that, which every part meets."""
+    sized = rows.join(rows.groupBy("b").agg(F.count("*").alias("_n")), "b").select("b", "place", "embedding", F.ceil(F.col("_n") / together).cast("int").alias("_parts"), (F.xxhash64("place", F.lit("sample"), "b") % F.greatest(F.ceil(F.col("_n") * 4 / together), F.lit(1)) == 0).alias("_met"))
+    own = F.pmod(F.xxhash64("place", "b"), F.col("_parts")).cast("int")
+    each = sized.select("b", "place", "embedding", F.explode(F.when(F.col("_met"), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(own))).alias("_part"))
+
+    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         unit, place = _unit(_vectors(group)), group["place"].to_numpy()
-        left, right = group["as_member"].to_numpy(), group["as_row"].to_numpy()
-        root, n = np.full(len(place), -1), len(place)
-        for seed in range(n):
-            if root[seed] >= 0:
-                continue
-            root[seed], front = seed, [seed]
-            while front:
-                some, front = np.array(front[:512]), front[512:]
-                near = unit[some] @ unit.T >= least
-                near &= (left[some][:, None] & right[None, :]) | (right[some][:, None] & left[None, :])
-                new = np.flatnonzero(near.any(axis=0) & (root < 0))
-                root[new] = seed
-                front += new.tolist()
-        linked = np.flatnonzero(root != np.arange(n))
-        return pd.DataFrame({"b": group["b"].to_numpy()[linked], "x": place[root[linked]], "y": place[linked]})
-
-    met = met.checkpoint()
-    sizes = met.groupBy("b", "cell").agg(F.ceil(F.count_if("member") / together).cast("int").alias("ms"), F.ceil(F.count("*") / together).cast("int").alias("rs"))
-    own = lambda salt, n: F.pmod(F.xxhash64("place", F.lit(salt)), F.col(n)).cast("int")
-    dealt = met.join(sizes, ["b", "cell"]).withColumns({"_m": own(1, "ms"), "_r": own(2, "rs")})
-    blocks = F.array_union(
-        F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda m: F.struct(m.alias("m"), F.col("_r").alias("r"))),
-        F.when(F.col("member"), F.transform(F.sequence(F.lit(0), F.col("rs") - 1), lambda r: F.struct(F.col("_m").alias("m"), r.alias("r")))).otherwise(F.array().cast("array<struct<m: int, r: int>>")),
-    )
-    each = dealt.select("*", F.explode(blocks).alias("_b")).select("b", "cell", "place", "embedding", "_b.m", "_b.r", (F.col("member") & (F.col("_b.m") == F.col("_m"))).alias("as_member"), (F.col("_b.r") == F.col("_r")).alias("as_row"))
-    return each.groupBy("b", "cell", "m", "r").applyInPandas(link, "b string, x long, y long")
-
-
-def _indexed_clusters(messages: DataFrame, least: float, together: int) -> DataFrame:
-    """similarity_clusters for large buckets. A component is named by its first row; rows of equal vectors are one row of the index."""
-    rows = numbered_rows(messages, together)
-    copies = rows.groupBy("b", "embedding").agg(F.min("place").alias("place"), F.count("*").alias("_n")).checkpoint()
-    links = _cell_links(visits(copies.select("b", "place", "embedding"), least, together), least, together)
+        x, y = _joined(unit, unit, place, place, least)
+        return pd.DataFrame({"b": key[0], "x": x, "y": y})
+
+    return each.groupBy("b", "_part").applyInPandas(task, "b string, x long, y long")
+
+
+def _roots(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(b, place, ...) with root, the first place of their component."""
     node = lambda c: F.struct("b", F.col(c).alias("place"))
     found = components(links.select(node("x").alias("a"), node("y").alias("b"))).select("node.*", F.col("root.place").alias("root"))
-    rooted = copies.join(found, ["b", "place"], "left").withColumn("root", F.coalesce("root", "place"))
+    return rows.join(found, ["b", "place"], "left").withColumn("root", F.coalesce("root", "place")).checkpoint()
+
+
+def connected(rows: DataFrame, least: float, together: int) -> DataFrame:
+    """rows(b, place, embedding) of different vectors, with root: the first place of the component of {cosine >= least}.
+
+    Parts and a sample of the bucket are compared first. Rows of what is then the largest
+    component of a bucket are connected already and needn't meet each other: all others meet all
+    rows, in blocks. Where most rows link to nothing these are all pairs, in memory of two parts.
+    """
+    able = rows.where(F.exists("embedding", lambda x: x != 0)) if least > 0 else rows
+    links = _part_links(able, least, together).checkpoint()
+    known = _roots(able, links)
+    largest = known.groupBy("b", "root").agg(F.count("*").alias("_n")).groupBy("b").agg(F.max_by("root", F.struct("_n", -F.col("root"))).alias("_largest"))
+    rest = known.join(largest, "b").where(F.col("root") != F.col("_largest"))
+    more = _block_links(rest.select("b", "root", "embedding"), known.select("b", "root", "embedding"), least, 4 * together)
+    return _roots(rows, links.unionByName(more))
+
+
+def _large_clusters(messages: DataFrame, least: float, together: int) -> DataFrame:
+    """similarity_clusters for large buckets. A component is named by its first row; rows of equal vectors are compared once."""
+    rows = numbered_rows(messages, together)
+    copies = rows.groupBy("b", "embedding").agg(F.min("place").alias("place"), F.count("*").alias("_n")).checkpoint()
+    rooted = connected(copies.select("b", "place", "embedding"), least, together)
     # equal zero vectors don't link, unless every pair does
     zero = F.forall("embedding", lambda x: x == 0) & F.lit(least > 0)
     rows = rows.withColumnRenamed("place", "own").join(rooted.select("b", "embedding", "root"), ["b", "embedding"]).withColumn("root", F.when(zero, F.col("own")).otherwise(F.col("root"))).checkpoint()

@@ -44,3 +44,12 @@ def test_pairs_grow_with_the_rows(spark):
         met = clustering.visits(rows, 0.68, 64).groupBy("cell").agg(F.count_if("member").alias("m"), F.count("*").alias("r"))
         compared.append(met.agg(F.sum(F.col("m") * F.col("r"))).first()[0])
     assert compared[1] < 30 * compared[0] and compared[1] < 4000 * 4000 / 2 / 40
+
+
+def test_connected_in_blocks(spark):
+    """Rows of the largest component don't meet each other in blocks; far vectors in many dimensions, which pivots can't tell apart, meet once."""
+    vectors = tight(4, 300, 3, dims=64, noise=0.2)
+    rows = spark.createDataFrame([("b", k, v) for k, v in enumerate(vectors)], "b string, place long, embedding array<double>")
+    label = clustering._labels(np.array(vectors), 0.68)
+    first = {c: int(np.flatnonzero(label == c)[0]) for c in set(label.tolist())}
+    assert {r.place: r.root for r in clustering.connected(rows, 0.68, 32).collect()} == {k: first[c] for k, c in enumerate(label.tolist())}

@@ -32,10 +32,12 @@ def lexicon_logits(text: Column) -> Column:
 
 def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
     """(M01, M02, X30) label and score; blank texts are neutral with 1."""
-    p = softmax(lexicon_logits(F.col(text)))
+    # columns of their own, or the text would be split again for every use of a logit
+    split = df.withColumn("_words", F.split(F.lower(text), f"[^{WORD}]+"))
+    split = split.withColumn("_logits", word_logits(F.col("_words"))).withColumn("_p", softmax(F.col("_logits")))
     blank = squeeze(F.coalesce(F.col(text), F.lit(""))) == ""
-    out = df.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(p))
-    return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")})
+    out = split.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(F.col("_p")))
+    return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")}).drop("_words", "_logits", "_p")
 
 
 def score_with(df: DataFrame, scorer: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:

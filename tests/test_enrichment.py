@@ -113,3 +113,10 @@ def test_measures_over_tables(spark):
     numbers = {(r.cluster, r.id): r.component for r in graph_tables.component_numbers(nodes, edges).collect()}
     assert len({(k[0], numbers[k]) for k in numbers}) == len({(k[0], r.component) for k, r in whole.items()}) == len({(k[0], numbers[k], whole[k].component) for k in whole})
     assert graph_tables.page_ranks(nodes.where("false"), edges.where("false")).count() == 0
+
+
+def test_texts_are_split_once(spark):
+    """However often the logits are used, the text is split in one place of the plan."""
+    df = spark.createDataFrame([("good war",)], "text string").repartition(1)
+    plan = enrich.sentiment(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -56,29 +56,29 @@ def simhash64(clean: pd.Series) -> pd.Series:
 
     Each different token of a part of the batch is hashed once and votes are summed text by text.
     """
-    lists = [[t for t in x.split(" ") if t] if x else [] for x in clean]
-    out = pd.Series([None] * len(lists), dtype="Int64")
-    for part in _parts(lists):
-        flat = list(chain.from_iterable(lists[k] for k in part))
+    out = pd.Series([None] * len(clean), dtype="Int64")
+    for part, lists in _parts([t for t in x.split(" ") if t] if x else [] for x in clean):
+        flat = list(chain.from_iterable(lists))
         number = {t: i for i, t in enumerate(dict.fromkeys(flat))}
-        bits, sizes = _bits(list(number)), np.array([len(lists[k]) for k in part])
+        bits, sizes = _bits(list(number)), np.array([len(x) for x in lists])
         votes = np.add.reduceat(bits[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))], np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
         out.iloc[part] = np.packbits(2 * votes > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
     return out
 
 
-def _parts(lists: list[list[str]], most: int = 100_000) -> Iterator[list[int]]:
-    """Numbers of the lists that aren't empty, in parts of about so many tokens."""
-    part, size = [], 0
+def _parts(lists: Iterable[list[str]], most: int = 100_000) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Numbers of the lists that aren't empty and the lists, in parts of about so many tokens: only one part is in memory."""
+    part, held, size = [], [], 0
     for k, tokens in enumerate(lists):
         if tokens:
             part.append(k)
+            held.append(tokens)
             size += len(tokens)
         if size >= most:
-            yield part
-            part, size = [], 0
+            yield part, held
+            part, held, size = [], [], 0
     if part:
-        yield part
+        yield part, held
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -11,9 +11,10 @@ is no projection to fewer dimensions before.
 No task holds a bucket:
 
 * rows are dealt into parts of ``together``, and a task compares two parts: it yields core
-  distances and the spanning forest of its own links, which has all links of the whole tree
-  that lie between the two parts;
-* where a bucket has several parts, Borůvka rounds over tables choose the tree from the forests;
+  distances and the links between them that the spanning tree of both has, which are all links
+  of the whole tree that lie between the two parts;
+* where a bucket has several parts, their forests are thinned in groups of a fixed number, then
+  by bucket, or in Borůvka rounds over tables where a bucket has more than a range of links;
 * the tree's links are taken in ranges of ascending length; a task takes one range of a bucket,
   with the components that its links touch (those below ``least`` rows with their members, the
   others by name alone).
@@ -35,8 +36,8 @@ from newsflow.operators.components import components
 from newsflow.operators.ordering import placed
 from newsflow.session import shared_folder
 
-#: Rows of a part, and links of a range of the tree.
-TOGETHER, RANGE = 1024, 500_000
+#: Rows of a part, links of a range of the tree, parts on a side whose forests are thinned together.
+TOGETHER, RANGE, FAN = 2048, 500_000, 8
 SMALL, CLUSTER, SPLIT = 0, 1, 2
 
 
@@ -64,54 +65,201 @@ def spanning_forest(weight: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def _sides(pair: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The pair's rows in their order, their squared distances with none inside of a part of a pair of two, and the row numbers."""
-    pair = pair.sort_values("place", kind="stable")
-    unit, part = _unit(_vectors(pair)), pair["part"].to_numpy()
-    distance = squared_distances(unit, unit)
-    if pair["low"].iloc[0] != pair["high"].iloc[0]:
-        distance[part[:, None] == part[None, :]] = np.inf
-    np.fill_diagonal(distance, np.inf)
-    return pair, distance, pair["place"].to_numpy()
+def _halved(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Minus half of the squared distances between unit (or zero) vectors, as one matrix product."""
+    size = lambda u: (u * u).sum(axis=1)[:, None] / 2
+    one = lambda u: np.ones((len(u), 1))
+    return np.hstack([left, -size(left), one(left)]) @ np.hstack([right, one(right), -size(right)]).T
 
 
-def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
-    """Each row once for each pair of parts that its own belongs to."""
-    both = rows.select("b", "place", "embedding", "part", *columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return both.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).groupBy("b", "low", "high")
+def _squared(halved: np.ndarray) -> np.ndarray:
+    """As squared_distances gives them."""
+    return np.maximum(np.round(-2 * halved, 10), 0)
+
+
+def _pairs(rows: DataFrame, *columns: str):
+    """rows(b, part, parts, ...) once for each pair of two parts that their own belongs to, as groups."""
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part")))
+    both = rows.where("parts > 1").select("b", "part", *columns, other.alias("other"))
+    return both.select("b", "part", *columns, F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).groupBy("b", "low", "high")
 
 
 def core_distances(rows: DataFrame, samples: Sequence[int]) -> DataFrame:
-    """rows as numbered_rows gives them, with cores: an array of squared core distances, one for each number of samples. In a bucket of fewer rows the farthest counts, a single row has 0."""
-    most = max(samples)
+    """rows as numbered_rows gives them, with cores: an array of squared core distances, one for each number of samples. In a bucket of fewer rows the farthest counts, a single row has 0.
 
-    def nearest(pair: pd.DataFrame) -> pd.DataFrame:
-        pair, distance, place = _sides(pair)
-        least = np.sort(np.partition(distance, min(most, len(pair)) - 1, axis=1)[:, :most], axis=1)
-        return pd.DataFrame({"b": pair["b"].iloc[0], "place": place, "near": [x[np.isfinite(x)].tolist() for x in least]})
+    A row's nearest ones in its own part bound its core distance; of other parts only what is
+    nearer than that bound leaves the task.
+    """
+    most = max(samples)
 
-    found = _pairs(rows).applyInPandas(nearest, "b string, place long, near array<double>")
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit(_vectors(part))
+        distance = squared_distances(unit, unit)
+        np.fill_diagonal(distance, np.inf)
+        least = np.sort(np.partition(distance, min(most, len(part)) - 1, axis=1)[:, :most], axis=1)
+        return part[["b", "place", "part", "parts", "embedding"]].assign(near=[x[np.isfinite(x)].tolist() for x in least])
+
+    def nearer(key: tuple, pair: pd.DataFrame) -> pd.DataFrame:
+        left, right = pair[pair["part"] == key[1]], pair[pair["part"] == key[2]]
+        # distances have ten digits: what is nearer than the bound is so by a unit of the last
+        reach = [-x["bound"].to_numpy(float) / 2 + 2e-11 for x in (left, right)]
+        halved = _halved(_unit(_vectors(left)), _unit(_vectors(right)))
+        out = []
+        for mine, hits in ((left, halved > reach[0][:, None]), (right, (halved > reach[1][None, :]).T)):
+            i, j = np.nonzero(hits)
+            d = _squared(halved[i, j] if mine is left else halved[j, i])
+            order = np.lexsort((d, i))
+            i, d = i[order], d[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+            i, d = i[kept], d[kept]
+            rows_, starts = np.unique(i, return_index=True)
+            near = [x.tolist() for x in np.split(d, starts[1:])] if len(i) else []
+            out.append(pd.DataFrame({"b": key[0], "place": mine["place"].to_numpy()[rows_], "near": pd.Series(near, dtype=object)}))
+        return pd.concat(out)
+
+    own = rows.select("b", "place", "part", "parts", "embedding").groupBy("b", "part").applyInPandas(nearest, "b string, place long, part int, parts int, embedding array<double>, near array<double>").checkpoint()
+    bound = F.when(F.size("near") >= most, F.element_at("near", most)).otherwise(F.lit(float("inf")))
+    found = own.select("b", "place", "near").unionByName(_pairs(own.withColumn("bound", bound), "place", "embedding", "bound").applyInPandas(nearer, "b string, place long, near array<double>"))
     near = F.array_sort(F.flatten(F.collect_list("near")))
     pick = lambda k: F.coalesce(F.try_element_at("near", F.least(F.lit(k), F.size("near"))), F.lit(0.0))
     cores = found.groupBy("b", "place").agg(near.alias("near")).select("b", "place", F.array(*[F.when(F.size("near") > 0, pick(k)).otherwise(0.0) for k in samples]).alias("cores"))
     return rows.join(cores, ["b", "place"])
 
 
-def spanning_tree(rows: DataFrame) -> DataFrame:
+class Sets:
+    """Disjoint sets of 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the links, one after the other, connect two sets; they are joined."""
+        kept, at, size = [], 0, max(1024, len(self.label))
+        while at < len(x):
+            a, b = self.label[x[at : at + size]], self.label[y[at : at + size]]
+            apart = np.flatnonzero(a != b)
+            root = self.label.tolist()
+            for k, i, j in zip((apart + at).tolist(), a[apart].tolist(), b[apart].tolist(), strict=True):
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                while root[j] != j:
+                    root[j] = j = root[root[j]]
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+                    kept.append(k)
+            self.label = np.array(root, np.int64)
+            while (self.label != self.label[self.label]).any():
+                self.label = self.label[self.label]
+            at, size = at + size, size * 2
+        return np.array(kept, np.int64)
+
+
+def least_forest(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which links(x, y, w) are of the minimum spanning forest; equal ones in the order of x, then y."""
+    order = np.lexsort((y, x, w))
+    code = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+    return order[Sets(int(code.max()) + 1 if len(code) else 0).add(code[: len(x)][order], code[len(x) :][order])]
+
+
+def crossing(halved: np.ndarray, left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """halved distances between two parts, their core distances, and links(x, y, w) of both parts' own trees (rows of the right one are numbered behind those of the left one) -> x, y, w of the links between the parts in the minimum spanning tree of both.
+
+    Links are taken by bands of rising length. Rows that are connected already don't meet, so
+    after the first band only rows outside of the largest component are compared.
+    """
+    n = len(left)
+    sets, low, out = Sets(n + len(right)), -np.inf, []
+    levels = [*np.unique(np.quantile(w, [0.1, 0.5, 0.8, 0.95, 1.0], method="higher")), None] if len(w) else [None]
+    for high in levels:
+        label = sets.label
+        sizes = np.bincount(label)
+        if sizes.max() == len(label):
+            break
+        if high is None:  # both parts are whole: the shortest link between them
+            high = np.maximum(np.maximum(_squared(halved), left[:, None]), right[None, :]).min()
+        rest = label != sizes.argmax()
+        every_i, every_j = np.flatnonzero(left <= high), np.flatnonzero(right <= high)
+        found = []
+        for i, j in ((every_i[rest[every_i]], every_j), (every_i[~rest[every_i]], every_j[rest[n + every_j]])):
+            some = halved if len(i) == n and len(j) == len(right) else halved[np.ix_(i, j)]
+            a, b = np.nonzero(some >= -high / 2 - 1e-9)
+            found.append((i[a], j[b]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        apart = label[i] != label[n + j]
+        i, j = i[apart], j[apart]
+        length = np.maximum(np.maximum(_squared(halved[i, j]), left[i]), right[j])
+        fit, own = (length > low) & (length <= high), np.flatnonzero((w > low) & (w <= high))
+        i, j, length = i[fit], j[fit], length[fit]
+        ax, ay, aw = np.concatenate([i, x[own]]), np.concatenate([n + j, y[own]]), np.concatenate([length, w[own]])
+        order = np.lexsort((ay, ax, aw))
+        kept = order[sets.add(ax[order], ay[order])]
+        kept = kept[kept < len(i)]
+        out.append((i[kept], n + j[kept], length[kept]))
+        low = high
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1, 2)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def spanning_tree(rows: DataFrame, most: int = RANGE) -> DataFrame:
     """rows with core (squared) -> b, x, y, w: the links of each bucket's minimum spanning tree, w squared. Equal links are ordered by x, then y."""
+    return spanning_trees(rows.withColumn("cores", F.array("core")), 1, most).select("b", "x", "y", "w")
 
-    def forest(pair: pd.DataFrame) -> pd.DataFrame:
-        pair, distance, place = _sides(pair)
-        core = pair["core"].to_numpy()
-        found = spanning_forest(np.where(np.isfinite(distance), np.maximum(distance, np.maximum(core[:, None], core[None, :])), np.inf))
-        x, y = (np.array([place[e[k]] for e in found], np.int64) for k in (0, 1))
-        return pd.DataFrame({"b": pair["b"].iloc[0], "x": np.minimum(x, y), "y": np.maximum(x, y), "w": np.array([e[2] for e in found], float), "parts": pair["parts"].iloc[0]})
 
-    links = _pairs(rows, "core", "parts").applyInPandas(forest, "b string, x long, y long, w double, parts int").checkpoint()
-    tree, open_ = links.where("parts = 1").drop("parts"), links.where("parts > 1").drop("parts")
+LINKS = "k int, b string, low int, high int, parts int, x long, y long, w double"
+
+
+def spanning_trees(rows: DataFrame, n: int, most: int = RANGE) -> DataFrame:
+    """rows with n cores -> k, b, x, y, w: the tree of each bucket by the k-th core distances, for all k at once.
+
+    A part's own tree comes first; two parts yield the links between them that their common tree
+    has. The forests of up to FAN x FAN pairs of parts are thinned together, then what a bucket
+    has left is one task if it is no more than ``most`` links, else Borůvka rounds choose.
+    """
+
+    def own(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        unit, place, cores = _unit(_vectors(part)), part["place"].to_numpy(), np.array(part["cores"].tolist(), float)
+        distance = squared_distances(unit, unit)
+        np.fill_diagonal(distance, np.inf)
+        out = []
+        for k in range(n):
+            core = cores[:, k]
+            found = np.array(spanning_forest(np.maximum(distance, np.maximum(core[:, None], core[None, :]))), float).reshape(-1, 3)
+            x, y = place[found[:, 0].astype(int)], place[found[:, 1].astype(int)]
+            out.append(pd.DataFrame({"k": k, "x": np.minimum(x, y), "y": np.maximum(x, y), "w": found[:, 2]}))
+        first = part.iloc[0]
+        return pd.concat(out).assign(b=first["b"], low=first["part"], high=first["part"], parts=first["parts"])
+
+    def between(key: tuple, pair: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("place")
+        unit, place, cores = _unit(_vectors(pair)), pair["place"].to_numpy(), np.array(pair["cores"].tolist(), float)
+        m = int((pair["part"] == key[1]).sum())  # places of the lower part come first
+        halved, out = _halved(unit[:m], unit[m:]), []
+        for k in range(n):
+            tree = trees[trees["k"] == k]
+            x, y = (np.searchsorted(place, tree[c].to_numpy()) for c in ("x", "y"))
+            x, y, w = crossing(halved, cores[:m, k], cores[m:, k], x, y, tree["w"].to_numpy(float))
+            out.append(pd.DataFrame({"k": k, "x": place[x], "y": place[y], "w": w}))
+        return pd.concat(out).assign(b=key[0], low=key[1], high=key[2], parts=pair["parts"].iloc[0])
+
+    def thinned(links: pd.DataFrame) -> pd.DataFrame:
+        links = links.reset_index(drop=True)
+        return links.iloc[least_forest(*(links[c].to_numpy() for c in ("x", "y", "w")))]
+
+    trees = rows.select("b", "place", "part", "parts", "embedding", "cores").groupBy("b", "part").applyInPandas(own, LINKS).checkpoint()
+    done, open_ = trees.where("parts = 1").select("k", "b", "x", "y", "w"), trees.where("parts > 1")
     if open_.isEmpty():
-        return tree
-    return tree.unionByName(boruvka(open_))
+        return done
+    sides = _pairs(rows, "place", "parts", "embedding", "cores").cogroup(_pairs(trees.withColumnRenamed("low", "part").drop("high"), "k", "x", "y", "w"))
+    links = open_.unionByName(sides.applyInPandas(between, LINKS))
+    group = [F.floor(F.col(c) / FAN).alias(f"_{c}") for c in ("low", "high")]
+    links = links.groupBy("k", "b", *group).applyInPandas(thinned, LINKS).select("k", "b", "x", "y", "w").checkpoint()
+    large = links.groupBy("k", "b").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("k", "b", F.lit(True).alias("_large"))
+    marked = links.join(large, ["k", "b"], "left")
+    done = done.unionByName(marked.where("_large is null").select("k", "b", "x", "y", "w").groupBy("k", "b").applyInPandas(thinned, "k int, b string, x long, y long, w double"))
+    if large.isEmpty():
+        return done
+    chosen = boruvka(marked.where("_large").select(F.concat_ws(":", "k", "b").alias("b"), "x", "y", "w"))
+    return done.unionByName(chosen.select(F.substring_index("b", ":", 1).cast("int").alias("k"), F.expr("substr(b, instr(b, ':') + 1)").alias("b"), "x", "y", "w"))
 
 
 def boruvka(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -205,7 +353,7 @@ def density_rows(messages: DataFrame, least: int = 5, samples: int = 3, together
     """(rows, clusters): numbered rows, and of those in clusters of their bucket the label, in the order of the clusters' first rows, and the probability: the least w of the cluster over that of the row, as lengths."""
     shared_folder(messages.sparkSession)
     rows = numbered_rows(messages, together)
-    tree = spanning_tree(core_distances(rows, [samples]).withColumn("core", F.col("cores")[0]))
+    tree = spanning_trees(core_distances(rows, [samples]).checkpoint(), 1, most).select("b", "x", "y", "w")
     return rows, labelled(tree_cut(tree, least, most))
 
 
@@ -246,7 +394,7 @@ def density_topics(messages: DataFrame, least: int = 5, samples: int = 3, togeth
 def sweep(messages: DataFrame, settings: Sequence[tuple[int, int]], together: int = TOGETHER) -> DataFrame:
     """(C09) settings of (least, samples) -> setting (its place), least, samples, noise_ratio, n_clusters, largest_ratio, score; the best is the first by score.
 
-    One tree for each number of samples, cut once for each setting; all rows of a bucket below
+    One tree for each number of samples, all in one pass over the pairs, cut once for each setting; all rows of a bucket below
     ``least`` rows are noise.
     """
     spark = messages.sparkSession
@@ -255,8 +403,9 @@ def sweep(messages: DataFrame, settings: Sequence[tuple[int, int]], together: in
     samples = sorted({s for _, s in settings})
     cored = core_distances(rows, samples).checkpoint()
     total = rows.count()
+    trees = spanning_trees(cored, len(samples)).checkpoint()
     for k, s in enumerate(samples):
-        tree = spanning_tree(cored.withColumn("core", F.col("cores")[k])).checkpoint()
+        tree = trees.where(F.col("k") == k).select("b", "x", "y", "w")
         for place, (least, _) in ((i, x) for i, x in enumerate(settings) if x[1] == s):
             sizes = tree_cut(tree, least).groupBy("b", "cluster").agg(F.count("*").alias("n"))
             row = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"), F.count("*").alias("n_clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))

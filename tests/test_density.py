@@ -119,3 +119,19 @@ def test_sweep(spark):
         assert abs(r.noise_ratio - (total - kept) / total) < 1e-12 and abs(r.largest_ratio - largest) < 1e-12
         noise = r.noise_ratio
         assert abs(r.score - ((largest <= 0.35) + (0.05 < noise < 0.9) + 0.5 * (len(sizes) > 2) + min(len(sizes) / 20, 1) - largest)) < 1e-12
+
+
+def test_many_parts_need_no_rounds_over_tables(spark, monkeypatch):
+    monkeypatch.setattr(density, "boruvka", lambda links: pytest.fail("rounds over tables for a bucket of one range"))
+    rows = density.core_distances(clustering.numbered_rows(frame(spark, {1: BUCKETS[1]}), 10), [3, 5]).checkpoint()
+    trees = {}
+    for r in density.spanning_trees(rows, 2).collect():
+        trees.setdefault(r.k, []).append((r.x, r.y, r.w))
+    unit = clustering._unit(np.asarray(BUCKETS[1], float))
+    d = density.squared_distances(unit, unit)
+    np.fill_diagonal(d, np.inf)
+    for k, samples in enumerate((3, 5)):
+        core = np.sort(d, axis=1)[:, samples - 1]
+        want = density.spanning_forest(np.maximum(d, np.maximum(core[:, None], core[None, :])))
+        assert sorted((min(x, y), max(x, y)) for x, y, _ in want) == sorted((x, y) for x, y, _ in trees[k])
+        assert abs(sum(w for *_, w in want) - sum(w for *_, w in trees[k])) < 1e-8

@@ -165,22 +165,28 @@ def topic_mentions(s, d) -> DataFrame:
     return overview.mention_counts(m, "public_cluster_id", "event_id", "channel").withColumnRenamed("public_cluster_id", "cluster")
 
 
+def topic_graph(s, d) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all topics. Mentions are counted once, and what reads the graph several times or in rounds finds it written: it is as small as the topics' entities are few, however many messages there are."""
+    nodes, edges = graph.build(written(topic_mentions(s, d)))
+    return written(nodes), written(edges)
+
+
 MENTIONS = "SELECT public_cluster_id AS cluster, event_id, channel, lower(coalesce(normalized_text, entity_text)) AS k, entity_type AS ty, coalesce(max(normalized_text), min(entity_text)) AS t, count(*) AS n FROM assignments JOIN raw_messages USING (event_id) JOIN ner_results USING (event_id) WHERE run_id = 'run_b' AND cluster_id >= 0 GROUP BY 1, 2, 3, 4, 5"
 ENT = "concat('ent-', upper(ty), ':', k)"
 EDGES = f"SELECT cluster, concat('ch-', channel) AS a, {ENT} AS b, CAST(sum(n) AS DOUBLE) AS weight, 'mentions' AS kind FROM m GROUP BY 1, 2, 3 UNION ALL SELECT x.cluster, x.e, y.e, CAST(sum(least(x.n, y.n)) AS DOUBLE), 'co_occurs' FROM p x JOIN p y ON x.cluster = y.cluster AND x.event_id = y.event_id AND x.e < y.e GROUP BY 1, 2, 3"
 GRAPH = f"WITH m AS ({MENTIONS}), p AS (SELECT cluster, event_id, {ENT} AS e, sum(n) AS n FROM m GROUP BY 1, 2, 3), edges AS ({EDGES}), nodes AS (SELECT cluster, concat('ch-', channel) AS id, max(channel) AS label, CAST(sum(n) AS DOUBLE) AS weight, 'channel' AS kind FROM m GROUP BY 1, 2 UNION ALL SELECT cluster, {ENT}, max(t), CAST(sum(n) AS DOUBLE), 'entity' FROM m GROUP BY 1, 2)"
-query("N01_graph_nodes", f"{GRAPH} SELECT * FROM nodes")(lambda s, d: graph.build(topic_mentions(s, d))[0])
-query("N01_graph_edges", f"{GRAPH} SELECT * FROM edges")(lambda s, d: graph.build(topic_mentions(s, d))[1])
+query("N01_graph_nodes", f"{GRAPH} SELECT * FROM nodes")(lambda s, d: graph.build(written(topic_mentions(s, d)))[0])
+query("N01_graph_edges", f"{GRAPH} SELECT * FROM edges")(lambda s, d: graph.build(written(topic_mentions(s, d)))[1])
 query("N02_degrees", f"""{GRAPH}, e AS (SELECT cluster, a AS id, b AS o, weight FROM edges UNION ALL SELECT cluster, b, a, weight FROM edges), c AS (SELECT cluster, count(*) AS n FROM nodes GROUP BY 1)
-    SELECT cluster, id, count(DISTINCT o) AS degree, coalesce(sum(e.weight), 0.0) AS weighted_degree, count(DISTINCT o) / greatest(any_value(n) - 1, 1) AS degree_centrality FROM nodes LEFT JOIN e USING (cluster, id) JOIN c USING (cluster) GROUP BY 1, 2""")(lambda s, d: graph.degrees(*graph.build(topic_mentions(s, d))))
-query("N03_graph_measures")(lambda s, d: graph.measures(*graph.build(topic_mentions(s, d))))
-query("N04_page_ranks")(lambda s, d: graph_tables.page_ranks(*graph.build(topic_mentions(s, d))).select("cluster", "id", F.round("pagerank", 9).alias("pagerank")))
+    SELECT cluster, id, count(DISTINCT o) AS degree, coalesce(sum(e.weight), 0.0) AS weighted_degree, count(DISTINCT o) / greatest(any_value(n) - 1, 1) AS degree_centrality FROM nodes LEFT JOIN e USING (cluster, id) JOIN c USING (cluster) GROUP BY 1, 2""")(lambda s, d: graph.degrees(*topic_graph(s, d)))
+query("N03_graph_measures")(lambda s, d: graph.measures(*topic_graph(s, d)))
+query("N04_page_ranks")(lambda s, d: graph_tables.page_ranks(*topic_graph(s, d)).select("cluster", "id", F.round("pagerank", 9).alias("pagerank")))
 query("N06_components", f"""{GRAPH.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT cluster, a, b FROM edges UNION SELECT cluster, b, a FROM edges), r AS (SELECT cluster, id, id AS root FROM nodes UNION SELECT e.cluster, e.b, r.root FROM r JOIN e ON e.cluster = r.cluster AND e.a = r.id),
-    q AS (SELECT cluster, id, min(root) AS root FROM r GROUP BY 1, 2) SELECT cluster, id, dense_rank() OVER (PARTITION BY cluster ORDER BY root) - 1 AS component FROM q""")(lambda s, d: graph_tables.component_numbers(*graph.build(topic_mentions(s, d))))
+    q AS (SELECT cluster, id, min(root) AS root FROM r GROUP BY 1, 2) SELECT cluster, id, dense_rank() OVER (PARTITION BY cluster ORDER BY root) - 1 AS component FROM q""")(lambda s, d: graph_tables.component_numbers(*topic_graph(s, d)))
 query("N09_graph_summary", f"{GRAPH} SELECT cluster, n AS node_count, coalesce(m, 0) AS edge_count, CASE WHEN n < 2 THEN 0.0 ELSE 2 * coalesce(m, 0) / (n * (n - 1)) END AS density, 2 * coalesce(m, 0) / n AS average_degree, n < 3 OR coalesce(m, 0) < 2 AS is_small FROM (SELECT cluster, count(*) AS n FROM nodes GROUP BY 1) LEFT JOIN (SELECT cluster, count(*) AS m FROM edges GROUP BY 1) USING (cluster)")(
-    lambda s, d: graph.summary(*graph.build(topic_mentions(s, d)))
+    lambda s, d: graph.summary(*topic_graph(s, d))
 )
-query("N10_communities")(lambda s, d: (lambda n, e: graph.community_summary(graph.measures(n, e), n, e).withColumn("top", F.array_join("top", "|")))(*graph.build(topic_mentions(s, d))))
+query("N10_communities")(lambda s, d: (lambda n, e: graph.community_summary(graph.measures(n, e), n, e).withColumn("top", F.array_join("top", "|")))(*topic_graph(s, d)))
 query("N14_pmi_edges", """WITH p AS (SELECT DISTINCT event_id, lower(coalesce(normalized_text, entity_text)) AS k FROM ner_results), s AS (SELECT k, count(*) AS n FROM p GROUP BY 1), t AS (SELECT count(DISTINCT event_id) AS total FROM p),
     b AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM p x JOIN p y ON x.event_id = y.event_id AND x.k < y.k GROUP BY 1, 2 HAVING count(*) >= 3)
     SELECT b.a, b.b, c AS "both", ln(c * total / (sa.n * sb.n)) AS pmi FROM b JOIN s sa ON sa.k = b.a JOIN s sb ON sb.k = b.b, t WHERE ln(c * total / (sa.n * sb.n)) >= 0""")(lambda s, d: graph.pmi_edges(testbed.ner_results(s, d).withColumn("entity_key", entity_key())))
@@ -190,7 +196,7 @@ query("N14b_theme_mentions", """WITH n AS (SELECT public_cluster_id AS cluster,
 )
 query("N16_two_hops", f"""{GRAPH}, e AS (SELECT a, b FROM edges WHERE weight >= 3 UNION SELECT b, a FROM edges WHERE weight >= 3), one AS (SELECT DISTINCT b AS id FROM e WHERE a = 'ch-BUILDING')
     SELECT id, CAST(min(h) AS INT) AS hops FROM (SELECT id, 1 AS h FROM one UNION ALL SELECT b, 2 FROM e WHERE a IN (SELECT id FROM one)) WHERE id <> 'ch-BUILDING' GROUP BY 1""")(
-    lambda s, d: graph.two_hops(graph.build(topic_mentions(s, d))[1], s.createDataFrame([("ch-BUILDING",)], "id string"))
+    lambda s, d: graph.two_hops(topic_graph(s, d)[1], s.createDataFrame([("ch-BUILDING",)], "id string"))
 )
 
 

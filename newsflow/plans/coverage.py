@@ -451,14 +451,14 @@ _RANKED = f"{analytics.GRAPH}, e AS (SELECT cluster, a AS id, b AS o, weight FRO
 
 
 def _weighed(s, d):
-    nodes, edges = graph.build(analytics.topic_mentions(s, d))
+    nodes, edges = analytics.topic_graph(s, d)
     n = nodes.select(F.col("cluster").alias("cluster"), F.col("id").alias("id"), F.col("label").alias("label"), F.col("kind").alias("kind"))
     return n.join(graph.degrees(nodes, edges), ["cluster", "id"]).select("cluster", "id", "label", "kind", F.col("weighted_degree").alias("pagerank"), F.col("degree").alias("degree_centrality"))
 
 
 query("W08_node_rank", f"{_RANKED} SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, g DESC, label, id) AS rank FROM w")(lambda s, d: graph.ranked(_weighed(s, d)).select("cluster", "id", "rank"))
 query("N11_top_nodes", f"{_RANKED} SELECT cluster, kind, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY p DESC, g DESC, label, id) AS rank FROM w) WHERE rank <= 10")(lambda s, d: graph.top_nodes(_weighed(s, d)).select("cluster", "kind", "id", "rank"))
-query("N11b_bridges")(lambda s, d: (lambda n, e: graph.top_bridges(graph.measures(n, e).withColumn("label", F.col("id"))).select("cluster", "id", "rank"))(*graph.build(analytics.topic_mentions(s, d))))
+query("N11b_bridges")(lambda s, d: (lambda n, e: graph.top_bridges(graph.measures(n, e).withColumn("label", F.col("id"))).select("cluster", "id", "rank"))(*analytics.topic_graph(s, d)))
 
 # routes
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.entities import canonical
 from newsflow.operators.components import components
-from newsflow.session import shared_folder
+from newsflow.session import shared_folder, written
 
 #: Letters of a stem, letters of an ending, stems that a pair of endings needs.
 STEM, ENDING, SUPPORT = 3, 3, 3
@@ -75,9 +75,10 @@ def canonical_names(mentions: DataFrame, **limits: int) -> DataFrame:
     """(M09) mentions(entity_text, entity_type, ...) with canonical: each word by its shown form, people as surname, name, patronymic, title case; short words in capitals stay.
 
     Names are rebuilt once for each distinct text. A text without a letter stays as it is; null
-    has null.
+    has null. Mentions are read several times, so they are written first: what finds them in
+    texts runs once.
     """
-    mentions = mentions.drop("canonical")
+    mentions = written(mentions.drop("canonical"))
     forms = word_forms(words_of(mentions.select(F.col("entity_text").alias("text"))), **limits)
     person = F.upper(F.coalesce("entity_type", F.lit(""))).isin("PER", "PERSON").alias("person")
     texts = mentions.select("entity_text", person).where("entity_text is not null").distinct()

@@ -228,9 +228,10 @@ def cluster_terms(docs: DataFrame, most: int = 10, stop: tuple[str, ...] = ()) -
     split = docs.select("cluster", words.alias("_w"))  # a column of its own, or every step of the lambda would split the text again
     two = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get("_w", i + 1))), lambda x: x.contains(" "))
     terms = split.select("cluster", F.explode_outer(F.concat("_w", two)).alias("term")).where("term is not null").groupBy("cluster", "term").agg(F.count("*").alias("tf"))
-    whole = terms.groupBy("term").agg(F.sum("tf").alias("all"))
+    # a term has one row for each cluster: summed where its rows lie, instead of joined to its sum
+    whole = terms.withColumn("all", F.sum("tf").over(Window.partitionBy("term")))
     mean = terms.agg((F.sum("tf") / F.countDistinct("cluster")).alias("mean"))  # one row
-    scored = terms.join(whole, "term").join(mean).select("cluster", "term", (F.col("tf") * F.log(1 + F.col("mean") / F.col("all"))).alias("score"))
+    scored = whole.join(mean).select("cluster", "term", (F.col("tf") * F.log(1 + F.col("mean") / F.col("all"))).alias("score"))
     w = Window.partitionBy("cluster").orderBy(F.desc("score"), "term")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,22 +65,34 @@ def pair_confidence(t, c) -> Column:
     return F.least(F.lit(0.99), total)
 
 
-@F.pandas_udf(T.BinaryType())
-def _sketch(places: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _sketch(places: pa.Array) -> pa.Array:
     """SKETCH bits, of which those at the places are set."""
     out = []
     for k in range(0, len(places), 1024):
-        some = places.iloc[k : k + 1024]
+        some = places.slice(k, 1024)
         bits = np.zeros((len(some), SKETCH), np.uint8)
-        bits[np.repeat(np.arange(len(some)), some.map(len)), np.concatenate(some.to_list())] = 1
+        bits[np.repeat(np.arange(len(some)), some.value_lengths().to_numpy()), some.flatten().to_numpy()] = 1
         out += [row.tobytes() for row in np.packbits(bits, axis=1)]
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.binary())
 
 
 def _sketched(members: str) -> Column:
     return _sketch(F.transform(members, lambda v: F.pmod(F.xxhash64(v), F.lit(SKETCH)).cast("int")))
 
 
+def _features(slim: DataFrame) -> DataFrame:
+    """What decides which messages meet, of fixed size but for the links: fingerprint, sizes and sketches of the sets, 128 bits for all but time and id."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    parts = [F.col("text_hash").isNull(), F.col("text_hash"), F.col("simhash").isNull(), F.col("simhash")]
+    for c in ("tokens", "entities", "url_fingerprints"):
+        parts += [size(c), F.col(c)]
+    same = F.struct(*(F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)))
+    filled = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    sets = slim.withColumns({"_tokens": filled("tokens"), "_entities": filled("entities")})
+    return sets.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", "url_fingerprints", same.alias("same"), F.size("_tokens").alias("n"), _sketched("_tokens").alias("bits"), F.size("_entities").alias("en"), _sketched("_entities").alias("ebits"))
+
+
 def _most_overlap(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """No less than the Jaccard similarity of sets of n members: a bit that only one side has stands for a member that only it has."""
     only = lambda a, b: np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
@@ -87,7 +100,7 @@ def _most_overlap(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray)
     return both / (n[i] + n[j] - both)
 
 
-def _near_pairs(slim: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+def _near_pairs(light: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     """public_cluster_id, event_id, source: pairs that can reach the threshold without the same text or a common link.
 
     Entities, tokens and fingerprints give up to 0.2 each, the time 0.05. Parts of a topic meet
@@ -96,13 +109,13 @@ def _near_pairs(slim: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     text has that text as its source and needs no other.
     """
     rest = threshold - 0.45 - 1e-9
-    able = F.col("simhash").isNotNull() & (F.size("entities") > 0) & (F.size("tokens") > 0)
+    able = F.col("simhash").isNotNull() & (F.col("en") > 0) & (F.col("n") > 0)
     radius = 16 if rest <= 0.05 else 8 if rest <= 0.12 else 3
-    at = F.unix_micros("message_date") if slim.schema["message_date"].dataType.typeName() == "timestamp" else F.col("message_date")
+    at = F.unix_micros("message_date") if light.schema["message_date"].dataType.typeName() == "timestamp" else F.col("message_date")
     first = one.select("public_cluster_id", "event_id", F.lit(True).alias("first"))
-    light = slim.where(able).select("public_cluster_id", "event_id", "text_hash", at.alias("at"), "simhash", F.size("tokens").alias("n"), _sketched("tokens").alias("bits"), F.size("entities").alias("en"), _sketched("entities").alias("ebits"))
+    light = light.where(able).select("public_cluster_id", "event_id", "text_hash", at.alias("at"), "simhash", "n", "bits", "en", "ebits")
+    parts = light.groupBy("public_cluster_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     light = light.join(first, ["public_cluster_id", "event_id"], "left").where("first or text_hash is null").drop("text_hash").withColumn("first", F.coalesce("first", F.lit(False)))
-    parts = slim.where(able).groupBy("public_cluster_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = light.join(parts, "public_cluster_id").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("lo"), F.greatest("part", k).alias("hi")))
     dealt = dealt.select("*", F.explode(meet).alias("b")).drop("parts").withColumns({"lo": F.col("b.lo"), "hi": F.col("b.hi")}).drop("b")
@@ -131,7 +144,7 @@ def _near_pairs(slim: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
         ids = group["event_id"].to_numpy()
         return pd.DataFrame({"public_cluster_id": key[0], "event_id": ids[np.concatenate(later)], "source": ids[np.concatenate(former)]})
 
-    kinds = {c: slim.schema[c].dataType.simpleString() for c in ("public_cluster_id", "event_id")}
+    kinds = {c: light.schema[c].dataType.simpleString() for c in ("public_cluster_id", "event_id")}
     return dealt.groupBy("public_cluster_id", "lo", "hi").applyInPandas(task, f"public_cluster_id {kinds['public_cluster_id']}, event_id {kinds['event_id']}, source {kinds['event_id']}")
 
 
@@ -141,20 +154,22 @@ def _candidates(slim: DataFrame, threshold: float) -> DataFrame:
     Of messages that differ in time and id only, the earliest scores best: it alone is a
     candidate, so copies cost one candidate for each later message instead of all pairs.
     """
-    same = F.sha2(F.to_json(F.struct("text_hash", "simhash", "tokens", "entities", "url_fingerprints"), {"ignoreNullFields": "false"}), 256)
-    one = slim.groupBy("public_cluster_id", F.col("message_date").isNull(), same).agg(F.min(F.struct("message_date", "event_id")).alias("m")).select("public_cluster_id", "m.*")
+    near = 0.45 < threshold <= 0.65 + 1e-9  # beyond it nothing is reached without the same text or a common link
+    light = _features(slim)
+    light = light if threshold <= 0.45 else written(light if near else light.drop("n", "bits", "en", "ebits"))
+    one = light.groupBy("public_cluster_id", F.col("message_date").isNull(), "same").agg(F.min(F.struct("message_date", "event_id")).alias("m")).select("public_cluster_id", "m.*")
     earlier = F.struct("c.message_date", "c.event_id") < F.struct("t.message_date", "t.event_id")
     pair = [F.col("t.public_cluster_id").alias("public_cluster_id"), F.col("t.event_id").alias("event_id"), F.col("c.event_id").alias("source")]
     if threshold <= 0.45:
-        return slim.alias("t").join(one.alias("c"), (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier).select(*pair).distinct()
+        return light.alias("t").join(one.alias("c"), (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & earlier).select(*pair).distinct()
     text = F.when(F.col("text_hash").isNotNull(), F.array(F.xxhash64(F.lit("text"), "text_hash"))).otherwise(F.array().cast("array<long>"))
     links = F.transform(F.coalesce("url_fingerprints", F.array().cast("array<string>")), lambda u: F.xxhash64(F.lit("link"), u))
-    keyed = slim.select("public_cluster_id", "event_id", "message_date", F.explode(F.array_distinct(F.concat(text, links))).alias("key"))
+    keyed = light.select("public_cluster_id", "event_id", "message_date", F.explode(F.array_distinct(F.concat(text, links))).alias("key"))
     known = keyed.join(one.select("public_cluster_id", "event_id"), ["public_cluster_id", "event_id"], "left_semi")
     meet = (F.col("t.public_cluster_id") == F.col("c.public_cluster_id")) & (F.col("t.key") == F.col("c.key")) & earlier
     found = keyed.alias("t").join(known.alias("c"), meet).select(*pair)
-    if threshold - 0.45 - 1e-9 <= 0.2:  # else nothing reaches it without the same text or a common link
-        found = found.unionByName(_near_pairs(slim, one, threshold))
+    if near:
+        found = found.unionByName(_near_pairs(light, one, threshold))
     return found.distinct()
 
 
@@ -168,17 +183,19 @@ def inferred_sources(m: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     # what a pair needs is prepared once per message: sets without blanks
     members = lambda c: F.array_distinct(F.filter(c, lambda v: v != "")).alias(c)
-    slim = m.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", members("tokens"), members("entities"), members("url_fingerprints"))
-    found = written(_candidates(slim, threshold))
-    later = slim.join(found.select("public_cluster_id", "event_id").distinct(), ["public_cluster_id", "event_id"], "left_semi")
-    former = slim.withColumnRenamed("event_id", "source").join(found.select("public_cluster_id", "source").distinct(), ["public_cluster_id", "source"], "left_semi")
-    pairs = found.join(later.alias("t"), ["public_cluster_id", "event_id"]).join(former.alias("c"), ["public_cluster_id", "source"])
+    sets = [members(c) for c in ("tokens", "entities", "url_fingerprints")]
+    found = written(_candidates(m.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", *sets), threshold))
+    # sets and texts are read once, for messages of some pair
+    ends = found.select("public_cluster_id", F.explode(F.array("event_id", "source")).alias("event_id")).distinct()
+    known = written(m.join(ends, ["public_cluster_id", "event_id"], "left_semi").select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", *sets, "text"))
+    pairs = found.join(known.alias("t"), ["public_cluster_id", "event_id"]).join(known.withColumnRenamed("event_id", "source").alias("c"), ["public_cluster_id", "source"])
     of = lambda prefix: lambda name: F.col(f"{prefix}.{name}")
     scored = pairs.select("public_cluster_id", "event_id", "source", F.col("c.message_date").alias("date"), pair_confidence(of("t"), of("c")).alias("confidence"))
     best = scored.groupBy("public_cluster_id", "event_id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "date", "source")).alias("best")).where(-F.col("best.minus") >= threshold)
+    best = written(best)
     # texts are compared for the best pair only, where the later one has quotes
-    said = m.select("public_cluster_id", "event_id", quotes(F.col("text")).alias("quotes")).where(F.size("quotes") > 0)
-    plain = m.select("public_cluster_id", F.col("event_id").alias("source"), plain_text(F.col("text")).alias("plain"))
+    said = known.select("public_cluster_id", "event_id", quotes(F.col("text")).alias("quotes")).where(F.size("quotes") > 0)
+    plain = known.select("public_cluster_id", F.col("event_id").alias("source"), plain_text(F.col("text")).alias("plain"))
     held = best.select("public_cluster_id", "event_id", F.col("best.source").alias("source")).join(said, ["public_cluster_id", "event_id"]).join(plain, ["public_cluster_id", "source"])
     held = held.groupBy("public_cluster_id", "event_id").agg(F.bool_and(F.exists("quotes", lambda q: F.col("plain").contains(q))).alias("quoted"))
     best = best.join(held, ["public_cluster_id", "event_id"], "left")

@@ -399,9 +399,17 @@ query("R07b_links", f"WITH {_LINKS} SELECT * FROM k WHERE parent IS NOT NULL")(l
 _CHAIN = f"{_LINKS}, h AS (SELECT k.*, a.source AS child_channel, a.doc_id AS child_id, b.source AS parent_channel, b.doc_id AS parent_id, row_number() OVER (PARTITION BY k.public_cluster_id ORDER BY a.doc_id, k.child) AS place FROM k JOIN m a ON a.event_id = k.child LEFT JOIN m b ON b.event_id = k.parent WHERE parent IS NOT NULL QUALIFY place <= 12)"
 
 
-def _linked(s, d):
+def _linked(s, d, topic: str | None = None):
+    """The first links of all topics, or of one, and the messages that they, or that topic, need: no others are cleaned."""
     m, e = _exact(s, d)
-    return m, first_source.propagation_links(e, _inferred(m))
+    links = first_source.propagation_links(e, _inferred(m))
+    few = analytics.written(topics.first_links(m, links if topic is None else links.where(F.col("public_cluster_id") == topic)))
+    ids = few.select(F.explode(F.array("child", "parent")).alias("event_id"))
+    return _known(s, d, ids if topic is None else ids.unionByName(m.where(F.col("public_cluster_id") == topic).select("event_id"))), few
+
+
+def _known(s, d, ids):
+    return analytics.written_messages(analytics.cleaned_messages(s, d, ids).withColumn("primary_url", F.lit(None).cast("string")))
 
 
 query("O06_chains", f"WITH {_CHAIN} SELECT public_cluster_id, place, child, parent, child_channel, child_id AS child_message_id, parent_channel, parent_id AS parent_message_id, link_type, confidence AS link_confidence, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'inferred' END AS resolution_kind FROM h")(
@@ -409,19 +417,22 @@ query("O06_chains", f"WITH {_CHAIN} SELECT public_cluster_id, place, child, pare
 )
 query("N13_propagation_graph", f"""WITH {_CHAIN}, t AS (SELECT * FROM m WHERE c = 'run_b:1' ORDER BY doc_id DESC LIMIT 30)
     SELECT 'topic-run_b:1' AS source, concat('msg-', event_id) AS target, 1 AS weight, 'contains' AS kind FROM t UNION ALL SELECT concat('msg-', parent), concat('msg-', child), CAST(round(confidence * 100) AS INT), CASE WHEN starts_with(link_type, 'exact') THEN 'propagates_exact' ELSE 'propagates_inferred' END FROM h WHERE public_cluster_id = 'run_b:1'""")(
-    lambda s, d: topics.propagation_graph(*_linked(s, d), "run_b:1")[1]
+    lambda s, d: topics.propagation_graph(*_linked(s, d, "run_b:1"), "run_b:1")[1]
 )
 query("N13b_propagation_nodes", f"""WITH {_CHAIN}, t AS (SELECT m.*, {analytics.SQ.format('text')} AS x FROM m JOIN documents USING (doc_id, source) WHERE c = 'run_b:1' ORDER BY doc_id DESC LIMIT 30), g AS (SELECT * FROM h WHERE public_cluster_id = 'run_b:1'),
     a AS (SELECT concat('msg-', event_id) AS id, coalesce(nullif(CASE WHEN length(x) > 48 THEN concat(rtrim(x[1:48]), '...') ELSE x END, ''), concat(source, ' #', doc_id)) AS label, 1 AS weight, NULL AS source_status, 0 AS r FROM t
     UNION ALL SELECT concat('msg-', parent), concat(parent_channel, ' #', parent_id), 2, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'probable' END, 2 * place FROM g UNION ALL SELECT concat('msg-', child), concat(child_channel, ' #', child_id), 1, CASE WHEN starts_with(link_type, 'exact') THEN 'exact' ELSE 'probable' END, 2 * place + 1 FROM g)
-    SELECT id, label, 'message' AS type, weight, source_status FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1 UNION ALL SELECT concat('topic-', c), c, 'topic', count(*), NULL FROM m WHERE c = 'run_b:1' GROUP BY c""")(lambda s, d: topics.propagation_graph(*_linked(s, d), "run_b:1")[0])
+    SELECT id, label, 'message' AS type, weight, source_status FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1 UNION ALL SELECT concat('topic-', c), c, 'topic', count(*), NULL FROM m WHERE c = 'run_b:1' GROUP BY c""")(lambda s, d: topics.propagation_graph(*_linked(s, d, "run_b:1"), "run_b:1")[0])
 
 
 def _payload(s, d):
     m, e = _exact(s, d)
-    strict = first_source.cluster_exact(e).where("source_type <> 'unknown'")
-    likely = first_source.cluster_inferred(m).withColumn("source_type", F.lit("earliest_in_cluster"))
-    found = topics.first_sources(m, strict, likely, first_source.propagation_links(e, _inferred(m)))
+    strict = analytics.written(first_source.cluster_exact(e).where("source_type <> 'unknown'"))
+    likely = analytics.written(first_source.cluster_inferred(m).withColumn("source_type", F.lit("earliest_in_cluster")))
+    few = analytics.written(topics.first_links(m, first_source.propagation_links(e, _inferred(m))))
+    # the earliest message of each topic is among them, so every topic is
+    ids = few.select(F.explode(F.array("child", "parent")).alias("event_id")).unionByName(strict.select(F.col("source_event_id").alias("event_id"))).unionByName(likely.select(F.col("source_event_id").alias("event_id")))
+    found = topics.first_sources(_known(s, d, ids), strict, likely, few)
     return found.select("public_cluster_id", "source_status", F.col("exact.source_event_id").alias("exact_event"), F.col("exact.source_confidence").alias("exact_confidence"), F.col("inferred.source_event_id").alias("inferred_event"), F.col("shown.source_channel").alias("shown_channel"), F.col("shown.source_message_id").alias("shown_message_id"), F.col("shown.source_type").alias("shown_type"), F.coalesce(F.size("chain"), F.lit(0)).alias("links"), F.col("chain")[0]["child"].alias("first_child"))
 
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from newsflow.operators import first_source
-from newsflow.plans import api
+from newsflow.operators import first_source, topics
+from newsflow.plans import api, coverage
 
 
 def test_close_fingerprints_alone_are_no_candidates(spark):
@@ -43,3 +43,14 @@ def test_sets_in_other_order_of_columns_are_not_the_same(spark):
     slim = spark.createDataFrame(rows, "text_hash string, simhash long, tokens array<string>, entities array<string>")
     slim = slim.select(F.lit("r:1").alias("public_cluster_id"), F.lit("e").alias("event_id"), F.lit(1).alias("message_date"), "*", F.array().cast("array<string>").alias("url_fingerprints"))
     assert first_source._features(slim).select("same").distinct().count() == len(rows)
+
+
+def test_only_messages_of_first_links_are_prepared(spark):
+    d = "/root/testdata/sf0.001"
+    m, e = coverage._exact(spark, d)
+    links = first_source.propagation_links(e, coverage._inferred(m))
+    known, few = coverage._linked(spark, d)
+    ends = {x for r in few.collect() for x in (r.child, r.parent)}
+    assert {r.event_id for r in known.select("event_id").collect()} == ends and len(ends) < m.count()
+    shown = lambda df: sorted(tuple(r) for r in df.select("public_cluster_id", "place", F.to_json(F.struct(*df.columns))).collect())
+    assert shown(topics.chains(known, few)) == shown(topics.chains(m, links))

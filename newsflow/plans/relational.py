@@ -87,7 +87,9 @@ def channel_stats(s, d):
 @query("G17_top_entities_view", f"""SELECT {KEY} AS entity_key, entity_type, count(*) AS mentions, count(DISTINCT event_id) AS messages, {MEAN.format('confidence')} AS avg_confidence, min(message_date) AS first_seen, max(message_date) AS last_seen
     FROM ner_results JOIN raw_messages USING (event_id) WHERE confidence >= 0.5 GROUP BY 1, 2 HAVING count(*) >= 3""")
 def top_entities_view(s, d):
-    j = testbed.ner_results(s, d).where("confidence >= 0.5").join(testbed.raw_messages(s, d).select("event_id", "message_date"), "event_id").withColumn("entity_key", entity_key())
+    mentions = testbed.ner_results(s, d).where("confidence >= 0.5").select("event_id", entity_key().alias("entity_key"), "entity_type", "confidence")
+    # by event, so an event's mentions are counted where they were joined
+    j = testbed.joined(mentions, testbed.raw_messages(s, d).select("event_id", "message_date"), "event_id", table(s, d, "lineitem").count())
     g = j.groupBy("entity_key", "entity_type").agg(F.count("*").alias("mentions"), F.countDistinct("event_id").alias("messages"), mean(F.col("confidence")).alias("avg_confidence"), F.min("message_date").alias("first_seen"), F.max("message_date").alias("last_seen"))
     return g.where("mentions >= 3")
 

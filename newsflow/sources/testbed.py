@@ -24,6 +24,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+#: Rows of the larger table that one task of a join takes.
+ROWS = 500_000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left and right by key, where the larger table has so many rows: in more partitions than the session's if those would hold over ROWS each, so what a task sorts and groups doesn't grow with the table."""
+    n = -(-rows // ROWS)
+    if n > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(n, key), right.repartition(n, key)
+    return left.join(right, key)
+
+
 def event_id(column: str):
     return F.col(column).cast("string").alias("event_id")
 

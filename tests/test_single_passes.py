@@ -3,6 +3,8 @@
 import math
 
 from newsflow.operators import enrich, names
+from newsflow.plans import relational
+from newsflow.sources import testbed
 
 
 def test_canonical_names_find_mentions_once(spark):
@@ -30,3 +32,14 @@ def test_cluster_terms_sum_a_term_without_a_join(spark):
     mean = sum(tf.values()) / 2
     assert got.keys() == tf.keys() and all(abs(got[k] - n * math.log(1 + mean / whole[k[1]])) < 1e-9 for k, n in tf.items())
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_a_join_follow_the_rows(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = rows(relational.top_entities_view(spark, d))
+    monkeypatch.setattr(testbed, "ROWS", 500)
+    many = relational.top_entities_view(spark, d)
+    parts = -(-testbed.table(spark, d, "lineitem").count() // 500)
+    assert many._jdf.queryExecution().executedPlan().toString().count(f", {parts}), REPARTITION_BY_NUM") == 2
+    assert rows(many) == plain

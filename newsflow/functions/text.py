@@ -30,6 +30,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def blank(text: Column) -> Column:
+    """Nothing but spaces, or null: what squeeze leaves nothing of. The search ends at the first other character."""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE}]")
+
+
 def urls(text: Column) -> Column:
     """(X01) Links without the punctuation behind them."""
     return F.filter(F.transform(_all(text, URL), lambda u: F.regexp_replace(u, "[.,!?:;]+$", "")), lambda u: u != "")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.fingerprints import label_of, softmax
-from newsflow.functions.text import WORD, squeeze, surface
+from newsflow.functions.text import WORD, blank, surface
 
 #: Labels in the order of the logits.
 LABELS = ("negative", "neutral", "positive")
@@ -35,8 +35,7 @@ def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
     # columns of their own, or the text would be split again for every use of a logit
     split = df.withColumn("_words", F.split(F.lower(text), f"[^{WORD}]+"))
     split = split.withColumn("_logits", word_logits(F.col("_words"))).withColumn("_p", softmax(F.col("_logits")))
-    blank = squeeze(F.coalesce(F.col(text), F.lit(""))) == ""
-    out = split.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(F.col("_p")))
+    out = split.withColumn("probabilities", F.when(blank(F.col(text)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(F.col("_p")))
     return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")}).drop("_words", "_logits", "_p")
 
 
@@ -113,9 +112,8 @@ def word_logits(words: Column, good: Sequence[str] = tuple(GOOD.split()), bad: S
 
 def _judged(df: DataFrame, text: str, n_tokens: Column, logits: Column) -> DataFrame:
     """probabilities, label and score from mean logits; no tokens have logits of zero, blank texts are neutral with 1."""
-    blank = squeeze(F.coalesce(F.col(text), F.lit(""))) == ""
     known = F.when(n_tokens > 0, logits).otherwise(F.array(*[F.lit(0.0)] * len(LABELS)))
-    out = df.withColumn("probabilities", F.when(blank, F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(softmax(known)))
+    out = df.withColumn("probabilities", F.when(blank(F.col(text)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).otherwise(softmax(known)))
     return out.withColumns({"label": label_of(F.col("probabilities"), LABELS), "score": F.array_max("probabilities")})
 
 

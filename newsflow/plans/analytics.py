@@ -86,7 +86,7 @@ query("X35_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FRO
 query("X39_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))
 query("X43_slugs", "SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '[^\\p{L}\\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")(lambda s, d: table(s, d, "part").select("p_partkey", tx.slug(F.col("p_type")).alias("slug")))
 
-query("M01_sentiment")(lambda s, d: enrich.sentiment(docs(s, d)).select("doc_id", "label", "score"))
+query("M01_sentiment")(lambda s, d: enrich.sentiment(docs(s, d, "doc_id", "text")).select("doc_id", "label", "score"))
 query("M13_embeddings")(lambda s, d: enrich.hashed_embeddings(docs(s, d, "doc_id", "text")).select("doc_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding")))
 query("M13_clusters")(lambda s, d: clustering.similarity_clusters(enrich.hashed_embeddings(docs(s, d)).select(F.col("lang").alias("bucket"), F.col("doc_id").cast("string").alias("event_id"), F.col("doc_id").alias("event_timestamp"), "embedding"), 0.8).select("bucket", "event_id", "label"))
 query("M06_chunks", "SELECT o_orderkey, 1 + CAST(greatest(ceil((o_orderkey % 1000 + 1 - 384) / 320.0), 0) AS INT) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.size(enrich.chunks(F.sequence(F.lit(0), (F.col("o_orderkey") % 1000).cast("int")))).alias("n")))

@@ -311,7 +311,7 @@ query("M02b_all_documents", f"""WITH w AS (SELECT doc_id, trim(coalesce(text, ''
     l AS (SELECT doc_id, blank, 2.0 * len(list_filter(w, lambda x: x IN {_BAD})) AS bad, 2.0 * len(list_filter(w, lambda x: x IN {_GOOD})) AS good FROM w), m AS (SELECT *, greatest(bad, good, 1) AS m FROM l),
     z AS (SELECT doc_id, blank, bad, good, exp(greatest(bad, good, 1) - m) / (exp(bad - m) + exp(1 - m) + exp(good - m)) AS top FROM m)
     SELECT doc_id, CASE WHEN blank OR top < 0.55 THEN 'neutral' WHEN bad >= 1 AND bad >= good THEN 'negative' WHEN good <= 1 THEN 'neutral' ELSE 'positive' END AS label, round(CASE WHEN blank THEN 1.0 ELSE top END, 9) AS score FROM z""")(
-    lambda s, d: enrich.sentiment(table(s, d, "documents")).select("doc_id", "label", F.round("score", 9).alias("score"))
+    lambda s, d: enrich.sentiment(analytics.docs(s, d, "doc_id", "text")).select("doc_id", "label", F.round("score", 9).alias("score"))
 )
 
 # written and read back

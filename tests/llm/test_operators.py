@@ -536,6 +536,21 @@ def test_op8(spark, empty):
     assert decontamination.leaks(empty, items).collect() == [] and decontamination.leaks(docs, items.where("false")).collect() == []
 
 
+def test_op8_many_items(spark, monkeypatch):
+    """Items of equal tokens are looked for once, more seeds than are broadcast are joined by shuffles, and no row holds a filter."""
+    rng = random.Random(88)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(30)) for _ in range(3)]
+    docs = spark.createDataFrame([(k, f"a b {texts[k % 3]} c") for k in range(6)] + [(6, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, texts[k % 2].upper() + "." * k) for k in range(8)] + [(0, texts[2]), (None, texts[2])], "item_id long, text string")
+    expected = {(k, i, 2, 20, 20) for k in range(6) for i in ({0, 2, 4, 6}, {1, 3, 5, 7}, {0, None})[k % 3]}
+    assert set(map(tuple, decontamination.leaks(docs, items).collect())) == expected
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 10)
+    found = decontamination.leaks(docs, items)
+    assert set(map(tuple, found.collect())) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and "_bits#" not in plan
+
+
 def test_op8_masks():
     """Enumeration: whichever tokens are substituted within the tolerance, a seed of some mask is left."""
     for width in range(1, 21):

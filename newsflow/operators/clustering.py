@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsflow.functions.fingerprints import cosine, jaccard, theme_score
+from newsflow.operators.blocks import met
 from newsflow.operators.components import components
 from newsflow.operators.ordering import placed
-from newsflow.session import shared_folder
+from newsflow.session import shared_folder, written
 
 #: Least cosine of a link, bounds of the probability.
 LINK, LOW, HIGH = 0.68, 0.55, 0.99
@@ -78,12 +79,13 @@ def _probabilities(vectors: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity_clusters(messages: DataFrame, least: float = LINK, together: int = TOGETHER) -> DataFrame:
+def similarity_clusters(messages: DataFrame, least: float = LINK, together: int = TOGETHER, probabilities: bool = True) -> DataFrame:
     """(C04, C05) messages(bucket, event_id, event_timestamp, embedding) -> bucket, event_id, label within the bucket, probability, first.
 
     Rows of a bucket are ordered by time, then id. A bucket of up to ``together`` rows is one
     group. A larger one is compared in blocks (``connected``), so that no task holds a bucket; the
-    components are those of all pairs. Counting the buckets is a job of its own.
+    components are those of all pairs. Counting the buckets is a job of its own. Without
+    ``probabilities`` those of larger buckets are null.
     """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +104,7 @@ def similarity_clusters(messages: DataFrame, least: float = LINK, together: int
     sizes = sizes.withColumn("_large", F.lit(True)).checkpoint()
     dealt = messages.join(sizes.drop("_n"), F.col("bucket").eqNullSafe(F.col("_bucket")), "left").drop("_bucket")
     small = dealt.where("_large is null").drop("_large").groupBy("bucket").applyInPandas(one, out)
-    large = _large_clusters(dealt.where("_large").drop("_large"), least, together)
+    large = _large_clusters(dealt.where("_large").drop("_large"), least, together, probabilities)
     return small.unionByName(large.select("bucket", "event_id", "label", "probability", "first"))
 
 
@@ -219,22 +221,16 @@ def _joined(left: np.ndarray, right: np.ndarray, mine: np.ndarray, theirs: np.nd
     return roots[moved], roots[low[moved]]
 
 
-def _block_links(left: DataFrame, right: DataFrame, least: float, most: int) -> DataFrame:
-    """left, right(b, root, embedding) -> b, x, y: links between roots that connect what pairs of a left and a right row connect. Parts of about ``most`` rows meet in pairs, so a task holds two parts."""
-    dealt = lambda n: F.pmod(F.xxhash64("root", "embedding"), F.col(n)).cast("int")
-    n = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    parts = n(left, "ls").join(n(right, "rs"), "b").checkpoint()
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own, other = left.join(parts, "b").withColumn("_l", dealt("ls")), right.join(parts, "b").withColumn("_r", dealt("rs"))
-    own = own.select("b", "root", "embedding", "_l", every("rs").alias("_r"), F.lit(True).alias("_mine"))
-    other = other.select("b", "root", "embedding", every("ls").alias("_l"), "_r", F.lit(False).alias("_mine"))
+def _block_links(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """rows(b, root, embedding, _lead) -> b, x, y: links between roots that connect what pairs with a leading row connect. Blocks of about ``most`` rows meet in pairs (``met``)."""
+    parts = rows.groupBy("b", "_lead").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).checkpoint()
+    dealt = rows.join(F.broadcast(parts), ["b", "_lead"]).withColumn("_part", F.pmod(F.xxhash64("root", "embedding"), F.col("_parts")).cast("int")).drop("_parts")
 
-    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = group[group["_mine"]], group[~group["_mine"]]
-        x, y = _joined(_unit(_vectors(mine)), _unit(_vectors(theirs)), mine["root"].to_numpy(), theirs["root"].to_numpy(), least) if len(mine) and len(theirs) else ([], [])
-        return pd.DataFrame({"b": key[0], "x": np.array(x, np.int64), "y": np.array(y, np.int64)})
+    def task(b: str, one: pd.DataFrame, other: pd.DataFrame, same: bool) -> pd.DataFrame:
+        x, y = _joined(_unit(_vectors(one)), _unit(_vectors(other)), one["root"].to_numpy(), other["root"].to_numpy(), least)
+        return pd.DataFrame({"b": b, "x": x, "y": y})
 
-    return own.unionByName(other).groupBy("b", "_l", "_r").applyInPandas(task, "b string, x long, y long")
+    return met(dealt, "b", parts.agg(F.coalesce(F.sum("_parts"), F.lit(0))).first()[0], task, "b string, x long, y long")
 
 
 def _part_links(rows: DataFrame, least: float, together: int) -> DataFrame:
@@ -251,47 +247,57 @@ def _part_links(rows: DataFrame, least: float, together: int) -> DataFrame:
     return each.groupBy("b", "_part").applyInPandas(task, "b string, x long, y long")
 
 
-def _roots(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows(b, place, ...) with root, the first place of their component."""
+def _roots(places: DataFrame, links: DataFrame) -> DataFrame:
+    """places(b, place) with root, the first place of their component."""
     node = lambda c: F.struct("b", F.col(c).alias("place"))
     found = components(links.select(node("x").alias("a"), node("y").alias("b"))).select("node.*", F.col("root.place").alias("root"))
-    return rows.join(found, ["b", "place"], "left").withColumn("root", F.coalesce("root", "place")).checkpoint()
+    return written(places.join(found, ["b", "place"], "left").withColumn("root", F.coalesce("root", "place")))
 
 
 def connected(rows: DataFrame, least: float, together: int) -> DataFrame:
-    """rows(b, place, embedding) of different vectors, with root: the first place of the component of {cosine >= least}.
+    """rows(b, place, embedding) of different vectors -> b, place, root: the first place of the component of {cosine >= least}. rows are read several times.
 
     Parts and a sample of the bucket are compared first. Rows of what is then the largest
     component of a bucket are connected already and needn't meet each other: all others meet all
-    rows, in blocks. Where most rows link to nothing these are all pairs, in memory of two parts.
+    rows, in blocks. Where most rows link to nothing these are all pairs, in memory of a few blocks.
     """
     able = rows.where(F.exists("embedding", lambda x: x != 0)) if least > 0 else rows
-    links = _part_links(able, least, together).checkpoint()
-    known = _roots(able, links)
+    links = written(_part_links(able, least, together))
+    known = _roots(able.select("b", "place"), links)
     largest = known.groupBy("b", "root").agg(F.count("*").alias("_n")).groupBy("b").agg(F.max_by("root", F.struct("_n", -F.col("root"))).alias("_largest"))
-    rest = known.join(largest, "b").where(F.col("root") != F.col("_largest"))
-    more = _block_links(rest.select("b", "root", "embedding"), known.select("b", "root", "embedding"), least, 4 * together)
-    return _roots(rows, links.unionByName(more))
-
-
-def _large_clusters(messages: DataFrame, least: float, together: int) -> DataFrame:
-    """similarity_clusters for large buckets. A component is named by its first row; rows of equal vectors are compared once."""
-    rows = numbered_rows(messages, together)
-    copies = rows.groupBy("b", "embedding").agg(F.min("place").alias("place"), F.count("*").alias("_n")).checkpoint()
-    rooted = connected(copies.select("b", "place", "embedding"), least, together)
+    lead = known.join(largest, "b").select("b", "place", "root", (F.col("root") != F.col("_largest")).alias("_lead"))
+    more = _block_links(able.join(lead, ["b", "place"]).drop("place"), least, 4 * together)
+    return _roots(rows.select("b", "place"), links.unionByName(more))
+
+
+def _large_clusters(messages: DataFrame, least: float, together: int, probabilities: bool) -> DataFrame:
+    """similarity_clusters for large buckets. A component is named by its first row; rows of equal vectors are compared once. Vectors are written once, all else moves without them."""
+    bucket = F.coalesce(F.col("bucket").cast("string"), F.lit("\0")).alias("b")
+    same = F.struct(F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit("two"), "embedding").alias("two")).alias("same")
+    base = messages.select("bucket", "event_id", "event_timestamp", F.col("embedding").cast("array<double>").alias("embedding"), bucket)
+    base = written(base.select("*", same, F.monotonically_increasing_id().alias("_row")))
+    rows = placed(base.drop("embedding"), "b", F.col("event_timestamp").asc_nulls_last(), F.col("event_id").asc_nulls_last()).withColumnRenamed("place", "own")
+    copies = written(rows.groupBy("b", "same").agg(F.min("own").alias("place"), F.min_by("_row", "own").alias("_row")))
+    vectors = written(base.select("_row", "embedding").join(copies.select("_row", "b", "place"), "_row").drop("_row"))
+    rooted = connected(vectors, least, together).join(copies.select("b", "place", "same"), ["b", "place"]).drop("place")
     # equal zero vectors don't link, unless every pair does
-    zero = F.forall("embedding", lambda x: x == 0) & F.lit(least > 0)
-    rows = rows.withColumnRenamed("place", "own").join(rooted.select("b", "embedding", "root"), ["b", "embedding"]).withColumn("root", F.when(zero, F.col("own")).otherwise(F.col("root"))).checkpoint()
-    # (C05) sums of unit vectors, coordinate by coordinate
+    zeros = vectors.where(F.forall("embedding", lambda x: x == 0) & F.lit(least > 0)).join(copies, ["b", "place"]).select("b", "same", F.lit(True).alias("_zero"))
+    rows = rows.join(rooted, ["b", "same"]).join(zeros, ["b", "same"], "left").withColumn("root", F.when(F.col("_zero"), F.col("own")).otherwise(F.col("root")))
+    rows = written(rows.drop("same", "_zero"))
+    counts = rows.groupBy("b", "root").agg(F.count("*").alias("n")).withColumn("label", (F.row_number().over(Window.partitionBy("b").orderBy("root")) - 1).cast("int"))
+    begins = rows.groupBy("b").agg(F.min("event_timestamp").alias("first"))
+    out = rows.join(counts, ["b", "root"]).join(begins, "b")
+    if not probabilities:
+        return out.withColumn("probability", F.lit(None).cast("double"))
+    # (C05) sums of unit vectors, coordinate by coordinate; a row alone needs none
+    out = out.join(base.select("_row", "embedding"), "_row")
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.when(size > 0, F.transform("embedding", lambda x: x / size)).otherwise(F.transform("embedding", lambda x: F.lit(0.0)))
-    sums = rows.select("b", "root", F.posexplode(unit).alias("k", "x")).groupBy("b", "root", "k").agg(F.sum("x").alias("x"))
+    sums = out.where("n > 1").select("b", "root", F.posexplode(unit).alias("k", "x")).groupBy("b", "root", "k").agg(F.sum("x").alias("x"))
     centres = sums.groupBy("b", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
-    counts = rows.groupBy("b", "root").agg(F.count("*").alias("n")).withColumn("label", (F.row_number().over(Window.partitionBy("b").orderBy("root")) - 1).cast("int"))
-    begins = rows.groupBy("b").agg(F.min("event_timestamp").alias("first"))
     none = F.forall("centre", lambda x: x == 0)
     probability = F.when(F.col("n") == 1, 1.0).when(none, 0.75).otherwise(F.least(F.greatest(cosine(F.col("embedding"), F.col("centre")), F.lit(LOW)), F.lit(HIGH)))
-    return rows.join(counts, ["b", "root"]).join(centres, ["b", "root"]).join(begins, "b").withColumn("probability", probability)
+    return out.join(centres, ["b", "root"], "left").withColumn("probability", probability)
 
 
 def global_labels(local: DataFrame) -> DataFrame:

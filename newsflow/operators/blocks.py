@@ -16,20 +16,27 @@ APART, LYING = 32, 4
 
 
 def met(rows: DataFrame, group: str, n_blocks: int, task: Callable[[object, pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str) -> DataFrame:
-    """rows(group, _lead, _part, ...) -> what task(group, one, other, same) makes of every two blocks of a group that are not both without a lead, and of each leading block with itself.
+    """rows(group, _lead, _part, _many, ...) -> what task(group, one, other, same) makes of every two blocks of a group that are not both without a lead, and of each leading block with itself.
 
-    A block has the rows of one _part with the same _lead, packed into one binary value. Blocks meet in
-    a Cartesian product of their partitions, which are read again for each other partition: time
-    grows with the square of a group, disk with its rows. The result is written.
+    A block has the rows of one _part with the same _lead; _many says that the group has several,
+    n_blocks is their number in all such groups. They are packed into one binary value each and meet
+    in a Cartesian product of their partitions, which are read again for each other partition: time
+    grows with the square of a group, disk with its rows. A group of one block is one group. The
+    result is written; rows are read twice.
     """
     shared_folder(rows.sparkSession)
+    inside = [c for c in rows.columns if c not in (group, "_lead", "_part", "_many")]
+    alone = rows.where(~F.col("_many") & F.col("_lead")).select(group, *inside)
+    alone = written(alone.groupBy(group).applyInPandas(lambda key, block: task(key[0], block, block, True), schema))
+    if not n_blocks:
+        return alone
+    rows = rows.where("_many").drop("_many")
     kind = rows.schema[group].dataType.simpleString()
-    inside = [c for c in rows.columns if c not in (group, "_lead", "_part")]
-    n = max(1, min(n_blocks, APART), -(-n_blocks // LYING))
+    n = max(min(n_blocks, APART), -(-n_blocks // LYING))
 
     def pack(key: tuple, block: pa.Table) -> pa.Table:
         out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, (held := block.select(inside)).schema) as to:
+        with pa.ipc.new_stream(out, (held := block.select(inside)).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
             to.write_table(held)
         return pa.table({group: pa.array([key[0].as_py()], block.schema.field(group).type), "_lead": [key[1].as_py()], "_part": pa.array([key[2].as_py()], pa.int32()), "_held": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
@@ -51,4 +58,4 @@ def met(rows: DataFrame, group: str, n_blocks: int, task: Callable[[object, pd.D
                     yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     with arrow_rows(rows.sparkSession, 1):
-        return written(pairs.mapInArrow(run, schema))
+        return alone.unionByName(written(pairs.mapInArrow(run, schema)))

@@ -223,14 +223,15 @@ def _joined(left: np.ndarray, right: np.ndarray, mine: np.ndarray, theirs: np.nd
 
 def _block_links(rows: DataFrame, least: float, most: int) -> DataFrame:
     """rows(b, root, embedding, _lead) -> b, x, y: links between roots that connect what pairs with a leading row connect. Blocks of about ``most`` rows meet in pairs (``met``)."""
-    parts = rows.groupBy("b", "_lead").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).checkpoint()
+    parts = rows.groupBy("b", "_lead").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    parts = parts.join(parts.groupBy("b").agg((F.sum("_parts") > 1).alias("_many")), "b").checkpoint()
     dealt = rows.join(F.broadcast(parts), ["b", "_lead"]).withColumn("_part", F.pmod(F.xxhash64("root", "embedding"), F.col("_parts")).cast("int")).drop("_parts")
 
     def task(b: str, one: pd.DataFrame, other: pd.DataFrame, same: bool) -> pd.DataFrame:
         x, y = _joined(_unit(_vectors(one)), _unit(_vectors(other)), one["root"].to_numpy(), other["root"].to_numpy(), least)
         return pd.DataFrame({"b": b, "x": x, "y": y})
 
-    return met(dealt, "b", parts.agg(F.coalesce(F.sum("_parts"), F.lit(0))).first()[0], task, "b string, x long, y long")
+    return met(dealt, "b", parts.where("_many").agg(F.coalesce(F.sum("_parts"), F.lit(0))).first()[0], task, "b string, x long, y long")
 
 
 def _part_links(rows: DataFrame, least: float, together: int) -> DataFrame:

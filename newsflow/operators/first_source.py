@@ -16,12 +16,13 @@ from pyspark.sql import types as T
 
 from newsflow.functions.fingerprints import hamming, jaccard, plain_text, quotes, quotes_match
 from newsflow.functions.text import snippet
-from newsflow.session import written
+from newsflow.operators.blocks import met
+from newsflow.session import shared_folder, written
 
 #: Confidences and the threshold for inferred sources.
 FORWARD, REPLY, URL, EARLIEST, THRESHOLD = 1.0, 0.97, 0.92, 0.35, 0.55
-#: Messages of a topic that a task compares with as many others; bits of a set's sketch.
-PART, SKETCH = 8192, 1024
+#: Messages of a topic in a block; bits of the sketch of a few entities and of a text's tokens.
+PART, SKETCH, WIDE = 8192, 1024, 8192
 
 
 def exact_sources(m: DataFrame, everything: DataFrame) -> DataFrame:
@@ -66,19 +67,19 @@ def pair_confidence(t, c) -> Column:
 
 
 @F.arrow_udf(T.BinaryType())
-def _sketch(places: pa.Array) -> pa.Array:
-    """SKETCH bits, of which those at the places are set."""
-    out = []
+def _sketch(places: pa.Array, width: pa.Array) -> pa.Array:
+    """width bits (the same for all rows), of which those at the places are set."""
+    out, bits_of = [], width[0].as_py() if len(width) else 0
     for k in range(0, len(places), 1024):
         some = places.slice(k, 1024)
-        bits = np.zeros((len(some), SKETCH), np.uint8)
+        bits = np.zeros((len(some), bits_of), np.uint8)
         bits[np.repeat(np.arange(len(some)), some.value_lengths().to_numpy()), some.flatten().to_numpy()] = 1
         out += [row.tobytes() for row in np.packbits(bits, axis=1)]
     return pa.array(out, pa.binary())
 
 
-def _sketched(members: str) -> Column:
-    return _sketch(F.transform(members, lambda v: F.pmod(F.xxhash64(v), F.lit(SKETCH)).cast("int")))
+def _sketched(members: str, width: int) -> Column:
+    return _sketch(F.transform(members, lambda v: F.pmod(F.xxhash64(v), F.lit(width)).cast("int")), F.lit(width))
 
 
 def _features(slim: DataFrame) -> DataFrame:
@@ -90,23 +91,27 @@ def _features(slim: DataFrame) -> DataFrame:
     same = F.struct(*(F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)))
     filled = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     sets = slim.withColumns({"_tokens": filled("tokens"), "_entities": filled("entities")})
-    return sets.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", "url_fingerprints", same.alias("same"), F.size("_tokens").alias("n"), _sketched("_tokens").alias("bits"), F.size("_entities").alias("en"), _sketched("_entities").alias("ebits"))
+    return sets.select("public_cluster_id", "event_id", "message_date", "text_hash", "simhash", "url_fingerprints", same.alias("same"), F.size("_tokens").alias("n"), _sketched("_tokens", WIDE).alias("bits"), F.size("_entities").alias("en"), _sketched("_entities", SKETCH).alias("ebits"))
 
 
 def _most_overlap(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """No less than the Jaccard similarity of sets of n members: a bit that only one side has stands for a member that only it has."""
-    only = lambda a, b: np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
-    both = np.minimum(n[i] - only(i, j), n[j] - only(j, i))
-    return both / (n[i] + n[j] - both)
+    out, step = np.zeros(len(i)), max(1, (1 << 19) // bits.shape[1])  # of pairs whose bits are gathered at once
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
+        only = lambda a, b: np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
+        both = np.minimum(n[a] - only(a, b), n[b] - only(b, a))
+        out[k : k + step] = both / (n[a] + n[b] - both)
+    return out
 
 
 def _near_pairs(light: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     """public_cluster_id, event_id, source: pairs that can reach the threshold without the same text or a common link.
 
-    Entities, tokens and fingerprints give up to 0.2 each, the time 0.05. Parts of a topic meet
-    in pairs, so a task holds fingerprints and sketches of two parts; a pair remains if its
-    score can reach the threshold by bits that differ, sizes and sketches. A copy of an earlier
-    text has that text as its source and needs no other.
+    Entities, tokens and fingerprints give up to 0.2 each, the time 0.05. Blocks of a topic meet
+    in pairs (``met``), so a task holds fingerprints and sketches of a few blocks; a pair remains
+    if its score can reach the threshold by bits that differ, sizes and sketches, folded to
+    SKETCH bits first. A copy of an earlier text has that text as its source and needs no other.
     """
     rest = threshold - 0.45 - 1e-9
     able = F.col("simhash").isNotNull() & (F.col("en") > 0) & (F.col("n") > 0)
@@ -114,38 +119,42 @@ def _near_pairs(light: DataFrame, one: DataFrame, threshold: float) -> DataFrame
     at = F.unix_micros("message_date") if light.schema["message_date"].dataType.typeName() == "timestamp" else F.col("message_date")
     first = one.select("public_cluster_id", "event_id", F.lit(True).alias("first"))
     light = light.where(able).select("public_cluster_id", "event_id", "text_hash", at.alias("at"), "simhash", "n", "bits", "en", "ebits")
-    parts = light.groupBy("public_cluster_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     light = light.join(first, ["public_cluster_id", "event_id"], "left").where("first or text_hash is null").drop("text_hash").withColumn("first", F.coalesce("first", F.lit(False)))
-    dealt = light.join(parts, "public_cluster_id").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("lo"), F.greatest("part", k).alias("hi")))
-    dealt = dealt.select("*", F.explode(meet).alias("b")).drop("parts").withColumns({"lo": F.col("b.lo"), "hi": F.col("b.hi")}).drop("b")
+    shared_folder(light.sparkSession)
+    light = written(light)
+    parts = light.groupBy("public_cluster_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).checkpoint()
+    dealt = light.join(parts, "public_cluster_id").withColumns({"_part": F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"), "_lead": F.lit(True), "_many": F.col("parts") > 1}).drop("parts")
     points = np.where(np.arange(65) <= 3, 0.2, np.where(np.arange(65) <= 8, 0.12, np.where(np.arange(65) <= 16, 0.05, 0.0)))
 
-    def task(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def task(topic, mine: pd.DataFrame, theirs: pd.DataFrame, same: bool) -> pd.DataFrame:
+        group = mine.assign(part=0) if same else pd.concat([mine.assign(part=0), theirs.assign(part=1)])
         group = group.sort_values(["at", "event_id"], na_position="first", kind="stable")
         words = lambda c: np.frombuffer(b"".join(group[c]), np.uint64).reshape(len(group), -1)
         prints, bits, ebits = group["simhash"].to_numpy(np.int64).view(np.uint64), words("bits"), words("ebits")
+        few = np.bitwise_or.reduce(bits.reshape(len(group), WIDE // SKETCH, -1), axis=1)
         n, en, part, source = (group[c].to_numpy() for c in ("n", "en", "part", "first"))
         later, former = [], []
         for k in range(0, len(group), 256):
             differ = np.bitwise_count(prints[k : k + 256, None] ^ prints[None, : k + 256])
             i, j = np.nonzero(differ <= radius)
             i = i + k
-            fit = (j < i) & source[j] & ((part[i] != part[j]) | (key[1] == key[2]))
+            fit = (j < i) & source[j] & (same | (part[i] != part[j]))
             i, j = i[fit], j[fit]
             need = threshold - 0.05 - points[differ[i - k, j]] - 1e-9  # of entities and tokens
             fit = 0.2 * np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= need - 0.2
             i, j, need = i[fit], j[fit], need[fit]
             need = need - 0.2 * _most_overlap(en, ebits, i, j)
             i, j, need = i[need <= 0.2], j[need <= 0.2], need[need <= 0.2]
-            fit = 0.2 * _most_overlap(n, bits, i, j) >= need
-            later.append(i[fit])
-            former.append(j[fit])
+            for sketch in (few, bits):
+                fit = 0.2 * _most_overlap(n, sketch, i, j) >= need
+                i, j, need = i[fit], j[fit], need[fit]
+            later.append(i)
+            former.append(j)
         ids = group["event_id"].to_numpy()
-        return pd.DataFrame({"public_cluster_id": key[0], "event_id": ids[np.concatenate(later)], "source": ids[np.concatenate(former)]})
+        return pd.DataFrame({"public_cluster_id": topic, "event_id": ids[np.concatenate(later)], "source": ids[np.concatenate(former)]})
 
     kinds = {c: light.schema[c].dataType.simpleString() for c in ("public_cluster_id", "event_id")}
-    return dealt.groupBy("public_cluster_id", "lo", "hi").applyInPandas(task, f"public_cluster_id {kinds['public_cluster_id']}, event_id {kinds['event_id']}, source {kinds['event_id']}")
+    return met(dealt, "public_cluster_id", parts.where("parts > 1").agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0], task, f"public_cluster_id {kinds['public_cluster_id']}, event_id {kinds['event_id']}, source {kinds['event_id']}")
 
 
 def _candidates(slim: DataFrame, threshold: float) -> DataFrame:

@@ -4,25 +4,37 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from newsflow.operators import blocks, clustering
+from newsflow.operators import blocks, clustering, first_source
 
 
 def test_every_pair_meets_once(spark):
-    rows = [(g, k, k % 5 != 0, k % 3) for g, n in (("a", 23), ("b", 4), ("c", 1)) for k in range(n)]
-    df = spark.createDataFrame(rows, "g string, k long, _lead boolean, _part int")
+    rows = [(g, k, k % 5 != 0, k % 3, True) for g, n in (("a", 23), ("b", 4)) for k in range(n)] + [("c", k, True, 0, False) for k in range(3)] + [("d", 0, False, 0, False)]
+    df = spark.createDataFrame(rows, "g string, k long, _lead boolean, _part int, _many boolean")
 
     def task(g, one, other, same):
         met = list(itertools.combinations_with_replacement(one["k"], 2)) if same else list(itertools.product(one["k"], other["k"]))
         return pd.DataFrame({"g": g, "x": [min(p) for p in met], "y": [max(p) for p in met]})
 
-    got = [tuple(r) for r in blocks.met(df, "g", 14, task, "g string, x long, y long").collect()]
-    expected = {(g, x, y) for g, x, lx, _ in rows for h, y, ly, _ in rows if g == h and x <= y and (lx or ly)}
+    got = [tuple(r) for r in blocks.met(df, "g", 11, task, "g string, x long, y long").collect()]
+    expected = {(g, x, y) for g, x, lx, *_ in rows for h, y, ly, *_ in rows if g == h and x <= y and (lx or ly)}
     assert len(got) == len(set(got)) and set(got) == expected
     assert blocks.met(df.where("false"), "g", 0, task, "g string, x long, y long").count() == 0
 
 
+def test_tokens_tell_long_texts_apart(spark):
+    """Long texts that differ fill a sketch of 1,024 bits alike; a wide one leaves only the pair that can reach the threshold, in one block and in several."""
+    own = lambda k: [f"t{k}-{i}" for i in range(1500)]
+    rows = [("s", f"e{k:02d}", k, f"h{k}", 7, own(k), ["x", "y"], []) for k in range(12)] + [("s", "e99", 99, "h99", 7, own(3)[:-5], ["x", "y"], [])]
+    slim = spark.createDataFrame(rows, "public_cluster_id string, event_id string, message_date long, text_hash string, simhash long, tokens array<string>, entities array<string>, url_fingerprints array<string>")
+    for part in (first_source.PART, 4):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(first_source, "PART", part)
+            assert [tuple(r) for r in first_source._candidates(slim, 0.55).collect()] == [("s", "e99", "e03")]
+
+
 def shuffled(spark) -> int:
     return sum(spark._jsc.sc().statusStore().executorList(True).apply(k).totalShuffleWrite() for k in range(1))
 

@@ -183,7 +183,8 @@ def language_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def entities(df: DataFrame, keep: tuple[str, ...] = ("event_id",), text: str = "text", least: int = 3) -> DataFrame:
     """(M08, M09) Runs of capitalised words that don't begin a sentence, each mention with its place; numbers and short ones are left out."""
-    pattern = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*)"
+    # nothing follows the repeated group, so it may be possessive: else each further word of a run takes a frame of the stack, which a run of thousands overflows
+    pattern = r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*+)"
     matches, gaps = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
     pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     span = lambda acc, x: F.struct((acc["at"] + F.length(x["g"])).alias("start_pos"), x["m"].alias("entity_text"))

@@ -74,20 +74,21 @@ def ordered_person(words: Column) -> Column:
 def canonical_names(mentions: DataFrame, **limits: int) -> DataFrame:
     """(M09) mentions(entity_text, entity_type, ...) with canonical: each word by its shown form, people as surname, name, patronymic, title case; short words in capitals stay.
 
-    Names are rebuilt once for each distinct text. A text without a letter stays as it is; null
-    has null. Mentions are read several times, so they are written first: what finds them in
-    texts runs once.
+    Names are rebuilt once for each distinct text, for which 128 bits stand: its words don't carry
+    it with them. A text without a letter stays as it is; null has null. Mentions are read several
+    times, so they are written first: what finds them in texts runs once.
     """
     mentions = written(mentions.drop("canonical"))
     forms = word_forms(words_of(mentions.select(F.col("entity_text").alias("text"))), **limits)
     person = F.upper(F.coalesce("entity_type", F.lit(""))).isin("PER", "PERSON").alias("person")
-    texts = mentions.select("entity_text", person).where("entity_text is not null").distinct()
-    each = texts.select("entity_text", "person", F.posexplode(F.split(F.trim("entity_text"), r"\s+")).alias("at", "w")).where(F.col("w").rlike(r"\p{L}"))
+    key = [F.xxhash64("entity_text").alias("_one"), F.xxhash64(F.lit("two"), "entity_text").alias("_two")]
+    texts = mentions.where("entity_text is not null").select(*key, person, "entity_text").dropDuplicates(["_one", "_two", "person"])
+    each = texts.select("_one", "_two", "person", F.posexplode(F.split(F.trim("entity_text"), r"\s+")).alias("at", "w")).where(F.col("w").rlike(r"\p{L}"))
     each = each.withColumn("word", F.lower("w")).join(forms, "word", "left")
     short = (F.upper("w") == F.col("w")) & (F.length("w") <= 5)
-    built = each.groupBy("entity_text", "person").agg(F.array_sort(F.collect_list(F.struct("at", F.when(short, F.col("w")).otherwise(F.coalesce("shown", "word")).alias("w")))).alias("ws"))
+    built = each.groupBy("_one", "_two", "person").agg(F.array_sort(F.collect_list(F.struct("at", F.when(short, F.col("w")).otherwise(F.coalesce("shown", "word")).alias("w")))).alias("ws"))
     ws = F.transform("ws", lambda x: x["w"])
     ordered = F.when(F.col("person"), ordered_person(ws)).otherwise(ws)
-    named = built.select("entity_text", "person", F.array_join(F.transform(ordered, canonical), " ").alias("canonical"))
-    out = mentions.withColumn("person", person).join(named, ["entity_text", "person"], "left").drop("person")
+    named = built.select("_one", "_two", "person", F.array_join(F.transform(ordered, canonical), " ").alias("canonical"))
+    out = mentions.select("*", *key, person).join(named, ["_one", "_two", "person"], "left").drop("_one", "_two", "person")
     return out.withColumn("canonical", F.coalesce("canonical", "entity_text"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from newsflow.operators import names
+from newsflow.operators import enrich, names
 
 #: A made-up corpus: names with their forms in five cases.
 MEN = ["Иван", "Степан", "Роман", "Богдан", "Тарас"]
@@ -54,3 +54,13 @@ def test_few_words(spark):
     df = spark.createDataFrame([("Marta",), ("Marty",), ("Anna",), ("Annex",)], "entity_text string").withColumn("entity_type", F.lit("PER"))
     assert {r.entity_text: r.canonical for r in names.canonical_names(df).collect()} == {w: w for w in ("Marta", "Marty", "Anna", "Annex")}
     assert names.canonical_names(df.where("false")).count() == 0
+
+
+def test_long_runs_of_capitals(spark):
+    """A run of thousands of capitalised words is one mention; its match takes no stack for each word, and its words don't carry it with them."""
+    run = " ".join(f"Alba{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(20_000))
+    docs = spark.createDataFrame([(1, f"so {run} ends. By Anna, said Berta Carl."), (2, "by O'Neil-Smith Ltd and 3 Äpfel")], "event_id long, text string")
+    found = enrich.entities(docs)
+    assert {(r.event_id, r.start_pos, r.entity_text) for r in found.collect()} == {(1, 3, run), (1, len(run) + 13, "Anna"), (1, len(run) + 24, "Berta Carl"), (2, 3, "O'Neil-Smith Ltd"), (2, 26, "Äpfel")}
+    shown = {(r.event_id, r.start_pos): r.canonical for r in names.canonical_names(found).collect()}
+    assert len(shown) == 5 and len(shown[1, 3]) == len(run) and shown[2, 26] == "Äpfel"
